@@ -40,3 +40,32 @@ def words_of(text: Column) -> Column:
     """Array of the words ``[^\x20\x09-\x0D]+`` of ``text``; empty for null and for blank texts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+
+
+def map_batches(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
+    """Arrow batches through ``fn(columns: dict of lists, state) -> dict of lists``, in slices of 512 rows.
+
+    ``start()`` makes the state once a task (a tokenizer, a cache); no state outlives its task, so a
+    task that is run again after a lost executor gives the same rows.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(_parse(schema))
+        state = start() if start else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                out = fn(batch.slice(at, 512).to_pydict(), state)
+                yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in arrow}, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def _parse(schema: str):
+    from pyspark.sql import types as T
+
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+    kinds |= {f"array<{k}>": T.ArrayType(v) for k, v in list(kinds.items())}
+    return T.StructType([T.StructField(*(lambda n, k: (n, kinds[k]))(*part.split())) for part in schema.split(", ")])

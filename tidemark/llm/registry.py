@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import quality, secrets
 
-QUERIES = {"op3_quality_rules": quality.op3_quality_rules}
+QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_quality_rules": quality.op3_quality_rules,
+}
 ORACLES = {"op3_quality_rules": quality.OP3_SQL}
