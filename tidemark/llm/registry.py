@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality, secrets
+from tidemark.llm import jaccard, quality, secrets
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
 }
 ORACLES = {"op3_quality_rules": quality.OP3_SQL}
