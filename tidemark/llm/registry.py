@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import jaccard, quality, secrets
+from tidemark.llm import jaccard, mixing, quality, secrets
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
