@@ -137,7 +137,9 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     happen to be named like a metric come back untouched.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return judged(quality_metrics(whole, "_text")).where("kept").select("_row.*")
+    verdicts = judged(quality_metrics(whole, "_text"))
+    # Not where(): the optimizer would move it below the projection and evaluate every metric again in place.
+    return verdicts.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
