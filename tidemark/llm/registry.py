@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, jaccard, mixing, pieces, quality, secrets, tokencount
+from tidemark.llm import ann, chat, extraction, jaccard, mixing, pieces, quality, secrets, tokencount
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_token_counts": tokencount.op8_token_counts,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
+    "op10_html_text": extraction.op10_html_text,
 }
 ORACLES = {"op3_quality_rules": quality.OP3_SQL}
