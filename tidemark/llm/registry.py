@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, extraction, jaccard, mixing, pieces, quality, secrets, tokencount
+from tidemark.llm import ann, chat, extraction, jaccard, langid, mixing, pieces, quality, secrets, tokencount
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_language_id": langid.op5_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_token_counts": tokencount.op8_token_counts,
