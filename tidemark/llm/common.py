@@ -45,8 +45,8 @@ def words_of(text: Column) -> Column:
 def map_batches(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
     """Arrow batches through ``fn(columns: dict of lists, state) -> dict of lists``, in slices of 512 rows.
 
-    ``start()`` makes the state once a task (a tokenizer, a cache); no state outlives its task, so a
-    task that is run again after a lost executor gives the same rows.
+    ``start()`` gives the state of a task (a tokenizer, a cache of a function's values). A batch's rows depend
+    on its input alone, so a task that is run again after a lost executor gives the same rows.
     """
 
     def run(batches):
@@ -58,7 +58,8 @@ def map_batches(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 out = fn(batch.slice(at, 512).to_pydict(), state)
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in arrow}, schema=arrow)
+                made = {f.name: x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow}
+                yield pa.RecordBatch.from_pydict(made, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

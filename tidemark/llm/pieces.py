@@ -1,5 +1,6 @@
 """SentencePiece encoding and decoding over a lattice of pieces.
 
+Texts are cut into words between characters that no piece holds side by side, where nothing can merge.
 Each distinct word opens a lattice: its bounded-length substrings that are in the piece table are edges,
 grouped by word, and a fold over end positions keeps the one path that the merges of a BPE model leave.
 Two pieces may follow each other only if no merge across their boundary comes before one of them is
@@ -10,7 +11,8 @@ no scores. Characters outside the table are spelled in byte pieces.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +22,6 @@ from tidemark.llm.common import map_batches, table
 from tidemark.llm.jaccard import mix
 
 SPACE = "▁"
-UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct words whose pieces a task keeps.
 CACHE = 300_000
 #: Ids from here on are characters that are no piece.
@@ -41,6 +42,19 @@ class Hashes:
         return (self.sums[start + n] - self.sums[start]) * self.back[start]
 
 
+class Known(dict):
+    """A function's values, kept up to a bounded number."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= 500_000:
+            self.clear()
+        value = self[key] = self.function(key)
+        return value
+
+
 def merged(word: str, rank: dict) -> tuple[list[str], tuple[str, str] | None]:
     """Pieces of ``word`` by merging its best pair again and again, and the last pair merged."""
     parts, last = list(word), None
@@ -67,11 +81,14 @@ class PieceTable:
         scores = sorted({model.get_score(i) for i in kept}, reverse=True)
         place = {s: n for n, s in enumerate(scores)}
         self.rank = {self.pieces[i]: place[model.get_score(i)] for i in kept}
-        self.bytes = {i: int(self.pieces[i][1:-1], 16) for i in range(model.vocab_size()) if model.is_byte(i)}
-        self.byte_ids = {b: i for i, b in self.bytes.items()}
+        of_byte = {i: int(self.pieces[i][1:-1], 16) for i in range(model.vocab_size()) if model.is_byte(i)}
+        self.byte_ids = {b: i for i, b in of_byte.items()}
+        spelt = [bytes((of_byte[i],)) if i in of_byte else p.replace(SPACE, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt_size = np.array([len(b) for b in spelt])
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
         self.split: dict[str, tuple[str, str] | None] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.follows: dict[str, dict[str, bool]] = {}
         #: Pieces of two or more characters that their own merges reach, by length: sorted hashes and ids.
         alone = [p for p in self.ids if len(p) > 1 and self.halves(p)]
         self.longest = max(map(len, alone), default=1)
@@ -84,7 +101,13 @@ class PieceTable:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
-        self.known = np.zeros(0, np.int64), np.zeros(0, bool)
+        letters = sorted({c for p in self.ids for c in p})
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.bridged = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in {(a, b) for p in self.ids for a, b in zip(p, p[1:])}:
+            self.bridged[self.letter[ord(a)], self.letter[ord(b)]] = True
+        self.known = Known(lambda k: self.may_follow(self.name(k >> 22), self.name(k & (1 << 22) - 1)))
 
     @staticmethod
     def _sorted(values: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,25 +163,28 @@ class PieceTable:
                     return False
         return True
 
+    def words(self, texts: list[str]) -> list[list[str]]:
+        """The words of nonempty texts: cut between characters that no piece holds side by side."""
+        body = "".join(texts)
+        if not body:
+            return []
+        kinds = self.letter[np.frombuffer(body.encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(kinds) + 1, bool)
+        cut[1:-1] = ~self.bridged[kinds[:-1], kinds[1:]]
+        ends = np.cumsum([len(t) for t in texts])
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        split = [body[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+        upto = np.searchsorted(at, ends).tolist()
+        return [split[a:b] for a, b in zip([0, *upto], upto)]
+
     def name(self, i: int) -> str:
         return self.pieces[i] if i < UNKNOWN else chr(i - UNKNOWN)
 
     def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """may_follow by id, for arrays; pairs are worked out once."""
-        keys = left << 22 | right
-        unique, back = np.unique(keys, return_inverse=True)
-        known, fits = self.known
-        at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-        new = unique[known[at] != unique] if len(known) else unique
-        if len(new):
-            found = np.array([self.may_follow(self.name(k >> 22), self.name(k & (1 << 22) - 1)) for k in new.tolist()], bool)
-            known, fits = (new, found) if len(known) > 2_000_000 else (np.concatenate((known, new)), np.concatenate((fits, found)))
-            order = np.argsort(known)
-            self.known = known, fits = known[order], fits[order]
-            if len(new) < len(unique) and len(known) == len(new):
-                return self.fit(left, right)
-            at = np.searchsorted(known, unique)
-        return fits[at][back]
+        unique, back = np.unique(left << 22 | right, return_inverse=True)
+        return np.fromiter(map(self.known.__getitem__, unique.tolist()), bool, len(unique))[back]
 
     def edges(self, points: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lattice of words laid end to end: (start, end, id) of every substring that is a piece.
@@ -222,34 +248,56 @@ class PieceTable:
         spelt = lambda ids: [b for i in ids for b in ([i] if i < UNKNOWN else [self.byte_ids[x] for x in chr(i - UNKNOWN).encode()])]
         return [spelt(out[w]) if max(out[w]) >= UNKNOWN else out[w] for w in words]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``: pieces joined, byte pieces as UTF-8, marks as spaces, without the first one."""
-        if not any(i in self.bytes for i in ids):
-            text = "".join([self.pieces[i] for i in ids])
-        else:
-            text = b"".join([bytes((self.bytes[i],)) if i in self.bytes else self.pieces[i].encode() for i in ids]).decode("utf-8", "replace")
-        text = text.replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of arrays of ids laid end to end: pieces joined, byte pieces as UTF-8, marks as spaces,
+        without the first one."""
+        length = self.spelt_size[ids]
+        ends = np.cumsum(length)
+        first = self.spelt_at[ids] - (ends - length)
+        body = self.spelt[np.repeat(first, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = np.concatenate((np.zeros(1, np.int64), ends))[np.cumsum(sizes)]
+        texts = [body[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
 class WordPieces(dict):
-    """Piece ids of words, encoded on first sight and kept up to a bounded number."""
+    """Piece ids of words, as int32 bytes, encoded on first sight; the first CACHE words are kept."""
 
-    def __init__(self, path: str | None):
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("piece_bpe_32k.model")
+    def __init__(self, path: str):
         self.table = PieceTable(path)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self) > CACHE:
-            self.clear()
-        new = [w for w in {w for words in split for w in words} if w not in self]
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as int32 bytes; texts are taken in groups of about a million characters."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(SPACE + text.replace(" ", SPACE) if text else "")
+            size += len(group[-1])
+            if size > 1 << 20:
+                out += self._encode(group)
+                group, size = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = iter(self.table.words([t for t in texts if t]))
+        split = [next(split) if t else [] for t in texts]
+        new = list({w for words in split for w in words} - self.keys())
         if new:
-            self.update(zip(new, self.table.encode_words(new)))
-        return [[i for ids in map(self.__getitem__, words) for i in ids] for words in split]
+            self.update(zip(new, map(bytes, map(np.array, self.table.encode_words(new), repeat(np.int32)))))
+        out = [b"".join(map(self.__getitem__, words)) for words in split]
+        if len(self) > CACHE:
+            for word in new:
+                del self[word]
+        return out
+
+
+@lru_cache(2)
+def word_pieces(path: str | None) -> WordPieces:
+    """One table a Python worker: its caches hold values of functions, so tasks may share them."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return WordPieces(path)
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,16 +306,35 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     ``path``: a SentencePiece BPE model with byte fallback, identity normalization and a leading mark, by
     default the public 32k one, found on each executor.
     """
+
+    def run(cols, words):
+        import pyarrow as pa
+
+        ids = words.encode(cols["text"])
+        ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype=np.int32)
+        return {"key": cols["key"], "pieces": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))).cast(pa.list_(pa.int32()))}
+
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    out = map_batches(rows, lambda cols, words: {"key": cols["key"], "pieces": words.encode(cols["text"])}, "key long, pieces array<int>", lambda: WordPieces(path))
-    return out.withColumnRenamed("key", key)
+    return map_batches(rows, run, "key long, pieces array<int>", lambda: word_pieces(path)).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """``encoded(key, pieces)`` with ``text``, the decoded pieces. A null array decodes to an empty text."""
-    rows = encoded.select(F.col(key).alias("key"), "pieces")
-    out = map_batches(rows, lambda cols, words: cols | {"text": [words.table.decode(p or []) for p in cols["pieces"]]}, "key long, pieces array<int>, text string", lambda: WordPieces(path))
-    return out.withColumnRenamed("key", key)
+
+    def run(batches):
+        import pyarrow as pa
+
+        words = word_pieces(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                pieces = part.column("pieces")
+                sizes = pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = words.table.decode(pieces.flatten().to_numpy(zero_copy_only=False), sizes)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pieces, pa.array(texts, pa.string())], ["key", "pieces", "text"])
+
+    rows = encoded.select(F.col(key).cast("long").alias("key"), "pieces")
+    return rows.mapInArrow(run, "key long, pieces array<int>, text string").withColumnRenamed("key", key)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
