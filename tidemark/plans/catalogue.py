@@ -1,6 +1,431 @@
-"""The registered queries of the feed engine and their SQL counterparts."""
+"""The registered queries of the feed engine and their SQL counterparts.
+
+The tables play the engine's roles: ``events`` is the change log and the observation log (sequence event_id + 1,
+key user_id, availability ts, source event_type, ``error`` a tombstone), ``pages`` are feed items, ``documents``
+titles and texts, ``orders`` calendar candidates and entities, ``lineitem`` and ``customer`` what refers to them.
+Times without a zone stay without one, so results do not depend on the session's zone.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import hashes, text, times, urls
+from tidemark.operators import calendar, changes, dedup, health, retention
+from tidemark.plans import paging
+from tidemark.sources import feeds
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AS_OF, AFTER = "2024-01-20 00:00:00", "2024-01-10 00:00:00"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _at(value: str) -> Column:
+    return F.to_timestamp_ntz(F.lit(value))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select(
+        (F.col("event_id") + 1).alias("change_sequence"), F.col("user_id").alias("news_id"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("operation"),
+        F.col("event_type").alias("source"), F.col("ts").alias("available_at"), "value",
+    )
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").select((F.col("event_id") + 1).alias("observation_id"), F.col("user_id").alias("canonical_news_id"), F.col("event_type").alias("source"), F.col("ts").alias("observed_at"))
+
+
+LOG = "log AS (SELECT event_id + 1 AS change_sequence, user_id AS news_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS operation, event_type AS source, ts AS available_at, value FROM events)"
+_ROW = ("change_sequence", "news_id", "operation", "source")
+_IN = f"available_at <= TIMESTAMP '{AS_OF}'"
+
+
+# The change log.
+
+
+@query(f"WITH {LOG} SELECT coalesce(max(change_sequence), 0)::BIGINT AS watermark FROM log WHERE {_IN}")
+def changes_watermark(spark, d):
+    return changes.watermark(_log(spark, d), _at(AS_OF))
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND available_at > TIMESTAMP '{AFTER}' AND change_sequence <= 5000 ORDER BY 1 LIMIT 51")
+def changes_page_window(spark, d):
+    return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER)), 50).select(*_ROW)
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND change_sequence > 100 AND change_sequence <= 5000 ORDER BY 1 LIMIT 501")
+def changes_page_checkpoint(spark, d):
+    return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER), checkpoint=100), 500).select(*_ROW)
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND available_at > TIMESTAMP '{AFTER}' AND change_sequence > 3500 AND change_sequence <= 5000 ORDER BY 1 LIMIT 51")
+def changes_next_page(spark, d):
+    return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER), floor=3500), 50).select(*_ROW)
+
+
+_STATE = f"WITH {LOG} SELECT news_id, change_sequence, operation, source FROM log WHERE {_IN} QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY change_sequence DESC) = 1"
+
+
+@query(_STATE)
+def state_as_of(spark, d):
+    return changes.state_as_of(_log(spark, d), _at(AS_OF)).select("news_id", "change_sequence", "operation", "source")
+
+
+@query(f"SELECT * FROM ({_STATE}) WHERE operation <> 'delete'")
+def live_as_of(spark, d):
+    return changes.state_as_of(_log(spark, d), _at(AS_OF), live=True).select("news_id", "change_sequence", "operation", "source")
+
+
+_EVIDENCE = """
+  firsts AS (SELECT user_id, lower(event_type) AS k, min(event_id) AS o, min(ts) AS seen FROM events GROUP BY 1, 2),
+  met AS (SELECT l.change_sequence, f.o, f.seen, e.event_type FROM log l JOIN firsts f ON f.user_id = l.news_id AND f.seen <= l.available_at JOIN events e ON e.event_id = f.o)"""
+
+
+@query(f"WITH {LOG}, {_EVIDENCE} SELECT change_sequence, string_agg(event_type, ',' ORDER BY seen, o) AS sources, count(*)::BIGINT AS source_count FROM met GROUP BY 1")
+def source_evidence_asof(spark, d):
+    found = changes.source_evidence(_log(spark, d), _observations(spark, d))
+    return found.select("change_sequence", F.array_join("sources", ",").alias("sources"), "source_count")
+
+
+@query("SELECT user_id AS news_id, string_agg(event_type, ',' ORDER BY o) AS sources FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY 1")
+def source_evidence_by_key(spark, d):
+    firsts = _observations(spark, d).groupBy("canonical_news_id", "source").agg(F.min("observation_id").alias("o"))
+    lists = firsts.groupBy(F.col("canonical_news_id").alias("news_id")).agg(F.array_sort(F.collect_list(F.struct("o", "source"))).alias("s"))
+    return lists.select("news_id", F.array_join(F.transform("s", lambda x: x["source"]), ",").alias("sources"))
+
+
+@query(f"""WITH {LOG}, {_EVIDENCE}, n AS (SELECT change_sequence, count(*) AS n FROM met GROUP BY 1)
+SELECT l.change_sequence AS sequence, l.operation, l.news_id, CASE WHEN operation = 'upsert' THEN n.n END::BIGINT AS source_count FROM log l LEFT JOIN n USING (change_sequence)""")
+def change_envelopes(spark, d):
+    log = _log(spark, d)
+    blank = {c: F.lit(None).cast("string") for c in ("title", "summary", "url", "image_url", "published_at", "fetched_at", "source_tickers", "content_hash", "updated_at")}
+    out = changes.envelopes(log.withColumns(blank), _observations(spark, d))
+    return out.select("sequence", "operation", "news_id", F.col("news.source_count").cast("long").alias("source_count"))
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id FROM log WHERE available_at >= TIMESTAMP '{AS_OF}' OR change_sequence IN (SELECT max(change_sequence) FROM log GROUP BY news_id)")
+def change_compaction(spark, d):
+    return changes.compacted(_log(spark, d), _at(AS_OF)).select("change_sequence", "news_id")
+
+
+@query("SELECT event_id + 1 AS sequence, octet_length(encode(props))::BIGINT AS size FROM events QUALIFY sum(octet_length(encode(props)) + 40) OVER (ORDER BY event_id) < 20000")
+def byte_bounded_page(spark, d):
+    rows = changes.page(_read(spark, d, "events").select((F.col("event_id") + 1).alias("change_sequence"), "props"), paging.MOST_ROWS * 4)
+    size = F.octet_length("props").cast("long")
+    upto = F.sum(size + 40).over(Window.partitionBy(F.lit(0)).orderBy("change_sequence"))  # one page
+    return rows.withColumns({"size": size, "upto": upto}).where("upto < 20000").select(F.col("change_sequence").alias("sequence"), "size")
+
+
+@query(f"WITH {LOG} SELECT strftime(available_at, '%Y-%m-%d') AS day, operation, count(*)::BIGINT AS n FROM log GROUP BY 1, 2")
+def change_activity(spark, d):
+    return _log(spark, d).groupBy(F.date_format("available_at", "yyyy-MM-dd").alias("day"), "operation").agg(F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT event_id, user_id, event_type, min(event_id) OVER (PARTITION BY user_id, event_type) AS o, min(event_id) OVER (PARTITION BY user_id) AS u FROM events)
+SELECT CASE WHEN event_id = u THEN 'insert' WHEN event_id = o AND event_type IN ('click', 'view') THEN 'tickers' WHEN event_id = o THEN 'corroboration' ELSE 'none' END AS effect, count(*)::BIGINT AS n FROM o GROUP BY 1""")
+def duplicate_effects(spark, d):
+    own = F.min("event_id").over(Window.partitionBy("user_id", "event_type"))
+    seen = F.min("event_id").over(Window.partitionBy("user_id"))
+    rows = _read(spark, d, "events").select("event_id", "event_type", own.alias("o"), seen.alias("u"))
+    new = F.col("event_id") == F.col("o")
+    effect = F.when(F.col("event_id") == F.col("u"), "insert").otherwise(dedup.duplicate_effect(new, new & F.col("event_type").isin("click", "view")))
+    return rows.groupBy(effect.alias("effect")).agg(F.count("*").alias("n"))
+
+
+# Text, URLs, times, hashes.
+
+_TITLE = r"<title>([^<]*)</title>"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", _TITLE, 1).alias("title"))
+
+
+_PAGES = f"p AS (SELECT page_id, url, regexp_extract(html, '{_TITLE}', 1) AS title FROM pages)"
+_NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+_KEYS = "', '".join(urls.TRACKING_KEYS)
+_CODE = "replace(replace(replace(url_encode({0}), '%20', '+'), '%7E', '~'), '*', '%2A')"
+_URL_SQL = rf"""
+  u0 AS (SELECT *, regexp_extract(trim(url), '^(?i)(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$', ['s', 'h', 'p', 'q']) AS m FROM p),
+  u1 AS (SELECT *, lower(m.s) AS s, regexp_replace(regexp_replace(lower(m.h), '^.*@', ''), ':$', '') AS h0, regexp_replace(CASE WHEN m.p = '' THEN '/' ELSE m.p END, '/{{2,}}', '/', 'g') AS pa,
+    list_sort(list_filter(list_transform(list_filter(string_split(m.q, '&'), lambda x: x <> ''),
+      lambda x: {{'k': url_decode(replace(string_split(x, '=')[1], '+', ' ')), 'v': url_decode(replace(regexp_replace(x, '^[^=]*=?', ''), '+', ' '))}}),
+      lambda y: NOT (starts_with(lower(y.k), 'utm_') OR lower(y.k) IN ('{_KEYS}')))) AS kv FROM u0),
+  urls AS (SELECT page_id, title, url, CASE WHEN s = '' OR h0 = '' THEN trim(url) ELSE s || '://' || CASE WHEN s = 'http' THEN regexp_replace(h0, ':80$', '') ELSE regexp_replace(h0, ':443$', '') END || pa ||
+    CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(list_transform(kv, lambda y: {_CODE.format("y.k")} || '=' || {_CODE.format("y.v")}), '&') END END AS canonical FROM u1)"""
+
+
+@query(f"WITH {_PAGES}, {_URL_SQL} SELECT page_id, canonical FROM urls")
+def url_canonical(spark, d):
+    return _pages(spark, d).select("page_id", urls.normalize_url(F.col("url")).alias("canonical"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/]*@', '\1') AS safe FROM pages")
+def url_safe(spark, d):
+    return _read(spark, d, "pages").select("page_id", text.safe_url(F.col("url")).alias("safe"))
+
+
+@query(f"WITH {_PAGES} SELECT page_id, {_NORMAL.format('title')} AS normal FROM p")
+def title_normalized(spark, d):
+    return _pages(spark, d).select("page_id", text.normalize_title(F.col("title")).alias("normal"))
+
+
+@query(f"WITH {_PAGES} SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(title, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS clean FROM p")
+def title_clean(spark, d):
+    return _pages(spark, d).select("page_id", text.clean_text(F.col("title")).alias("clean"))
+
+
+@query(f"WITH {_PAGES}, {_URL_SQL} SELECT page_id, sha256(CASE WHEN {_NORMAL.format('title')} <> '' THEN 'title:' || {_NORMAL.format('title')} || '|url:' || canonical ELSE 'url:' || canonical END) AS hash FROM urls")
+def content_hash(spark, d):
+    return _pages(spark, d).select("page_id", hashes.content_hash(F.col("title"), F.col("url"), F.lit(None).cast("string")).alias("hash"))
+
+
+@query(f"WITH {_PAGES} SELECT page_id, sha256(CASE WHEN t = '' THEN lower(trim(url)) ELSE t END) AS hash FROM (SELECT *, regexp_replace(regexp_replace(trim(lower(title)), '\\s+', ' ', 'g'), '[.,!?;:]+$', '') AS t FROM p)")
+def legacy_hash(spark, d):
+    return _pages(spark, d).select("page_id", hashes.legacy_hash(F.col("title"), F.col("url")).alias("hash"))
+
+
+@query("SELECT event_id, sha256('{\"content_hash\":\"' || sha256(event_type) || '\",\"news_id\":' || user_id || ',\"operation\":\"' || CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END || '\",\"updated_at\":\"' || strftime(ts, '%Y-%m-%d') || '\"}') AS hash FROM events")
+def change_hash(spark, d):
+    log = _read(spark, d, "events")
+    operation = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    return log.select("event_id", hashes.change_hash(operation, F.col("user_id"), F.sha2("event_type", 256), F.date_format("ts", "yyyy-MM-dd")).alias("hash"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS bucket, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def day_bucket_counts(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    key = F.col("o_orderkey") % 7  # the forms that publication times come in
+    stamp = F.when(key == 0, F.lit("sometime")).when(key == 1, F.concat(day, F.lit("T23:30:00Z"))).when(key == 2, F.concat(day, F.lit(" late"))).when(key == 3, F.concat(day, F.lit("T12:00:00+05:30"))).otherwise(day)
+    return _read(spark, d, "orders").groupBy(times.day_bucket(stamp).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END || 'Z' AS wire, epoch_us(ts)::BIGINT AS micros FROM events")
+def utc_wire(spark, d):
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    instant = F.timestamp_micros(micros)
+    shown = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros % 1_000_000 == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))), F.lit("Z"))
+    return _read(spark, d, "events").select("event_id", shown.alias("wire"), F.unix_micros(instant).alias("micros"))
+
+
+@query(
+    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://)(?:[^\s"''<>/?#@]*@)?([^\s"''<>?#]*)[^\s"''<>]*', '\1\2', 'g'),
+  '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'),
+  '(?i)(api[_-]?key|apikey|token|authorization|x-api-key|x-finnhub-token)(?:["'']?\s*[=:]\s*["'']?)([^\s,&;"''}]+)', '\1=[REDACTED]', 'g')) AS redacted FROM documents"""
+)
+def redacted_text(spark, d):
+    return _read(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_full_match(t, '[A-Z0-9][A-Z0-9.^/_-]{0,19}') THEN t ELSE '' END AS ticker FROM (SELECT p_partkey, regexp_replace(upper(trim('$' || p_brand)), '^\\$+', '') AS t FROM part)")
+def ticker_normalized(spark, d):
+    return _read(spark, d, "part").select("p_partkey", text.normalize_ticker(F.concat(F.lit("$"), F.col("p_brand"))).alias("ticker"))
+
+
+# Entity resolution.
+
+_DOCS = "t AS (SELECT doc_id, source, left(text, 80) AS title FROM documents)"
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 80).alias("title"))
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL.format('title')}) AS first_id FROM t")
+def exact_dedup(spark, d):
+    rows = _titles(spark, d).select("doc_id", text.normalize_title(F.col("title")).alias("k"))
+    return rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k").select("doc_id", "first_id")
+
+
+@query(f"""WITH {_PAGES}, n AS (SELECT page_id, {_NORMAL.format('title')} AS t FROM p),
+k AS (SELECT page_id, t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM n WHERE t <> ''),
+q AS (SELECT *, list_sort(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Nd}}+'))) AS nums FROM k)
+SELECT a.page_id, b.page_id AS prior FROM q a JOIN q b ON b.page_id < a.page_id AND a.nums = b.nums
+WHERE a.t = b.t OR 25 * len(list_intersect(a.w, b.w)) >= 23 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
+def near_dup_pairs(spark, d):
+    rows = _pages(spark, d).select(F.col("page_id").alias("pos"), F.lit("day").alias("bucket"), text.normalize_title(F.col("title")).alias("title"))
+    return dedup.similar_pairs(rows, ratio=False).select(F.col("pos").alias("page_id"), "prior")
+
+
+@query()
+def greedy_dedup(spark, d):
+    """The canonical page of every page. Tests hold it against a sequential model of the rule."""
+    pages = _pages(spark, d)
+    items = dedup.keyed(pages, F.col("page_id"), F.col("title"), F.col("url"), F.lit(None).cast("string"))
+    return dedup.greedy(items).select(F.col("pos").alias("page_id"), "canonical", "matched")
+
+
+@query(f"""WITH {_DOCS}, c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 30)
+SELECT doc_id, source FROM c QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1""")
+def feed_cap_first_seen(spark, d):
+    kept = feeds.capped(_titles(spark, d), 30, "source", "doc_id")
+    return feeds.first_seen(kept, "title", "doc_id").select("doc_id", "source")
+
+
+@query("""WITH f AS (SELECT user_id, upper(event_type) AS t, min(event_id) AS o FROM events GROUP BY 1, 2)
+SELECT user_id, string_agg(t, ',' ORDER BY o) AS tickers FROM f GROUP BY 1""")
+def ticker_merge(spark, d):
+    lists = _read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    own = text.ticker_list(F.transform("e", lambda x: x["event_type"]))
+    return lists.select("user_id", F.array_join(text.merge_tickers(F.array().cast("array<string>"), own), ",").alias("tickers"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def observation_insert_or_ignore(spark, d):
+    return dedup.first_seen(_read(spark, d, "events").withColumn("k", F.concat_ws("|", "user_id", "event_type")), "k", "event_id").select("user_id", "event_type", "event_id")
+
+
+# Calendar.
+
+_CASE = "CASE o_custkey % 10 WHEN 0 THEN 'usd' WHEN 1 THEN 'EUR' WHEN 2 THEN 'gbp' WHEN 3 THEN 'JPY' WHEN 4 THEN 'CNY' WHEN 5 THEN 'AUD' WHEN 6 THEN 'CAD' WHEN 7 THEN 'CHF' WHEN 8 THEN 'NZD' ELSE 'SEK' END"
+_PRIORITY = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'High' WHEN '2' THEN 'medium' WHEN '3' THEN 'low' WHEN '4' THEN 'holiday' ELSE 'none' END"
+_MAP = lambda labels, c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {c} END"
+_CALENDAR = f"""raw AS (SELECT o_orderkey, date_diff('week', DATE '1970-01-05', date_trunc('week', o_orderdate)::DATE)::BIGINT AS week, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS date, upper({_CASE}) AS country_code,
+  lower({_PRIORITY}) AS impact, CASE WHEN o_orderstatus = 'F' THEN '1.5%' ELSE '' END AS actual FROM orders),
+cal AS (SELECT o_orderkey, week, date, country_code, {_MAP(calendar.COUNTRIES, 'country_code')} AS country, impact, {_MAP(calendar.IMPACTS, 'impact')} AS impact_zh, actual FROM raw
+  WHERE country_code IN ('{"', '".join(calendar.MAJORS)}') AND (impact IN ('high', 'medium') OR actual <> ''))"""
+
+
+def _calendar(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised events of orders; a week's are a snapshot, named by the order key in the title."""
+    raw = _read(spark, d, "orders").select(
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("date"), F.col("o_orderkey").cast("string").alias("title"), F.expr(_CASE).alias("country"),
+        F.expr(_PRIORITY).alias("impact"), F.lit("").alias("forecast"), F.lit("").alias("previous"), F.when(F.col("o_orderstatus") == "F", "1.5%").otherwise("").alias("actual"),
+    )
+    week = F.floor(F.datediff(F.to_date(F.substring("date", 1, 10)), F.lit("1970-01-05")) / 7).cast("long")
+    return calendar.normalized(raw).withColumns({"week": week, "o_orderkey": F.col("title").cast("long")})
+
+
+@query(f"WITH {_CALENDAR} SELECT o_orderkey, country_code, country, impact, impact_zh, actual FROM cal")
+def calendar_normalized(spark, d):
+    return _calendar(spark, d).select("o_orderkey", "country_code", "country", "impact", "impact_zh", "actual")
+
+
+@query(f"WITH {_CALENDAR} SELECT week, o_orderkey, row_number() OVER (PARTITION BY week ORDER BY date, o_orderkey)::BIGINT AS ordinal FROM cal")
+def calendar_snapshot(spark, d):
+    order = Window.partitionBy("week").orderBy("date", "o_orderkey")
+    return _calendar(spark, d).select("week", "o_orderkey", F.row_number().over(order).cast("long").alias("ordinal"))
+
+
+@query(f"WITH {_CALENDAR}, o AS (SELECT week, o_orderkey, row_number() OVER (PARTITION BY week ORDER BY date, o_orderkey)::BIGINT AS ordinal FROM cal) SELECT * FROM o WHERE week = (SELECT max(week) FROM o) AND ordinal > 2 ORDER BY ordinal LIMIT 11")
+def calendar_page(spark, d):
+    rows = calendar_snapshot(spark, d)
+    last = rows.agg(F.coalesce(F.max("week"), F.lit(0))).first()[0]
+    return calendar.event_page(rows.withColumnRenamed("week", "snapshot_sequence"), last, 2, 10).withColumnRenamed("snapshot_sequence", "week")
+
+
+@query(f"WITH {_CALENDAR} SELECT o_orderkey, sha256(date || chr(10) || country_code || chr(10) || o_orderkey) AS event_id FROM cal")
+def calendar_event_ids(spark, d):
+    return _calendar(spark, d).select("o_orderkey", hashes.calendar_event_id(F.col("date"), F.col("country_code"), F.col("title")).alias("event_id"))
+
+
+_SNAPS = "s AS (SELECT (event_id + 1) AS snapshot_sequence, ts AS available_at FROM events WHERE event_type = 'view')"
+
+
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "events").where("event_type = 'view'").select((F.col("event_id") + 1).alias("snapshot_sequence"), F.col("ts").alias("available_at"))
+
+
+@query(f"WITH {_SNAPS} SELECT snapshot_sequence, available_at > TIMESTAMP '{AFTER}' AS has_changes FROM s WHERE {_IN} ORDER BY snapshot_sequence DESC LIMIT 1")
+def calendar_has_changes(spark, d):
+    return calendar.latest_snapshot(_snapshots(spark, d), _at(AS_OF), _at(AFTER)).select("snapshot_sequence", "has_changes")
+
+
+# Retention and backfill.
+
+
+@query(f"WITH {_SNAPS} SELECT snapshot_sequence FROM s WHERE available_at >= TIMESTAMP '{AS_OF}' OR snapshot_sequence = (SELECT coalesce(max(snapshot_sequence), 0) FROM s)")
+def snapshot_retention(spark, d):
+    return retention.kept_snapshots(_snapshots(spark, d), _at(AS_OF)).select("snapshot_sequence")
+
+
+_GONE = """gone AS (SELECT o_orderkey AS news_id, o_orderdate FROM orders o WHERE o_orderdate < TIMESTAMP '1997-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')
+  AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = o.o_orderkey) ORDER BY o_orderdate, o_orderkey LIMIT 500)"""
+
+
+def _expired(spark: SparkSession, d: str) -> DataFrame:
+    entities = _read(spark, d, "orders").select(F.col("o_orderkey").alias("news_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("effective_at"))
+    protectors = [(_read(spark, d, "lineitem").where("l_returnflag = 'R'"), "l_orderkey"), (_read(spark, d, "events"), "user_id")]
+    return retention.candidates(entities, _at("1997-01-01 00:00:00"), protectors)
+
+
+@query(f"WITH {_GONE} SELECT news_id FROM gone")
+def retention_candidates(spark, d):
+    return _expired(spark, d).select("news_id")
+
+
+@query(f"WITH {_GONE} SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT news_id FROM gone) GROUP BY 1")
+def cascade_delete(spark, d):
+    rest = retention.cascaded(_read(spark, d, "lineitem"), "l_orderkey", _expired(spark, d), "news_id")
+    return rest.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def backfill_missing(spark, d):
+    return retention.missing(_read(spark, d, "customer"), _read(spark, d, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("WITH gone AS (SELECT user_id, max(event_id) + 1 AS s FROM events GROUP BY 1 HAVING max_by(event_type, event_id) = 'error') SELECT user_id AS news_id, 'delete' AS operation, s AS replaced FROM gone")
+def tombstones(spark, d):
+    dead = changes.state_as_of(_log(spark, d)).where("operation = 'delete'")
+    return retention.tombstones(dead.withColumnRenamed("change_sequence", "replaced"), _at(AS_OF)).select("news_id", "operation", "replaced")
+
+
+# Source health.
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN 'disabled' WHEN s_nationkey % 7 = 0 THEN 'not_configured' WHEN s_acctbal < 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'degraded' ELSE 'unavailable' END
+WHEN s_acctbal > 9000 THEN 'degraded' ELSE 'ok' END AS status FROM supplier""")
+def health_status(spark, d):
+    c, lit = F.col, F.lit
+    success = F.when(c("s_suppkey") % 2 == 0, lit("2024-01-01"))
+    return _read(spark, d, "supplier").select("s_suppkey", health.status(c("s_nationkey") % 5 != 0, c("s_nationkey") % 7 != 0, c("s_acctbal") >= 0, c("s_acctbal") <= 9000, success).alias("status"))
+
+
+@query("SELECT event_type AS source, max(event_id)::BIGINT AS version, max_by(user_id, event_id) AS last_user FROM events GROUP BY 1")
+def health_latest(spark, d):
+    log = _read(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("last_user"), F.col("event_id").alias("version"))
+    return health.latest(log).select("source", "version", "last_user")
+
+
+@query("SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS data_through FROM events")
+def health_data_through(spark, d):
+    log = _read(spark, d, "events").select(F.col("event_type").alias("source"), F.col("ts").alias("data_through"), F.col("event_id").alias("version"))
+    return health.data_through(log).select(F.date_format("data_through", "yyyy-MM-dd HH:mm:ss").alias("data_through"))
+
+
+@query("SELECT user_id, least(21600, greatest(60, floor(300 * power(2, least(count(*), 6)) * 0.85)))::BIGINT AS delay FROM events WHERE event_type = 'error' GROUP BY 1")
+def health_backoff(spark, d):
+    failures = _read(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("failures"))
+    return failures.select("user_id", health.backoff_seconds(F.lit(300), F.col("failures"), F.lit(0.85)).alias("delay"))
+
+
+@query(f"""WITH {_DOCS}, m AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM t)
+SELECT source, count(*)::BIGINT AS raw, count(*) FILTER (doc_id = f)::BIGINT AS inserted, count(*) FILTER (doc_id <> f)::BIGINT AS duplicates FROM m GROUP BY ROLLUP (source)""")
+def ingest_counters(spark, d):
+    rows = _titles(spark, d)
+    first = rows.groupBy("title").agg(F.min("doc_id").alias("f"))
+    matched = rows.join(first, "title").select("source", F.when(F.col("doc_id") != F.col("f"), F.lit("title")).alias("matched"))
+    return health.counters(matched)
+
+
+@query("SELECT event_type AS source, count(DISTINCT user_id)::BIGINT AS keys, count(*)::BIGINT AS observations FROM events GROUP BY 1")
+def source_distinct_counts(spark, d):
+    return _observations(spark, d).groupBy("source").agg(F.countDistinct("canonical_news_id").alias("keys"), F.count("*").alias("observations"))
