@@ -1,0 +1,108 @@
+"""The Jaccard join against brute force over families of near copies with every amount of edits."""
+
+import random
+
+import numpy as np
+import pytest
+
+from tidemark.llm import jaccard
+from tidemark.llm.graph import components
+
+
+def family(rng, base, n, most):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(0, most)):
+            i = rng.randrange(len(words))
+            kind = rng.random()
+            words[i : i + 1] = [f"n{rng.randrange(10**6)}"] if kind < 0.5 else [] if kind < 0.75 and len(words) > 3 else [words[i], f"n{rng.randrange(10**6)}"]
+        out.append(" ".join(words))
+    return out
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    texts = [None, "", " \n ", "one", "One", "one two", "ONE two", "one two three", "é a b c", "É a b c"] * 2
+    for size in (4, 9, 12, 18, 25, 40, 70, 120, 300):
+        base = [f"w{rng.randrange(400)}" for _ in range(size)]
+        texts += family(rng, base, 24, max(1, size // 12))
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts += [passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    texts += ["the same text that many rows repeat word for word and more of it"] * 60
+    rng.shuffle(texts)
+    return texts
+
+
+def brute(texts, width, percent):
+    hashes = jaccard.WordHashes()
+    sets = [set(jaccard.shingles(t, width, hashes).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [len(s) for s in sets], [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 90, 512), (5, 80, 8)])
+def test_components(spark, monkeypatch, width, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = corpus(width)
+    docs = spark.createDataFrame([(i, t, 7, 1) for i, t in enumerate(texts)], "doc_id long, text string, n long, rep int").repartition(3)
+    got = {r.doc_id: r for r in jaccard.similarity_classes(docs, width, percent).collect()}
+    sizes, roots = brute(texts, width, percent)
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].component_id for i in range(len(texts))] == roots
+    kept = jaccard.drop_near_copies(docs, width, percent)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
+
+
+def test_odd_tables(spark):
+    schema = "doc_id long, text string"
+    assert jaccard.similarity_classes(spark.createDataFrame([], schema)).count() == 0
+    one = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (6, None)], schema)
+    rows = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similarity_classes(one).collect())
+    assert rows == [("5", 2, "5"), ("5", 2, "5"), ("6", 0, "6"), ("None", 2, "None")]
+
+
+def test_bitmaps_bound_overlap():
+    rng = np.random.default_rng(1)
+    for n in (5, 60, 900):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (1.0, 0.95, 0.9, 0.8):
+            b = np.unique(np.concatenate((a[: int(len(a) * share)], rng.integers(0, 1 << 63, int(n * (1 - share)) + 1).astype(np.uint64))))
+            x, y = jaccard.bitmap(a), jaccard.bitmap(b)
+            size = min(len(x), len(y))
+            for percent in (80, 90):
+                may = jaccard.may_link(jaccard.folded(x, size), len(a), jaccard.folded(y, size)[None, :], np.array([len(b)]), percent)[0]
+                assert may or not jaccard.similar(a, b, percent)
+
+
+def test_similar_sets_share_a_tile():
+    rng = np.random.default_rng(2)
+    for percent in (80, 90):
+        bands = jaccard.Bands(percent)
+        for n in [*range(1, 60), 150, 400, 1500]:
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+                gone = rng.integers(0, max(1, n // 8) + 1)
+                b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, rng.integers(0, max(1, n // 8) + 1)).astype(np.uint64))))
+                if jaccard.similar(a, b, percent) and not np.array_equal(a, b):
+                    assert np.intersect1d(jaccard.tile_keys(a, bands), jaccard.tile_keys(b, bands)).size
+
+
+def test_graph(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (6, 6), (10, 11), (11, 10)] + [(100, 100 + i) for i in range(1, 50)] + [(200 + i, 201 + i) for i in range(60)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 10: 10, 11: 10} | {100 + i: 100 for i in range(50)} | {200 + i: 200 for i in range(61)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -30,17 +30,28 @@ START, WORD, NUM, PUNCT, SP1, WS1, SP2, WS2, Q, Q_RV, Q_L, DONE = range(12)
 HERE, BEFORE = 1, 2  # a piece opens at this character; at the one before
 
 
-@lru_cache(1)
-def class_table() -> np.ndarray:
-    """Class of every code point."""
+@lru_cache(2)
+def class_table(path: str) -> np.ndarray:
+    """Class of every code point to the tokenizer in ``path``.
+
+    Libraries know different versions of Unicode. Where Python's table has no category for a point that the
+    pattern library has one for, the tokenizer itself is asked what the point joins with.
+    """
+    import unicodedata
+
     import regex
+    from tokenizers import Tokenizer
 
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
     out = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for pattern, kind in ((r"\p{White_Space}+", WHITE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
         for m in regex.finditer(pattern, every):
             out[ord(m[0][0]) : ord(m[0][-1]) + 1] = kind
     out[0xD800:0xE000] = OTHER
+    for point in np.flatnonzero((out == LETTER) | (out == NUMBER)).tolist():
+        if unicodedata.category(char := chr(point)) == "Cn":
+            out[point] = next((k for k, near in ((LETTER, "a"), (NUMBER, "1")) if len(split(near + char)) == 1), OTHER)
     for chars, kind in ((" ", SPACE), ("'", QUOTE), ("stmd", END1), ("rv", R_OR_V), ("l", L_), ("e", E_)):
         out[[ord(c) for c in chars]] = kind
     return out
@@ -120,11 +131,11 @@ def transduce(codes: np.ndarray, first: np.ndarray, step: np.ndarray, note: np.n
     return marks, after
 
 
-def piece_starts(texts: list[str]) -> list[np.ndarray]:
-    """Offsets at which the pieces of each text start (nonempty texts)."""
+def piece_starts(texts: list[str], classes: np.ndarray) -> list[np.ndarray]:
+    """Offsets at which the pieces of each text start (nonempty texts); ``classes``: see class_table."""
     points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
     sizes = np.array([len(p) for p in points])
-    codes = class_table()[np.concatenate(points)].astype(np.int64)
+    codes = classes[np.concatenate(points)].astype(np.int64)
     first = np.cumsum(sizes) - sizes
     marks, after = transduce(codes, first, *splitter())
     opens = (marks & HERE).astype(bool)
@@ -145,7 +156,7 @@ class PieceCounts(dict):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
+        self.model, self.classes = tokenizer.model, class_table(path)
         with open(path) as f:
             spec = json.load(f)
         split, model = spec["pre_tokenizer"] or {}, spec["model"]
@@ -182,7 +193,7 @@ def count_texts(texts: list[str | None], counts: PieceCounts) -> list[int]:
                 parts.append(part)
                 owner.append(i)
     if parts:
-        for i, text, at in zip(owner, parts, piece_starts(parts)):
+        for i, text, at in zip(owner, parts, piece_starts(parts, counts.classes)):
             at = at.tolist()
             total[i] += sum(map(counts.__getitem__, [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]))
     return total
