@@ -1,0 +1,97 @@
+"""Column functions against small Python models of the same rules."""
+
+import hashlib
+import html
+import random
+import re
+from difflib import SequenceMatcher
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import hashes, text, times, urls
+
+URLS = [
+    "https://Example.com:443//a//b?utm_source=x&b=2&a=1#frag", "http://user:pw@host.example:80/p?fbclid=1", "http://h.example:8080?q=a+b&q=%7E*&empty=", "ftp://x/y", " not a url ", "", None,
+    "https://h.example/p/?z=1&Z=2&UTM_x=3&ref_src=4&a=%C3%A9", "HTTP://H.example", "https://h.example/a?=v&k", "https:///nohost",
+]
+TITLES = ["Fed cuts rates 2.5%!", "  fed CUTS rates 2.5 ", "", None, "É clair — x_1 東京", "...", "A\tB\nC", "Nvidia beats estimates, shares up 5%"]
+
+
+def one(spark, values, column, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r.o for r in df.select("i", column(F.col("v")).alias("o")).orderBy("i").collect()]
+
+
+def url_model(url):
+    url = (url or "").strip()
+    parts = urlsplit(url)
+    if parts.scheme not in ("http", "https") or not parts.hostname:
+        return url
+    host = parts.hostname.lower()
+    if parts.port and (parts.scheme, parts.port) not in (("http", 80), ("https", 443)):
+        host = f"{host}:{parts.port}"
+    query = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not (k.lower().startswith("utm_") or k.lower() in urls.TRACKING_KEYS))
+    return urlunsplit((parts.scheme, host, re.sub("/{2,}", "/", parts.path or "/"), urlencode(query), ""))
+
+
+def test_urls(spark):
+    assert one(spark, URLS, urls.normalize_url) == [url_model(u) for u in URLS]
+    pages = [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()]
+    assert one(spark, pages, urls.normalize_url) == [url_model(u) for u in pages]
+    assert one(spark, ["https://u:p@h.example:81/a?k=1#x", "/only/path?x", ""], text.safe_url) == ["https://h.example:81/a", "/only/path", "<unknown-endpoint>"]
+
+
+def test_titles(spark):
+    model = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", t.lower().strip())).strip()
+    assert one(spark, TITLES, text.normalize_title) == [None if t is None else model(t) for t in TITLES]
+    dirty = ["a&amp;b &nbsp; c​d", "  ", None, "&lt;x&gt; &#233; &eacute;"]
+    clean = lambda v: " ".join(re.sub("[​‌‍﻿]", "", html.unescape(v)).split()) if v else v
+    assert one(spark, dirty, text.clean_text) == [clean(v) or None if v is not None else None for v in dirty]
+    assert one(spark, ["a 12 b 3 12", "x", "2 5"], text.title_numbers) == ["12 3", "", "2 5"]
+    df = spark.createDataFrame([("tide", "diet"), ("diet", "tide"), ("same", "same")], "a string, b string")
+    got = [r.r for r in df.select(text.sequence_ratio("a", "b").alias("r")).collect()]
+    assert got == [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in (("tide", "diet"), ("diet", "tide"), ("same", "same"))]
+
+
+def test_tickers(spark):
+    assert one(spark, [" $aapl", "$$brk.b", "", None, "-X", "A" * 21, "a/b^c"], text.normalize_ticker) == ["AAPL", "BRK.B", "", "", "", "", "A/B^C"]
+    lists = [["nvda", "$NVDA", "amd", "bad ticker"], None, [f"t{i}" for i in range(150)]]
+    got = one(spark, lists, text.ticker_list, "array<string>")
+    assert got[:2] == [["NVDA", "AMD"], []] and len(got[2]) == 100
+    assert one(spark, ['["A","B"]', "nope", None, '{"a":1}'], text.read_tickers) == [["A", "B"], [], [], []]
+
+
+def test_times(spark):
+    values = ["2026-07-15T00:01:00Z", "2026-07-15T00:01:00.5+02:00", "2026-07-15T00:01:00", "2026-07-15", "sometime", None, "2026-07-15 23:30:00-0500"]
+    wire = one(spark, values, lambda c: times.utc_text(times.parse_utc(c)))
+    assert wire == ["2026-07-15T00:01:00Z", "2026-07-14T22:01:00.500000Z", None, None, None, None, "2026-07-16T04:30:00Z"]
+    days = one(spark, [*values, "2025-01-02 junk", ""], times.day_bucket)
+    assert days == ["2026-07-15", "2026-07-14", "2026-07-15", "2026-07-15", "unknown", "unknown", "2026-07-16", "2025-01-02", "unknown"]
+    feed = one(spark, ["Tue, 15 Jul 2025 10:00:00 +0200", "15 Jul 2025 10:00:00 GMT", "junk"], lambda c: times.utc_text(times.feed_date(c)))
+    assert feed == ["2025-07-15T08:00:00Z", "2025-07-15T10:00:00Z", None]
+
+
+def test_hashes(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [("A Title!", "https://h.example/x?utm_a=1", "2026-07-15T01:00:00Z"), ("A Title!", "https://h.example/x?utm_a=1", None), ("A Title!", "", None), ("", "https://h.example/x", None), ("", "", None)]
+    df = spark.createDataFrame(rows, "t string, u string, p string")
+    got = [tuple(r) for r in df.select(hashes.content_hash(F.col("t"), F.col("u"), F.col("p")), hashes.legacy_hash(F.col("t"), F.col("u"))).collect()]
+    content = ["title:a title|day:2026-07-15", "title:a title|url:https://h.example/x", "title:a title|day:unknown", "url:https://h.example/x", ""]
+    legacy = ["a title", "a title", "a title", "https://h.example/x", ""]
+    assert got == [(sha(a), sha(b)) for a, b in zip(content, legacy)]
+
+
+def test_redaction(spark):
+    dirty = ["see https://u:p@h.example/a?token=abc#x now", "Authorization: Bearer abc.def", 'api_key="s3cret", x', "my password1 here"]
+    got = one(spark, dirty, lambda c: text.redact(c, ("password1",)))
+    assert got[0] == "see https://h.example/a now" and "abc.def" not in got[1] and "s3cret" not in got[2] and got[3] == "my [REDACTED] here"
+
+
+def test_jaccard_is_exact(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(12)]
+    pairs = [(sorted({rng.choice(words) for _ in range(rng.randint(0, 8))}), sorted({rng.choice(words) for _ in range(rng.randint(0, 8))})) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>")
+    got = [r.j for r in df.select(text.jaccard(F.col("a"), F.col("b")).alias("j")).collect()]
+    assert got == [len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0.0 for a, b in pairs]

@@ -75,8 +75,8 @@ def numbered(rows: DataFrame, column: str, first: int, *order: str | Column) ->
         at += sizes[part]
     if not offsets:
         return placed.withColumn(column, F.lit(first).cast("long")).drop("_part", "_row")
-    start = rows.sparkSession.createDataFrame(offsets, "_part int, _at long")
-    return placed.join(F.broadcast(start), "_part").withColumn(column, F.col("_at") + F.col("_row") - 1).drop("_part", "_row", "_at")
+    start = rows.sparkSession.createDataFrame(offsets, "_part int, _begin long")
+    return placed.join(F.broadcast(start), "_part").withColumn(column, F.col("_begin") + F.col("_row") - 1).drop("_part", "_row", "_begin")
 
 
 def new_only(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,8 +52,11 @@ def _whole(table: Mapping, key: str, where: str, low: int, high: int) -> int:
 def load_settings(path: str, environ: Mapping[str, str] | None = None) -> Settings:
     """The settings in a file; keys of sources come from the environment. The sources must be the known ones."""
     environ = os.environ if environ is None else environ
-    with open(path, "rb") as f:
-        root = tomllib.load(f)
+    try:
+        with open(path, "rb") as f:
+            root = tomllib.load(f)
+    except tomllib.TOMLDecodeError as e:
+        raise ConfigurationError(f"not TOML: {e}") from e
     if unknown := sorted(set(root) - {"storage", "calendar", "sources"}):
         raise ConfigurationError(f"unknown setting: {unknown[0]}")
     storage = _table(root, "storage", "storage", {"database_path", "news_retention_days", "change_retention_days", "calendar_snapshot_retention_days", "retention_interval_seconds"})

@@ -67,7 +67,7 @@ def gnews(raw: DataFrame, label: str) -> DataFrame:
 def without_source(title: Column, source: Column) -> Column:
     """``title`` up to the last ` - source`, trimmed; unchanged without one."""
     mark = F.concat(F.lit(" - "), source)
-    after = F.length(F.substring_index(title, mark, -1)) + F.length(mark)
+    after = F.length(F.call_function("substring_index", title, mark, F.lit(-1))) + F.length(mark)
     return F.when(F.contains(title, mark), F.trim(title.substr(F.lit(1), F.length(title) - after))).otherwise(title)
 
 
