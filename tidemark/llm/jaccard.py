@@ -2,16 +2,20 @@
 
 Documents with equal shingle sets are one class, found by a set digest. Class representatives are
 dealt to tiles: a tile belongs to a size band and to one part of the hash range, and its key digests
-the shingles a set has in that part. A band has more parts than two similar sets of its sizes can have
-differing shingles, so that two similar sets agree on at least one part and meet in its tile. (The two
-parts to spare cover parts that are empty on both sides; a set with more empty parts than that also
-takes the tiles of its prefix in hash order, where two similar sets always share a shingle.)
-
-Inside tiles not all pairs are made. Each tile is first compared with one centre, the member that
-meets most others; what is then in one component needs no more pairs, and only members outside the
-tile's largest component go on, in blocks, against the rest. Before sets are intersected exactly,
-bitmaps bound the overlap: a bit that only one side has stands for a shingle that only that side has.
-Tiles with equal members are compared once. No link between different sets is lost.
+the shingles a set has in that part. A band has SPARE more parts than two similar sets of its sizes can
+have differing shingles, so two similar sets agree on SPARE parts at least. Parts that are empty on both
+sides make no tile; a set with more than SPARE - AGREE empty parts also takes the tiles of its prefix in
+hash order, where two similar sets always share a shingle. So similar sets meet in AGREE tiles of parts of
+one band, or in a tile of a prefix.
+
+Shared passages make some tiles popular among sets that are not similar. Each set leaves its DROP most
+popular tiles of a band: of the tiles that two sets share, both keep all but DROP. Tiles of a few members
+deal their pairs, which are counted: those that meet in fewer than AGREE - DROP go. In larger tiles not
+all pairs are made. Each is first compared with one centre, the member that meets most others;
+what is then in one component needs no more pairs, and only members outside the tile's largest component
+go on, in blocks, against the rest of the centre's tiles. Before sets are intersected exactly, bitmaps bound the overlap: a bit
+that only one side has stands for a shingle that only that side has. Tiles with equal members are
+compared once. No link between different sets is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ BROADCAST_IDS = 1_000_000
 #: Members of a tile that one task compares at once, on either side.
 BLOCK = 512
 BITS_PER_SHINGLE = 8
+#: Parts that similar sets agree on at least; how many of them make tiles; how many popular ones a set leaves.
+SPARE, AGREE, DROP = 16, 8, 4
+#: Members up to which a tile deals its pairs: (SMALL - 1) / 2 a member at most.
+SMALL = 8
 
 _M = [np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S = [np.array([x], np.uint64) for x in (31, 29, 32)]
@@ -40,14 +48,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept up to a bounded number."""
+    """64-bit hashes of words; the first 200,000 words are kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 200_000:
+            self[word] = value
         return value
 
 
@@ -86,10 +94,11 @@ class Bands:
     def parts(self, level: int) -> int:
         """0 where only equal sets are similar."""
         differing = 2 * (self.edges[level + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        return differing + 2 if differing else 0
+        return differing + SPARE if differing else 0
 
 
 def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys of the tiles of a set: the last bit is set for those of its prefix, the one before for odd bands."""
     found, n = [], len(h)
     for level in bands.levels(n) if n else []:
         if not (k := bands.parts(level)):
@@ -98,10 +107,10 @@ def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
         filled = np.diff(np.append(start, n)) > 0
         at = np.flatnonzero(filled)
         sums = np.add.reduceat(mix(h + _M[3]), start[at])
-        found.append(mix(sums + at.astype(np.uint64) * _M[2] + np.uint64(level) * _M[1]))
-        if k - len(at) >= 2:
+        found.append(mix(sums + at.astype(np.uint64) * _M[2] + np.uint64(level) * _M[1]) & ~np.uint64(3) | np.uint64(level % 2 * 2))
+        if k - len(at) > SPARE - AGREE:
             prefix = h[: n - -(-bands.percent * n // 100) + 1]
-            found.append(mix(mix(prefix + _M[1]) + np.uint64(level) * _M[3]))
+            found.append(mix(mix(prefix + _M[1]) + np.uint64(level) * _M[3]) & ~np.uint64(3) | np.uint64(level % 2 * 2 + 1))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -161,10 +170,12 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "ba", "bb"), keep, "a long, b long")
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def _exact(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by intersecting sorted arrays; a's rows come together."""
-    a = sets.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    b = sets.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = written(_picked(source, ids).dropDuplicates(["id"]), "texts")
+    a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def keep(cols, state):
         out = {"a": [], "b": []}
@@ -179,6 +190,14 @@ def _exact(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataF
     return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb"), keep, "a long, b long", lambda: {"words": WordHashes()})
 
 
+def _small_pairs(met: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(a, b) that meet in AGREE - DROP small tiles of parts or in a small tile of a prefix."""
+    members = met.join(tiles, "key").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("r"), F.first("times").alias("times"))
+    pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    weight = F.when(F.col("key") % 2 != 0, AGREE - DROP).otherwise(F.col("times")).cast("long")
+    return members.select(weight.alias("w"), F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("w")).where(F.col("w") >= AGREE - DROP).select("a", "b")
+
+
 def _centre_pairs(tiles: DataFrame) -> DataFrame:
     """(a, b): every member of a tile with the tile's centre, the member that meets most others."""
     score = tiles.groupBy("rep").agg(F.sum(F.col("m") * F.col("times")).alias("score"))
@@ -187,10 +206,10 @@ def _centre_pairs(tiles: DataFrame) -> DataFrame:
 
 
 def _block_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) between a tile's members that are in different components and that the bitmaps leave.
+    """(a, b) between a group's members that are in different components and that the bitmaps leave.
 
-    ``members(key, rep, component)``. Members outside a tile's largest component meet all members, both
-    in blocks: a task holds 2 * BLOCK members on average, whatever the tile's size.
+    ``members(key, rep, component)``. Members outside a group's largest component meet all members, both
+    in blocks: a task holds 2 * BLOCK members on average, whatever the group's size.
     """
     by = members.groupBy("key", "component").agg(F.count("*").alias("m"))
     per = by.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top"))
@@ -259,28 +278,31 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
     reps = _picked(source, classes.select(F.col("rep").alias("id"), "d1"))
     signed = map_batches(reps, dealt, "key long, rep long", WordHashes)
     w = Window.partitionBy("key")
-    met = signed.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w)}).where("lo < hi").select("key", "rep")
-    met = written(met.distinct(), "met")
+    met = signed.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w), "popular": F.count("*").over(w)}).where("lo < hi")
+    place = F.row_number().over(Window.partitionBy("rep", F.pmod("key", F.lit(4))).orderBy(F.desc("popular"), "key"))
+    met = written(met.withColumn("place", place).where((F.col("key") % 2 != 0) | (F.col("place") > DROP)).select("key", "rep").distinct(), "met")
 
     # Tiles with the same members are one tile.
-    mark = met.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    one = mark.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times"))
-    tiles = written(_centre_pairs(met.join(one.select("key", "m", "times"), "key")), "tiles")
+    mark = met.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
+    one = written(mark.groupBy((F.col("key") % 2 != 0).alias("prefix"), "m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "m", "times"), "one")
+    small = _small_pairs(met, one.where(F.col("m") <= SMALL).select("key", "times"))
+    tiles = written(_centre_pairs(met.join(one.where(F.col("m") > SMALL), "key")), "tiles")
+    centre = tiles.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    first = written(small.union(centre).distinct(), "pairs")
 
     def drawn(cols, words):
-        return {"rep": cols["id"], "n": cols["n"], "bits": [bitmap(shingles(t, width, words)) for t in cols["text"]], "text": cols["text"]}
+        return {"rep": cols["id"], "n": cols["n"], "bits": [bitmap(shingles(t, width, words)) for t in cols["text"]]}
 
-    wanted = tiles.select("rep").distinct().join(classes.select("rep", "n"), "rep").withColumnRenamed("rep", "id")
-    sets = written(map_batches(_picked(source, wanted).select("id", "n", "text"), drawn, "rep long, n long, bits binary, text string", WordHashes), "sets")
-    if sets.count() > wanted.count():  # rows of a document that came twice
-        sets = written(sets.dropDuplicates(["rep"]), "sets")
+    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).union(tiles.select("rep")).distinct().join(classes.select("rep", "n"), "rep").withColumnRenamed("rep", "id")
+    sets = written(map_batches(_picked(source, wanted).select("id", "n", "text"), drawn, "rep long, n long, bits binary", WordHashes).dropDuplicates(["rep"]), "sets")
 
-    first = tiles.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_exact(_bounded(first, sets, percent), sets, width, percent), "links")
+    links = written(_exact(written(_bounded(first, sets, percent), "bounded"), source, width, percent), "links")
     labels = components(links)
-    # The centre has met every member of its tile; what is left are the others, where they differ in component.
-    rest = tiles.where("rep <> centre AND m > 2").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    more = written(_exact(_block_pairs(rest, sets, percent), sets, width, percent), "links")
+    # The centre has met every member of its tiles; what is left are the others, where they differ in component.
+    # A centre's tiles overlap, so their members are compared together, each once.
+    rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
+    rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    more = written(_exact(written(_block_pairs(rest, sets, percent), "bounded"), source, width, percent), "links")
     labels = written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "labels")
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
