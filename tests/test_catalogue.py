@@ -1,11 +1,13 @@
 """Every registered query of the feed engine against its SQL counterpart."""
 
+import os
+
 import duckdb
 import pytest
 
 from tidemark.plans.catalogue import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("CATALOGUE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
