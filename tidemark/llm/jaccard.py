@@ -323,3 +323,16 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: st
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.doc_id)
+SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id, coalesce((SELECT min(a) FROM l WHERE l.b = n.doc_id AND same), n.doc_id) AS class_id
+FROM n JOIN r USING (doc_id) GROUP BY 1, 2
+"""

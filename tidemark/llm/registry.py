@@ -16,4 +16,4 @@ QUERIES = {
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_html_text": extraction.op10_html_text,
 }
-ORACLES = {"op3_quality_rules": quality.OP3_SQL}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op7_jaccard_join": jaccard.OP7_SQL}
