@@ -30,7 +30,7 @@ from tidemark.llm.graph import components
 #: Rows up to which a list of document ids is broadcast (about 16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Members of a tile that one task compares at once, on either side.
-BLOCK = 512
+BLOCK = 2048
 BITS_PER_SHINGLE = 8
 #: Parts that similar sets agree on at least; how many of them make tiles; how many popular ones a set leaves.
 SPARE, AGREE, DROP = 16, 8, 4

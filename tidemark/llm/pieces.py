@@ -11,7 +11,6 @@ no scores. Characters outside the table are spelled in byte pieces.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +22,7 @@ from tidemark.llm.jaccard import mix
 
 SPACE = "▁"
 #: Distinct words whose pieces a task keeps.
-CACHE = 300_000
+CACHE = 120_000
 #: Ids from here on are characters that are no piece.
 UNKNOWN = 1 << 20
 
@@ -43,15 +42,15 @@ class Hashes:
 
 
 class Known(dict):
-    """A function's values, kept up to a bounded number."""
+    """A function's values; the first 200,000 are kept."""
 
     def __init__(self, function):
         self.function = function
 
     def __missing__(self, key: int) -> bool:
-        if len(self) >= 500_000:
-            self.clear()
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(self) < 200_000:
+            self[key] = value
         return value
 
 
@@ -81,12 +80,7 @@ class PieceTable:
         scores = sorted({model.get_score(i) for i in kept}, reverse=True)
         place = {s: n for n, s in enumerate(scores)}
         self.rank = {self.pieces[i]: place[model.get_score(i)] for i in kept}
-        of_byte = {i: int(self.pieces[i][1:-1], 16) for i in range(model.vocab_size()) if model.is_byte(i)}
-        self.byte_ids = {b: i for i, b in of_byte.items()}
-        spelt = [bytes((of_byte[i],)) if i in of_byte else p.replace(SPACE, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
-        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
-        self.spelt_size = np.array([len(b) for b in spelt])
-        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
+        self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         #: Pieces of two or more characters that their own merges reach, by length: sorted hashes and ids.
@@ -97,11 +91,11 @@ class PieceTable:
         for piece in alone:
             heads[piece[:2]] = max(len(piece), heads.get(piece[:2], 0))
         self.heads = self._sorted(heads)
-        self.chars = np.arange(0x110000, dtype=np.int64) + UNKNOWN
+        self.chars = np.arange(UNKNOWN, UNKNOWN + 0x110000, dtype=np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
-        letters = sorted({c for p in self.ids for c in p})
+        letters = sorted({c for p in self.ids if len(p) > 1 for c in p})
         self.letter = np.zeros(0x110000, np.uint16)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.bridged = np.zeros((len(letters) + 1, len(letters) + 1), bool)
@@ -248,12 +242,32 @@ class PieceTable:
         spelt = lambda ids: [b for i in ids for b in ([i] if i < UNKNOWN else [self.byte_ids[x] for x in chr(i - UNKNOWN).encode()])]
         return [spelt(out[w]) if max(out[w]) >= UNKNOWN else out[w] for w in words]
 
+
+class Spelling:
+    """The bytes of every piece, laid end to end: all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+        def spelt(i: int) -> bytes:
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                return bytes((int(piece[1:-1], 16),))
+            return b"" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else piece.replace(SPACE, " ").encode()
+
+        every = [spelt(i) for i in range(model.vocab_size())]
+        self.spelt = np.frombuffer(b"".join(every), np.uint8)
+        self.size = np.array([len(b) for b in every])
+        self.at = np.cumsum(self.size) - self.size
+
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """The texts of arrays of ids laid end to end: pieces joined, byte pieces as UTF-8, marks as spaces,
         without the first one."""
-        length = self.spelt_size[ids]
+        length = self.size[ids]
         ends = np.cumsum(length)
-        first = self.spelt_at[ids] - (ends - length)
+        first = self.at[ids] - (ends - length)
         body = self.spelt[np.repeat(first, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         stops = np.concatenate((np.zeros(1, np.int64), ends))[np.cumsum(sizes)]
         texts = [body[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops.tolist()], stops.tolist())]
@@ -290,14 +304,21 @@ class WordPieces(dict):
         return out
 
 
-@lru_cache(2)
-def word_pieces(path: str | None) -> WordPieces:
-    """One table a Python worker: its caches hold values of functions, so tasks may share them."""
+def _public(path: str | None) -> str:
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("piece_bpe_32k.model")
-    return WordPieces(path)
+    return path
+
+
+def word_pieces(path: str | None) -> WordPieces:
+    """Table and caches of one task: workers stay alive between tasks, and so would what they keep."""
+    return WordPieces(_public(path))
+
+
+def spelling(path: str | None) -> Spelling:
+    return Spelling(_public(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,13 +345,13 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") ->
     def run(batches):
         import pyarrow as pa
 
-        words = word_pieces(path)
+        table = spelling(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 pieces = part.column("pieces")
                 sizes = pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = words.table.decode(pieces.flatten().to_numpy(zero_copy_only=False), sizes)
+                texts = table.decode(pieces.flatten().to_numpy(zero_copy_only=False), sizes)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pieces, pa.array(texts, pa.string())], ["key", "pieces", "text"])
 
     rows = encoded.select(F.col(key).cast("long").alias("key"), "pieces")

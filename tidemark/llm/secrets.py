@@ -9,7 +9,6 @@ size is the alphabet squared, reach the driver.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 
