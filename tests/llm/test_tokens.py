@@ -69,7 +69,7 @@ def test_pieces_equal_the_library():
     got = _ids(words.encode(texts))
     assert got == library.encode(texts)
     flat = np.array([i for ids in got for i in ids], np.int64)
-    assert words.table.decode(flat, np.array([len(ids) for ids in got])) == [t.replace("▁", " ") for t in texts]
+    assert pieces.spelling(PIECES).decode(flat, np.array([len(ids) for ids in got])) == [t.replace("▁", " ") for t in texts]
 
 
 def test_a_small_cache_changes_nothing(monkeypatch):
