@@ -1,0 +1,41 @@
+"""Registered queries that do the whole job where their namesakes' SQL pins a part of it."""
+
+import datetime
+import os
+
+import duckdb
+
+from tidemark.plans.catalogue import ORACLES, QUERIES
+
+
+def _rows(df):
+    return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+
+
+def _oracle(name, d, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    found = con.sql(ORACLES[name])
+    at = [found.columns.index(c) for c in sorted(found.columns)]
+    return sorted(tuple(r[i] for i in at) for r in found.fetchall())
+
+
+def test_change_pages_of_a_long_log(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=2 * i), i % 700, "error" if i % 9 == 0 else "view", 1.0) for i in range(21_000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(2).write.parquet(os.path.join(tmp_path, "events.parquet"))
+    con = duckdb.connect()
+    first = 6482  # the first change after AFTER, beyond the pinned 5000
+    assert con.sql(f"SELECT min(event_id) + 1 FROM read_parquet('{tmp_path}/events.parquet/*.parquet') WHERE ts > TIMESTAMP '2024-01-10'").fetchall()[0][0] == first
+    pages = {name: [r.change_sequence for r in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("changes_page_window_asof", "changes_page_checkpoint_asof", "changes_next_page_asof")}
+    assert pages["changes_page_window_asof"] == list(range(first, first + 51))
+    assert pages["changes_page_checkpoint_asof"] == list(range(first, first + 501))
+    assert pages["changes_next_page_asof"] == list(range(first + 50, first + 101))
+
+
+def test_change_pages_of_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    for name, n in (("changes_page_window_asof", 51), ("changes_page_checkpoint_asof", 501), ("changes_next_page_asof", 51)):
+        rows = _rows(QUERIES[name](spark, d))
+        assert len(rows) == n and rows == _oracle(name, d, ["events"])

@@ -80,6 +80,39 @@ def changes_next_page(spark, d):
     return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER), floor=3500), 50).select(*_ROW)
 
 
+# The same three pages with nothing pinned: the watermark is the log's at AS_OF, the checkpoint its watermark at
+# AFTER, and the floor the last row of the first page.
+
+_MARK = "(SELECT coalesce(max(change_sequence), 0) FROM log WHERE available_at <= TIMESTAMP '{0}')"
+_FRESH = f"FROM log WHERE {_IN} AND available_at > TIMESTAMP '{AFTER}' AND change_sequence <= {_MARK.format(AS_OF)}"
+
+
+def _mark(log: DataFrame, at: str) -> int:
+    return changes.watermark(log, _at(at)).first()[0]
+
+
+def _fresh(log: DataFrame, floor: int = 0) -> DataFrame:
+    return changes.window(log, watermark=_mark(log, AS_OF), as_of=_at(AS_OF), after=_at(AFTER), floor=floor)
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source {_FRESH} ORDER BY 1 LIMIT 51")
+def changes_page_window_asof(spark, d):
+    return changes.page(_fresh(_log(spark, d)), 50).select(*_ROW)
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND change_sequence > {_MARK.format(AFTER)} AND change_sequence <= {_MARK.format(AS_OF)} ORDER BY 1 LIMIT 501")
+def changes_page_checkpoint_asof(spark, d):
+    log = _log(spark, d)
+    return changes.page(changes.window(log, watermark=_mark(log, AS_OF), as_of=_at(AS_OF), after=_at(AFTER), checkpoint=_mark(log, AFTER)), 500).select(*_ROW)
+
+
+@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source {_FRESH} AND change_sequence > (SELECT coalesce(max(change_sequence), 0) FROM (SELECT change_sequence {_FRESH} ORDER BY 1 LIMIT 50)) ORDER BY 1 LIMIT 51")
+def changes_next_page_asof(spark, d):
+    log = _log(spark, d)
+    floor = changes.page(_fresh(log), 49).agg(F.coalesce(F.max("change_sequence"), F.lit(0))).first()[0]  # the 50 rows shown
+    return changes.page(_fresh(log, floor), 50).select(*_ROW)
+
+
 _STATE = f"WITH {LOG} SELECT news_id, change_sequence, operation, source FROM log WHERE {_IN} QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY change_sequence DESC) = 1"
 
 
