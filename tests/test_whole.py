@@ -9,7 +9,7 @@ from tidemark.plans.catalogue import ORACLES, QUERIES
 
 
 def _rows(df):
-    return sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
 
 
 def _oracle(name, d, tables):
@@ -18,7 +18,7 @@ def _oracle(name, d, tables):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
     found = con.sql(ORACLES[name])
     at = [found.columns.index(c) for c in sorted(found.columns)]
-    return sorted(tuple(r[i] for i in at) for r in found.fetchall())
+    return sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=str)
 
 
 def test_change_pages_of_a_long_log(spark, tmp_path):
@@ -39,3 +39,23 @@ def test_change_pages_of_the_tables(spark):
     for name, n in (("changes_page_window_asof", 51), ("changes_page_checkpoint_asof", 501), ("changes_next_page_asof", 51)):
         rows = _rows(QUERIES[name](spark, d))
         assert len(rows) == n and rows == _oracle(name, d, ["events"])
+
+
+TEXT_QUERIES = ("exact_dedup_text", "feed_cap_first_seen_text", "ingest_counters_text")
+
+
+def test_texts_that_differ_after_a_long_opening(spark, tmp_path):
+    opening = "Licensed under the same words as all the others, which go on for more than eighty characters. "
+    rows = [(1, opening + "One.", "a"), (2, opening + "Two.", "a"), (3, opening + "one", "b"), (4, opening + "Two.", "b"), (5, None, "b"), (6, None, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    got = {name: _rows(QUERIES[name](spark, str(tmp_path))) for name in TEXT_QUERIES}
+    assert got["exact_dedup_text"] == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 5)]
+    assert got["feed_cap_first_seen_text"] == [(1, "a"), (2, "a"), (3, "b"), (5, "b")]
+    assert {r.source: (r.raw, r.inserted, r.duplicates) for r in QUERIES["ingest_counters_text"](spark, str(tmp_path)).collect()} == {"a": (2, 2, 0), "b": (4, 2, 2), None: (6, 4, 2)}
+
+
+def test_texts_of_the_tables(spark):
+    d = "/root/testdata/sf0.1"
+    for name in TEXT_QUERIES:
+        assert list(map(str, _rows(QUERIES[name](spark, d)))) == list(map(str, _oracle(name, d, ["documents"]))), name
+    assert len({first for _, first in _rows(QUERIES["exact_dedup_text"](spark, d))}) > 8937  # the prefixes of 80 characters

@@ -287,6 +287,23 @@ def exact_dedup(spark, d):
     return rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k").select("doc_id", "first_id")
 
 
+# Texts that differ only after their first 80 characters are one in _DOCS; the queries named _text compare them whole.
+
+_WHOLE = "t AS (SELECT doc_id, source, sha256(text) AS title FROM documents)"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by the digest of their whole text, so that no text is shuffled."""
+    return _read(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("title"))
+
+
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL.format('text')}) AS first_id FROM documents")
+def exact_dedup_text(spark, d):
+    rows = _read(spark, d, "documents").select("doc_id", F.sha2(text.normalize_title(F.col("text")), 256).alias("k"))
+    first = rows.groupBy("k").agg(F.min("doc_id").alias("first_id"))
+    return rows.join(first, rows["k"].eqNullSafe(first["k"])).select("doc_id", "first_id")
+
+
 @query(f"""WITH {_PAGES}, n AS (SELECT page_id, {_NORMAL.format('title')} AS t FROM p),
 k AS (SELECT page_id, t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM n WHERE t <> ''),
 q AS (SELECT *, list_sort(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Nd}}+'))) AS nums FROM k)
@@ -312,6 +329,13 @@ def feed_cap_first_seen(spark, d):
     return feeds.first_seen(kept, "title", "doc_id").select("doc_id", "source")
 
 
+@query(f"""WITH {_WHOLE}, c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 30)
+SELECT doc_id, source FROM c QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1""")
+def feed_cap_first_seen_text(spark, d):
+    kept = feeds.capped(_texts(spark, d), 30, "source", "doc_id")
+    return feeds.first_seen(kept, "title", "doc_id").select("doc_id", "source")
+
+
 @query("""WITH f AS (SELECT user_id, upper(event_type) AS t, min(event_id) AS o FROM events GROUP BY 1, 2)
 SELECT user_id, string_agg(t, ',' ORDER BY o) AS tickers FROM f GROUP BY 1""")
 def ticker_merge(spark, d):
@@ -459,6 +483,15 @@ def ingest_counters(spark, d):
     return health.counters(matched)
 
 
+@query(f"""WITH {_WHOLE}, m AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM t)
+SELECT source, count(*)::BIGINT AS raw, count(*) FILTER (doc_id = f)::BIGINT AS inserted, count(*) FILTER (doc_id <> f)::BIGINT AS duplicates FROM m GROUP BY ROLLUP (source)""")
+def ingest_counters_text(spark, d):
+    rows = _texts(spark, d)
+    first = rows.groupBy(F.col("title").alias("t")).agg(F.min("doc_id").alias("f"))
+    matched = rows.join(first, rows["title"].eqNullSafe(first["t"])).select("source", F.when(F.col("doc_id") != F.col("f"), F.lit("title")).alias("matched"))
+    return health.counters(matched)
+
+
 @query("SELECT event_type AS source, count(DISTINCT user_id)::BIGINT AS keys, count(*)::BIGINT AS observations FROM events GROUP BY 1")
 def source_distinct_counts(spark, d):
     return _observations(spark, d).groupBy("source").agg(F.countDistinct("canonical_news_id").alias("keys"), F.count("*").alias("observations"))
