@@ -118,12 +118,12 @@ def _dealt(rows: DataFrame, graph, k: int, ratio: float, least: int) -> DataFram
 
 def _blocks(rows: DataFrame, own: str, others: str, sizes: DataFrame) -> DataFrame:
     """Rows with ``own`` block number, once for each block of the other side."""
-    return rows.join(F.broadcast(sizes), "list").select("list", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col(f"n_{own}")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"n_{others}") - 1)).alias(others))
+    return rows.join(F.broadcast(sizes), "list").select("list", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.col(f"n_{own}")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"n_{others}") - 1)).alias(others))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows whose vector has components, all finite and none null, and is not zero."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    """(vec_id, v): rows whose vector has components, all finite and none null, and is not zero; equal rows once."""
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).distinct().select("vec_id", F.col("v").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
@@ -134,17 +134,18 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     query_id, rank (from 1), vec_id, score (the cosine in double precision on the vectors as given), nearest
     first, ties to the smaller vec_id. Vectors that are null, empty or zero, or hold a null or non-finite
     component, take no part; nor do those whose length is not the most frequent one (the smaller on a tie).
-    Rows with one key are one vector's repeats: none is its own query's candidate, and each pair comes once.
-    The centroids are fitted on SAMPLE rows or so, picked by hash; all rows are indexed.
+    Rows with one key are one vector's repeats: none is its own query's candidate, and each pair comes once, with
+    its best score. Equal rows are one before anything is counted, fitted or indexed. The centroids are fitted on
+    SAMPLE of these rows or so, picked by hash; all are indexed.
     """
-    rows = usable(vectors, key, vector)
+    rows = written(usable(vectors, key, vector), "vectors")
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     spark = vectors.sparkSession
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == lengths["d"])
     total = lengths["count"]
-    picked = rows if total <= SAMPLE else rows.where(F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * SAMPLE / total)))
+    picked = rows if total <= SAMPLE else rows.where(F.pmod(F.xxhash64(F.lit(11), "vec_id", "v"), F.lit(1 << 30)) < F.lit(int((1 << 30) * SAMPLE / total)))
     sample = picked.orderBy("vec_id").limit(2 * SAMPLE).toArrow()
     x = _unit(_matrix(sample.column("v")))
     lists = 1 << max(0, min(LISTS, max(1, total // LIST_SIZE), max(1, len(x) // 2)).bit_length() - 1)
@@ -162,15 +163,22 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
         ids, asks = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         found = [], [], []
         if len(ids) and len(asks):
+            by_id = np.argsort(ids, kind="stable")
+            firsts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])
             v, q = _matrix(left.column("v")), _matrix(right.column("v"))
             vn, qn = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
             # The product ranks roughly; all that reach the k-th score but for rounding are scored one way.
             rough = np.where(asks[:, None] == ids[None, :], -np.inf, (q / qn[:, None]) @ (v / vn[:, None]).T)
-            kth = np.partition(rough, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            # The k places are for different ids: of one id's rows only the best one counts.
+            best = rough if len(firsts) == len(ids) else np.maximum.reduceat(rough[:, by_id], firsts, axis=1)
+            kth = np.partition(best, -min(k, len(firsts)), axis=1)[:, -min(k, len(firsts))]
             for i, ask in enumerate(asks):
                 hit = np.flatnonzero((rough[i] >= kth[i] - 1e-9) & np.isfinite(rough[i]))
                 score = (v[hit] * q[i]).sum(axis=1) / (vn[hit] * qn[i])
-                pairs = sorted({(-s, j) for s, j in zip(score.tolist(), ids[hit].tolist())})[:k]
+                own = {}
+                for s, j in zip(score.tolist(), ids[hit].tolist()):
+                    own[j] = max(s, own.get(j, s))
+                pairs = sorted((-s, j) for j, s in own.items())[:k]
                 found[0].extend([ask] * len(pairs))
                 found[1].extend(j for _, j in pairs)
                 found[2].extend(-s for s, _ in pairs)
