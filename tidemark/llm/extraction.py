@@ -22,6 +22,7 @@ from tidemark.llm.common import table
 #: Element names by their role in a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+HIDDEN = {"head", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video"}
 ASIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp"}
 CONTAINER = {"body", "div", "section", "td", "center"}
@@ -40,36 +41,65 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(text)}
 
 
-def aside(name: str, text: str, inside: bool) -> bool:
-    """Whether an element, with the attributes ``text``, holds no article text; ``inside``: within an article."""
-    if name in ASIDE or name == "header" and not inside:
-        return True
+def aside(name: str, text: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(hidden, marked, named) of an element with the attributes ``text``; ``inside``: within an article.
+
+    What is hidden holds no article text, what is marked holds none as a rule; named: some word of its
+    attributes is marked, which an article or main element may have and still not be marked.
+    """
+    marked = name in ASIDE or name == "header" and not inside
     if not text.strip():
-        return False
+        return name in HIDDEN, marked, False
     found = attributes(text)
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if name in ("html", "body") or name in WHOLE and found.get("class", "").lower() not in MARKED:
-        return False
+    hidden = name in HIDDEN or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
     words = {w for k in ("class", "id", "role") for part in found.get(k, "").lower().split() for w in (part, *re.split(r"[-_]+", part))}
-    return bool(words & MARKED) or not inside and bool(words & HEADER)
+    named = bool(words & MARKED)
+    if name in ("html", "body") or name in WHOLE and found.get("class", "").lower() not in MARKED:
+        return hidden, marked, named
+    return hidden, marked or named or not inside and bool(words & HEADER), named
+
+
+def undone(own: dict[tuple, int], wholes: dict[int, list]) -> set[int]:
+    """Marked elements that hold the page's article after all, by numbers.
+
+    ``own`` has the characters outside links by enclosing marked elements (outermost first), ``wholes`` (those,
+    characters) of each article or main element. A mark is undone by an enclosed article or main element that
+    is as long as any outside all marks, or by most of the page's text if that is over four times as long; then
+    the marks around it are undone too.
+    """
+    free = max((n for marks, n in wholes.values() if not marks), default=0)
+    out = {m for marks, n in wholes.values() if n and n >= free for m in marks}
+    total = sum(own.values())
+    return out | {m for marks, n in own.items() if 2 * n > total and n > 4 * free for m in marks}
 
 
 def text_nodes(html: str | None) -> list[tuple[int, str, str, list[int]]]:
     """(block, path, text, containers) of the text nodes outside asides, in page order.
 
+    Marked elements count as asides unless they hold the page's article, which is known at its end.
     White space is one space. ``containers`` are the numbers of the enclosing container elements, outermost
     first, an article or main element last. An open paragraph ends where a block begins, a list item, cell or
     row where the next one does; other end tags close the nearest element of their name.
     """
     html, out, at, block, number = html or "", [], 0, 0, 0
-    stack: list[tuple[str, bool, bool, list[int]]] = [("", False, False, [0])]  # name, aside, inside an article, containers
+    # Name, numbers of the marked elements around (None: hidden), inside an article, containers, numbers of the articles around.
+    stack: list[tuple[str, tuple | None, bool, list[int], tuple]] = [("", (), False, [0], ())]
+    own: dict[tuple, int] = {}
+    wholes: dict[int, list] = {}
+    marked: list[tuple] = []  # of each node
 
     def text(upto: int) -> None:
-        if upto > at and not stack[-1][1]:
+        marks = stack[-1][1]
+        if upto > at and marks is not None:
             part = re.sub(r"\s+", " ", unescape(html[at:upto]))
             if part:
                 out.append((block, "/".join(s[0] for s in stack[1:]), part, stack[-1][3]))
+                marked.append(marks)
+                if not any(s[0] == "a" for s in stack):
+                    own[marks] = own.get(marks, 0) + len(part.strip())
+                    for w in stack[-1][4]:
+                        if wholes[w][0] == marks:  # what is marked within an article is not its text
+                            wholes[w][1] += len(part.strip())
 
     while m := _TAG.search(html, at):
         text(m.start())
@@ -77,8 +107,9 @@ def text_nodes(html: str | None) -> list[tuple[int, str, str, list[int]]]:
         if not name:
             continue
         if name == "br":
-            if not stack[-1][1]:
+            if stack[-1][1] is not None:
                 out.append((block, "/".join(s[0] for s in stack[1:]), " ", stack[-1][3]))
+                marked.append(stack[-1][1])
             continue
         if name not in INLINE:
             block += 1
@@ -98,13 +129,20 @@ def text_nodes(html: str | None) -> list[tuple[int, str, str, list[int]]]:
             del stack[ended[0] :]
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
-        _, out_of, inside, containers = stack[-1]
+        _, marks, inside, containers, around = stack[-1]
         number += 1
-        if not out_of and not inside and (name in CONTAINER or name in WHOLE):
+        if marks is not None and not inside and (name in CONTAINER or name in WHOLE):
             containers = [*containers, number]
-        stack.append((name, out_of or aside(name, m[3], inside or name in WHOLE), inside or name in WHOLE, containers))
+        if marks is not None:
+            hidden, is_marked, named = aside(name, m[3], inside or name in WHOLE)
+            marks = None if hidden else (*marks, number) if is_marked else marks
+            if marks is not None and name in WHOLE and not named:
+                wholes[number] = [marks, 0]
+                around = (*around, number)
+        stack.append((name, marks, inside or name in WHOLE, containers, around))
     text(len(html))
-    return out
+    kept = undone(own, wholes) if any(marked) else set()
+    return [node for node, marks in zip(out, marked) if kept.issuperset(marks)]
 
 
 NODES = "array<struct<block:int,path:string,text:string,containers:array<int>>>"
