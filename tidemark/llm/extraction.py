@@ -5,7 +5,8 @@ else are Spark expressions on the page's own row, so nothing shuffles. Text leng
 summed per tag path and divided by the path's nodes; the two ratios are fused, smoothed over
 neighbouring nodes, and held against their standard deviation. The nodes above it choose the innermost
 container that holds nearly all their text, an article or main element if there is one, and the page's
-text is every block of that container outside menus, adverts and the like.
+text is every block of that container outside menus, adverts and the like. Of the nodes above it that lie
+elsewhere, the own containers are added, or the own block where the container is one around the chosen one.
 """
 
 from __future__ import annotations
@@ -203,6 +204,14 @@ def main_text(nodes: Column) -> Column:
         ids = F.array_distinct(F.flatten(F.transform(best, lambda x: x["containers"])))
         return F.array_max(F.filter(ids, lambda c: inside(c) >= 0.75 * total(best, chars)))
 
+    def kept(all_nodes, best, c):
+        """The nodes in ``c``, and those that share a container or a block with a content node outside it."""
+        outside = F.filter(best, lambda x: ~F.array_contains(x["containers"], c))
+        around = F.get(F.filter(best, lambda x: F.array_contains(x["containers"], c)), F.lit(0))["containers"]
+        homes = F.array_except(F.transform(outside, lambda x: F.element_at(x["containers"], -1)), around)
+        blocks = F.transform(outside, lambda x: x["block"])
+        return _bound(F.struct(homes.alias("homes"), blocks.alias("blocks")), lambda o: F.filter(all_nodes, lambda x: F.array_contains(x["containers"], c) | F.arrays_overlap(x["containers"], o["homes"]) | F.array_contains(o["blocks"], x["block"])))
+
     def joined(kept):
         text = F.aggregate(
             kept,
@@ -215,8 +224,7 @@ def main_text(nodes: Column) -> Column:
     def pick(all_nodes):
         full = F.filter(all_nodes, lambda x: F.btrim(x["text"]) != "")
         best = _bound(full, lambda own: F.when(F.size(own) > 0, content(own)))
-        home = _bound(best, lambda own: chosen(own, own))
-        return _bound(home, lambda c: joined(F.filter(all_nodes, lambda x: F.array_contains(x["containers"], c))))
+        return _bound(best, lambda own: _bound(chosen(own, own), lambda c: joined(kept(all_nodes, own, c))))
 
     return F.coalesce(_bound(nodes, pick), F.lit(""))
 
