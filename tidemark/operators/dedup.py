@@ -47,12 +47,12 @@ def first_seen(items: DataFrame, key: str, order: str) -> DataFrame:
     return items.groupBy(key).agg(F.min_by(F.struct(*names), order).alias("r")).select(key, "r.*").select(*items.columns)
 
 
-def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool = True) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool = True, both: bool = False) -> DataFrame:
     """(pos, prior): items with an earlier item of the same bucket and numbers whose title is similar.
 
     Both ways of being similar need a token overlap of OVERLAP. Two such sets share one of their first
     n - ceil(OVERLAP * n) + 1 tokens, rarest first, so only these are joined; the order-sensitive ratio is
-    computed for pairs between OVERLAP and the threshold alone.
+    computed for pairs between OVERLAP and the threshold alone. With ``both``, a later item is a prior too.
     """
     titled = items.where("title <> ''").select("pos", "bucket", "title", fx.title_tokens(F.col("title")).alias("tokens"), fx.title_numbers(F.col("title")).alias("numbers"))
     tokens = titled.select("pos", "bucket", "numbers", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -63,7 +63,7 @@ def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool
     a, b = prefix.alias("a"), prefix.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "numbers", "token")]
     sized = (F.col("a.n") >= F.col("b.n") * fx.OVERLAP) & (F.col("b.n") >= F.col("a.n") * fx.OVERLAP)
-    pairs = a.join(b, [*same, F.col("b.pos") < F.col("a.pos"), sized]).select(F.col("a.pos").alias("pos"), F.col("b.pos").alias("prior")).distinct()
+    pairs = a.join(b, [*same, F.col("b.pos") != F.col("a.pos") if both else F.col("b.pos") < F.col("a.pos"), sized]).select(F.col("a.pos").alias("pos"), F.col("b.pos").alias("prior")).distinct()
     new, old = titled.select("pos", "title", "tokens"), titled.select(F.col("pos").alias("prior"), F.col("title").alias("prior_title"), F.col("tokens").alias("prior_tokens"))
     scored = pairs.join(new, "pos").join(old, "prior").withColumn("overlap", fx.jaccard(F.col("tokens"), F.col("prior_tokens"))).where(F.col("overlap") >= fx.OVERLAP)
     sure = scored.where((F.col("overlap") >= threshold) | (F.col("title") == F.col("prior_title"))).select("pos", "prior")
@@ -77,11 +77,24 @@ def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
     """(pos, canonical, matched): the canonical item of each, itself if it is one, and by what it matched.
 
     Match priority: content hash, legacy hash, URL, then the earliest similar title. ``pool`` keeps similar
-    titles to the ``pool`` latest items before an item's batch; None compares all.
+    titles to the ``pool`` latest items before an item's batch; None compares all, each distinct title of a
+    bucket once: its items are grouped by it as by an exact key, and no pairs of them are made.
     """
     exact = items.select("pos", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("key")) for i, c in ((0, "content_hash"), (1, "legacy_hash"))], F.struct(F.lit(2).alias("rank"), F.concat(F.lit("url:"), "url_key").alias("key")))).alias("k")).select("pos", "k.rank", "k.key")
     exact = written(exact.where("key <> 'url:'"), "keys")
-    fuzzy = written(similar_pairs(items) if pool is None else similar_pairs(items).where(F.col("prior") >= F.col("pos") - pool), "pairs")
+    if pool is None:
+        titles = written(items.where("title <> ''").groupBy("bucket", "title").agg(F.min("pos").alias("group")), "titles")
+        members = written(items.select("pos", "bucket", "title").join(titles, ["bucket", "title"]).select("pos", "group"), "members")
+        similar = similar_pairs(titles.select(F.col("group").alias("pos"), "bucket", "title"), both=True)
+        links = written(similar.select(F.col("pos").alias("group"), F.col("prior").alias("other")).union(titles.select("group", F.col("group").alias("other"))), "pairs")
+    else:
+        fuzzy = written(similar_pairs(items).where(F.col("prior") >= F.col("pos") - pool), "pairs")
+
+    def nearest(rows: DataFrame, **columns: Column) -> DataFrame:
+        """Items with the least of each of ``columns`` over the ``rows`` of their own and of similar titles."""
+        of = rows.join(members, "pos").groupBy(F.col("group").alias("other")).agg(*[F.min(c).alias(n) for n, c in columns.items()])
+        return members.join(links.join(of, "other").groupBy("group").agg(*[F.min(n).alias(n) for n in columns]), "group")
+
     known = written(items.select("pos", F.lit(None).cast("boolean").alias("canonical")), "state")
     left = None
     while True:
@@ -89,7 +102,11 @@ def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
         # By key: the first canonical item, and the first that is not decided; an item looks before itself.
         keys = exact.join(known, "pos").groupBy("key").agg(F.min(F.when(F.col("canonical"), F.col("pos"))).alias("kept"), F.min(F.when(F.col("canonical").isNull(), F.col("pos"))).alias("open"))
         by_key = exact.join(keys, "key").groupBy("pos").agg(F.max(F.coalesce(F.col("kept") < F.col("pos"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("pos"), F.lit(False))).alias("wait"))
-        by_title = fuzzy.join(state, fuzzy["prior"] == state["p"]).groupBy("pos").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit2"), F.max(F.col("canonical").isNull()).alias("wait2"))
+        if pool is None:
+            by_title = nearest(known, kept=F.when(F.col("canonical"), F.col("pos")), open=F.when(F.col("canonical").isNull(), F.col("pos")))
+            by_title = by_title.select("pos", (F.col("kept") < F.col("pos")).alias("hit2"), (F.col("open") < F.col("pos")).alias("wait2"))
+        else:
+            by_title = fuzzy.join(state, fuzzy["prior"] == state["p"]).groupBy("pos").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit2"), F.max(F.col("canonical").isNull()).alias("wait2"))
         step = known.join(by_key, "pos", "left").join(by_title, "pos", "left")
         hit, wait = F.coalesce("hit", F.lit(False)) | F.coalesce("hit2", F.lit(False)), F.coalesce("wait", F.lit(False)) | F.coalesce("wait2", F.lit(False))
         known = written(step.select("pos", F.when(F.col("canonical").isNotNull(), F.col("canonical")).when(hit, False).when(~wait, True).alias("canonical")), "state")
@@ -100,7 +117,10 @@ def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
     kept = known.where("canonical").select("pos")
     owner = exact.join(kept, "pos").groupBy("key").agg(F.min("pos").alias("owner"))
     by_key = exact.join(owner, "key").where("owner < pos").select("pos", "rank", "owner")
-    by_title = fuzzy.join(kept.withColumnRenamed("pos", "prior"), "prior").select("pos", F.lit(3).alias("rank"), F.col("prior").alias("owner"))
+    if pool is None:
+        by_title = nearest(kept, owner=F.col("pos")).where("owner < pos").select("pos", F.lit(3).alias("rank"), "owner")
+    else:
+        by_title = fuzzy.join(kept.withColumnRenamed("pos", "prior"), "prior").select("pos", F.lit(3).alias("rank"), F.col("prior").alias("owner"))
     best = by_key.union(by_title).groupBy("pos").agg(F.min(F.struct("rank", "owner")).alias("m"))
     names = F.element_at(F.array(*map(F.lit, ("content", "legacy", "url", "title"))), F.col("m.rank") + 1)
     out = known.join(best, "pos", "left")
