@@ -314,6 +314,13 @@ def near_dup_pairs(spark, d):
     return dedup.similar_pairs(rows, ratio=False).select(F.col("pos").alias("page_id"), "prior")
 
 
+@query()
+def near_dup_pairs_ratio(spark, d):
+    """All similar pairs, those by sequence ratio too, which SQL cannot express. Tests hold it against brute force."""
+    rows = _pages(spark, d).select(F.col("page_id").alias("pos"), F.lit("day").alias("bucket"), text.normalize_title(F.col("title")).alias("title"))
+    return dedup.similar_pairs(rows).select(F.col("pos").alias("page_id"), "prior")
+
+
 @query()
 def greedy_dedup(spark, d):
     """The canonical page of every page. Tests hold it against a sequential model of the rule."""
