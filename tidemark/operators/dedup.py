@@ -8,8 +8,6 @@ data: an item whose every earlier match is decided is decided too.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +15,7 @@ from tidemark.functions import text as fx
 from tidemark.functions.hashes import content_hash, legacy_hash
 from tidemark.functions.times import day_bucket
 from tidemark.functions.urls import normalize_url
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by a table in the folder that the session names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/feed/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidemark.scratch import written
 
 
 def keyed(items: DataFrame, pos: Column, title: Column, url: Column, published: Column, fetched: Column | None = None) -> DataFrame:
