@@ -1,6 +1,7 @@
 """Token counts and pieces against the tokenizers' own libraries, on random mixtures and odd rows."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +58,23 @@ def test_count_rows(spark):
     assert tokencount.token_counts(docs.limit(0)).count() == 0
 
 
+def test_long_runs_of_spaces():
+    """100,000 spaces in a second: merging is not quadratic in a run."""
+    words, library = pieces.WordPieces(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["a" + " " * 100_000 + tail for tail in ("", "hello world", "\u3000x")]
+    began = time.process_time()
+    got = [np.frombuffer(b, np.int32).tolist() for b in words.encode(texts)]
+    assert time.process_time() - began < 3
+    assert got == [library.encode(t) for t in texts]
+
+
+def test_round_trip_is_encode_and_decode(spark):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] * 2, "doc_id long, text string, pieces int")
+    one = sorted((r.doc_id, r.pieces, r.text) for r in pieces.round_trip(docs).collect())
+    two = sorted((r.doc_id, r.pieces, r.text) for r in pieces.decode(pieces.encode(docs)).collect())
+    assert one == two and pieces.round_trip(docs.limit(0)).count() == 0
+
+
 def _ids(encoded):
     return [np.frombuffer(b, np.int32).tolist() for b in encoded]
 

@@ -11,6 +11,7 @@ no scores. Characters outside the table are spelled in byte pieces.
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -55,16 +56,30 @@ class Known(dict):
 
 
 def merged(word: str, rank: dict) -> tuple[list[str], tuple[str, str] | None]:
-    """Pieces of ``word`` by merging its best pair again and again, and the last pair merged."""
-    parts, last = list(word), None
-    while len(parts) > 1:
-        best = min(((rank[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in rank), default=None)
-        if best is None:
-            break
-        i = best[1]
-        last = parts[i], parts[i + 1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts, last
+    """Pieces of ``word`` by merging its best pair, the leftmost of equals, again and again, and the last pair merged.
+
+    Pairs wait in a heap; one whose parts have changed meanwhile is passed over. n characters take n log n steps.
+    """
+    parts: list[str | None] = list(word)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get(a + b)) is not None]
+    heapify(heap)
+    last = None
+    while heap:
+        _, i, a, b = heappop(heap)
+        j = after[i]
+        if parts[i] != a or j >= len(parts) or parts[j] != b:
+            continue
+        last = a, b
+        parts[i], parts[j] = a + b, None
+        after[i] = k = after[j]
+        if k < len(parts):
+            before[k] = i
+            if (r := rank.get(a + b + parts[k])) is not None:
+                heappush(heap, (r, i, a + b, parts[k]))
+        if (h := before[i]) >= 0 and (r := rank.get(parts[h] + a + b)) is not None:
+            heappush(heap, (r, h, parts[h], a + b))
+    return [x for x in parts if x is not None], last
 
 
 class PieceTable:
@@ -358,6 +373,27 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") ->
     return rows.mapInArrow(run, "key long, pieces array<int>, text string").withColumnRenamed("key", key)
 
 
+def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """encode and decode in one step, so that a task needs one Python worker: key, pieces, text as decoded.
+
+    Null and empty texts have no pieces and decode to an empty text. Repeated rows come back repeated, an empty
+    table gives an empty result, and other columns are not read.
+    """
+
+    def run(cols, state):
+        import pyarrow as pa
+
+        words, table = state
+        ids = words.encode(cols["text"])
+        ends = np.cumsum([0, *(len(b) // 4 for b in ids)], dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        pieces = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
+        return {"key": cols["key"], "pieces": pieces, "text": table.decode(flat, np.diff(ends).astype(np.int64))}
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return map_batches(rows, run, "key long, pieces array<int>, text string", lambda: (word_pieces(path), spelling(path))).withColumnRenamed("key", key)
+
+
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    read = decode(encode(table(spark, sf_dir, "documents")))
+    read = round_trip(table(spark, sf_dir, "documents"))
     return read.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
