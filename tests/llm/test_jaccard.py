@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark import scratch
 from tidemark.llm import jaccard
 from tidemark.llm.graph import components
 
@@ -67,6 +68,35 @@ def test_components(spark, monkeypatch, width, percent, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
 
 
+def test_salted_tiles_and_shuffled_joins(spark, monkeypatch):
+    """Nearly every shared tile salted, every id list shuffled instead of broadcast: the same components."""
+    monkeypatch.setattr(jaccard, "OFTEN", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    texts = corpus(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in jaccard.similarity_classes(docs, 3, 90).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == brute(texts, 3, 90)[1]
+
+
+def test_rows_that_share_a_key(spark):
+    """A document with two texts is reached by the links of both, in any order of its rows."""
+    rng = random.Random(4)
+    x, y, z = ([f"{c}{rng.randrange(900)}" for _ in range(80)] for c in "xyz")
+    text = " ".join
+    rows = [(1, text(x)), (1, text(y)), (2, text([*x, "more"])), (3, text([*y, "more"])), (4, text(z)), (5, text(z)), (5, text(x)), (6, text([*z, "more"])), (7, "alone in this table")]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[1])):
+        got = {r.doc_id: r.component_id for r in jaccard.similarity_classes(spark.createDataFrame(order, "doc_id long, text string"), 3, 90).collect()}
+        assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    """Only the tables that the result still reads are left."""
+    monkeypatch.setattr(scratch, "root", lambda _: str(tmp_path))
+    out = jaccard.similarity_classes(spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id long, text string"))
+    assert {p.name.split("-")[-1] for p in tmp_path.glob("jaccard-*/*")} == {"sizes", "classes", "labels"}
+    assert out.count() == 9
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard.similarity_classes(spark.createDataFrame([], schema)).count() == 0

@@ -1,45 +1,44 @@
-"""Table access and shared-folder scratch tables used by the corpus operators."""
+"""Table access and Arrow batches of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Bytes of an Arrow batch.
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def words_of(text: Column) -> Column:
+    """Array of the words ``[^\x20\x09-\x0D]+`` of ``text``; empty for null and for blank texts."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def give_back() -> None:
+    """Free memory to the system at a task's end: idle Python workers stay beside the next stages' tasks."""
+    import ctypes
 
+    import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words ``[^\x20\x09-\x0D]+`` of ``text``; empty for null and for blank texts."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH bytes at most, unless the session sets a bound of its own: whole texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).lower() in ("67108864b", "64mb", "67108864"):  # the default
+        spark.conf.set(name, BATCH)
 
 
 def map_batches(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
@@ -60,7 +59,10 @@ def map_batches(df: DataFrame, fn, schema: str, start=None) -> DataFrame:
                 out = fn(batch.slice(at, 512).to_pydict(), state)
                 made = {f.name: x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow}
                 yield pa.RecordBatch.from_pydict(made, schema=arrow)
+        batch = out = made = state = None
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.scratch import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,17 +21,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     """(id, component): every vertex of ``edges(a, b)`` with the smallest vertex it reaches.
 
     Loops and repeated edges do no harm; an empty edge list has no vertices. Each round is written to
-    the shared folder, so lineage stays short and a lost executor costs one round at most. A hot vertex
-    meets partial minima and joins whose large partitions Spark may split, never a collected list.
+    the shared folder, so lineage stays short and a lost executor costs one round at most; a round replaces
+    the one before, and the last one goes with ``tmp``. A hot vertex meets partial minima and joins whose large
+    partitions Spark may split, never a collected list.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    tmp = tmp or Scratch(edges.sparkSession, "components")
+    now = tmp.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "round 0")
+    seen, n = None, 0
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        n += 1
+        now = tmp.written(_small_star(_large_star(now)), f"round {n}")
+        tmp.drop(f"round {n - 1}")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -8,10 +8,11 @@ sides make no tile; a set with more than SPARE - AGREE empty parts also takes th
 hash order, where two similar sets always share a shingle. So similar sets meet in AGREE tiles of parts of
 one band, or in a tile of a prefix.
 
-Shared passages make some tiles popular among sets that are not similar. Each set leaves its DROP most
-popular tiles of a band: of the tiles that two sets share, both keep all but DROP. Tiles of a few members
-deal their pairs, which are counted: those that meet in fewer than AGREE - DROP go. In larger tiles not
-all pairs are made. Each is first compared with one centre, the member that meets most others;
+Shared passages make some tiles popular among sets that are not similar. The most popular ones are known
+from a sample of SAMPLE sets or so; they are salted, so that no task holds such a tile (balance alone depends
+on the sample). Each set leaves its DROP most popular tiles of a band: of the tiles that two sets share, both
+keep all but DROP. Tiles of a few members deal their pairs, which are counted: those that meet in fewer than
+AGREE - DROP go. In larger tiles not all pairs are made. Each is first compared with one centre, the member that meets most others;
 what is then in one component needs no more pairs, and only members outside the tile's largest component
 go on, in blocks, against the rest of the centre's tiles. Before sets are intersected exactly, bitmaps bound the overlap: a bit
 that only one side has stands for a shingle that only that side has. Tiles with equal members are
@@ -24,11 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, table, written
+from tidemark.llm.common import map_batches, table
 from tidemark.llm.graph import components
+from tidemark.scratch import Scratch, written
 
-#: Rows up to which a list of document ids is broadcast (about 16 MB); beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Rows up to which the ids of documents with a candidate, or of copies, are broadcast (about 8 MB); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
+#: Sets of the sample that finds popular tiles, members there from which a tile is salted, and salted tiles at most.
+SAMPLE, OFTEN, SALTED = 10_000, 12, 65_536
 #: Members of a tile that one task compares at once, on either side.
 BLOCK = 2048
 BITS_PER_SHINGLE = 8
@@ -36,6 +40,8 @@ BITS_PER_SHINGLE = 8
 SPARE, AGREE, DROP = 16, 8, 4
 #: Members up to which a tile deals its pairs: (SMALL - 1) / 2 a member at most.
 SMALL = 8
+#: Low bits of a tile key: 1 for tiles of a prefix, 2 for odd bands, and the salt, which is 0 but in popular tiles.
+SALT_BITS = 60
 
 _M = [np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S = [np.array([x], np.uint64) for x in (31, 29, 32)]
@@ -98,7 +104,7 @@ class Bands:
 
 
 def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the tiles of a set: the last bit is set for those of its prefix, the one before for odd bands."""
+    """Keys of the tiles of a set, without salt (see SALT_BITS)."""
     found, n = [], len(h)
     for level in bands.levels(n) if n else []:
         if not (k := bands.parts(level)):
@@ -107,10 +113,10 @@ def tile_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
         filled = np.diff(np.append(start, n)) > 0
         at = np.flatnonzero(filled)
         sums = np.add.reduceat(mix(h + _M[3]), start[at])
-        found.append(mix(sums + at.astype(np.uint64) * _M[2] + np.uint64(level) * _M[1]) & ~np.uint64(3) | np.uint64(level % 2 * 2))
+        found.append(mix(sums + at.astype(np.uint64) * _M[2] + np.uint64(level) * _M[1]) & ~np.uint64(63) | np.uint64(level % 2 * 2))
         if k - len(at) > SPARE - AGREE:
             prefix = h[: n - -(-bands.percent * n // 100) + 1]
-            found.append(mix(mix(prefix + _M[1]) + np.uint64(level) * _M[3]) & ~np.uint64(3) | np.uint64(level % 2 * 2 + 1))
+            found.append(mix(mix(prefix + _M[1]) + np.uint64(level) * _M[3]) & ~np.uint64(63) | np.uint64(level % 2 * 2 + 1))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -155,47 +161,92 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the bitmaps leave."""
-    a = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    b = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def keep(cols, _):
         out = {"a": [], "b": []}
-        for i, j, n, m, x, y in zip(*(cols[c] for c in ("a", "b", "na", "nb", "ba", "bb"))):
+        for i, j, n, m, x, y in zip(*(cols[c] for c in ("a", "b", "na", "nb", "bits_a", "bits_b"))):
             size = min(len(x), len(y))
             if may_link(folded(x, size), n, folded(y, size)[None, :], np.array([m]), percent)[0]:
                 out["a"].append(i)
                 out["b"].append(j)
         return out
 
-    return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "ba", "bb"), keep, "a long, b long")
+    return map_batches(_met_sets(pairs, sets, "bits"), keep, "a long, b long")
 
 
-def _exact(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays; a's rows come together."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(_picked(source, ids).dropDuplicates(["id"]), "texts")
-    a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays."""
 
-    def keep(cols, state):
+    def keep(cols, _):
         out = {"a": [], "b": []}
-        for i, j, x, y in zip(cols["a"], cols["b"], cols["ta"], cols["tb"]):
-            if state.get("id") != i:
-                state.update(id=i, set=shingles(x, width, state["words"]))
-            if similar(state["set"], shingles(y, width, state["words"]), percent):
+        for i, j, x, y in zip(*(cols[c] for c in ("a", "b", "h_a", "h_b"))):
+            if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                 out["a"].append(i)
                 out["b"].append(j)
         return out
 
-    return map_batches(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb"), keep, "a long, b long", lambda: {"words": WordHashes()})
+    return map_batches(_met_sets(pairs, sets, "h"), keep, "a long, b long")
+
+
+def _met_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with na, nb and ``column`` of both sides. Only b's is shuffled once a pair; a's comes once to its pairs."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col(column).alias(f"{column}_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", f"{column}_a", f"{column}_b")
+
+
+def _popular(tiles, source: DataFrame, classes: DataFrame) -> np.ndarray:
+    """Sorted keys of tiles that hold OFTEN of a sample of SAMPLE sets or so: SALTED keys at most."""
+    total = classes.count()
+    share = int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
+    ids = classes.where(F.pmod(F.xxhash64(F.lit(29), "d1", "d2"), F.lit(1 << 30)) < share).select(F.col("rep").alias("id"))
+    often = tiles(source.join(F.broadcast(ids), "id"), None).distinct().groupBy("key").count().where(F.col("count") >= OFTEN)
+    return np.sort(np.array([r["key"] for r in often.orderBy(F.desc("count"), "key").limit(SALTED).collect()], np.int64))
+
+
+def _tiles(docs: DataFrame, width: int, percent: int, popular) -> DataFrame:
+    """(key, d1): the tiles of every set of ``docs(id, text)``; a task deals a set once. ``popular``: a broadcast of
+    the keys to salt."""
+    bands = Bands(percent)
+
+    def dealt(cols, state):
+        out = {"key": [], "d1": []}
+        for t in cols["text"]:
+            h = shingles(t, width, state["words"])
+            d = digest(h)
+            if len(h) and d not in state["seen"]:
+                keys = tile_keys(h, bands).view(np.int64)
+                if popular is not None and len(hot := popular.value):
+                    known = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+                    keys = np.where(known, keys | (1 + d[0] % 15) << 2, keys)
+                out["key"].append(keys)
+                out["d1"].append(np.full(len(keys), d[0], np.int64))
+                state["seen"].add(d)
+        if len(state["seen"]) > 100_000:
+            state["seen"].clear()
+        return {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+
+    return map_batches(docs.select("text"), dealt, "key long, d1 long", lambda: {"words": WordHashes(), "seen": set()})
 
 
-def _small_pairs(met: DataFrame, tiles: DataFrame) -> DataFrame:
+def _met(tiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep, few): the tiles that a set keeps of those it shares; few: at most SMALL rows of the tile came."""
+    w = Window.partitionBy("key")
+    shared = tiles.withColumns({"lo": F.min("d1").over(w), "hi": F.max("d1").over(w), "often": F.count("*").over(w), "salted": F.col("key").bitwiseAND(F.lit(SALT_BITS)) != 0})
+    # A salted tile counts as the most popular for all its members: the order of tiles is the same for every set.
+    shared = shared.where("lo < hi OR salted").select(F.col("key").bitwiseAND(F.lit(~SALT_BITS)).alias("key"), "d1", F.when(F.col("salted"), F.lit(1 << 60)).otherwise(F.col("often")).alias("often"))
+    place = F.dense_rank().over(Window.partitionBy("d1", F.pmod("key", F.lit(4))).orderBy(F.desc("often"), "key"))
+    left = shared.repartition("d1").withColumn("place", place).where((F.col("key") % 2 != 0) | (F.col("place") > DROP))
+    # Sets of one digest but different keys would all come along; the exact step tells them apart.
+    return left.join(classes.select("d1", "rep"), "d1").select("key", "rep", (F.col("often") <= SMALL).alias("few")).distinct()
+
+
+def _small_pairs(met: DataFrame) -> DataFrame:
     """(a, b) that meet in AGREE - DROP small tiles of parts or in a small tile of a prefix."""
-    members = met.join(tiles, "key").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("r"), F.first("times").alias("times"))
+    weight = F.when(F.col("key") % 2 != 0, AGREE - DROP).otherwise(1).cast("long")
+    members = met.where("few").groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("r")).where(F.size("r") > 1)
+    members = members.groupBy("r").agg(F.sum(weight).alias("w"))
     pairs = F.flatten(F.transform("r", lambda x: F.transform(F.filter("r", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    weight = F.when(F.col("key") % 2 != 0, AGREE - DROP).otherwise(F.col("times")).cast("long")
-    return members.select(weight.alias("w"), F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("w")).where(F.col("w") >= AGREE - DROP).select("a", "b")
+    return members.select("w", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("w")).where(F.col("w") >= AGREE - DROP).select("a", "b")
 
 
 def _centre_pairs(tiles: DataFrame) -> DataFrame:
@@ -205,7 +256,7 @@ def _centre_pairs(tiles: DataFrame) -> DataFrame:
     return tiles.join(centre, "key")
 
 
-def _block_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """(a, b) between a group's members that are in different components and that the bitmaps leave.
 
     ``members(key, rep, component)``. Members outside a group's largest component meet all members, both
@@ -213,7 +264,8 @@ def _block_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     by = members.groupBy("key", "component").agg(F.count("*").alias("m"))
     per = by.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("top"))
-    per = per.select("key", "m", F.col("top.component").alias("top"), (F.col("m") - F.col("top.m")).alias("outside")).where("outside > 0")
+    # A table of its own: the join below then has two plain sides, and Spark may split a large group.
+    per = tmp.written(per.select("key", "m", F.col("top.component").alias("top"), (F.col("m") - F.col("top.m")).alias("outside")).where("outside > 0"), "groups")
     rows = members.join(per, "key").withColumns({"mbs": F.ceil(F.col("m") / BLOCK).cast("int"), "obs": F.ceil(F.col("outside") / BLOCK).cast("int")})
     block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -238,9 +290,16 @@ def _block_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return dealt.groupBy("key", "mb", "ob").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` joined with ``ids`` on ``id``: the ids are broadcast while they are few, else both sides shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
+def _picked(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` whose ``key`` is in ``ids``: the ids are broadcast while they are few, else both sides shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def _shared_ids(sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that a document belongs to by several rows with its key, each with the first of them."""
+    several = sizes.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.min("d2").alias("lo2"), F.max("d2").alias("hi2")).where("lo < hi OR lo2 < hi2").select("id")
+    own = sizes.where("n > 0").join(several, "id").join(classes, ["n", "d1", "d2"]).select("id", "rep").distinct()
+    return own.join(own.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")).where("a <> b")
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,62 +307,66 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
 
     Two documents link when 100 * |A & B| >= percent * |A | B| over sets of distinct shingles of ``width``
     words; component_id is the smallest key that links reach. Null and blank texts have an empty set and
-    are linked with nothing. Repeated rows come back repeated; keys are taken to tell documents apart, so
-    rows that share a key but not a text count as linked. A row with a null key links with nothing.
+    are linked with nothing. Repeated rows come back repeated. Rows that share a key are one document, which
+    every link of each of their texts reaches. A row with a null key links with nothing. An empty table gives
+    an empty result; texts of any length are taken whole; other columns are not read.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
 
     def measured(cols, words):
         found = [shingles(t, width, words) for t in cols["text"]]
         d = [digest(h) for h in found]
         return {"id": cols["id"], "n": [len(h) for h in found], "d1": [x[0] for x in d], "d2": [x[1] for x in d]}
 
-    sizes = written(map_batches(source, measured, "id long, n long, d1 long, d2 long", WordHashes), "sizes")
-    classes = written(sizes.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-
-    bands = Bands(percent)
-
-    def dealt(cols, words):
-        out = {"key": [], "rep": []}
-        for i, t, d in zip(cols["id"], cols["text"], cols["d1"]):
-            h = shingles(t, width, words)
-            if digest(h)[0] == d:
-                keys = tile_keys(h, bands).view(np.int64)
-                out["key"].append(keys)
-                out["rep"].append(np.full(len(keys), i, np.int64))
-        return {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()}
+    def drawn(cols, state):
+        out = {"rep": [], "n": [], "d1": [], "d2": [], "bits": [], "h": []}
+        for i, t in zip(cols["id"], cols["text"]):
+            h = shingles(t, width, state["words"])
+            d = digest(h)
+            if len(h) and (i, *d) not in state["seen"]:
+                state["seen"].add((i, *d))
+                for name, value in zip(out, (i, len(h), *d, bitmap(h), h.tobytes())):
+                    out[name].append(value)
+        if len(state["seen"]) > 100_000:
+            state["seen"].clear()
+        return out
 
-    reps = _picked(source, classes.select(F.col("rep").alias("id"), "d1"))
-    signed = map_batches(reps, dealt, "key long, rep long", WordHashes)
-    w = Window.partitionBy("key")
-    met = signed.withColumns({"lo": F.min("rep").over(w), "hi": F.max("rep").over(w), "popular": F.count("*").over(w)}).where("lo < hi")
-    place = F.row_number().over(Window.partitionBy("rep", F.pmod("key", F.lit(4))).orderBy(F.desc("popular"), "key"))
-    met = written(met.withColumn("place", place).where((F.col("key") % 2 != 0) | (F.col("place") > DROP)).select("key", "rep").distinct(), "met")
-
-    # Tiles with the same members are one tile.
-    mark = met.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
-    one = written(mark.groupBy((F.col("key") % 2 != 0).alias("prefix"), "m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "m", "times"), "one")
-    small = _small_pairs(met, one.where(F.col("m") <= SMALL).select("key", "times"))
-    tiles = written(_centre_pairs(met.join(one.where(F.col("m") > SMALL), "key")), "tiles")
-    centre = tiles.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-    first = written(small.union(centre).distinct(), "pairs")
-
-    def drawn(cols, words):
-        return {"rep": cols["id"], "n": cols["n"], "bits": [bitmap(shingles(t, width, words)) for t in cols["text"]]}
-
-    wanted = first.select(F.col("a").alias("rep")).union(first.select("b")).union(tiles.select("rep")).distinct().join(classes.select("rep", "n"), "rep").withColumnRenamed("rep", "id")
-    sets = written(map_batches(_picked(source, wanted).select("id", "n", "text"), drawn, "rep long, n long, bits binary", WordHashes).dropDuplicates(["rep"]), "sets")
-
-    links = written(_exact(written(_bounded(first, sets, percent), "bounded"), source, width, percent), "links")
-    labels = components(links)
-    # The centre has met every member of its tiles; what is left are the others, where they differ in component.
-    # A centre's tiles overlap, so their members are compared together, each once.
-    rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
-    rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    more = written(_exact(written(_block_pairs(rest, sets, percent), "bounded"), source, width, percent), "links")
-    labels = written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "labels")
+    with Scratch(spark, "jaccard") as tmp:
+        sizes = tmp.written(map_batches(source, measured, "id long, n long, d1 long, d2 long", WordHashes), "sizes", keep=True)
+        classes = tmp.written(sizes.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes", keep=True)
+        source = source.where("id IS NOT NULL")
+        popular = spark.sparkContext.broadcast(_popular(lambda rows, hot: _tiles(rows, width, percent, hot), source, classes))
+        met = tmp.written(_met(_tiles(source, width, percent, popular), classes), "met")
+
+        # Large tiles with the same members are one tile.
+        large = met.where("NOT few")
+        mark = large.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
+        one = tmp.written(mark.groupBy((F.col("key") % 2 != 0).alias("prefix"), "m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "m", "times"), "one")
+        tiles = tmp.written(_centre_pairs(large.join(one, "key")), "tiles")
+        centre = tiles.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+        first = tmp.written(_small_pairs(met).union(centre).distinct(), "pairs")
+        tmp.drop("met", "one")
+
+        wanted = tmp.written(first.select(F.col("a").alias("id")).union(first.select("b")).union(tiles.select("rep")).distinct(), "wanted")
+        sets = map_batches(_picked(source, wanted), drawn, "rep long, n long, d1 long, d2 long, bits binary, h binary", lambda: {"words": WordHashes(), "seen": set()})
+        if sizes.groupBy("id").count().where("count > 1").limit(1).count():
+            sets = sets.dropDuplicates(["rep", "d1", "d2"])
+        sets = tmp.written(sets, "sets")
+
+        links = tmp.written(_exact(tmp.written(_bounded(first, sets, percent), "bounded"), sets, percent).union(_shared_ids(sizes, classes)).distinct(), "links")
+        labels = tmp.written(components(links, tmp), "near")
+        tmp.drop("pairs", "bounded", "links")
+        # The centre has met every member of its tiles; what is left are the others, where they differ in component.
+        # A centre's tiles overlap, so their members are compared together, each once.
+        rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
+        rest = tmp.written(rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
+        left = tmp.written(_block_pairs(rest, sets, percent, tmp), "left")
+        asked = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
+        more = tmp.written(_exact(left, _picked(sets, asked, "rep"), percent), "links")
+        labels = tmp.written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tmp), "labels", keep=True)
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(named, ["n", "d1", "d2"], "left")
@@ -314,7 +377,8 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component of similar ones, the one with the smallest key.
 
-    Every row of a document that stays comes back as it was, documents without words among them.
+    Every row of a document that stays comes back as it was, documents without words and rows without a key
+    among them; an empty table stays empty.
     """
     groups = similarity_classes(docs, width, percent, key, text)
     gone = written(groups.where(f"component_id <> `{key}`").select(key).distinct(), "copies")

@@ -16,7 +16,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, table, written
+from tidemark.llm.common import SPACE_CLASS, table
+from tidemark.scratch import written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
