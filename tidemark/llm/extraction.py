@@ -1,24 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-Python turns a page into its text nodes, each with its root-to-leaf tag path, block and containers; all
-else are Spark expressions on the page's own row, so nothing shuffles. Text length and punctuation are
-summed per tag path and divided by the path's nodes; the two ratios are fused, smoothed over
-neighbouring nodes, and held against their standard deviation. The nodes above it choose the innermost
-container that holds nearly all their text, an article or main element if there is one, and the page's
-text is every block of that container outside menus, adverts and the like. Of the nodes above it that lie
-elsewhere, the own containers are added, or the own block where the container is one around the chosen one.
+A page becomes its text blocks, each with the root-to-leaf path of its block elements. Text length and
+punctuation outside links are summed per path and divided by the path's blocks; the two ratios are fused to a
+score. Scores are smoothed over neighbouring blocks, averaged per path again and held against their standard
+deviation and mean: the paths above are content. Names of elements and attributes that mark menus, adverts and the
+like are a help alone: each mark around a block divides its path's score, and a mark around content is none.
+
+The content blocks choose the innermost container that holds nearly all their text. It grows to containers that
+add headings only, and to the article or main element around it. The page's text is every block of it that no
+mark excludes; content blocks elsewhere come with their own containers, or alone where that is one around it.
+All steps are linear in the page.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 #: Element names by their role in a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "xmp", "math"}
@@ -26,218 +29,281 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HIDDEN = {"head", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video"}
 ASIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "ruby", "rt", "rp"}
-CONTAINER = {"body", "div", "section", "td", "center"}
+CONTAINER = {"body", "div", "section", "td", "center", "header", "footer", "nav", "aside", "form"}
 WHOLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id and role attributes that mark what is not the article.
 MARKED = set(
     "ad ads adbox adsense advert advertisement advertising alert banner breadcrumb breadcrumbs byline-ad cc-banner comment comments commentlist complementary consent contentinfo cookie cookies cookiebar copyright dialog disqus disclaimer footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination pager popup promo promotion promoted recommended related respond responses search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription taboola toolbar widget widgets".split()
 )
 HEADER = {"header", "heading-bar", "topbar", "site-header", "page-header"}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+#: A tag with its quoted attributes, in one pass without going back; one that ends at the first ">"; other markup.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TELLING = re.compile(r"class|id|role|style|hidden", re.IGNORECASE)
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW}
 PUNCTUATION = ",.;:!?…、。，；：！？"
+_PUNCTUATION = re.compile(f"[{PUNCTUATION}]")
+#: What a mark divides a path's score by, marks that count at most; the share of the content that the chosen container
+#: holds at least.
+MARK, MARKS, SHARE = 256, 8, 0.75
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+_LIMITS = {"ul", "ol", "dl", "table", "div", "article", "section", "body"}
 
 
 def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(text)}
 
 
-def aside(name: str, text: str, inside: bool) -> tuple[bool, bool, bool]:
-    """(hidden, marked, named) of an element with the attributes ``text``; ``inside``: within an article.
+def aside(name: str, text: str, inside: bool) -> tuple[bool, str | None]:
+    """(hidden, mark) of an element with the attributes ``text``; ``inside``: within an article.
 
-    What is hidden holds no article text, what is marked holds none as a rule; named: some word of its
-    attributes is marked, which an article or main element may have and still not be marked.
+    What is hidden holds no article text; what has a mark, the names that hold a telling word, holds none as a rule, and
+    its text weighs less.
     """
-    marked = name in ASIDE or name == "header" and not inside
+    mark = "" if name in ASIDE or name == "header" and not inside else None
     if not text.strip():
-        return name in HIDDEN, marked, False
+        return name in HIDDEN, mark
     found = attributes(text)
     hidden = name in HIDDEN or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
     words = {w for k in ("class", "id", "role") for part in found.get(k, "").lower().split() for w in (part, *re.split(r"[-_]+", part))}
-    named = bool(words & MARKED)
     if name in ("html", "body") or name in WHOLE and found.get("class", "").lower() not in MARKED:
-        return hidden, marked, named
-    return hidden, marked or named or not inside and bool(words & HEADER), named
+        return hidden, mark
+    telling = words & MARKED or (set() if inside else words & HEADER)
+    return hidden, " ".join(found.get(k, "").lower() for k in ("class", "id", "role")) if telling else mark
 
 
-def undone(own: dict[tuple, int], wholes: dict[int, list]) -> set[int]:
-    """Marked elements that hold the page's article after all, by numbers.
+def tags(html: str):
+    """(start, end, name, attributes, closing) of every tag and, with an empty name, of comments and other markup.
 
-    ``own`` has the characters outside links by enclosing marked elements (outermost first), ``wholes`` (those,
-    characters) of each article or main element. A mark is undone by an enclosed article or main element that
-    is as long as any outside all marks, or by most of the page's text if that is over four times as long; then
-    the marks around it are undone too.
+    A tag whose quotes never close ends at its first ">"; from there on quotes are not minded, so that no part of a
+    page is read twice. A "<" that no ">" follows is text.
     """
-    free = max((n for marks, n in wholes.values() if not marks), default=0)
-    out = {m for marks, n in wholes.values() if n and n >= free for m in marks}
-    total = sum(own.values())
-    return out | {m for marks, n in own.items() if 2 * n > total and n > 4 * free for m in marks}
-
-
-def text_nodes(html: str | None) -> list[tuple[int, str, str, list[int]]]:
-    """(block, path, text, containers) of the text nodes outside asides, in page order.
-
-    Marked elements count as asides unless they hold the page's article, which is known at its end.
-    White space is one space. ``containers`` are the numbers of the enclosing container elements, outermost
-    first, an article or main element last. An open paragraph ends where a block begins, a list item, cell or
-    row where the next one does; other end tags close the nearest element of their name.
+    at, loose, last = 0, False, html.rfind(">")
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, "", "", False
+        elif at > last:
+            return
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at) + 1
+            yield at, end, "", "", False
+        else:
+            m = None if loose else _TAG.match(html, at)
+            if m is None and html[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                m = _LOOSE.match(html, at)
+                loose = loose or m is not None
+            if m is None:
+                at += 1
+                continue
+            end, name = m.end(), m[2].lower()
+            if name in RAW and not m[1] and not m[3].rstrip().endswith("/"):
+                stop = _RAW_END[name].search(html, end)
+                end, name = stop.end() if stop else len(html), ""
+            elif name in RAW:
+                name = ""
+            yield at, end, name, m[3], bool(m[1])
+        at = end
+
+
+class Page:
+    """Text blocks of a page and the trees of their paths, containers and marks; a tree is a list of parents.
+
+    ``blocks``: [path, container, mark, heading, parts, characters, punctuation, all characters], the two before the last
+    outside links. An open
+    paragraph ends where a block begins, a list item, cell or row where the next one does; other end tags close the
+    nearest element of their name.
     """
-    html, out, at, block, number = html or "", [], 0, 0, 0
-    # Name, numbers of the marked elements around (None: hidden), inside an article, containers, numbers of the articles around.
-    stack: list[tuple[str, tuple | None, bool, list[int], tuple]] = [("", (), False, [0], ())]
-    own: dict[tuple, int] = {}
-    wholes: dict[int, list] = {}
-    marked: list[tuple] = []  # of each node
-
-    def text(upto: int) -> None:
-        marks = stack[-1][1]
-        if upto > at and marks is not None:
-            part = re.sub(r"\s+", " ", unescape(html[at:upto]))
-            if part:
-                out.append((block, "/".join(s[0] for s in stack[1:]), part, stack[-1][3]))
-                marked.append(marks)
-                if not any(s[0] == "a" for s in stack):
-                    own[marks] = own.get(marks, 0) + len(part.strip())
-                    for w in stack[-1][4]:
-                        if wholes[w][0] == marks:  # what is marked within an article is not its text
-                            wholes[w][1] += len(part.strip())
-
-    while m := _TAG.search(html, at):
-        text(m.start())
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            continue
-        if name == "br":
-            if stack[-1][1] is not None:
-                out.append((block, "/".join(s[0] for s in stack[1:]), " ", stack[-1][3]))
-                marked.append(stack[-1][1])
-            continue
-        if name not in INLINE:
-            block += 1
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth and not (name in INLINE and any(s[0] not in INLINE for s in stack[depth:])):
-                del stack[depth:]
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at) if not m[3].rstrip().endswith("/") else None
-            at = end.end() if end else at if m[3].rstrip().endswith("/") else len(html)
-            continue
-        closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(name, () if name in INLINE else ("p",))
-        limit = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "body")), 0)
-        ended = [i for i in range(limit if name == "body" else limit + 1, len(stack)) if stack[i][0] in closes]
-        if ended and ended[0]:
-            del stack[ended[0] :]
-        if name in VOID or m[3].rstrip().endswith("/"):
-            continue
-        _, marks, inside, containers, around = stack[-1]
-        number += 1
-        if marks is not None and not inside and (name in CONTAINER or name in WHOLE):
-            containers = [*containers, number]
-        if marks is not None:
-            hidden, is_marked, named = aside(name, m[3], inside or name in WHOLE)
-            marks = None if hidden else (*marks, number) if is_marked else marks
-            if marks is not None and name in WHOLE and not named:
-                wholes[number] = [marks, 0]
-                around = (*around, number)
-        stack.append((name, marks, inside or name in WHOLE, containers, around))
-    text(len(html))
-    kept = undone(own, wholes) if any(marked) else set()
-    return [node for node, marks in zip(out, marked) if kept.issuperset(marks)]
-
-
-NODES = "array<struct<block:int,path:string,text:string,containers:array<int>>>"
-
-
-def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``_nodes``, the text nodes of ``html``, in place of ``html``."""
-    kind = T.ArrayType(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("containers", T.ArrayType(T.IntegerType()))]))
-    nodes = F.udf(text_nodes, kind, useArrow=True)
-    return pages.withColumn("_nodes", nodes(F.col(html)))
-
-
-def smoothed(scores: Column) -> Column:
-    """Weighted mean of each score and its two neighbours on either side."""
-    weights = ((-2, 1), (-1, 2), (0, 4), (1, 2), (2, 1))
-
-    def mean(_, i):
-        near = [(F.when((i + d >= 0) & (i + d < F.size(scores)), F.get(scores, i + d)), w) for d, w in weights]
-        total = sum((F.coalesce(x, F.lit(0.0)) * w for x, w in near), F.lit(0.0))
-        return total / sum((F.when(x.isNotNull(), w).otherwise(0) for x, w in near), F.lit(0))
-
-    return F.transform(scores, mean)
-
-
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` a lambda variable, so that it is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def main_text(nodes: Column) -> Column:
-    """The text of the content container, its blocks joined by \\n; empty if no node has text."""
-    total = lambda a, of, kind="double": F.aggregate(a, F.lit(0).cast(kind), lambda s, x: s + of(x).cast(kind))
-    chars = lambda x: F.length(F.btrim(x["text"]))
-    marks = lambda x: F.regexp_count(x["text"], F.lit(f"[{PUNCTUATION}]"))
-
-    def ratios(full):
-        """Fused ratio of each path: characters a node times one plus punctuation a node."""
-
-        def ratio(path):
-            return _bound(F.filter(full, lambda x: x["path"] == path), lambda own: total(own, chars) / F.size(own) * (1 + total(own, marks) / F.size(own)))
-
-        paths = F.array_distinct(F.transform(full, lambda x: x["path"]))
-        return F.transform(paths, lambda p: F.struct(p.alias("path"), ratio(p).alias("ratio")))
-
-    def content(full):
-        of_node = _bound(ratios(full), lambda table: F.transform(full, lambda x: F.get(F.filter(table, lambda r: r["path"] == x["path"]), F.lit(0))["ratio"]))
-
-        def above(scores):
-            mean = total(scores, lambda s: s) / F.size(scores)
-            spread = F.sqrt(total(scores, lambda s: s * s) / F.size(scores) - mean * mean + F.lit(1e-12))
-            return _bound(spread, lambda limit: F.filter(full, lambda x, i: F.get(scores, i) >= F.least(limit, F.array_max(scores))))
-
-        return _bound(of_node, lambda s: _bound(smoothed(s), above))
-
-    def chosen(full, best):
-        """The innermost container of at least three quarters of the content: such containers are nested."""
-        inside = lambda c: total(F.filter(best, lambda x: F.array_contains(x["containers"], c)), chars)
-        ids = F.array_distinct(F.flatten(F.transform(best, lambda x: x["containers"])))
-        return F.array_max(F.filter(ids, lambda c: inside(c) >= 0.75 * total(best, chars)))
-
-    def kept(all_nodes, best, c):
-        """The nodes in ``c``, and those that share a container or a block with a content node outside it."""
-        outside = F.filter(best, lambda x: ~F.array_contains(x["containers"], c))
-        around = F.get(F.filter(best, lambda x: F.array_contains(x["containers"], c)), F.lit(0))["containers"]
-        homes = F.array_except(F.transform(outside, lambda x: F.element_at(x["containers"], -1)), around)
-        blocks = F.transform(outside, lambda x: x["block"])
-        return _bound(F.struct(homes.alias("homes"), blocks.alias("blocks")), lambda o: F.filter(all_nodes, lambda x: F.array_contains(x["containers"], c) | F.arrays_overlap(x["containers"], o["homes"]) | F.array_contains(o["blocks"], x["block"])))
-
-    def joined(kept):
-        text = F.aggregate(
-            kept,
-            F.struct(F.lit(-1).alias("block"), F.array().cast("array<string>").alias("parts")),
-            lambda s, x: F.struct(x["block"].alias("block"), F.concat(s["parts"], F.array(F.when(s["block"] == x["block"], x["text"]).otherwise(F.concat(F.lit("\n"), x["text"])))).alias("parts")),
-        )["parts"]
-        lines = F.transform(F.split(F.array_join(text, ""), "\n"), lambda x: F.btrim(F.regexp_replace(x, " +", " ")))
-        return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-
-    def pick(all_nodes):
-        full = F.filter(all_nodes, lambda x: F.btrim(x["text"]) != "")
-        best = _bound(full, lambda own: F.when(F.size(own) > 0, content(own)))
-        return _bound(best, lambda own: _bound(chosen(own, own), lambda c: joined(kept(all_nodes, own, c))))
-
-    return F.coalesce(_bound(nodes, pick), F.lit(""))
+
+    def __init__(self, html: str):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.marks, self.containers, self.whole = [-1], [-1], [False]
+        self.blocks: list[list] = []
+        # Name, path, container, mark (None: hidden), inside an article, inside a link, inside a heading.
+        stack: list[tuple] = [("", 0, 0, 0, False, False, False)]
+        places: dict[str, list[int]] = {}
+        bounds = [0]  # places of the elements that no implied end crosses
+        at, fresh = 0, True
+
+        def cut(depth: int) -> None:
+            while len(stack) > depth:
+                places[stack.pop()[0]].pop()
+            while bounds[-1] >= depth and len(bounds) > 1:
+                bounds.pop()
+
+        def text(part: str) -> None:
+            nonlocal fresh
+            _, path, container, mark, _, linked, heading = stack[-1]
+            part = re.sub(r"\s+", " ", unescape(part)) if part != " " else part
+            if mark is None or not part:
+                return
+            if fresh:
+                self.blocks.append([path, container, mark, heading, [], 0, 0, 0])
+                fresh = False
+            own = self.blocks[-1]
+            own[4].append(part)
+            own[7] += len(part.strip())
+            if not linked:
+                own[5] += len(part.strip())
+                own[6] += len(_PUNCTUATION.findall(part))
+
+        for start, end, name, attrs, closing in tags(html):
+            if start > at:
+                text(html[at:start])
+            at = end
+            if not name:
+                continue
+            if name == "br":
+                text(" ")
+                continue
+            if name not in INLINE:
+                fresh = True
+            if closing:
+                own = places.get(name)
+                if own and not (name in INLINE and any(stack[i][0] not in INLINE for i in range(len(stack) - 1, own[-1], -1))):
+                    cut(own[-1])
+                continue
+            closes = _CLOSES.get(name, set() if name in INLINE else {"p"})
+            limit = 0 if name == "body" else bounds[-1] + 1
+            ended = [next((i for i in places.get(x, ()) if i >= limit), None) for x in closes] if closes else []
+            if ended := [i for i in ended if i]:
+                cut(min(ended))
+            if name in VOID or attrs.rstrip().endswith("/"):
+                continue
+            _, path, container, mark, inside, linked, heading = stack[-1]
+            inside = inside or name in WHOLE
+            if mark is not None:
+                hidden, told = aside(name, attrs if _TELLING.search(attrs) else "", inside)
+                if hidden:
+                    mark = None
+                elif told is not None:
+                    self.marks.append(mark)
+                    mark = len(self.marks) - 1
+                if name in CONTAINER or name in WHOLE:
+                    self.containers.append(container)
+                    self.whole.append(name in WHOLE)
+                    container = len(self.containers) - 1
+                if name not in INLINE:
+                    step = (path, name if told is None else f"{name}!{told}")
+                    path = self.paths.setdefault(step, len(self.paths) + 1)
+            places.setdefault(name, []).append(len(stack))
+            if name in _LIMITS:
+                bounds.append(len(stack))
+            stack.append((name, path, container, mark, inside, linked or name == "a", heading or name in HEADINGS))
+        text(html[at:])
+
+
+def depths(parents: list[int]) -> list[int]:
+    out = [0] * len(parents)
+    for i in range(1, len(parents)):
+        out[i] = out[parents[i]] + 1
+    return out
+
+
+def path_scores(blocks: list[list], marks: list[int]) -> dict[int, float]:
+    """Fused ratio of each path: characters a block times one plus punctuation a block, less for marks around it."""
+    sums: dict[int, list[float]] = {}
+    for path, *_, chars, punctuation, _ in blocks:
+        own = sums.setdefault(path, [0, 0, 0])
+        own[0] += 1
+        own[1] += chars
+        own[2] += punctuation
+    deep = depths(marks)
+    around = {b[0]: deep[b[2]] for b in blocks}
+    return {path: chars / n * (1 + punctuation / n) / MARK ** min(MARKS, around[path]) for path, (n, chars, punctuation) in sums.items()}
+
+
+def smoothed(scores: list[float], runs: list) -> list[float]:
+    """Weighted mean of each score and its two neighbours on either side, of the same run (container and mark) only."""
+    out, n = [], len(scores)
+    for i in range(n):
+        total = weight = 0.0
+        for d, w in ((-2, 1), (-1, 2), (0, 4), (1, 2), (2, 1)):
+            if 0 <= i + d < n and runs[i + d] == runs[i]:
+                total += w * scores[i + d]
+                weight += w
+        out.append(total / weight)
+    return out
+
+
+def content_blocks(blocks: list[list], marks: list[int]) -> list[bool]:
+    """Which blocks are content: those of the paths whose smoothed score reaches the standard deviation of the scores,
+    and half of the score that a character has on average."""
+    score = path_scores(blocks, marks)
+    near = smoothed([score[b[0]] for b in blocks], [(b[1], b[2]) for b in blocks])
+    mean = sum(near) / len(near)
+    spread = sqrt(sum((x - mean) ** 2 for x in near) / len(near))
+    of_path: dict[int, list[float]] = {}
+    for b, x in zip(blocks, near):
+        of_path.setdefault(b[0], []).append(x)
+    fused = {path: sum(x) / len(x) for path, x in of_path.items()}
+    usual = sum(b[5] * x for b, x in zip(blocks, near)) / sum(b[5] for b in blocks)
+    least = min(max(spread, usual / 2), max(fused.values()))
+    return [fused[b[0]] >= least and b[5] > 0 for b in blocks]
+
+
+def summed(values: list[float], parents: list[int]) -> list[float]:
+    """Sums over subtrees; parents come before their children."""
+    out = values[:]
+    for i in range(len(parents) - 1, 0, -1):
+        out[parents[i]] += out[i]
+    return out
+
+
+def main_text(html: str | None) -> str:
+    """The page's text, its blocks joined by \\n; empty if no block has text outside links."""
+    page = Page(html or "")
+    blocks, parents = [b for b in page.blocks if any(p != " " for p in b[4])], page.containers
+    if not any(b[5] for b in blocks):
+        return ""
+    content = content_blocks(blocks, page.marks)
+
+    def over(parents, column, size, keep):
+        own = [0.0] * len(parents)
+        for b, c in zip(blocks, content):
+            if keep(b, c):
+                own[b[column]] += b[size]
+        return summed(own, parents)
+
+    # A mark that holds content is none; nor is one around it.
+    live = over(page.marks, 2, 5, lambda b, c: c)
+    dead = [False] * len(page.marks)
+    for i in range(1, len(page.marks)):
+        dead[i] = dead[page.marks[i]] or not live[i]
+    held = over(parents, 1, 5, lambda b, c: c)
+    other = over(parents, 1, 7, lambda b, c: not (c or b[3] or dead[b[2]]))
+    chosen = max(i for i in range(len(parents)) if held[i] >= SHARE * held[0])
+    up = chosen
+    while up:
+        up = parents[up]
+        if page.whole[up] or other[up] == other[chosen]:
+            chosen = up
+    inside, around = [False] * len(parents), {chosen}
+    while (i := parents[min(around)]) >= 0:
+        around.add(i)
+    homes = {b[1] for b, c in zip(blocks, content) if c} - around | {chosen}
+    for i in range(len(parents)):
+        inside[i] = i in homes or i > 0 and inside[parents[i]]
+    kept = ("".join(b[4]) for b, c in zip(blocks, content) if (inside[b[1]] or c) and not dead[b[2]])
+    lines = (re.sub(" +", " ", x).strip(" ") for x in kept)
+    return "\n".join(x for x in lines if x)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (its code points) in place of ``html``.
 
-    A null, empty or textless page has an empty text. Repeated rows stay repeated; other columns stay, but for
-    ones named text, n_chars or _nodes.
+    A null, empty or textless page has an empty text; a page of any length is read whole. Repeated rows stay
+    repeated, an empty table stays empty; other columns stay, but for ones named text or n_chars. Of containers that
+    hold as much of the content, the innermost and last one is taken.
     """
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars", "_nodes")]
-    step = parsed(pages, html).select(*kept, main_text(F.col("_nodes")).alias("text"))
-    return step.select(*kept, "text", F.length("text").cast("long").alias("n_chars"))
+    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    small_batches(pages.sparkSession)
+    texts = F.udf(main_text, "string", useArrow=True)
+    step = pages.select(*[F.col(f"`{c}`") for c in kept], texts(F.col(f"`{html}`")).alias("text"))
+    return step.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:
