@@ -26,6 +26,29 @@ def test_counts_equal_the_library():
     assert tokencount.count_texts(texts, counts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_emissions_by_prefix():
+    """The transducer's emission after every byte is the library's count of that prefix, runs and odd bytes among them."""
+    library, counts = Tokenizer.from_file(BPE).model, tokencount.PieceCounts(BPE)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aabe\u0120tin-=") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    words += ["".join(rng.choice(list(counts.letters.values())) for _ in range(12)) for _ in range(200)] + ["a" * 300, "-" * 300, "\u0120" * 300, "ab" * 150]
+    first, sizes, _, _, emitted = counts.tokens.fold(words)
+    for word, at, n in zip(words, first.tolist(), sizes.tolist()):
+        assert emitted[at : at + n].tolist() == [len(library.tokenize(word[: i + 1])) for i in range(n)]
+
+
+def test_full_caches(monkeypatch):
+    """Pieces and pairs beyond what is kept count all the same."""
+    monkeypatch.setattr(tokencount, "CACHE", 50)
+    monkeypatch.setattr(tokencount, "LONG", 40)
+    monkeypatch.setattr(pieces, "KNOWN", 100)
+    library, counts = Tokenizer.from_file(BPE), tokencount.PieceCounts(BPE)
+    for seed in (1, 2, 3):
+        texts = mixtures(300, seed) + ["x" * 200, "word " * 30]
+        assert tokencount.count_texts(texts, counts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(counts) <= 400
+
+
 def test_classes_are_the_library_s():
     rng, split = random.Random(3), Tokenizer.from_file(BPE).pre_tokenizer
     kinds = tokencount.class_table(BPE)

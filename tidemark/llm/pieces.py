@@ -11,6 +11,7 @@ no scores. Characters outside the table are spelled in byte pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 from itertools import repeat
 
@@ -24,6 +25,8 @@ from tidemark.llm.jaccard import mix
 SPACE = "▁"
 #: Distinct words whose pieces a task keeps.
 CACHE = 120_000
+#: Pairs of pieces that a table keeps.
+KNOWN = 1_000_000
 #: Ids from here on are characters that are no piece.
 UNKNOWN = 1 << 20
 
@@ -42,27 +45,14 @@ class Hashes:
         return (self.sums[start + n] - self.sums[start]) * self.back[start]
 
 
-class Known(dict):
-    """A function's values; the first 200,000 are kept."""
-
-    def __init__(self, function):
-        self.function = function
-
-    def __missing__(self, key: int) -> bool:
-        value = self.function(key)
-        if len(self) < 200_000:
-            self[key] = value
-        return value
-
-
-def merged(word: str, rank: dict) -> tuple[list[str], tuple[str, str] | None]:
+def merged(word: str, rank: Callable[[str, str], int | None]) -> tuple[list[str], tuple[str, str] | None]:
     """Pieces of ``word`` by merging its best pair, the leftmost of equals, again and again, and the last pair merged.
 
-    Pairs wait in a heap; one whose parts have changed meanwhile is passed over. n characters take n log n steps.
+    ``rank(a, b)`` is the place of that merge, None if there is none. Pairs wait in a heap; one whose parts have changed meanwhile is passed over. n characters take n log n steps.
     """
     parts: list[str | None] = list(word)
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get(a + b)) is not None]
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a, b)) is not None]
     heapify(heap)
     last = None
     while heap:
@@ -75,27 +65,21 @@ def merged(word: str, rank: dict) -> tuple[list[str], tuple[str, str] | None]:
         after[i] = k = after[j]
         if k < len(parts):
             before[k] = i
-            if (r := rank.get(a + b + parts[k])) is not None:
+            if (r := rank(a + b, parts[k])) is not None:
                 heappush(heap, (r, i, a + b, parts[k]))
-        if (h := before[i]) >= 0 and (r := rank.get(parts[h] + a + b)) is not None:
+        if (h := before[i]) >= 0 and (r := rank(parts[h], a + b)) is not None:
             heappush(heap, (r, h, parts[h], a + b))
     return [x for x in parts if x is not None], last
 
 
-class PieceTable:
-    """The pieces of a BPE model file, which of them stand alone, and which may follow each other."""
+class Lattice:
+    """The pieces of a BPE vocabulary that their own merges reach, which may follow each other, and the fold over words.
 
-    def __init__(self, path: str):
-        import sentencepiece
+    ``names``: pieces by id; ``ids``: those that take part in merging; ``rank``: see merged.
+    """
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        kept = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.pieces = [model.id_to_piece(i) for i in range(model.vocab_size())]
-        self.ids = {self.pieces[i]: i for i in kept}
-        scores = sorted({model.get_score(i) for i in kept}, reverse=True)
-        place = {s: n for n, s in enumerate(scores)}
-        self.rank = {self.pieces[i]: place[model.get_score(i)] for i in kept}
-        self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
+    def __init__(self, names: list[str], ids: dict[str, int], rank: Callable[[str, str], int | None]):
+        self.pieces, self.ids, self.rank = names, ids, rank
         self.split: dict[str, tuple[str, str] | None] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         #: Pieces of two or more characters that their own merges reach, by length: sorted hashes and ids.
@@ -110,13 +94,8 @@ class PieceTable:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.chars[ord(piece)] = i
-        letters = sorted({c for p in self.ids if len(p) > 1 for c in p})
-        self.letter = np.zeros(0x110000, np.uint16)
-        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.bridged = np.zeros((len(letters) + 1, len(letters) + 1), bool)
-        for a, b in {(a, b) for p in self.ids for a, b in zip(p, p[1:])}:
-            self.bridged[self.letter[ord(a)], self.letter[ord(b)]] = True
-        self.known = Known(lambda k: self.may_follow(self.name(k >> 22), self.name(k & (1 << 22) - 1)))
+        #: Pairs of ids that were asked for, sorted, and whether the second may follow the first; those not yet sorted in.
+        self.known, self.fresh = (np.zeros(1, np.int64), np.zeros(1, bool)), []
 
     @staticmethod
     def _sorted(values: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +131,7 @@ class PieceTable:
             halves = self.halves(part)
             if not halves:
                 break
-            limit = self.rank[part]
+            limit = self.rank(*halves)
             part = halves[side]
         if len(piece) > 1:
             self.spines[side][piece] = out
@@ -167,33 +146,37 @@ class PieceTable:
         rank = self.rank
         for b, bt in self.spine(right, 0):
             for a, at in self.spine(left, 1):
-                r = rank.get(a + b)
+                r = rank(a, b)
                 if r is not None and r < at and r <= bt:
                     return False
         return True
 
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """The words of nonempty texts: cut between characters that no piece holds side by side."""
-        body = "".join(texts)
-        if not body:
-            return []
-        kinds = self.letter[np.frombuffer(body.encode("utf-32-le"), np.uint32)]
-        cut = np.ones(len(kinds) + 1, bool)
-        cut[1:-1] = ~self.bridged[kinds[:-1], kinds[1:]]
-        ends = np.cumsum([len(t) for t in texts])
-        cut[ends] = True
-        at = np.flatnonzero(cut)
-        split = [body[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
-        upto = np.searchsorted(at, ends).tolist()
-        return [split[a:b] for a, b in zip([0, *upto], upto)]
-
     def name(self, i: int) -> str:
         return self.pieces[i] if i < UNKNOWN else chr(i - UNKNOWN)
 
     def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """may_follow by id, for arrays; pairs are worked out once."""
-        unique, back = np.unique(left << 22 | right, return_inverse=True)
-        return np.fromiter(map(self.known.__getitem__, unique.tolist()), bool, len(unique))[back]
+        pairs = left << 22 | right
+        keys, values = self.known
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        out, found = values[at], keys[at] == pairs
+        if not found.all():
+            missing = np.flatnonzero(~found)
+            new, back = np.unique(pairs[missing], return_inverse=True)
+            fits = np.array([self.may_follow(self.name(k >> 22), self.name(k & (1 << 22) - 1)) for k in new.tolist()])
+            out[missing] = fits[back]
+            self.fresh.append((new, fits))
+            if sum(len(x) for x, _ in self.fresh) > len(keys) // 4:  # merged now and then, so that this stays linear
+                self._settle()
+        return out
+
+    def _settle(self) -> None:
+        """Take the new pairs in; a million pairs are kept at most, then it starts anew."""
+        keys, values = (np.concatenate(c) for c in zip(self.known, *self.fresh))
+        keys, first = np.unique(keys, return_index=True)
+        self.known, self.fresh = (keys, values[first]), []
+        if len(keys) > KNOWN:
+            self.known = np.zeros(1, np.int64), np.zeros(1, bool)
 
     def edges(self, points: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lattice of words laid end to end: (start, end, id) of every substring that is a piece.
@@ -214,8 +197,9 @@ class PieceTable:
             out.append((start[hit], start[hit] + n, ids[hit]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
-    def paths(self, words: list[str]) -> list[list[int]]:
-        """Fold the lattices of many words at once over end positions, then go back from the ends."""
+    def fold(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fold the lattices of many words at once over end positions, words laid end to end: the first position of
+        each word, its length, and at each position the last piece of what ends there, its start and the number of pieces."""
         sizes = np.array([len(w) for w in words])
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         first = np.cumsum(sizes) - sizes
@@ -224,14 +208,21 @@ class PieceTable:
         depth = stop - of[start]
         order = np.argsort(depth, kind="stable")
         start, stop, ids, depth = start[order], stop[order], ids[order], depth[order]
-        last, begun = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+        last, begun, count = (np.zeros(len(points), np.int64) for _ in range(3))
         cuts = np.searchsorted(depth, np.arange(1, sizes.max() + 2))
         for a, b in zip(cuts, cuts[1:]):
             s, e, i = start[a:b], stop[a:b], ids[a:b]
             fits = s == of[s]
             inner = np.flatnonzero(~fits)
             fits[inner] = self.fit(last[s[inner] - 1], i[inner])
-            last[e[fits] - 1], begun[e[fits] - 1] = i[fits], s[fits]
+            s, e = s[fits], e[fits] - 1
+            last[e], begun[e] = i[fits], s
+            count[e] = 1 + np.where(s == of[s], 0, count[s - 1])
+        return first, sizes, last, begun, count
+
+    def paths(self, words: list[str]) -> list[list[int]]:
+        """The pieces of each word, read back from its end."""
+        first, sizes, last, begun, _ = self.fold(words)
         own, cur, steps = np.arange(len(words)), first + sizes, []
         while len(own):
             steps.append((own, last[cur - 1]))
@@ -245,6 +236,48 @@ class PieceTable:
         cut = [0, *np.cumsum(np.bincount(word, minlength=len(words))).tolist()]
         return [flat[a:b] for a, b in zip(cut, cut[1:])]
 
+    def counts(self, words: list[str]) -> list[int]:
+        """The number of pieces of each word."""
+        first, sizes, _, _, count = self.fold(words)
+        return count[first + sizes - 1].tolist()
+
+
+class PieceTable(Lattice):
+    """The lattice of a SentencePiece BPE model file."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kept = [i for i in range(model.vocab_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        names = [model.id_to_piece(i) for i in range(model.vocab_size())]
+        scores = sorted({model.get_score(i) for i in kept}, reverse=True)
+        place = {s: n for n, s in enumerate(scores)}
+        ranks = {names[i]: place[model.get_score(i)] for i in kept}
+        self.byte_ids = {int(names[i][1:-1], 16): i for i in range(model.vocab_size()) if model.is_byte(i)}
+        super().__init__(names, {names[i]: i for i in kept}, lambda a, b: ranks.get(a + b))
+        letters = sorted({c for p in self.ids if len(p) > 1 for c in p})
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.bridged = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for a, b in {(a, b) for p in self.ids for a, b in zip(p, p[1:])}:
+            self.bridged[self.letter[ord(a)], self.letter[ord(b)]] = True
+
+    def words(self, texts: list[str]) -> list[list[str]]:
+        """The words of nonempty texts: cut between characters that no piece holds side by side."""
+        body = "".join(texts)
+        if not body:
+            return []
+        kinds = self.letter[np.frombuffer(body.encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(kinds) + 1, bool)
+        cut[1:-1] = ~self.bridged[kinds[:-1], kinds[1:]]
+        ends = np.cumsum([len(t) for t in texts])
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        split = [body[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+        upto = np.searchsorted(at, ends).tolist()
+        return [split[a:b] for a, b in zip([0, *upto], upto)]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         out: dict[str, list[int]] = {}
         # A run of marks has pieces of equal rank only, which the spines cannot order; it is merged directly.

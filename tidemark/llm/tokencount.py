@@ -1,12 +1,14 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The tokenizer's splitting rule is compiled to a deterministic transducer over character classes whose
-transitions are annotated with the word pieces they open. Texts are cut in chunks; every chunk's state
-map (end state for each start state) is computed for all chunks at once, the maps are composed by a
-parallel prefix scan, and a second pass with known start states reads the annotations. On leaving a
-piece the transducer emits that piece's token count; this last level is compiled lazily, one entry for
-each distinct piece, from the merges of the tokenizer file itself. (Merges alone are not finite-state:
-how far a byte reaches depends on whole pieces, which have no bound.)
+Two transducers read a text one after the other. The first is the tokenizer's splitting rule, compiled to a
+deterministic transducer over character classes whose transitions are annotated with the word pieces they open.
+Texts are cut in chunks; every chunk's state map (end state for each start state) is computed for all chunks at
+once, the maps are composed by a parallel prefix scan, and a second pass with known start states reads the
+annotations. The second reads the bytes of a piece; it starts anew with each piece, so the scan settles its start
+states too. Its state is the last token of what was read, which every prefix has exactly one of, and its
+transitions are annotated with the tokens emitted so far: a token that ends here adds one to the tokens of the
+prefix that it follows, if the two may stand side by side, which is read off their merge trees. It runs over all new
+pieces of a batch in step, and a worker keeps the counts of CACHE pieces that it has met.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, table
+from tidemark.llm.pieces import Lattice, merged
 
 CHUNK = 64
-#: Distinct pieces whose counts a task keeps.
+#: Distinct pieces whose counts a worker keeps.
 CACHE = 400_000
+#: Bytes from which a piece is merged alone: steps of the transducer are shared by all pieces that are as long.
+LONG = 4_096
 
 # Character classes: letters that contractions use are classes of their own.
 SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, END1, R_OR_V, L_, E_ = range(10)
@@ -148,33 +153,47 @@ def piece_starts(texts: list[str], classes: np.ndarray) -> list[np.ndarray]:
 
 
 class PieceCounts(dict):
-    """Token counts of pieces, the exit transitions' emissions, compiled on first sight."""
+    """Token counts of pieces, emitted by the transducer over their bytes."""
 
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        self.model, self.classes = tokenizer.model, class_table(path)
+        self.classes = class_table(path)
         with open(path) as f:
             spec = json.load(f)
         split, model = spec["pre_tokenizer"] or {}, spec["model"]
-        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and model["type"] == "BPE" and not spec["normalizer"] and not model.get("dropout")
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and model["type"] == "BPE" and not spec["normalizer"] and not model.get("dropout") and not model.get("ignore_merges")
         if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("the compiled splitter is that of byte-level BPE tokenizers without normalizer")
         self.added = [t["content"] for t in spec["added_tokens"]]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        names = [""] * (max(model["vocab"].values()) + 1)
+        for piece, i in model["vocab"].items():
+            names[i] = piece
+        ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        own = {p: i for p, i in model["vocab"].items() if p not in self.added}
+        self.rank = lambda a, b: ranks.get((a, b))
+        self.tokens = Lattice(names, own, self.rank)
+
+    def add(self, pieces: set[str]) -> set[str]:
+        """Count the new ones among ``pieces``; those to forget after use are returned, as CACHE holds no more."""
+        new = {p: p.encode().decode("latin-1").translate(self.letters) for p in pieces.difference(self)}
+        short = [p for p, spelt in new.items() if len(spelt) < LONG]
+        for at in range(0, len(short), 20_000):
+            own = short[at : at + 20_000]
+            self.update(zip(own, self.tokens.counts([new[p] for p in own])))
+        for p, spelt in new.items():
+            if len(spelt) >= LONG:
+                self[p] = len(merged(spelt, self.rank)[0])
+        return set(new) if len(self) > CACHE else set()
+
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
+@lru_cache(1)
+def piece_counts(path: str) -> PieceCounts:
+    """One for all tasks of a worker."""
+    return PieceCounts(path)
 
 
 def count_texts(texts: list[str | None], counts: PieceCounts) -> list[int]:
@@ -193,9 +212,13 @@ def count_texts(texts: list[str | None], counts: PieceCounts) -> list[int]:
                 parts.append(part)
                 owner.append(i)
     if parts:
-        for i, text, at in zip(owner, parts, piece_starts(parts, counts.classes)):
-            at = at.tolist()
-            total[i] += sum(map(counts.__getitem__, [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]))
+        starts = [at.tolist() for at in piece_starts(parts, counts.classes)]
+        split = [[text[a:b] for a, b in zip(at, [*at[1:], len(text)])] for text, at in zip(parts, starts)]
+        passing = counts.add({piece for pieces in split for piece in pieces})
+        for i, pieces in zip(owner, split):
+            total[i] += sum(map(counts.__getitem__, pieces))
+        for piece in passing:
+            del counts[piece]
     return total
 
 
@@ -208,10 +231,10 @@ def token_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
 
     def start():
         if path:
-            return PieceCounts(path)
+            return piece_counts(path)
         import public_tokenizers
 
-        return PieceCounts(public_tokenizers.path("byte_bpe_50k.json"))
+        return piece_counts(public_tokenizers.path("byte_bpe_50k.json"))
 
     def counted(cols, counts):
         texts, out = cols["text"], []
