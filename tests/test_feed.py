@@ -80,9 +80,16 @@ def test_stream(spark, tmp_path):
     run()
     log = Store(spark, str(tmp_path / "s")).read("news_changes")
     assert log.count() == 5 and log.select("news_id").distinct().count() == 4
-    tail = stream.tail(spark, str(tmp_path / "s")).writeStream.format("memory").queryName("tailed").trigger(availableNow=True).start()
-    tail.awaitTermination(60)
-    assert spark.table("tailed").count() == 5
+    tailed = []
+    follow = lambda: stream.tail(spark, str(tmp_path / "s"), str(tmp_path / "t"), lambda rows, _: tailed.extend(rows.collect())).awaitTermination(60)
+    follow()
+    assert len(tailed) == 5
+    log.limit(3).write.parquet(str(tmp_path / "s" / "news_changes" / "commit=9"))  # a commit that failed before its marker
+    follow()
+    assert len(tailed) == 5
+    Store(spark, str(tmp_path / "s")).commit({"news_changes": log.limit(2)})
+    follow()
+    assert len(tailed) == 7
     assert stream.activity(log).agg(F.sum("n")).first()[0] == 5
 
 

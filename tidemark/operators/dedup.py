@@ -112,17 +112,33 @@ def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
     return out.select("pos", F.when(F.col("canonical"), F.col("pos")).otherwise(F.col("m.owner")).alias("canonical"), F.when(~F.col("canonical"), names).alias("matched"))
 
 
-def match_exact(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(pos, news_id) of incoming items that an existing entity's hash or canonical URL matches, smallest id first."""
+def exact_keys(items: DataFrame) -> DataFrame:
+    """(pos, rank, key) that an item asks for: content hash, legacy hash, canonical URL. Hashes share one name space."""
+    keys = items.select("pos", F.posexplode(F.array("content_hash", "legacy_hash", F.concat(F.lit("url:"), "url_key"))).alias("rank", "key"))
+    return keys.where("key <> 'url:'")
+
+
+def exact_hits(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """(pos, rank, news_id): the existing entity with the smallest id behind each key of an incoming item."""
     keys = existing.select("news_id", F.explode(F.array("content_hash", F.concat(F.lit("url:"), "url_key"))).alias("key"))
     owner = keys.groupBy("key").agg(F.min("news_id").alias("news_id"))
-    asked = incoming.select("pos", F.posexplode(F.array("content_hash", "legacy_hash", F.concat(F.lit("url:"), "url_key"))).alias("rank", "key"))
-    return asked.join(owner, "key").groupBy("pos").agg(F.min_by("news_id", "rank").alias("news_id"))
+    return exact_keys(incoming).join(owner, "key").select("pos", "rank", "news_id")
+
+
+def match_exact(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """(pos, news_id) of incoming items that an existing entity's hash or canonical URL matches, by priority of the keys."""
+    return exact_hits(incoming, existing).groupBy("pos").agg(F.min_by("news_id", "rank").alias("news_id"))
+
+
+def match_any(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """(pos, news_id) of incoming items with any key of an existing entity: the smallest id of all, as a single insert asks."""
+    return exact_hits(incoming, existing).groupBy("pos").agg(F.min("news_id").alias("news_id"))
 
 
 def url_or_title_batch(items: DataFrame) -> DataFrame:
-    """The order-free batch variant: URLs are global, titles by day, no hashes. (pos, canonical)."""
-    return greedy(items.withColumns({"content_hash": F.concat(F.lit("pos:"), F.col("pos").cast("string")), "legacy_hash": F.concat(F.lit("pos:"), F.col("pos").cast("string"))})).select("pos", "canonical")
+    """The batch variant without hashes: URLs are global, titles by day, first come first kept. (pos, canonical)."""
+    own = F.concat(F.lit("pos:"), F.col("pos").cast("string"))
+    return greedy(items.withColumns({"content_hash": own, "legacy_hash": own})).select("pos", "canonical")
 
 
 def duplicate_effect(observation_new: Column, tickers_changed: Column) -> Column:

@@ -4,23 +4,51 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.hashes import change_hash, observation_hash
-from tidemark.functions.text import merge_tickers
+from tidemark.functions.text import merge_tickers, normalize_title
 from tidemark.functions.times import utc_text
 from tidemark.operators import changes as log
-from tidemark.operators.dedup import greedy, match_exact, similar_pairs, written
-from tidemark.operators.schema import CHANGES, struct
+from tidemark.operators.dedup import exact_hits, exact_keys, greedy, similar_pairs
+from tidemark.operators.schema import TABLES, struct
 from tidemark.operators.store import Store, new_only, numbered
+from tidemark.scratch import written
 
 RECORDS = "source string, title string, summary string, url string, image_url string, published_at string, source_tickers array<string>"
 #: Latest entities that similar titles of a batch are compared with.
 POOL = 2_000
 
 
+def resolved(items: DataFrame, entities: DataFrame, first: int, pool: int = POOL) -> DataFrame:
+    """(pos, news_id, is_new): the entity of every item of a batch, numbered from ``first`` where it is new.
+
+    ``items(pos, content_hash, legacy_hash, url_key, bucket, title)`` from position 1, ``entities(news_id, content_hash,
+    url_key, bucket, title, recency)``. An item asks content hash, legacy hash and URL, of all entities and of the new
+    ones before it in the batch, then the titles of the ``pool`` latest entities, newest first, then those of the new
+    ones before it. Only items that match nothing become new and register their keys.
+    """
+    hits = exact_hits(items, entities).select("pos", F.struct("rank", F.lit(0).cast("long").alias("order"), "news_id").alias("owner"))
+    latest = entities.orderBy(F.desc("recency"), "news_id").limit(pool)  # one task numbers pool rows
+    latest = written(latest.withColumn("pos", (F.row_number().over(Window.orderBy(F.desc("recency"), "news_id")) - pool - 1).cast("long")), "pool")
+    both = latest.select("pos", "bucket", "title").union(items.select("pos", "bucket", "title"))
+    # Positions in the pool come before those of the batch; the joins keep pairs of an item with an entity.
+    pairs = similar_pairs(both).join(latest.select(F.col("pos").alias("prior"), "news_id"), "prior").join(items.select("pos"), "pos", "left_semi")
+    titles = pairs.groupBy("pos").agg(F.min(F.struct(F.lit(3).alias("rank"), F.col("prior").alias("order"), "news_id")).alias("owner"))
+    old = written(hits.unionByName(titles), "old")
+    held = old.select("pos").distinct()
+    fresh = written(greedy(items.join(held, "pos", "left_anti")), "fresh")
+    named = written(numbered(fresh.where("pos = canonical").select("pos"), "news_id", first, "pos"), "named")
+    # What an entity or the pool matches may still share a better key with a new item before it.
+    asked = exact_keys(items)
+    keys = asked.join(named, "pos").groupBy("key").agg(F.min(F.struct(F.col("pos").alias("order"), "news_id")).alias("new"))
+    batch = asked.join(held, "pos").join(keys, "key").where("new.order < pos").select("pos", F.struct("rank", F.col("new.order").alias("order"), F.col("new.news_id").alias("news_id")).alias("owner"))
+    owned = old.unionByName(batch).groupBy("pos").agg(F.min("owner").alias("owner")).select("pos", F.col("owner.news_id").alias("news_id"), F.lit(False).alias("is_new"))
+    return owned.union(fresh.join(named.withColumnRenamed("pos", "canonical"), "canonical").select("pos", "news_id", (F.col("pos") == F.col("canonical")).alias("is_new")))
+
+
 def ingest(store: Store, prepared: DataFrame, now: datetime | None = None, batch: int | None = None) -> dict[str, int]:
     """One batch of prepared records (feeds.prepared) into the store; {inserted, duplicates}.
 
@@ -29,28 +57,15 @@ def ingest(store: Store, prepared: DataFrame, now: datetime | None = None, batch
     A batch number that is already committed is skipped, so a replay adds nothing.
     """
     now = now or datetime.now(UTC)
-    spark, at = store.spark, F.lit(now)
+    at = F.lit(now)
     if batch is not None and any(c.get("batch") == batch for c in store.commits()):
         return {"inserted": 0, "duplicates": 0}
-    fields = ("content_hash", "legacy_hash")
-    items = written(numbered(prepared, "pos", 1_000_000_000, *(["_at"] if "_at" in prepared.columns else ["fetched_at", "url", "title"])), "batch")
-    from tidemark.functions.text import normalize_title
-
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    shape = lambda df: df.select("pos", *fields, F.col("url").alias("url_key"), day(F.coalesce("published_at", "fetched_at")).alias("bucket"), normalize_title(F.col("title")).alias("title"))
+    items = written(numbered(prepared, "pos", 1, *(["_at"] if "_at" in prepared.columns else ["fetched_at", "url", "title"])), "batch")
     entities = written(log.state_as_of(store.read("news_changes"), live=True), "entities")
-    exact = match_exact(shape(items), entities.select("news_id", "content_hash", F.col("url").alias("url_key")))
-    latest = entities.orderBy(F.desc(F.coalesce("published_at", "fetched_at")), "news_id").limit(POOL)
-    recent = shape(latest.withColumns({"pos": F.col("news_id"), "legacy_hash": F.col("content_hash")}))
-    both = recent.unionByName(shape(items))
-    old = similar_pairs(both).where("pos >= 1000000000 AND prior < 1000000000").groupBy("pos").agg(F.min("prior").alias("similar"))
-    known = written(items.select("pos").join(exact, "pos", "left").join(old, "pos", "left").select("pos", F.coalesce("news_id", "similar").alias("news_id")), "known")
-    fresh = greedy(shape(items.join(known.where("news_id IS NULL").select("pos"), "pos")))
-    fresh = written(fresh, "fresh")
-    first = store.next_of("news_changes", "news_id")
-    named = numbered(fresh.where("pos = canonical").select("pos"), "news_id", first, "pos")
-    owner = known.where("news_id IS NOT NULL").union(fresh.join(named.withColumnRenamed("pos", "canonical"), "canonical").select("pos", "news_id"))
-    rows = written(items.join(owner, "pos").join(named.select("pos", F.lit(True).alias("is_new")), "pos", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False))), "rows")
+    when = F.coalesce("published_at", "fetched_at")
+    shape = [F.col("url").alias("url_key"), F.date_format(when, "yyyy-MM-dd").alias("bucket"), normalize_title(F.col("title")).alias("title")]
+    owner = resolved(items.select("pos", "content_hash", "legacy_hash", *shape), entities.select("news_id", "content_hash", *shape, when.alias("recency")), store.next_of("news_changes", "news_id"))
+    rows = written(items.join(owner, "pos"), "rows")
 
     seen = rows.select(F.col("news_id").alias("canonical_news_id"), "source", "original_title", "original_url", "source_tickers", at.alias("observed_at"), observation_hash(F.col("source"), F.col("original_title"), F.col("original_url"), F.col("source_tickers")).alias("observation_hash"), "pos")
     seen = written(new_only(seen, store.read("news_source_observations"), ["canonical_news_id", "observation_hash"]), "seen")
@@ -65,7 +80,6 @@ def ingest(store: Store, prepared: DataFrame, now: datetime | None = None, batch
     notes = numbered(seen.drop("pos"), "observation_id", store.next_of("news_source_observations", "observation_id"), "canonical_news_id", "observation_hash")
     inserted, total = rows.where("is_new").count(), rows.count()
     store.commit({"news_changes": out, "news_source_observations": notes}, batch)
-    spark.catalog.clearCache()
     return {"inserted": inserted, "duplicates": total - inserted}
 
 
@@ -79,9 +93,22 @@ def start(spark: SparkSession, landed: str, store_path: str, checkpoint: str, pr
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def tail(spark: SparkSession, store_path: str) -> DataFrame:
-    """The change log as a stream: Structured Streaming's own offsets are the reader's checkpoint."""
-    return spark.readStream.schema(struct(CHANGES)).option("recursiveFileLookup", True).parquet(f"{store_path}/news_changes")
+def tail(spark: SparkSession, store_path: str, checkpoint: str, handle, table: str = "news_changes", interval: str | None = None) -> StreamingQuery:
+    """Follow a table: ``handle(rows, batch)`` gets the rows of the commits that became visible since the last call.
+
+    The stream is the store's markers, so rows of failed, unfinished or rewritten commits are never read; Structured
+    Streaming's own offsets are the reader's checkpoint. A rewrite is passed on as the rows it leaves.
+    """
+
+    def read(markers: DataFrame, batch: int) -> None:
+        commits = sorted(r["commit"] for r in markers.where(F.array_contains("tables", table)).select("commit").collect())  # new commits alone
+        last = max((r["commit"] for r in markers.where(F.array_contains("rewrites", table)).select("commit").collect()), default=0)
+        if paths := [f"{store_path.rstrip('/')}/{table}/commit={n}" for n in commits if n >= last]:
+            handle(markers.sparkSession.read.schema(struct(TABLES[table])).parquet(*paths), batch)
+
+    raw = spark.readStream.schema("commit long, batch long, tables array<string>, rewrites array<string>").json(f"{store_path.rstrip('/')}/_commits")
+    writer = raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(read)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
 def activity(changes: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
