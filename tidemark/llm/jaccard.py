@@ -249,11 +249,13 @@ def _small_pairs(met: DataFrame) -> DataFrame:
     return members.select("w", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("w").alias("w")).where(F.col("w") >= AGREE - DROP).select("a", "b")
 
 
-def _centre_pairs(tiles: DataFrame) -> DataFrame:
-    """(a, b): every member of a tile with the tile's centre, the member that meets most others."""
+def _centred(tiles: DataFrame, tmp: Scratch) -> DataFrame:
+    """``tiles`` with the centre of each tile, the member that meets most others. Every join is of two plain tables, so
+    that Spark may split a large tile."""
+    tiles = tmp.written(tiles, "members")
     score = tiles.groupBy("rep").agg(F.sum(F.col("m") * F.col("times")).alias("score"))
-    centre = tiles.join(score, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("centre"))
-    return tiles.join(centre, "key")
+    centre = tiles.join(score, "rep").groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("r"))).alias("c"))
+    return tmp.written(tiles.join(tmp.written(centre.select("key", (-F.col("c.r")).alias("centre")), "centres"), "key"), "tiles")
 
 
 def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
@@ -345,10 +347,10 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
         large = met.where("NOT few")
         mark = large.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
         one = tmp.written(mark.groupBy((F.col("key") % 2 != 0).alias("prefix"), "m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "m", "times"), "one")
-        tiles = tmp.written(_centre_pairs(large.join(one, "key")), "tiles")
+        tiles = _centred(large.join(one, "key"), tmp)
         centre = tiles.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
         first = tmp.written(_small_pairs(met).union(centre).distinct(), "pairs")
-        tmp.drop("met", "one")
+        tmp.drop("met", "one", "members", "centres")
 
         wanted = tmp.written(first.select(F.col("a").alias("id")).union(first.select("b")).union(tiles.select("rep")).distinct(), "wanted")
         sets = map_batches(_picked(source, wanted), drawn, "rep long, n long, d1 long, d2 long, bits binary, h binary", lambda: {"words": WordHashes(), "seen": set()})
