@@ -25,10 +25,11 @@ def required(value: Column, field: str) -> Column:
 
 
 def utc_text(value: Column) -> Column:
-    """ISO text ending in Z: no fraction where it is zero, else six digits."""
+    """ISO text ending in Z, whatever the session's zone: no fraction where it is zero, else six digits."""
+    wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.cast("timestamp_ntz"))
     micros = F.pmod(F.unix_micros(value), F.lit(1_000_000))
     fraction = F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
-    return F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
 
 
 def day_bucket(published: Column) -> Column:

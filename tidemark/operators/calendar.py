@@ -32,19 +32,22 @@ def normalized(raw: DataFrame) -> DataFrame:
     return rows.where((F.col("date") != "") & (F.col("title") != "") & F.col("country_code").isin(*MAJORS) & (F.col("impact").isin("high", "medium") | (F.col("actual") != "")))
 
 
-def snapshot_events(events: DataFrame) -> DataFrame:
-    """Detail rows: valid events with ids, UTC times, content hashes and ordinals by time, then id."""
+def snapshot_events(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Detail rows: valid events with ids, UTC times, content hashes and ordinals by time, then id.
+
+    ``by`` are columns that tell several snapshots apart; a snapshot is one week of events from one payload, so one
+    window holds no more than that.
+    """
     impact = F.lower(F.coalesce(F.nullif("impact", F.lit("")), F.lit("low")))
     rows = events.select(
-        calendar_event_id(F.col("date"), F.col("country_code"), F.col("title")).alias("event_id"), F.upper("country_code").alias("country_code"), F.coalesce("country", "country_code").alias("country"),
+        *by, calendar_event_id(F.col("date"), F.col("country_code"), F.col("title")).alias("event_id"), F.upper("country_code").alias("country_code"), F.coalesce("country", "country_code").alias("country"),
         F.substring(F.trim("title"), 1, 4_000).alias("title"), impact.alias("impact"), F.coalesce(F.nullif("impact_zh", F.lit("")), impact).alias("impact_zh"), F.trim("date").alias("scheduled_at"),
         parse_utc(F.trim("date")).alias("scheduled_at_utc"), *[F.nullif(c, F.lit("")).alias(c) for c in ("forecast", "previous", "actual")],
     )
     rows = rows.where((F.length("country_code") == 3) & (F.col("title") != "") & (F.col("scheduled_at") != "") & F.col("impact").isin(*IMPACTS))
     wire = F.struct("actual", "country", "country_code", "event_id", "forecast", "impact", "impact_zh", "previous", "scheduled_at", utc_text(F.col("scheduled_at_utc")).alias("scheduled_at_utc"), "title")
     rows = rows.withColumn("content_hash", F.sha2(F.to_json(wire, {"ignoreNullFields": "false"}), 256))
-    # One snapshot is one week of events from one payload: a single small window is its order.
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scheduled_at_utc", "event_id")).cast("long"))
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("scheduled_at_utc", "event_id")).cast("long"))
 
 
 def snapshot_header(detail: DataFrame, fetched: Column, stale: Column, observed: Column, source: str = "calendar") -> DataFrame:

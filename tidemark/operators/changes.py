@@ -6,7 +6,7 @@ observed_at and observation_id. All are ordinary DataFrames, so filters reach th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,24 +37,30 @@ def state_as_of(changes: DataFrame, as_of: Column | None = None, live: bool = Fa
     return last.where("operation <> 'delete'") if live else last
 
 
-def source_evidence(changes: DataFrame, observations: DataFrame) -> DataFrame:
-    """(change_sequence, sources, source_count): the sources observed for a change's key up to its availability.
+def with_evidence(changes: DataFrame, observations: DataFrame) -> DataFrame:
+    """``changes`` with the sources observed for a change's key up to its availability, an empty list if there are none.
 
-    Sources are told apart in lower case and listed as first seen, by time, then observation. Each source's
-    first sighting is taken before the join, so a change meets a row a source and not one an observation.
+    Sources are told apart in lower case and listed as first seen, by time, then observation. A key's first
+    sightings are one ordered list, a row a source, that meets each of its changes once and is cut at its time.
     """
-    key = F.lower("source")
-    first = observations.groupBy("canonical_news_id", key.alias("k")).agg(F.min(F.struct("observed_at", "observation_id", "source")).alias("o"))
-    left = changes.select("change_sequence", "news_id", "available_at")
-    met = left.join(first, (F.col("news_id") == F.col("canonical_news_id")) & (F.col("o.observed_at") <= F.col("available_at")))
-    lists = met.groupBy("change_sequence").agg(F.array_sort(F.collect_list("o")).alias("o"))
-    return lists.select("change_sequence", F.transform("o", lambda x: x["source"]).alias("sources"), F.size("o").cast("long").alias("source_count"))
+    first = observations.groupBy("canonical_news_id", F.lower("source").alias("k")).agg(F.min(F.struct("observed_at", "observation_id", "source")).alias("o"))
+    lists = first.groupBy("canonical_news_id").agg(F.array_sort(F.collect_list("o")).alias("_seen"))  # as many as there are sources
+    rows = changes.join(lists, F.col("news_id") == F.col("canonical_news_id"), "left").drop("canonical_news_id")
+    known = F.filter("_seen", lambda x: x["observed_at"] <= F.col("available_at"))
+    return rows.withColumn("sources", F.coalesce(F.transform(known, lambda x: x["source"]), F.array().cast("array<string>"))).drop("_seen")
+
+
+def source_evidence(changes: DataFrame, observations: DataFrame) -> DataFrame:
+    """(change_sequence, sources, source_count) of the changes whose key was observed by their time."""
+    rows = with_evidence(changes.select("change_sequence", "news_id", "available_at"), observations).where(F.size("sources") > 0)
+    return rows.select("change_sequence", "sources", F.size("sources").cast("long").alias("source_count"))
 
 
 def compacted(changes: DataFrame, cutoff: Column) -> DataFrame:
     """The log without what became available before ``cutoff``, but with the latest change of every key."""
-    latest = F.max("change_sequence").over(Window.partitionBy("news_id"))
-    return changes.withColumn("_latest", latest).where((F.col("available_at") >= cutoff) | F.col("available_at").isNull() | (F.col("change_sequence") == F.col("_latest"))).drop("_latest")
+    latest = changes.groupBy("news_id").agg(F.max("change_sequence").alias("change_sequence")).select("change_sequence")
+    old = F.coalesce(F.col("available_at") < cutoff, F.lit(False))
+    return changes.where(~old).unionByName(changes.where(old).join(latest, "change_sequence", "left_semi").select(*changes.columns))
 
 
 def news_payload(row_sources: Column | None = None) -> Column:
@@ -67,8 +73,8 @@ def news_payload(row_sources: Column | None = None) -> Column:
 
 def envelopes(changes: DataFrame, observations: DataFrame) -> DataFrame:
     """The change feed's rows: sequence, operation, times, news_id, and ``news`` (null for a tombstone)."""
-    rows = changes.join(source_evidence(changes.where("operation = 'upsert'"), observations), "change_sequence", "left")
+    rows = with_evidence(changes, observations)
     return rows.select(
         F.col("change_sequence").alias("sequence"), "operation", F.col("available_at").alias("changed_at"), F.col("updated_at").alias("source_updated_at"), "available_at",
-        F.when(F.col("operation") == "upsert", news_payload(F.coalesce("sources", F.array().cast("array<string>")))).alias("news"), "news_id",
+        F.when(F.col("operation") == "upsert", news_payload(F.col("sources"))).alias("news"), "news_id",
     )

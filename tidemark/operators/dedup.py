@@ -32,6 +32,12 @@ def first_seen(items: DataFrame, key: str, order: str) -> DataFrame:
     return items.groupBy(key).agg(F.min_by(F.struct(*names), order).alias("r")).select(key, "r.*").select(*items.columns)
 
 
+def first_of_each(items: DataFrame, key: str, pos: str, name: str) -> DataFrame:
+    """``items`` with the smallest ``pos`` of the rows that have the same ``key``, as ``name``; nulls are one key."""
+    first = items.groupBy(F.col(key).alias("_key")).agg(F.min(pos).alias(name))
+    return items.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool = True, both: bool = False) -> DataFrame:
     """(pos, prior): items with an earlier item of the same bucket and numbers whose title is similar.
 
@@ -58,6 +64,15 @@ def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool
     return sure.union(near.select("pos", "prior"))
 
 
+def similar_classes(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool = True) -> DataFrame:
+    """(pos, prior): similar titles of a bucket, each distinct title by its first item, later ones with earlier ones, and
+    every other item with the first of its title. Items of one title are no pairs of each other."""
+    titled = items.where("title <> ''")
+    first = titled.groupBy("bucket", "title").agg(F.min("pos").alias("prior"))
+    copies = titled.join(first, ["bucket", "title"]).where("pos <> prior").select("pos", "prior")
+    return similar_pairs(first.select(F.col("prior").alias("pos"), "bucket", "title"), threshold, ratio).union(copies)
+
+
 def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
     """(pos, canonical, matched): the canonical item of each, itself if it is one, and by what it matched.
 

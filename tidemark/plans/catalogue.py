@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashes, text, times, urls
@@ -33,6 +33,11 @@ def query(sql: str | None = None):
     return register
 
 
+def also(name: str, of: str) -> None:
+    """A second name of a query."""
+    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
+
+
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -65,23 +70,8 @@ def changes_watermark(spark, d):
     return changes.watermark(_log(spark, d), _at(AS_OF))
 
 
-@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND available_at > TIMESTAMP '{AFTER}' AND change_sequence <= 5000 ORDER BY 1 LIMIT 51")
-def changes_page_window(spark, d):
-    return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER)), 50).select(*_ROW)
-
-
-@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND change_sequence > 100 AND change_sequence <= 5000 ORDER BY 1 LIMIT 501")
-def changes_page_checkpoint(spark, d):
-    return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER), checkpoint=100), 500).select(*_ROW)
-
-
-@query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND available_at > TIMESTAMP '{AFTER}' AND change_sequence > 3500 AND change_sequence <= 5000 ORDER BY 1 LIMIT 51")
-def changes_next_page(spark, d):
-    return changes.page(changes.window(_log(spark, d), watermark=5000, as_of=_at(AS_OF), after=_at(AFTER), floor=3500), 50).select(*_ROW)
-
-
-# The same three pages with nothing pinned: the watermark is the log's at AS_OF, the checkpoint its watermark at
-# AFTER, and the floor the last row of the first page.
+# Nothing of a window is pinned: the watermark is the log's at AS_OF, the checkpoint its watermark at AFTER, and the
+# floor the last row of the first page.
 
 _MARK = "(SELECT coalesce(max(change_sequence), 0) FROM log WHERE available_at <= TIMESTAMP '{0}')"
 _FRESH = f"FROM log WHERE {_IN} AND available_at > TIMESTAMP '{AFTER}' AND change_sequence <= {_MARK.format(AS_OF)}"
@@ -96,23 +86,26 @@ def _fresh(log: DataFrame, floor: int = 0) -> DataFrame:
 
 
 @query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source {_FRESH} ORDER BY 1 LIMIT 51")
-def changes_page_window_asof(spark, d):
+def changes_page_window(spark, d):
     return changes.page(_fresh(_log(spark, d)), 50).select(*_ROW)
 
 
 @query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source FROM log WHERE {_IN} AND change_sequence > {_MARK.format(AFTER)} AND change_sequence <= {_MARK.format(AS_OF)} ORDER BY 1 LIMIT 501")
-def changes_page_checkpoint_asof(spark, d):
+def changes_page_checkpoint(spark, d):
     log = _log(spark, d)
     return changes.page(changes.window(log, watermark=_mark(log, AS_OF), as_of=_at(AS_OF), after=_at(AFTER), checkpoint=_mark(log, AFTER)), 500).select(*_ROW)
 
 
 @query(f"WITH {LOG} SELECT change_sequence, news_id, operation, source {_FRESH} AND change_sequence > (SELECT coalesce(max(change_sequence), 0) FROM (SELECT change_sequence {_FRESH} ORDER BY 1 LIMIT 50)) ORDER BY 1 LIMIT 51")
-def changes_next_page_asof(spark, d):
+def changes_next_page(spark, d):
     log = _log(spark, d)
     floor = changes.page(_fresh(log), 49).agg(F.coalesce(F.max("change_sequence"), F.lit(0))).first()[0]  # the 50 rows shown
     return changes.page(_fresh(log, floor), 50).select(*_ROW)
 
 
+for _name in ("changes_page_window", "changes_page_checkpoint", "changes_next_page"):
+    also(f"{_name}_asof", _name)
+
 _STATE = f"WITH {LOG} SELECT news_id, change_sequence, operation, source FROM log WHERE {_IN} QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY change_sequence DESC) = 1"
 
 
@@ -137,11 +130,10 @@ def source_evidence_asof(spark, d):
     return found.select("change_sequence", F.array_join("sources", ",").alias("sources"), "source_count")
 
 
-@query("SELECT user_id AS news_id, string_agg(event_type, ',' ORDER BY o) AS sources FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT user_id AS news_id, string_agg(event_type, ',' ORDER BY seen, o) AS sources FROM (SELECT user_id, event_type, min(ts) AS seen, min_by(event_id, (ts, event_id)) AS o FROM events GROUP BY 1, 2) GROUP BY 1")
 def source_evidence_by_key(spark, d):
-    firsts = _observations(spark, d).groupBy("canonical_news_id", "source").agg(F.min("observation_id").alias("o"))
-    lists = firsts.groupBy(F.col("canonical_news_id").alias("news_id")).agg(F.array_sort(F.collect_list(F.struct("o", "source"))).alias("s"))
-    return lists.select("news_id", F.array_join(F.transform("s", lambda x: x["source"]), ",").alias("sources"))
+    state = changes.state_as_of(_log(spark, d))
+    return changes.with_evidence(state, _observations(spark, d)).select("news_id", F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"""WITH {LOG}, {_EVIDENCE}, n AS (SELECT change_sequence, count(*) AS n FROM met GROUP BY 1)
@@ -158,12 +150,11 @@ def change_compaction(spark, d):
     return changes.compacted(_log(spark, d), _at(AS_OF)).select("change_sequence", "news_id")
 
 
-@query("SELECT event_id + 1 AS sequence, octet_length(encode(props))::BIGINT AS size FROM events QUALIFY sum(octet_length(encode(props)) + 40) OVER (ORDER BY event_id) < 20000")
+@query("""WITH r AS (SELECT event_id + 1 AS sequence, props, octet_length(encode(to_json({'sequence': event_id + 1, 'props': props})::VARCHAR)) + 1 AS size FROM events ORDER BY event_id LIMIT 501)
+SELECT sequence, octet_length(encode(props))::BIGINT AS size FROM r QUALIFY sum(size) OVER (ORDER BY sequence) < 12000""")
 def byte_bounded_page(spark, d):
-    rows = changes.page(_read(spark, d, "events").select((F.col("event_id") + 1).alias("change_sequence"), "props"), paging.MOST_ROWS * 4)
-    size = F.octet_length("props").cast("long")
-    upto = F.sum(size + 40).over(Window.partitionBy(F.lit(0)).orderBy("change_sequence"))  # one page
-    return rows.withColumns({"size": size, "upto": upto}).where("upto < 20000").select(F.col("change_sequence").alias("sequence"), "size")
+    rows = changes.page(_read(spark, d, "events").select((F.col("event_id") + 1).alias("change_sequence"), "props"), paging.MOST_ROWS)
+    return paging.bounded(rows.withColumnRenamed("change_sequence", "sequence"), 12_000).select("sequence", F.octet_length("props").cast("long").alias("size"))
 
 
 @query(f"WITH {LOG} SELECT strftime(available_at, '%Y-%m-%d') AS day, operation, count(*)::BIGINT AS n FROM log GROUP BY 1, 2")
@@ -174,12 +165,12 @@ def change_activity(spark, d):
 @query("""WITH o AS (SELECT event_id, user_id, event_type, min(event_id) OVER (PARTITION BY user_id, event_type) AS o, min(event_id) OVER (PARTITION BY user_id) AS u FROM events)
 SELECT CASE WHEN event_id = u THEN 'insert' WHEN event_id = o AND event_type IN ('click', 'view') THEN 'tickers' WHEN event_id = o THEN 'corroboration' ELSE 'none' END AS effect, count(*)::BIGINT AS n FROM o GROUP BY 1""")
 def duplicate_effects(spark, d):
-    own = F.min("event_id").over(Window.partitionBy("user_id", "event_type"))
-    seen = F.min("event_id").over(Window.partitionBy("user_id"))
-    rows = _read(spark, d, "events").select("event_id", "event_type", own.alias("o"), seen.alias("u"))
-    new = F.col("event_id") == F.col("o")
-    effect = F.when(F.col("event_id") == F.col("u"), "insert").otherwise(dedup.duplicate_effect(new, new & F.col("event_type").isin("click", "view")))
-    return rows.groupBy(effect.alias("effect")).agg(F.count("*").alias("n"))
+    rows = _read(spark, d, "events").select("event_id", "user_id", "event_type")
+    first = rows.groupBy("user_id").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(True).alias("opens"))
+    own = rows.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(True).alias("new"))
+    marked = rows.join(first, "event_id", "left").join(own, "event_id", "left").select("event_type", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("opens", "new")])
+    effect = F.when(F.col("opens"), "insert").otherwise(dedup.duplicate_effect(F.col("new"), F.col("new") & F.col("event_type").isin("click", "view")))
+    return marked.groupBy(effect.alias("effect")).agg(F.count("*").alias("n"))
 
 
 # Text, URLs, times, hashes.
@@ -252,16 +243,17 @@ def day_bucket_counts(spark, d):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') END || 'Z' AS wire, epoch_us(ts)::BIGINT AS micros FROM events")
 def utc_wire(spark, d):
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-    instant = F.timestamp_micros(micros)
-    shown = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros % 1_000_000 == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad((micros % 1_000_000).cast("string"), 6, "0"))), F.lit("Z"))
-    return _read(spark, d, "events").select("event_id", shown.alias("wire"), F.unix_micros(instant).alias("micros"))
+    # The table's times have no zone: they are instants of UTC, whatever the session's zone is.
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    return _read(spark, d, "events").select("event_id", times.utc_text(instant).alias("wire"), F.unix_micros(instant).alias("micros"))
+
+
+_SQ = lambda pattern: pattern.replace("'", "''")
 
 
 @query(
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://)(?:[^\s"''<>/?#@]*@)?([^\s"''<>?#]*)[^\s"''<>]*', '\1\2', 'g'),
-  '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g'),
-  '(?i)(api[_-]?key|apikey|token|authorization|x-api-key|x-finnhub-token)(?:["'']?\s*[=:]\s*["'']?)([^\s,&;"''}]+)', '\1=[REDACTED]', 'g')) AS redacted FROM documents"""
+    rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://)(?:[^\s"''<>/?#@]*@)?([^\s"''<>?#]*)[^\s"''<>]*', '\1\2', 'g'),
+  '{_SQ(text.BEARER)}', 'Bearer [REDACTED]', 'g'), '{_SQ(text.SECRET_FIELD)}', '\1=[REDACTED]', 'g')) AS redacted FROM documents"""
 )
 def redacted_text(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
@@ -274,21 +266,6 @@ def ticker_normalized(spark, d):
 
 # Entity resolution.
 
-_DOCS = "t AS (SELECT doc_id, source, left(text, 80) AS title FROM documents)"
-
-
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 80).alias("title"))
-
-
-@query(f"WITH {_DOCS} SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL.format('title')}) AS first_id FROM t")
-def exact_dedup(spark, d):
-    rows = _titles(spark, d).select("doc_id", text.normalize_title(F.col("title")).alias("k"))
-    return rows.join(rows.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k").select("doc_id", "first_id")
-
-
-# Texts that differ only after their first 80 characters are one in _DOCS; the queries named _text compare them whole.
-
 _WHOLE = "t AS (SELECT doc_id, source, sha256(text) AS title FROM documents)"
 
 
@@ -298,27 +275,29 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL.format('text')}) AS first_id FROM documents")
-def exact_dedup_text(spark, d):
-    rows = _read(spark, d, "documents").select("doc_id", F.sha2(text.normalize_title(F.col("text")), 256).alias("k"))
-    first = rows.groupBy("k").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(first, rows["k"].eqNullSafe(first["k"])).select("doc_id", "first_id")
+def exact_dedup(spark, d):
+    return dedup.first_of_each(_read(spark, d, "documents").select("doc_id", F.sha2(text.normalize_title(F.col("text")), 256).alias("k")), "k", "doc_id", "first_id").select("doc_id", "first_id")
 
 
-@query(f"""WITH {_PAGES}, n AS (SELECT page_id, {_NORMAL.format('title')} AS t FROM p),
-k AS (SELECT page_id, t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM n WHERE t <> ''),
+@query(f"""WITH {_PAGES}, n AS (SELECT page_id, {_NORMAL.format('title')} AS t FROM p), c AS (SELECT t, min(page_id) AS page_id FROM n WHERE t <> '' GROUP BY 1),
+k AS (SELECT page_id, t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS w FROM c),
 q AS (SELECT *, list_sort(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Nd}}+'))) AS nums FROM k)
 SELECT a.page_id, b.page_id AS prior FROM q a JOIN q b ON b.page_id < a.page_id AND a.nums = b.nums
-WHERE a.t = b.t OR 25 * len(list_intersect(a.w, b.w)) >= 23 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
+WHERE 25 * len(list_intersect(a.w, b.w)) >= 23 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))
+UNION ALL SELECT n.page_id, c.page_id FROM n JOIN c USING (t) WHERE n.page_id <> c.page_id""")
 def near_dup_pairs(spark, d):
-    rows = _pages(spark, d).select(F.col("page_id").alias("pos"), F.lit("day").alias("bucket"), text.normalize_title(F.col("title")).alias("title"))
-    return dedup.similar_pairs(rows, ratio=False).select(F.col("pos").alias("page_id"), "prior")
+    """Pairs of similar titles by their token overlap: first pages of each title with earlier ones, copies with their first."""
+    return dedup.similar_classes(_titled(spark, d), ratio=False).select(F.col("pos").alias("page_id"), "prior")
+
+
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    return _pages(spark, d).select(F.col("page_id").alias("pos"), F.lit("day").alias("bucket"), text.normalize_title(F.col("title")).alias("title"))
 
 
 @query()
 def near_dup_pairs_ratio(spark, d):
-    """All similar pairs, those by sequence ratio too, which SQL cannot express. Tests hold it against brute force."""
-    rows = _pages(spark, d).select(F.col("page_id").alias("pos"), F.lit("day").alias("bucket"), text.normalize_title(F.col("title")).alias("title"))
-    return dedup.similar_pairs(rows).select(F.col("pos").alias("page_id"), "prior")
+    """As near_dup_pairs, with those by sequence ratio too, which SQL cannot express. Tests hold it against brute force."""
+    return dedup.similar_classes(_titled(spark, d)).select(F.col("pos").alias("page_id"), "prior")
 
 
 @query()
@@ -329,16 +308,9 @@ def greedy_dedup(spark, d):
     return dedup.greedy(items).select(F.col("pos").alias("page_id"), "canonical", "matched")
 
 
-@query(f"""WITH {_DOCS}, c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 30)
-SELECT doc_id, source FROM c QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1""")
-def feed_cap_first_seen(spark, d):
-    kept = feeds.capped(_titles(spark, d), 30, "source", "doc_id")
-    return feeds.first_seen(kept, "title", "doc_id").select("doc_id", "source")
-
-
 @query(f"""WITH {_WHOLE}, c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 30)
 SELECT doc_id, source FROM c QUALIFY row_number() OVER (PARTITION BY title ORDER BY doc_id) = 1""")
-def feed_cap_first_seen_text(spark, d):
+def feed_cap_first_seen(spark, d):
     kept = feeds.capped(_texts(spark, d), 30, "source", "doc_id")
     return feeds.first_seen(kept, "title", "doc_id").select("doc_id", "source")
 
@@ -382,13 +354,16 @@ def calendar_normalized(spark, d):
     return _calendar(spark, d).select("o_orderkey", "country_code", "country", "impact", "impact_zh", "actual")
 
 
-@query(f"WITH {_CALENDAR} SELECT week, o_orderkey, row_number() OVER (PARTITION BY week ORDER BY date, o_orderkey)::BIGINT AS ordinal FROM cal")
+_ORDINALS = f"o AS (SELECT week, o_orderkey, row_number() OVER (PARTITION BY week ORDER BY date, sha256(date || chr(10) || country_code || chr(10) || o_orderkey))::BIGINT AS ordinal FROM cal WHERE impact IN ('{"', '".join(calendar.IMPACTS)}'))"
+
+
+@query(f"WITH {_CALENDAR}, {_ORDINALS} SELECT * FROM o")
 def calendar_snapshot(spark, d):
-    order = Window.partitionBy("week").orderBy("date", "o_orderkey")
-    return _calendar(spark, d).select("week", "o_orderkey", F.row_number().over(order).cast("long").alias("ordinal"))
+    detail = calendar.snapshot_events(_calendar(spark, d), by=("week",))
+    return detail.select("week", F.col("title").cast("long").alias("o_orderkey"), "ordinal")
 
 
-@query(f"WITH {_CALENDAR}, o AS (SELECT week, o_orderkey, row_number() OVER (PARTITION BY week ORDER BY date, o_orderkey)::BIGINT AS ordinal FROM cal) SELECT * FROM o WHERE week = (SELECT max(week) FROM o) AND ordinal > 2 ORDER BY ordinal LIMIT 11")
+@query(f"WITH {_CALENDAR}, {_ORDINALS} SELECT * FROM o WHERE week = (SELECT max(week) FROM o) AND ordinal > 2 ORDER BY ordinal LIMIT 11")
 def calendar_page(spark, d):
     rows = calendar_snapshot(spark, d)
     last = rows.agg(F.coalesce(F.max("week"), F.lit(0))).first()[0]
@@ -481,22 +456,15 @@ def health_backoff(spark, d):
     return failures.select("user_id", health.backoff_seconds(F.lit(300), F.col("failures"), F.lit(0.85)).alias("delay"))
 
 
-@query(f"""WITH {_DOCS}, m AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM t)
+@query(f"""WITH {_WHOLE}, m AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM t)
 SELECT source, count(*)::BIGINT AS raw, count(*) FILTER (doc_id = f)::BIGINT AS inserted, count(*) FILTER (doc_id <> f)::BIGINT AS duplicates FROM m GROUP BY ROLLUP (source)""")
 def ingest_counters(spark, d):
-    rows = _titles(spark, d)
-    first = rows.groupBy("title").agg(F.min("doc_id").alias("f"))
-    matched = rows.join(first, "title").select("source", F.when(F.col("doc_id") != F.col("f"), F.lit("title")).alias("matched"))
-    return health.counters(matched)
+    rows = dedup.first_of_each(_texts(spark, d), "title", "doc_id", "first_id")
+    return health.counters(rows.select("source", F.when(F.col("doc_id") != F.col("first_id"), F.lit("title")).alias("matched")))
 
 
-@query(f"""WITH {_WHOLE}, m AS (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY title) AS f FROM t)
-SELECT source, count(*)::BIGINT AS raw, count(*) FILTER (doc_id = f)::BIGINT AS inserted, count(*) FILTER (doc_id <> f)::BIGINT AS duplicates FROM m GROUP BY ROLLUP (source)""")
-def ingest_counters_text(spark, d):
-    rows = _texts(spark, d)
-    first = rows.groupBy(F.col("title").alias("t")).agg(F.min("doc_id").alias("f"))
-    matched = rows.join(first, rows["title"].eqNullSafe(first["t"])).select("source", F.when(F.col("doc_id") != F.col("f"), F.lit("title")).alias("matched"))
-    return health.counters(matched)
+for _name in ("exact_dedup", "feed_cap_first_seen", "ingest_counters"):
+    also(f"{_name}_text", _name)
 
 
 @query("SELECT event_type AS source, count(DISTINCT user_id)::BIGINT AS keys, count(*)::BIGINT AS observations FROM events GROUP BY 1")
