@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashes import calendar_event_id, snapshot_token
 from tidemark.functions.times import parse_utc, utc_text
+from tidemark.operators import health
+from tidemark.operators.schema import HEALTH
+from tidemark.operators.store import Store, numbered
 
 #: Labels of currencies and impacts, and the currencies that are kept.
 COUNTRIES = {"USD": "🇺🇸 美国", "EUR": "🇪🇺 欧元区", "GBP": "🇬🇧 英国", "JPY": "🇯🇵 日本", "CNY": "🇨🇳 中国", "AUD": "🇦🇺 澳大利亚", "CAD": "🇨🇦 加拿大", "CHF": "🇨🇭 瑞士", "NZD": "🇳🇿 新西兰"}
@@ -64,6 +69,62 @@ def snapshot_header(detail: DataFrame, fetched: Column, stale: Column, observed:
     )
 
 
+def recorded(fetches: DataFrame, order: str, first: int = 1, known: DataFrame | None = None) -> DataFrame:
+    """``fetches(snapshot_token, ...)`` with snapshot_sequence and ``reused``: a token's first fetch makes a snapshot,
+    numbered from ``first`` by ``order``; later ones, and those of a ``known(snapshot_token, snapshot_sequence)``, reuse it."""
+    opened = fetches.groupBy("snapshot_token").agg(F.min(order).alias("_opened"))
+    if known is not None:
+        opened = opened.join(known.select("snapshot_token"), "snapshot_token", "left_anti")
+    named = numbered(opened, "snapshot_sequence", first, "_opened")
+    if known is not None:
+        named = named.unionByName(known.select("snapshot_token", "snapshot_sequence"), allowMissingColumns=True)
+    out = fetches.join(named, "snapshot_token")
+    return out.withColumn("reused", ~F.col(order).eqNullSafe(F.col("_opened"))).drop("_opened")
+
+
+def record_snapshot(store: Store, events: DataFrame, fetched: datetime, stale: bool, observed: datetime, source: str = "calendar", state: DataFrame | None = None) -> tuple[str, int]:
+    """(token, sequence) of the snapshot of normalised ``events``: a new one, or the one that has the token already.
+
+    Header, events and the health rows ``state`` become visible in one commit; a reused snapshot commits ``state`` alone.
+    """
+    detail = snapshot_events(events)
+    head = snapshot_header(detail, F.lit(fetched), F.lit(stale), F.lit(observed), source)
+    token = head.first()["snapshot_token"]
+    more = {} if state is None else {"source_health": state}
+    old = store.read("calendar_snapshots").where(F.col("snapshot_token") == token).agg(F.min("snapshot_sequence").alias("n")).first()["n"]
+    if old is None:
+        sequence = store.next_of("calendar_snapshots", "snapshot_sequence")
+        number = F.lit(sequence).cast("long")
+        more |= {"calendar_snapshots": head.withColumn("snapshot_sequence", number), "calendar_events": detail.withColumn("snapshot_sequence", number)}
+    if more:
+        store.commit(more)
+    return token, sequence if old is None else old
+
+
+def refresh(store: Store, attempted: datetime, observed: datetime, fresh: DataFrame | None = None, fetched: datetime | None = None, cached: DataFrame | None = None, error: str = "calendar_fetch_failed", source: str = "calendar") -> tuple[str, int] | None:
+    """A poll's outcome as snapshot and health in one commit: the ``fresh`` raw events, or where they are None the
+    ``cached`` ones (calendar_cache.read) as a stale snapshot, if they are no older than health.STALE_DAYS.
+
+    A stale refresh keeps the last success and what the data reaches, counts a failure and asks for another try soon. With
+    no usable copy either, the failure alone is recorded, and None is returned.
+    """
+    spark, stale, raw = store.spark, fresh is None, fresh
+    if stale:
+        at = cached.agg(F.max(F.when(health.usable_cache(F.col("fetched_at"), F.lit(observed)), F.unix_micros("fetched_at"))).alias("at")).first()["at"] if cached is not None else None
+        if at is None:
+            failed = spark.createDataFrame([(source, attempted, error)], "source string, attempted_at timestamp, error_code string")
+            store.commit({"source_health": health.after_failure(store.read("source_health"), failed)})
+            return None
+        fetched, raw = datetime.fromtimestamp(0, attempted.tzinfo) + timedelta(microseconds=at), cached
+    events = normalized(raw)
+    prior = health.latest(store.read("source_health").where(F.col("source") == source)).first()
+    kept = lambda name: prior[name] if prior is not None and prior[name] is not None else fetched
+    failures = (prior["consecutive_failures"] or 0) + 1 if prior is not None else 1
+    row = (source, "degraded" if stale else "ok", attempted, kept("last_success_at") if stale else fetched, kept("data_through") if stale else fetched, failures if stale else 0, observed + timedelta(seconds=health.STALE_RETRY) if stale else None, 0 if stale else events.count(), None, None, error if stale else None, observed, None)
+    state = health.versioned(store.read("source_health"), spark.createDataFrame([row], HEALTH))
+    return record_snapshot(store, events, fetched, stale, observed, source, state)
+
+
 def latest_snapshot(snapshots: DataFrame, as_of: Column, after: Column) -> DataFrame:
     """The last snapshot available at ``as_of``, and whether it came after ``after``; no row if there is none."""
     seen = snapshots.where(F.col("available_at") <= as_of)

@@ -47,6 +47,42 @@ def after_failure(prior: DataFrame, attempts: DataFrame, retry: int = STALE_RETR
     )
 
 
+def versioned(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """An upsert of ``rows``, one a source: clamped, with the version after the source's latest."""
+    old = log.groupBy("source").agg(F.max("version").alias("_last"))
+    return clamped(rows).join(old, "source", "left").withColumn("version", F.coalesce("_last", F.lit(0)) + 1).drop("_last").select(*rows.columns)
+
+
+def after_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """The health rows that runs of sources leave, on top of each source's latest state, with their ``outcome``.
+
+    ``runs(source, enabled, configured, forced, interval_seconds, spread, attempted_at, fetched_at, fetch_ok, persisted,
+    raw_count, inserted_count, duplicates_count)``. A source that is disabled, waits for its next attempt or has no key is
+    not fetched; a failed fetch counts and defers the next attempt; a failed write keeps what the data reaches, which
+    moves only once rows are stored.
+    """
+    names = ("status", "last_success_at", "data_through", "consecutive_failures", "next_attempt_at", "raw_count", "inserted_count", "duplicates_count", "error_code", "version")
+    old = latest(log).select("source", F.struct(*names).alias("old"))
+    rows = runs.join(old, "source", "left")
+    outcome = F.when(~F.col("forced") & ~F.col("enabled"), "disabled").when(~F.col("forced") & F.coalesce(F.col("old.next_attempt_at") > F.col("attempted_at"), F.lit(False)), "backoff")
+    outcome = outcome.when(~F.col("configured"), "not_configured").when(~F.col("fetch_ok"), "error").when(~F.col("persisted"), "degraded").otherwise("ok")
+    rows = rows.withColumn("outcome", outcome)
+    of = lambda *names: F.col("outcome").isin(*names)
+    kept = lambda name: F.col(f"old.{name}")
+    failures = F.coalesce(kept("consecutive_failures"), F.lit(0)) + of("error").cast("int")
+    later = F.col("attempted_at") + F.make_dt_interval(secs=backoff_seconds(F.col("interval_seconds"), failures, F.col("spread")))
+    number = lambda name, shown: F.when(of(*shown), F.col(name)).when(of("error", "degraded"), 0).otherwise(kept(name)).cast("long")
+    failed = F.when(kept("last_success_at").isNotNull(), "degraded").otherwise("unavailable")
+    return rows.select(
+        "source", F.when(of("error"), failed).when(of("backoff"), F.coalesce(kept("status"), F.lit("unavailable"))).otherwise(F.col("outcome")).alias("status"), F.col("attempted_at").alias("last_attempt_at"),
+        F.when(of("ok", "degraded"), F.col("fetched_at")).otherwise(kept("last_success_at")).alias("last_success_at"), F.when(of("ok"), F.col("fetched_at")).otherwise(kept("data_through")).alias("data_through"),
+        F.when(of("ok", "degraded"), 0).otherwise(failures).cast("long").alias("consecutive_failures"), F.when(of("error"), later).when(~of("ok", "degraded"), kept("next_attempt_at")).alias("next_attempt_at"),
+        number("raw_count", ("ok", "degraded")).alias("raw_count"), number("inserted_count", ("ok",)).alias("inserted_count"), number("duplicates_count", ("ok",)).alias("duplicates_count"),
+        F.when(of("error"), "source_fetch_failed").when(of("degraded"), "news_persistence_failed").when(of("not_configured"), "source_not_configured").when(~of("ok"), kept("error_code")).alias("error_code"),
+        F.col("attempted_at").alias("updated_at"), (F.coalesce(kept("version"), F.lit(0)) + 1).cast("long").alias("version"), "outcome",
+    )
+
+
 def data_through(log: DataFrame) -> DataFrame:
     """One row: the largest non-empty data_through over the sources' latest states."""
     return latest(log).agg(F.max("data_through").alias("data_through"))

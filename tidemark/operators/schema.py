@@ -33,3 +33,9 @@ def evolved(df: DataFrame, ddl: str) -> DataFrame:
             c = F.when(c.isNull() | c.isin(*ALLOWED[f.name]), c).otherwise(F.raise_error(F.concat(F.lit(f"{f.name}: "), c)).cast(f.dataType))
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def migrated(legacy: DataFrame) -> DataFrame:
+    """Entities of an older table: missing tickers are an empty list, a missing update time is that of the fetch."""
+    rows = evolved(legacy, f"news_id long, {ENTITY}")
+    return rows.withColumns({"source_tickers": F.coalesce("source_tickers", F.array().cast("array<string>")), "updated_at": F.coalesce("updated_at", "fetched_at")})

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashes, text, times, urls
-from tidemark.operators import calendar, changes, dedup, health, retention
+from tidemark.operators import calendar, changes, dedup, health, retention, schema, store
 from tidemark.plans import paging
 from tidemark.sources import feeds
 
@@ -251,14 +251,25 @@ def utc_wire(spark, d):
 _SQ = lambda pattern: pattern.replace("'", "''")
 
 
-@query(
-    rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://)(?:[^\s"''<>/?#@]*@)?([^\s"''<>?#]*)[^\s"''<>]*', '\1\2', 'g'),
-  '{_SQ(text.BEARER)}', 'Bearer [REDACTED]', 'g'), '{_SQ(text.SECRET_FIELD)}', '\1=[REDACTED]', 'g')) AS redacted FROM documents"""
-)
+_URL_OUT = r"""'(?i)(https?://)(?:[^\s"''<>/?#@]*@)?([^\s"''<>?#]*)[^\s"''<>]*', '\1\2', 'g'"""
+_redacted = lambda of: rf"regexp_replace(regexp_replace(regexp_replace({of}, {_URL_OUT}), '{_SQ(text.BEARER)}', 'Bearer [REDACTED]', 'g'), '{_SQ(text.SECRET_FIELD)}', '\1=[REDACTED]', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_redacted('text')}) AS redacted FROM documents")
 def redacted_text(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("redacted"))
 
 
+_SAFE = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/]*@', '\1')"
+
+
+@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'HTTP 503 at ' || {_SAFE} WHEN 1 THEN 'ConnectError at ' || {_SAFE} ELSE {_redacted("'ValueError: no key in ' || url")} END AS message FROM pages")
+def safe_messages(spark, d):
+    turn = F.col("page_id") % 3
+    message = text.safe_message(F.when(turn == 1, "ConnectError").otherwise("ValueError"), F.concat(F.lit("no key in "), F.col("url")), F.when(turn == 0, 503), F.when(turn < 2, F.col("url")))
+    return _read(spark, d, "pages").select("page_id", message.alias("message"))
+
+
 @query("SELECT p_partkey, CASE WHEN regexp_full_match(t, '[A-Z0-9][A-Z0-9.^/_-]{0,19}') THEN t ELSE '' END AS ticker FROM (SELECT p_partkey, regexp_replace(upper(trim('$' || p_brand)), '^\\$+', '') AS t FROM part)")
 def ticker_normalized(spark, d):
     return _read(spark, d, "part").select("p_partkey", text.normalize_ticker(F.concat(F.lit("$"), F.col("p_brand"))).alias("ticker"))
@@ -300,6 +311,35 @@ def near_dup_pairs_ratio(spark, d):
     return dedup.similar_classes(_titled(spark, d)).select(F.col("pos").alias("page_id"), "prior")
 
 
+_IDENTITIES = f"""{_PAGES}, {_URL_SQL}, k AS (SELECT page_id, canonical AS u, CASE WHEN {_NORMAL.format('title')} <> '' THEN 'title:' || {_NORMAL.format('title')} || '|day:2024-01-01' ELSE 'url:' || canonical END AS c,
+  (SELECT CASE WHEN t = '' THEN lower(trim(url)) ELSE t END FROM (SELECT regexp_replace(regexp_replace(trim(lower(title)), '\\s+', ' ', 'g'), '[.,!?;:]+$', '') AS t)) AS l FROM urls),
+old AS (SELECT * FROM k WHERE page_id % 2 = 0), asked AS (SELECT * FROM k WHERE page_id % 2 = 1),
+hits AS (SELECT a.page_id, 0 AS rank, o.page_id AS id FROM asked a JOIN old o ON a.c = o.c UNION ALL SELECT a.page_id, 1, o.page_id FROM asked a JOIN old o ON a.l = o.c UNION ALL SELECT a.page_id, 2, o.page_id FROM asked a JOIN old o ON a.u = o.u)"""
+
+
+def _asked_and_old(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of odd numbers as incoming items, those of even numbers as entities, all of one day."""
+    items = dedup.keyed(_pages(spark, d), F.col("page_id"), F.col("title"), F.col("url"), F.lit("2024-01-01"))
+    return items.where("pos % 2 = 1"), items.where("pos % 2 = 0").withColumnRenamed("pos", "news_id")
+
+
+@query(f"WITH {_IDENTITIES} SELECT page_id, min_by(id, (rank, id)) AS news_id FROM hits GROUP BY 1")
+def exact_match_by_key(spark, d):
+    return dedup.match_exact(*_asked_and_old(spark, d)).withColumnRenamed("pos", "page_id")
+
+
+@query(f"WITH {_IDENTITIES} SELECT page_id, min(id) AS news_id FROM hits GROUP BY 1")
+def exact_match_smallest(spark, d):
+    return dedup.match_any(*_asked_and_old(spark, d)).withColumnRenamed("pos", "page_id")
+
+
+@query()
+def batch_dedup(spark, d):
+    """The canonical page of every page by URL and title alone. Tests hold it against a sequential model."""
+    items = dedup.keyed(_pages(spark, d), F.col("page_id"), F.col("title"), F.col("url"), F.lit(None).cast("string"))
+    return dedup.url_or_title_batch(items).withColumnRenamed("pos", "page_id")
+
+
 @query()
 def greedy_dedup(spark, d):
     """The canonical page of every page. Tests hold it against a sequential model of the rule."""
@@ -387,6 +427,16 @@ def calendar_has_changes(spark, d):
     return calendar.latest_snapshot(_snapshots(spark, d), _at(AS_OF), _at(AFTER)).select("snapshot_sequence", "has_changes")
 
 
+@query("""WITH f AS (SELECT event_id, 'cal_' || left(sha256(strftime(ts, '%Y-%m-%dT00:00:00Z') || ':' || (user_id % 2) || ':' || event_type), 40) AS snapshot_token FROM events),
+n AS (SELECT snapshot_token, min(event_id) AS o FROM f GROUP BY 1), s AS (SELECT *, row_number() OVER (ORDER BY o)::BIGINT AS snapshot_sequence FROM n)
+SELECT event_id, snapshot_token, snapshot_sequence, event_id <> o AS reused FROM f JOIN s USING (snapshot_token)""")
+def snapshot_reuse(spark, d):
+    """Fetches of a day, stale or not, of one payload are one snapshot."""
+    day = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")).cast("timestamp")
+    token = hashes.snapshot_token(times.utc_text(day), F.col("user_id") % 2 == 1, F.col("event_type"))
+    return calendar.recorded(_read(spark, d, "events").select("event_id", token.alias("snapshot_token")), "event_id").select("event_id", "snapshot_token", "snapshot_sequence", "reused")
+
+
 # Retention and backfill.
 
 
@@ -450,6 +500,48 @@ def health_data_through(spark, d):
     return health.data_through(log).select(F.date_format("data_through", "yyyy-MM-dd HH:mm:ss").alias("data_through"))
 
 
+_RUN = "CASE WHEN s_suppkey % 11 <> 0 AND s_nationkey % 5 = 0 THEN 'disabled' WHEN s_suppkey % 11 <> 0 AND known AND s_nationkey % 6 = 0 THEN 'backoff' WHEN s_nationkey % 7 = 0 THEN 'not_configured' WHEN s_acctbal < 0 THEN 'error' WHEN s_acctbal > 9000 THEN 'degraded' ELSE 'ok' END"
+
+
+@query(f"""WITH r AS (SELECT *, {_RUN} AS outcome, CASE WHEN known THEN s_nationkey % 4 ELSE 0 END AS failed FROM (SELECT *, s_suppkey % 3 <> 0 AS known FROM supplier)),
+n AS (SELECT *, CASE outcome WHEN 'error' THEN failed + 1 WHEN 'ok' THEN 0 WHEN 'degraded' THEN 0 ELSE failed END AS failures FROM r)
+SELECT s_suppkey::VARCHAR AS source, outcome, CASE outcome WHEN 'error' THEN CASE WHEN known THEN 'degraded' ELSE 'unavailable' END WHEN 'backoff' THEN 'ok' ELSE outcome END AS status, failures::BIGINT AS consecutive_failures,
+CASE WHEN outcome = 'ok' THEN '2024-01-02 00:00:05' WHEN known THEN '2024-01-01 00:00:00' END AS data_through,
+CASE WHEN outcome = 'error' THEN strftime(TIMESTAMP '2024-01-02' + to_seconds(least(21600, greatest(60, floor(300 * power(2, least(failures, 6)))))::BIGINT), '%Y-%m-%d %H:%M:%S') WHEN outcome IN ('ok', 'degraded') OR NOT known OR s_nationkey % 6 <> 0 THEN NULL ELSE '2024-01-03 00:00:00' END AS next_attempt_at,
+CASE WHEN outcome IN ('ok', 'degraded') THEN s_suppkey % 50 WHEN outcome = 'error' THEN 0 WHEN known THEN 7 END::BIGINT AS raw_count,
+CASE WHEN outcome = 'ok' THEN s_suppkey % 20 WHEN outcome IN ('error', 'degraded') THEN 0 WHEN known THEN 7 END::BIGINT AS inserted_count, CASE WHEN known THEN 2 ELSE 1 END::BIGINT AS version FROM n""")
+def source_runs(spark, d):
+    """What runs of all suppliers as sources leave, two of three with a state before."""
+    c, at = F.col, lambda t: F.to_timestamp(F.lit(t))
+    rows = _read(spark, d, "supplier")
+    name = c("s_suppkey").cast("string").alias("source")
+    seven, none = F.lit(7).cast("long"), F.lit(None).cast("string")
+    log = rows.where("s_suppkey % 3 <> 0").select(
+        name, F.lit("ok").alias("status"), at("2024-01-01 00:00:00").alias("last_success_at"), at("2024-01-01 00:00:00").alias("data_through"), (c("s_nationkey") % 4).cast("long").alias("consecutive_failures"),
+        F.when(c("s_nationkey") % 6 == 0, at("2024-01-03 00:00:00")).alias("next_attempt_at"), *[seven.alias(n) for n in ("raw_count", "inserted_count", "duplicates_count")], none.alias("error_code"), F.lit(1).cast("long").alias("version"),
+    )
+    runs = rows.select(
+        name, (c("s_nationkey") % 5 != 0).alias("enabled"), (c("s_nationkey") % 7 != 0).alias("configured"), (c("s_suppkey") % 11 == 0).alias("forced"), F.lit(300).alias("interval_seconds"), F.lit(1.0).alias("spread"),
+        at("2024-01-02 00:00:00").alias("attempted_at"), at("2024-01-02 00:00:05").alias("fetched_at"), (c("s_acctbal") >= 0).alias("fetch_ok"), (c("s_acctbal") <= 9000).alias("persisted"),
+        (c("s_suppkey") % 50).alias("raw_count"), (c("s_suppkey") % 20).alias("inserted_count"), F.lit(0).alias("duplicates_count"),
+    )
+    shown = lambda n: F.date_format(n, "yyyy-MM-dd HH:mm:ss").alias(n)
+    return health.after_runs(log, runs).select("source", "outcome", "status", "consecutive_failures", shown("data_through"), shown("next_attempt_at"), "raw_count", "inserted_count", "version")
+
+
+@query("SELECT event_id AS news_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS tickers FROM events")
+def legacy_rows(spark, d):
+    """Rows of an older table, a view's without update time and tickers."""
+    new = F.col("event_type") != "view"
+    old = _read(spark, d, "events").select(F.col("event_id").alias("news_id"), F.col("ts").cast("timestamp").alias("fetched_at"), F.when(new, F.col("ts")).cast("timestamp").alias("updated_at"), F.when(new, F.array("event_type")).alias("source_tickers"))
+    return schema.migrated(old).select("news_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"), F.size("source_tickers").alias("tickers"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey)::BIGINT + 99 AS n FROM orders")
+def sequence_numbers(spark, d):
+    return store.numbered(_read(spark, d, "orders").select("o_orderdate", "o_orderkey"), "n", 100, "o_orderdate", "o_orderkey").select("o_orderkey", "n")
+
+
 @query("SELECT user_id, least(21600, greatest(60, floor(300 * power(2, least(count(*), 6)) * 0.85)))::BIGINT AS delay FROM events WHERE event_type = 'error' GROUP BY 1")
 def health_backoff(spark, d):
     failures = _read(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("failures"))
