@@ -3,6 +3,8 @@
 import hashlib
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat
 
@@ -64,3 +66,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
     assert sorted(map(tuple, df.select(*found.columns).collect())) == sorted(found.fetchall())
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_windows(empty).count() == 0
+
+
+def test_windows_in_any_order(spark):
+    """Windows that were shuffled or turned around read back the same; asked for as they lie, they are an error."""
+    windows = chat.format_windows(_turns(spark), 100, 40)
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(chat.read_back(windows, ordered=True))
+    turned = windows.orderBy(F.desc("window"))
+    assert rows(chat.read_back(turned)) == rows(chat.read_back(windows.repartition(3))) == want
+    with pytest.raises(Exception, match="comes in place of window"):
+        chat.read_back(turned, ordered=True).collect()

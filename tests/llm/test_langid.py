@@ -74,3 +74,39 @@ def test_nothing_to_learn(spark):
     assert langid.fit(docs) is None and langid.fit(docs.limit(0)) is None
     row = langid.identify(docs, None).first()
     assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
+def plain_prediction(net, body):
+    """The network by plain loops: windows of bytes, each filter's largest response, softmax, mean over the windows."""
+    size, windows = langid.WINDOW, max(1, -(-len(body) // langid.WINDOW))
+    body = body + b"\0" * (windows * size - len(body))
+    total = [0.0] * len(net.languages)
+    for n in range(windows):
+        window, hidden = body[n * size : (n + 1) * size], []
+        for w in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                responses = [sum(net.p["embed"][window[i + j]][e] * net.p[f"w{w}"][j][e][f] for j in range(w) for e in range(langid.EMBED)) for i in range(size - w + 1)]
+                hidden.append(max(0.0, max(responses) + net.p[f"b{w}"][f]))
+        logits = [sum(h * net.p["out"][k][c] for k, h in enumerate(hidden)) + net.p["bias"][c] for c in range(len(total))]
+        top = max(logits)
+        odds = [np.exp(z - top) for z in logits]
+        total = [t + o / sum(odds) for t, o in zip(total, odds)]
+    return [t / windows for t in total]
+
+
+def test_predictions_by_plain_loops():
+    net = langid.ByteConvNet(["a", "b", "c"])
+    net.p["b2"], net.p["bias"] = np.linspace(-0.2, 0.2, langid.FILTERS), np.array([0.1, 0.0, -0.1])
+    rng = random.Random(2)
+    bodies = [b"", "é".encode(), prose(rng, "yy", 9).encode(), prose(rng, "zz", 60).encode(), bytes(range(256))]
+    assert np.allclose(langid.predict(net.compiled(), bodies), [plain_prediction(net, b) for b in bodies], atol=1e-5)
+
+
+def test_a_row_that_fills_the_table_counts_once(spark):
+    """Half of all rows are one row, and one language has a single text: every label is learned."""
+    rows = corpus(120, 7) + [(5000, "ka to mi re", "xx", "s")] * 120 + [(6000, "schw pfe ung lich", "qq", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    net = langid.fit(docs)
+    assert net.languages == ["qq", "xx", "yy", "zz"]
+    again = langid.fit(docs.distinct().repartition(5))
+    assert all(np.array_equal(net.p[k], again.p[k]) for k in net.p)

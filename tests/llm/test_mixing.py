@@ -1,9 +1,12 @@
 """Source mixing: the method against a step-by-step version, targets, tolerance, repeats."""
 
 import random
+import zlib
 from collections import defaultdict
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import mixing
 
 
@@ -64,3 +67,41 @@ def test_documents_are_taken_whole(spark):
         after[tuple(r)] += 1
     assert set(after) <= set(before) and all(n <= 3 * before[k] for k, n in after.items())
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def model_taken(rows, source, quota, seed=17):
+    """Words that each of a shard's rows gives: the shard's words laid out one by one, whole passes and a run of blocks."""
+    words = [i for i, n in enumerate(rows) for _ in range(n)]
+    blocks = -(-len(words) // mixing.BLOCK)
+    out = [0] * len(rows)
+    if not words:
+        return out
+    begin = zlib.crc32(f"{seed}:{source}:0".encode()) % blocks
+    for block in range(quota):
+        at = block % blocks if block < quota // blocks * blocks else (begin + block - quota // blocks * blocks) % blocks
+        for i in words[at * mixing.BLOCK : (at + 1) * mixing.BLOCK]:
+            out[i] += 1
+    return out
+
+
+def test_taken_words_by_a_list_model(spark):
+    """One shard a source: every document's taken words, word by word, from the quotas of the method."""
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 30, 150, 700]))), rng.choice(["a", "b", "c", None])) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(18), "doc_id").alias("h")).collect()}
+    by = {s: sorted([(order[i], i, len(t.split())) for i, t, of in rows if of == s]) for s in ("a", "b", "c", None)}
+    sizes = {s: sum(n for _, _, n in r) for s, r in by.items()}
+    goal = mixing.targets(sizes, dict(zip(by, (5, 2, 1, 5))))
+    most = {s: 3 * -(-n // mixing.BLOCK) for s, n in sizes.items()}
+    quotas = mixing.highest_quotients(round(Fraction(sum(sizes.values()), mixing.BLOCK)), {s: goal[s] for s in by}, most)
+    for s, own in by.items():
+        assert [got[i] for _, i, _ in own] == model_taken([n for _, _, n in own], s, quotas[s])
+
+
+def test_rows_that_tie_in_key_and_size(spark):
+    rows = [(7, f"{c} " * 40, "a", None) for c in "pqrstuvw"] * 2 + [(8, "z " * 900, "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_size` long")
+    out = [sorted(map(str, mixing.mix_documents(docs.repartition(n)).collect())) for n in (1, 5)]
+    assert out[0] == out[1]

@@ -40,6 +40,26 @@ def test_run_writes_every_stage(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
 
 
+ODD = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "", "", 0), (3, " \n ", "en", "s", 3), (None, "words without a key " * 30, "en", "s", 600), (4, "the of and in " + "long text, with many words. " * 40_000, "en", "s", 1_120_000)]
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, an extra column, an empty table: no stage fails."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "in"] + [f"word{rng.randrange(3000)}"] * 3) for _ in range(n)) + "."
+    rows = [(*r, "x") for r in ODD] + [(i, prose(80), None, None if i % 2 else "s", None, None) for i in range(10, 20)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now.count(), spark.createDataFrame((out := stage(spark, now, "")).collect(), out.schema)
+            if name != "SentencePiece":
+                assert now.columns == docs.columns
+            if name == "secret scans":
+                assert now.count() == before
+    assert now.count() == 0
+
+
 def test_every_operator_is_registered():
     names = [n for i in range(1, 11) for n in registry.QUERIES if n.startswith(f"op{i}_")]
     assert len(names) == 10 and set(registry.ORACLES) <= set(registry.QUERIES)

@@ -57,3 +57,18 @@ def test_whole_table_by_sql(spark):
 def test_runs_on_built_in_expressions_alone(spark):
     plan = quality.op3_quality_rules(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def test_columns_with_clashing_names(spark):
+    """No column of the user's is lost or in the way, whatever its name; those named like results are replaced."""
+    body = "the of and in " + " ".join(f"word{i}" for i in range(60)) + "."
+    names = ["one", "_words", "_lines", "_keys", "_row", "_text", "own", "body", "a.b", "n_words", "kept"]
+    docs = spark.createDataFrame([(1, body, *names)] * 2, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = quality.judged(quality.quality_metrics(docs))
+    for r in out.collect():
+        assert all(r[n] == n for n in names[:-2]) and r.n_words == 64 and r.kept
+    kept = quality.quality_filter(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.collect()]
+    assert quality.quality_filter(docs.limit(0)).count() == 0 and quality.judged(quality.quality_metrics(docs.limit(0))).count() == 0
+    alone = quality.quality_metrics(docs.select("text", "doc_id").limit(1), "text").first()
+    assert alone.n_words == 64

@@ -114,7 +114,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     ``repeated`` is the number of leading turns that an earlier window held; [loss_from, loss_to) are the code
     points under the loss. A window exceeds ``budget`` tokens (words plus OVERHEAD a turn) only where the
     system turn, or one turn, does by itself. Turns are ordered by turn, ties by role and text, null turns first;
-    null roles and texts are empty; repeated rows are repeated turns; a null conv_id is a conversation.
+    null roles and texts are empty; repeated rows are repeated turns; a null conv_id is a conversation; other
+    columns are not read; an empty table has no windows. Rows of one conversation are sorted and read by one task, as
+    its windows and digests are one sequence.
     """
     named = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
@@ -134,8 +136,9 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """One row per conversation from its windows, which come conversation by conversation in order.
+def read_back(windows: DataFrame, ordered: bool = False) -> DataFrame:
+    """One row per conversation from its windows, in any order; ``ordered`` saves the shuffle where they are as
+    format_windows left them, and raises an error where they are not.
 
     conv_id, n_turns, turns_sha256 (role, \\n, text, \\n per turn), loss_chars and loss_sha256 of all text under
     the mask, unescaped, formatted_chars (code points of all windows), n_windows.
@@ -148,6 +151,8 @@ def read_back(windows: DataFrame) -> DataFrame:
             for conv, rows in _grouped(batches):
                 turns, loss, n, chars, size, count = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
                 for _, w in rows:
+                    if w["window"] != count:
+                        raise ValueError(f"window {w['window']} of conversation {conv} comes in place of window {count}")
                     for role, text in read_turns(w["text"])[w["repeated"] :]:
                         turns.update(f"{role}\n{text}\n".encode())
                         n += 1
@@ -162,6 +167,8 @@ def read_back(windows: DataFrame) -> DataFrame:
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
         yield from _emitted(read(), schema)
 
+    if not ordered:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     return windows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
@@ -169,5 +176,5 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     probe = f"{CLOSE}{OPEN}assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(1).select(F.explode(F.array(F.struct(F.lit(-1).cast("long"), F.lit(0).cast("long"), F.lit("user"), F.lit(probe)), F.struct(F.lit(-1).cast("long"), F.lit(1).cast("long"), F.lit("assistant"), F.lit(probe)))).alias("r")).select("r.*")
-    return read_back(format_windows(turns.union(more.toDF("conv_id", "turn", "role", "text"))))
+    return read_back(format_windows(turns.union(more.toDF("conv_id", "turn", "role", "text"))), ordered=True)
 

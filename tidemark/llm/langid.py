@@ -9,7 +9,7 @@ slices in all, evenly over the languages; applying the network covers every whol
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, table
@@ -106,30 +106,30 @@ def predict(net: dict, bodies: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteConvNet | None:
     """A network trained on slices of labelled rows; None if no row has a label and a letter.
 
-    SAMPLE rows or so are picked by hash, as many of each language; a slice starts anywhere in its text.
+    As many rows of each language, SAMPLE in all and one of a language at least, are those with the smallest hashes of
+    key and text; equal rows count once. A slice starts anywhere in its text.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(23), key, text).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # the labels that can be learned
+    if not languages:
         return None
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, int((1 << 30) * min(1.0, SAMPLE / len(counts) / n))).otherwise(share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # tasks pass on no more than these ranks
+    picked = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= max(1, SAMPLE // len(languages))).select("lang", "h")
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SLICE + 1)) + 1
-    picked = rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share).select("lang", "h", F.expr("text").substr(start.cast("int"), F.lit(SLICE)).alias("slice"))
-    sample = sorted(picked.limit(2 * SAMPLE).collect(), key=lambda r: (r["lang"], r["h"], r["slice"]))
-    languages = sorted({r["lang"] for r in sample})
+    slices = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.expr("text").substr(start.cast("int"), F.lit(SLICE))).alias("slice"))  # SAMPLE rows
+    sample = sorted(slices.collect(), key=lambda r: (r["lang"], r["h"]))
     parts = [(windows_of(r["slice"].encode()), languages.index(r["lang"])) for r in sample]
     x = np.frombuffer(b"".join(b for b, _ in parts), np.uint8).reshape(-1, WINDOW)
     y = np.repeat([i for _, i in parts], [len(b) // WINDOW for b, _ in parts])
-    return ByteConvNet(languages).train(x, y) if languages else None
+    return ByteConvNet(languages).train(x, y)
 
 
 def identify(docs: DataFrame, net: ByteConvNet | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, lang_pred, score (mean probability of lang_pred over the text's windows).
 
     ``und`` with score 0 for null texts, texts without a letter, and where nothing was learned. Only ``text`` is
-    looked at. Texts are read whole, whatever their length.
+    looked at. Texts are read whole, whatever their length; of languages that tie, the first by code point is named.
+    Repeated rows come back repeated; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net.compiled() if net else None)
 

@@ -24,6 +24,8 @@ BLOCK = 64
 SHARD_TOKENS = 1 << 18
 SHARDS = 4096
 REPEATS = 3
+#: Sources, or sources and shards, up to which their numbers are broadcast (some 30 MB).
+BROADCAST_ROWS = 250_000
 
 
 def token_count(text: Column) -> Column:
@@ -81,7 +83,7 @@ def highest_quotients(seats: int, weights: dict, most: dict | None = None) -> di
 
 
 def plan(docs: DataFrame, size: str, source: str, key: str, weights=WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = 17):
-    """(rows, quotas): ``docs`` with ``_shard``, and the quota table a broadcast join needs.
+    """(rows, quotas): ``docs`` with ``_shard``, and the quota table to join, broadcast up to BROADCAST_ROWS.
 
     quotas(_source, _shard, source_size, target, _length, _quota, _blocks, _start) has a row for each source
     and shard. ``weights`` is a tuple repeated over the sources by code point, null last, or a dict by source.
@@ -93,27 +95,30 @@ def plan(docs: DataFrame, size: str, source: str, key: str, weights=WEIGHTS, rep
     goal = targets(per_source, weigh, repeats)
     shards = {s: max(1, min(SHARDS, per_source[s] // SHARD_TOKENS)) for s in sources}
     counts = spark.createDataFrame([(s, shards[s]) for s in sources], "_source string, _shards long")
-    rows = docs.join(F.broadcast(counts), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), "_shards")).drop("_shards")
-    per_shard = {(r[0], r[1]): int(r[2]) for r in rows.groupBy("_source", "_shard").agg(F.sum(size)).collect()}
+    rows = docs.join(F.broadcast(counts) if len(sources) <= BROADCAST_ROWS else counts, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), "_shards")).drop("_shards")
+    per_shard: dict = {s: {} for s in sources}
+    for r in rows.groupBy("_source", "_shard").agg(F.sum(size)).collect():
+        per_shard[r[0]][r[1]] = int(r[2])
     own = highest_quotients(round(Fraction(sum(per_source.values()), block)), {s: goal[s] for s in sources}, {s: repeats * -(-per_source[s] // block) for s in sources})
     quota_rows = []
     for s in sources:
-        lengths = {k: n for (of, k), n in sorted(per_shard.items(), key=lambda x: x[0][1]) if of == s}
+        lengths = dict(sorted(per_shard[s].items()))
         blocks = {k: -(-n // block) for k, n in lengths.items()}
         quotas = highest_quotients(own[s], lengths, {k: repeats * b for k, b in blocks.items()})
         for k, n in lengths.items():
             start = zlib.crc32(f"{seed}:{s}:{k}".encode()) % max(1, blocks[k])
             quota_rows.append((s, k, per_source[s], float(goal[s]), n, quotas[k], blocks[k], start))
     names = "_source string, _shard long, source_size long, target double, _length long, _quota long, _blocks long, _start long"
-    return rows, spark.createDataFrame(quota_rows, names)
+    quotas = spark.createDataFrame(quota_rows, names)
+    return rows, F.broadcast(quotas) if len(quota_rows) <= BROADCAST_ROWS else quotas
 
 
 def taken(rows: DataFrame, quotas: DataFrame, size: str, key: str, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """``rows`` with source_size, target, ``_passes`` and ``_extra``: words of a further, partial pass."""
-    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key, size).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), key, size, "_mark").rowsBetween(Window.unboundedPreceding, 0)
     at = rows.withColumn("_end", F.sum(size).over(order))
     here = (at["_source"].eqNullSafe(quotas["_source"])) & (at["_shard"] == quotas["_shard"])
-    at = at.join(F.broadcast(quotas), here).drop(quotas["_source"], quotas["_shard"])
+    at = at.join(quotas, here).drop(quotas["_source"], quotas["_shard"])
     extra, begin = F.expr("_quota % greatest(_blocks, 1)"), F.col("_end") - F.col(size)
     first = F.col("_start") * block
     last = (F.col("_start") + extra) * block
@@ -128,7 +133,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, key: str = "doc_id", source: str = "so
     Null and empty texts have size 0 and none is taken of them; a null source is a source of its own, the
     last. Repeated rows count as often as they come. An empty table gives an empty result.
     """
-    sized = written(docs.select(F.col(key), F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("size")), "sizes")
+    sized = written(docs.select(F.col(key), F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_mark")), "sizes")
     rows, quotas = plan(sized, "size", "source", key, weights, repeats, seed=seed)
     out = taken(rows, quotas, "size", key, seed=seed)
     return out.select(key, "size", "source_size", "target", (F.col("_passes") * F.col("size") + F.col("_extra")).cast("long").alias("taken"), "source")
@@ -138,10 +143,12 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, key: str = "doc_id", source:
     """``docs`` in the mix: each row as often as the mix takes it whole, its columns unchanged.
 
     A document counts for the partial pass if at least half of its words are in it, so documents are never
-    cut; those without words stay once.
+    cut, whatever their length; those without words, null texts among them, stay once. A null source is a source of its
+    own, the last. Repeated rows count as often as they come; rows that tie in key and size are ordered by their texts,
+    so that reruns agree. An empty table stays empty. Columns come back as they were, whatever their names.
     """
     columns = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_of"), token_count(F.col(text)).alias("_size"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(key).alias("_key"), F.col(source).cast("string").alias("_of"), token_count(F.col(text)).alias("_size"), F.xxhash64(F.col(text)).alias("_mark"))
     rows, quotas = plan(whole, "_size", "_of", "_key", weights, repeats, seed=seed)
     out = taken(rows, quotas, "_size", "_key", seed=seed)
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_passes") + F.when(2 * F.col("_extra") >= F.col("_size"), 1).otherwise(0)).cast("int")

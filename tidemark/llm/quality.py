@@ -25,9 +25,13 @@ STOP_WORDS = (
 SYMBOLS = "#*$%&|<>"
 
 
+#: As the whole of a rule: the metric itself is bounded.
+ONE = "one"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``at_least`` <= 100 * part / whole <= ``at_most``; a bound of None is open."""
+    """``at_least`` <= 100 * part / whole <= ``at_most``; a bound of None is open. ``whole`` may be ONE."""
 
     name: str
     part: str
@@ -36,7 +40,7 @@ class Rule:
     at_most: int | None = None
 
     def holds(self) -> Column:
-        share, whole = F.col(self.part) * 100, F.col(self.whole)
+        share, whole = F.col(self.part) * 100, F.lit(1) if self.whole == ONE else F.col(self.whole)
         bounds = [share >= whole * self.at_least] if self.at_least is not None else []
         bounds += [share <= whole * self.at_most] if self.at_most is not None else []
         return reduce(and_, bounds)
@@ -44,7 +48,7 @@ class Rule:
 
 #: Base rules: their failure rejects a document whatever the others say.
 BASE_RULES = (
-    Rule("length", "n_words", "one", at_least=5000),
+    Rule("length", "n_words", ONE, at_least=5000),
     Rule("repetition", "n_repeat_words", "n_words", at_most=50),
 )
 RULES = (
@@ -88,16 +92,19 @@ def repeated_words(words: Column, keys: Column) -> Column:
 
 
 def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of METRICS (long); columns of these names are replaced.
+    """``docs`` with the columns of METRICS (long); columns of these names are replaced, all others stay as they are.
 
-    A null, empty or blank text has zero for every metric. Lines are split at \\n and count only if
-    they hold a word. Windows of three words are told apart by a 64-bit hash of their words.
+    A null, empty or blank text has zero for every metric; a text of any length is taken whole. Lines are split at
+    \\n and count only if they hold a word. Windows of three words are told apart by a 64-bit hash of their words.
+    Rows do not depend on each other: repeated rows stay repeated, an empty table stays empty, nothing can tie.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    own = [c for c in docs.columns if c not in METRICS]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in METRICS]
+    # The user's columns travel as one, so that no name of theirs meets a name used here.
+    docs = docs.select(F.struct(*own).alias("_row") if own else F.lit(None).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    body = F.coalesce("_text", F.lit(""))
     step = docs.select(
-        *own,
-        words_of(F.col(text)).alias("_words"),
+        "*",
+        words_of(F.col("_text")).alias("_words"),
         F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0).alias("_lines"),
     )
     step = step.withColumn(
@@ -110,7 +117,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     repeats = F.size(F.array_distinct("_keys")) < F.size("_keys")
     count = lambda keep: F.size(F.filter("_lines", keep)).cast("long")
     return step.select(
-        *own,
+        *(["_row.*"] if own else []),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
@@ -124,10 +131,10 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judged(metrics: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """``metrics`` with ``base_failed`` and ``kept``: the compiled verdicts of both rule tables."""
-    with_one = metrics.withColumn("one", F.lit(1).cast("long"))
+    """``metrics`` with ``base_failed`` and ``kept``, the compiled verdicts of both rule tables, in place of columns of
+    these names."""
     base_ok, ok = (reduce(and_, [r.holds() for r in table]) for table in (base, rules))
-    return with_one.withColumns({"base_failed": ~base_ok, "kept": base_ok & ok}).drop("one")
+    return metrics.withColumns({"base_failed": ~base_ok, "kept": base_ok & ok})
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -136,10 +143,10 @@ def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     An id-free filter: repeated rows stay repeated, null and empty texts go (no words), columns that
     happen to be named like a metric come back untouched.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    verdicts = judged(quality_metrics(whole, "_text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(f"`{text}`").alias("body"))
+    verdicts = judged(quality_metrics(whole, "body"))
     # Not where(): the optimizer would move it below the projection and evaluate every metric again in place.
-    return verdicts.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
+    return verdicts.select(F.explode(F.when(F.col("kept"), F.array("own"))).alias("own")).select("own.*")
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

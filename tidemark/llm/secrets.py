@@ -119,8 +119,11 @@ def log_ratio(counts: np.ndarray) -> np.ndarray:
 
 
 def random_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates with letters and digits that the random model explains better, outside the base spans."""
-    found = []
+    """Candidates with letters and digits that the random model explains better, outside the base spans.
+
+    ``taken`` is sorted by start, and so are the candidates: one walk over both tells what overlaps.
+    """
+    found, at, reach = [], 0, 0  # reach: the furthest end of the spans that start before the candidate's end
     for m in CANDIDATE.finditer(text):
         start, end = m.start(), m.end()
         while end > start and text[end - 1] in ".=-_/":
@@ -128,7 +131,10 @@ def random_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]
         token = text[start:end]
         if end - start < 20 or not re.search("[0-9]", token) or not re.search("[A-Za-z]", token) or len(set(token)) < MIN_DISTINCT:
             continue
-        if any(s < end and start < e for s, _, e in taken):
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][2])
+            at += 1
+        if reach > start:
             continue
         codes = classes(token)
         if ratios[codes[:-1] * K + codes[1:]].mean() > THRESHOLD:
@@ -150,7 +156,9 @@ def joined(spans) -> str:
 def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: key, n_assign, n_access, n_hex, base (joined base spans), spans, redacted text.
 
-    Null and empty texts have no spans; repeated rows give repeated rows; other columns are not read.
+    Null and empty texts have no spans; repeated rows give repeated rows; other columns are not read. A text of any length
+    is scanned whole, in time linear in it; an empty table gives an empty result. Spans that start together come in the
+    order of KINDS. The models see all rows, so what counts as random depends on the whole table.
     """
     ratios = log_ratio(corpus_counts(docs, text))
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # K * K doubles
@@ -181,7 +189,11 @@ def redact(text: str | None, spans, mark: str = "[SECRET]") -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the secrets of ``text`` replaced by a mark; every row, column and its order stay."""
+    """``docs`` with the secrets of ``text`` replaced by a mark; every row, column and its order stay.
+
+    Null and empty texts stay as they are, repeated rows stay repeated, an empty table stays empty; overlapping spans are
+    one mark; a text of any length is cleaned whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(log_ratio(corpus_counts(docs, text)))
 
     @F.pandas_udf("string")
