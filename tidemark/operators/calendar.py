@@ -138,5 +138,13 @@ def event_page(events: DataFrame, sequence: int, after_ordinal: int, limit: int)
     return events.where((F.col("snapshot_sequence") == sequence) & (F.col("ordinal") > after_ordinal)).orderBy("ordinal").limit(limit + 1)
 
 
+def wire_items(events: DataFrame, is_stale: Column, fetched: Column, available: Column) -> DataFrame:
+    """Events as a page shows them: UTC texts, nulls where nothing was said, and their snapshot's age on each of them."""
+    return events.select(
+        "event_id", "country_code", "country", "title", "impact", "impact_zh", "scheduled_at", utc_text(F.col("scheduled_at_utc")).alias("scheduled_at_utc"), "forecast", "previous", "actual",
+        is_stale.cast("boolean").alias("is_stale"), utc_text(fetched).alias("source_fetched_at"), utc_text(available).alias("available_at"), "ordinal",
+    )
+
+
 def includes_items(has_changes: bool, sequence: int, checkpoint: int | None) -> bool:
     return sequence > checkpoint if checkpoint is not None else has_changes

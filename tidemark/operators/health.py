@@ -101,9 +101,13 @@ def source_snapshot(registry: DataFrame, log: DataFrame) -> DataFrame:
     return rows.select("source", "enabled", "configured", F.coalesce("status", F.lit("unavailable")).alias("status"), "last_attempt_at", "last_success_at", "data_through", zero("consecutive_failures"), zero("raw_count"), zero("inserted_count"), zero("duplicates_count"), "error_code")
 
 
+def due(registry: DataFrame, log: DataFrame, now: Column) -> DataFrame:
+    """The sources to poll at ``now``: enabled, with their key where they need one, and past their next attempt."""
+    waiting = latest(log).where(F.col("next_attempt_at") > now).select("source")
+    return registry.where("enabled AND configured").join(waiting, "source", "left_anti")
+
+
 def counters(results: DataFrame) -> DataFrame:
     """Per source and in total: raw, inserted and duplicate rows of a run; results(source, matched)."""
     duplicate = F.col("matched").isNotNull()
     return results.rollup("source").agg(F.count("*").alias("raw"), F.count_if(~duplicate).alias("inserted"), F.count_if(duplicate).alias("duplicates"))
-
-

@@ -226,6 +226,19 @@ def legacy_hash(spark, d):
     return _pages(spark, d).select("page_id", hashes.legacy_hash(F.col("title"), F.col("url")).alias("hash"))
 
 
+@query(f"""WITH {_PAGES}, {_URL_SQL} SELECT page_id, sha256('{{"source":"gnews","source_tickers":["AMD"],"title":' || to_json(trim(title))::VARCHAR || ',"url":' || to_json(canonical)::VARCHAR || '}}') AS hash FROM urls""")
+def observation_identity(spark, d):
+    return _pages(spark, d).select("page_id", hashes.observation_hash(F.lit(" GNews "), F.col("title"), F.col("url"), F.array(F.lit("$amd"), F.lit(""), F.lit("AMD"))).alias("hash"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT06:30:00Z') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT21:00:00.250000Z') END AS wire FROM orders""")
+def parsed_times(spark, d):
+    """Texts with an offset are instants; naive and other texts are none."""
+    day, turn = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 4
+    stamp = F.when(turn == 0, F.concat(day, F.lit("T08:30:00+02:00"))).when(turn == 1, F.concat(day, F.lit(" 21:00:00.25Z"))).when(turn == 2, F.concat(day, F.lit("T08:30:00"))).otherwise(F.concat(F.lit("on "), day))
+    return _read(spark, d, "orders").select("o_orderkey", times.utc_text(times.parse_utc(stamp)).alias("wire"))
+
+
 @query("SELECT event_id, sha256('{\"content_hash\":\"' || sha256(event_type) || '\",\"news_id\":' || user_id || ',\"operation\":\"' || CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END || '\",\"updated_at\":\"' || strftime(ts, '%Y-%m-%d') || '\"}') AS hash FROM events")
 def change_hash(spark, d):
     log = _read(spark, d, "events")
@@ -410,6 +423,14 @@ def calendar_page(spark, d):
     return calendar.event_page(rows.withColumnRenamed("week", "snapshot_sequence"), last, 2, 10).withColumnRenamed("snapshot_sequence", "week")
 
 
+@query(f"""WITH {_CALENDAR}, {_ORDINALS} SELECT sha256(date || chr(10) || country_code || chr(10) || o_orderkey) AS event_id, country, impact_zh, date AS scheduled_at, left(date, 19) || 'Z' AS scheduled_at_utc, nullif(actual, '') AS actual,
+FALSE AS is_stale, '2024-01-20T00:00:00Z' AS source_fetched_at, ordinal FROM o JOIN cal USING (week, o_orderkey)""")
+def calendar_wire(spark, d):
+    at = F.to_timestamp(F.lit("2024-01-20T00:00:00Z"))
+    items = calendar.wire_items(calendar.snapshot_events(_calendar(spark, d), by=("week",)), F.lit(False), at, at)
+    return items.select("event_id", "country", "impact_zh", "scheduled_at", "scheduled_at_utc", "actual", "is_stale", "source_fetched_at", "ordinal")
+
+
 @query(f"WITH {_CALENDAR} SELECT o_orderkey, sha256(date || chr(10) || country_code || chr(10) || o_orderkey) AS event_id FROM cal")
 def calendar_event_ids(spark, d):
     return _calendar(spark, d).select("o_orderkey", hashes.calendar_event_id(F.col("date"), F.col("country_code"), F.col("title")).alias("event_id"))
@@ -529,6 +550,15 @@ def source_runs(spark, d):
     return health.after_runs(log, runs).select("source", "outcome", "status", "consecutive_failures", shown("data_through"), shown("next_attempt_at"), "raw_count", "inserted_count", "version")
 
 
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 <> 0 AND s_nationkey % 7 <> 0 AND NOT (s_suppkey % 3 <> 0 AND s_nationkey % 6 = 0)")
+def due_sources(spark, d):
+    c, at = F.col, lambda t: F.to_timestamp(F.lit(t))
+    rows = _read(spark, d, "supplier").withColumnRenamed("s_suppkey", "source")
+    registry = rows.select("source", (c("s_nationkey") % 5 != 0).alias("enabled"), (c("s_nationkey") % 7 != 0).alias("configured"))
+    log = rows.where("source % 3 <> 0").select("source", F.when(c("s_nationkey") % 6 == 0, at("2024-01-03 00:00:00")).alias("next_attempt_at"), F.lit(1).alias("version"))
+    return health.due(registry, log, at("2024-01-02 00:00:00")).select(c("source").alias("s_suppkey"))
+
+
 @query("SELECT event_id AS news_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS tickers FROM events")
 def legacy_rows(spark, d):
     """Rows of an older table, a view's without update time and tickers."""

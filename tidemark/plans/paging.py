@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, changes
 
+#: Kinds and fields of cursors and the codes of errors are part of the wire format.
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 MOST_ROWS, MOST_BYTES, CURSOR_LENGTH = 500, 5 * 1024 * 1024, 2_048
 
@@ -139,6 +140,11 @@ def news_item(log: DataFrame, observations: DataFrame, news_id: int, as_of: date
     return found[0].asDict(recursive=True)["news"] if found else None
 
 
+def micros(local: datetime) -> int:
+    """Microseconds since the epoch of a timestamp as Spark hands it to the driver, in the driver's own zone."""
+    return round((local.astimezone(UTC) - EPOCH) / timedelta(microseconds=1))
+
+
 def calendar_page(snapshots: DataFrame, events: DataFrame, now: datetime, limit: int = 200, **filters) -> dict:
     """One page of the latest snapshot, pinned by sequence and token; items only if it is news to the caller."""
     if not 1 <= limit <= MOST_ROWS:
@@ -156,7 +162,9 @@ def calendar_page(snapshots: DataFrame, events: DataFrame, now: datetime, limit:
         raise PageError(409, "checkpoint_ahead")
     items = []
     if w.cursor or calendar.includes_items(head["has_changes"], head["snapshot_sequence"], w.checkpoint):
-        items = [r.asDict() for r in calendar.event_page(events, head["snapshot_sequence"], w.cursor["ordinal"] if w.cursor else 0, limit).collect()]
+        page = calendar.event_page(events, head["snapshot_sequence"], w.cursor["ordinal"] if w.cursor else 0, limit)
+        wire = calendar.wire_items(page, F.lit(head["is_stale"]), *(F.timestamp_micros(F.lit(micros(head[c]))) for c in ("source_fetched_at", "available_at")))
+        items = [r.asDict() for r in wire.orderBy("ordinal").collect()]
     more, items = len(items) > limit, items[:limit]
     cursor = {"v": 1, "kind": "calendar", "updated_after": iso(w.after), "as_of": iso(w.as_of), "snapshot_sequence": head["snapshot_sequence"], "snapshot_token": head["snapshot_token"], "ordinal": items[-1]["ordinal"], "filter": digest("calendar", w.after, w.as_of, w.checkpoint)} if more else None
     if cursor and w.checkpoint is not None:
