@@ -3,7 +3,6 @@
 import random
 from datetime import UTC, datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.test_dedup import similar
@@ -43,8 +42,7 @@ class Model:
         return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_batches(spark, tmp_path, monkeypatch, seed):
+def test_random_batches(spark, tmp_path, monkeypatch, seed=1):
     monkeypatch.setattr(stream.resolved, "__defaults__", (POOL,))
     rng, store, model = random.Random(seed), Store(spark, str(tmp_path / "store")), Model()
     bases = [[f"w{rng.randrange(50)}" for _ in range(rng.randint(5, 12))] + [str(rng.randrange(3))] for _ in range(7)]

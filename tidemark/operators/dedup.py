@@ -15,7 +15,7 @@ from tidemark.functions import text as fx
 from tidemark.functions.hashes import content_hash, legacy_hash
 from tidemark.functions.times import day_bucket
 from tidemark.functions.urls import normalize_url
-from tidemark.scratch import written
+from tidemark.scratch import Scratch
 
 
 def keyed(items: DataFrame, pos: Column, title: Column, url: Column, published: Column, fetched: Column | None = None) -> DataFrame:
@@ -80,47 +80,57 @@ def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
     titles to the ``pool`` latest items before an item's batch; None compares all, each distinct title of a
     bucket once: its items are grouped by it as by an exact key, and no pairs of them are made.
     """
-    exact = items.select("pos", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("key")) for i, c in ((0, "content_hash"), (1, "legacy_hash"))], F.struct(F.lit(2).alias("rank"), F.concat(F.lit("url:"), "url_key").alias("key")))).alias("k")).select("pos", "k.rank", "k.key")
-    exact = written(exact.where("key <> 'url:'"), "keys")
+    with Scratch(items.sparkSession, "resolution") as tmp:
+        return tmp.written(_resolved(items, pool, tmp), "resolved", keep=True)
+
+
+def _resolved(items: DataFrame, pool: int | None, tmp: Scratch) -> DataFrame:
+    exact = tmp.written(exact_keys(items), "keys")
     if pool is None:
-        titles = written(items.where("title <> ''").groupBy("bucket", "title").agg(F.min("pos").alias("group")), "titles")
-        members = written(items.select("pos", "bucket", "title").join(titles, ["bucket", "title"]).select("pos", "group"), "members")
+        titles = tmp.written(items.where("title <> ''").groupBy("bucket", "title").agg(F.min("pos").alias("group")), "titles")
+        members = tmp.written(items.select("pos", "bucket", "title").join(titles, ["bucket", "title"]).select("pos", "group"), "members")
         similar = similar_pairs(titles.select(F.col("group").alias("pos"), "bucket", "title"), both=True)
-        links = written(similar.select(F.col("pos").alias("group"), F.col("prior").alias("other")).union(titles.select("group", F.col("group").alias("other"))), "pairs")
+        links = tmp.written(similar.select(F.col("pos").alias("group"), F.col("prior").alias("other")).union(titles.select("group", F.col("group").alias("other"))), "pairs")
     else:
-        fuzzy = written(similar_pairs(items).where(F.col("prior") >= F.col("pos") - pool), "pairs")
+        fuzzy = tmp.written(similar_pairs(items).where(F.col("prior") >= F.col("pos") - pool), "pairs")
 
-    def nearest(rows: DataFrame, **columns: Column) -> DataFrame:
-        """Items with the least of each of ``columns`` over the ``rows`` of their own and of similar titles."""
+    def nearest(rows: DataFrame, asked: DataFrame, **columns: Column) -> DataFrame:
+        """``asked`` items with the least of each of ``columns`` over the ``rows`` of their own and of similar titles."""
         of = rows.join(members, "pos").groupBy(F.col("group").alias("other")).agg(*[F.min(c).alias(n) for n, c in columns.items()])
-        return members.join(links.join(of, "other").groupBy("group").agg(*[F.min(n).alias(n) for n in columns]), "group")
+        found = links.join(of, "other").groupBy("group").agg(*[F.min(n).alias(n) for n in columns])
+        return members.join(asked, "pos", "left_semi").join(found, "group")
 
-    known = written(items.select("pos", F.lit(None).cast("boolean").alias("canonical")), "state")
-    left = None
+    first = lambda c: F.min(F.when(c, F.col("pos")))
+    known = tmp.written(items.select("pos", F.lit(None).cast("boolean").alias("canonical")), "state 0")
+    left, n = None, 0
     while True:
-        state = known.withColumnRenamed("pos", "p")
+        n += 1
+        # Duplicates register nothing, so a round reads canonical and open items alone, and asks for open ones alone.
+        live, open_ = known.where("canonical IS NULL OR canonical"), known.where("canonical IS NULL").select("pos")
         # By key: the first canonical item, and the first that is not decided; an item looks before itself.
-        keys = exact.join(known, "pos").groupBy("key").agg(F.min(F.when(F.col("canonical"), F.col("pos"))).alias("kept"), F.min(F.when(F.col("canonical").isNull(), F.col("pos"))).alias("open"))
-        by_key = exact.join(keys, "key").groupBy("pos").agg(F.max(F.coalesce(F.col("kept") < F.col("pos"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("pos"), F.lit(False))).alias("wait"))
+        keys = exact.join(live, "pos").groupBy("key").agg(first(F.col("canonical")).alias("kept"), first(F.col("canonical").isNull()).alias("open"))
+        by_key = exact.join(open_, "pos").join(keys, "key").groupBy("pos").agg(F.max(F.coalesce(F.col("kept") < F.col("pos"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("pos"), F.lit(False))).alias("wait"))
         if pool is None:
-            by_title = nearest(known, kept=F.when(F.col("canonical"), F.col("pos")), open=F.when(F.col("canonical").isNull(), F.col("pos")))
+            by_title = nearest(live, open_, kept=F.when(F.col("canonical"), F.col("pos")), open=F.when(F.col("canonical").isNull(), F.col("pos")))
             by_title = by_title.select("pos", (F.col("kept") < F.col("pos")).alias("hit2"), (F.col("open") < F.col("pos")).alias("wait2"))
         else:
-            by_title = fuzzy.join(state, fuzzy["prior"] == state["p"]).groupBy("pos").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit2"), F.max(F.col("canonical").isNull()).alias("wait2"))
-        step = known.join(by_key, "pos", "left").join(by_title, "pos", "left")
+            state = live.withColumnRenamed("pos", "p")
+            by_title = fuzzy.join(open_, "pos").join(state, F.col("prior") == F.col("p")).groupBy("pos").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit2"), F.max(F.col("canonical").isNull()).alias("wait2"))
+        step = open_.join(by_key, "pos", "left").join(by_title, "pos", "left")
         hit, wait = F.coalesce("hit", F.lit(False)) | F.coalesce("hit2", F.lit(False)), F.coalesce("wait", F.lit(False)) | F.coalesce("wait2", F.lit(False))
-        known = written(step.select("pos", F.when(F.col("canonical").isNotNull(), F.col("canonical")).when(hit, False).when(~wait, True).alias("canonical")), "state")
-        open_ = known.where("canonical IS NULL").count()
-        if not open_ or open_ == left:
+        known = tmp.written(known.where("canonical IS NOT NULL").union(step.select("pos", F.when(hit, False).when(~wait, True).alias("canonical"))), f"state {n}")
+        tmp.drop(f"state {n - 1}")
+        remain = known.where("canonical IS NULL").count()
+        if not remain or remain == left:
             break
-        left = open_
-    kept = known.where("canonical").select("pos")
+        left = remain
+    kept, gone = known.where("canonical").select("pos"), known.where("NOT canonical").select("pos")
     owner = exact.join(kept, "pos").groupBy("key").agg(F.min("pos").alias("owner"))
-    by_key = exact.join(owner, "key").where("owner < pos").select("pos", "rank", "owner")
+    by_key = exact.join(gone, "pos").join(owner, "key").where("owner < pos").select("pos", "rank", "owner")
     if pool is None:
-        by_title = nearest(kept, owner=F.col("pos")).where("owner < pos").select("pos", F.lit(3).alias("rank"), "owner")
+        by_title = nearest(kept, gone, owner=F.col("pos")).where("owner < pos").select("pos", F.lit(3).alias("rank"), "owner")
     else:
-        by_title = fuzzy.join(kept.withColumnRenamed("pos", "prior"), "prior").select("pos", F.lit(3).alias("rank"), F.col("prior").alias("owner"))
+        by_title = fuzzy.join(gone, "pos").join(kept.withColumnRenamed("pos", "prior"), "prior").select("pos", F.lit(3).alias("rank"), F.col("prior").alias("owner"))
     best = by_key.union(by_title).groupBy("pos").agg(F.min(F.struct("rank", "owner")).alias("m"))
     names = F.element_at(F.array(*map(F.lit, ("content", "legacy", "url", "title"))), F.col("m.rank") + 1)
     out = known.join(best, "pos", "left")

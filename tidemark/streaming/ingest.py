@@ -15,14 +15,14 @@ from tidemark.operators import changes as log
 from tidemark.operators.dedup import exact_hits, exact_keys, greedy, similar_pairs
 from tidemark.operators.schema import TABLES, struct
 from tidemark.operators.store import Store, new_only, numbered
-from tidemark.scratch import written
+from tidemark.scratch import Scratch
 
 RECORDS = "source string, title string, summary string, url string, image_url string, published_at string, source_tickers array<string>"
 #: Latest entities that similar titles of a batch are compared with.
 POOL = 2_000
 
 
-def resolved(items: DataFrame, entities: DataFrame, first: int, pool: int = POOL) -> DataFrame:
+def resolved(items: DataFrame, entities: DataFrame, first: int, tmp: Scratch, pool: int = POOL) -> DataFrame:
     """(pos, news_id, is_new): the entity of every item of a batch, numbered from ``first`` where it is new.
 
     ``items(pos, content_hash, legacy_hash, url_key, bucket, title)`` from position 1, ``entities(news_id, content_hash,
@@ -32,15 +32,15 @@ def resolved(items: DataFrame, entities: DataFrame, first: int, pool: int = POOL
     """
     hits = exact_hits(items, entities).select("pos", F.struct("rank", F.lit(0).cast("long").alias("order"), "news_id").alias("owner"))
     latest = entities.orderBy(F.desc("recency"), "news_id").limit(pool)  # one task numbers pool rows
-    latest = written(latest.withColumn("pos", (F.row_number().over(Window.orderBy(F.desc("recency"), "news_id")) - pool - 1).cast("long")), "pool")
+    latest = tmp.written(latest.withColumn("pos", (F.row_number().over(Window.orderBy(F.desc("recency"), "news_id")) - pool - 1).cast("long")), "pool")
     both = latest.select("pos", "bucket", "title").union(items.select("pos", "bucket", "title"))
     # Positions in the pool come before those of the batch; the joins keep pairs of an item with an entity.
     pairs = similar_pairs(both).join(latest.select(F.col("pos").alias("prior"), "news_id"), "prior").join(items.select("pos"), "pos", "left_semi")
     titles = pairs.groupBy("pos").agg(F.min(F.struct(F.lit(3).alias("rank"), F.col("prior").alias("order"), "news_id")).alias("owner"))
-    old = written(hits.unionByName(titles), "old")
+    old = tmp.written(hits.unionByName(titles), "old")
     held = old.select("pos").distinct()
-    fresh = written(greedy(items.join(held, "pos", "left_anti")), "fresh")
-    named = written(numbered(fresh.where("pos = canonical").select("pos"), "news_id", first, "pos"), "named")
+    fresh = tmp.written(greedy(items.join(held, "pos", "left_anti")), "fresh")
+    named = tmp.written(numbered(fresh.where("pos = canonical").select("pos"), "news_id", first, "pos"), "named")
     # What an entity or the pool matches may still share a better key with a new item before it.
     asked = exact_keys(items)
     keys = asked.join(named, "pos").groupBy("key").agg(F.min(F.struct(F.col("pos").alias("order"), "news_id")).alias("new"))
@@ -60,26 +60,27 @@ def ingest(store: Store, prepared: DataFrame, now: datetime | None = None, batch
     at = F.lit(now)
     if batch is not None and any(c.get("batch") == batch for c in store.commits()):
         return {"inserted": 0, "duplicates": 0}
-    items = written(numbered(prepared, "pos", 1, *(["_at"] if "_at" in prepared.columns else ["fetched_at", "url", "title"])), "batch")
-    entities = written(log.state_as_of(store.read("news_changes"), live=True), "entities")
-    when = F.coalesce("published_at", "fetched_at")
-    shape = [F.col("url").alias("url_key"), F.date_format(when, "yyyy-MM-dd").alias("bucket"), normalize_title(F.col("title")).alias("title")]
-    owner = resolved(items.select("pos", "content_hash", "legacy_hash", *shape), entities.select("news_id", "content_hash", *shape, when.alias("recency")), store.next_of("news_changes", "news_id"))
-    rows = written(items.join(owner, "pos"), "rows")
-
-    seen = rows.select(F.col("news_id").alias("canonical_news_id"), "source", "original_title", "original_url", "source_tickers", at.alias("observed_at"), observation_hash(F.col("source"), F.col("original_title"), F.col("original_url"), F.col("source_tickers")).alias("observation_hash"), "pos")
-    seen = written(new_only(seen, store.read("news_source_observations"), ["canonical_news_id", "observation_hash"]), "seen")
-    gathered = rows.groupBy("news_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_tickers"))), lambda x: x["source_tickers"])).alias("more"), F.max("is_new").alias("is_new"))
-    changed = entities.join(gathered, "news_id").join(seen.select(F.col("canonical_news_id").alias("news_id")).distinct().withColumn("seen", F.lit(True)), "news_id", "left")
-    merged = merge_tickers(F.col("source_tickers"), F.col("more"))
-    changed = changed.where((merged != F.col("source_tickers")) | F.col("seen")).withColumns({"source_tickers": merged, "updated_at": at}).select(*entities.columns)
-    new = rows.where("is_new").join(gathered.select("news_id", "more"), "news_id").withColumn("source_tickers", merge_tickers(F.col("source_tickers"), F.col("more")))
-    out = new.unionByName(changed, allowMissingColumns=True).withColumns({"operation": F.lit("upsert"), "available_at": at})
-    out = out.withColumn("payload_hash", change_hash(F.col("operation"), F.col("news_id"), F.col("content_hash"), utc_text(F.col("updated_at"))))
-    out = numbered(out.drop("change_sequence", "pos"), "change_sequence", store.next_of("news_changes", "change_sequence"), "news_id")
-    notes = numbered(seen.drop("pos"), "observation_id", store.next_of("news_source_observations", "observation_id"), "canonical_news_id", "observation_hash")
-    inserted, total = rows.where("is_new").count(), rows.count()
-    store.commit({"news_changes": out, "news_source_observations": notes}, batch)
+    with Scratch(store.spark, "ingest") as tmp:
+        items = tmp.written(numbered(prepared, "pos", 1, *(["_at"] if "_at" in prepared.columns else ["fetched_at", "url", "title"])), "batch")
+        entities = tmp.written(log.state_as_of(store.read("news_changes"), live=True), "entities")
+        when = F.coalesce("published_at", "fetched_at")
+        shape = [F.col("url").alias("url_key"), F.date_format(when, "yyyy-MM-dd").alias("bucket"), normalize_title(F.col("title")).alias("title")]
+        owner = resolved(items.select("pos", "content_hash", "legacy_hash", *shape), entities.select("news_id", "content_hash", *shape, when.alias("recency")), store.next_of("news_changes", "news_id"), tmp)
+        rows = tmp.written(items.join(owner, "pos"), "rows")
+
+        seen = rows.select(F.col("news_id").alias("canonical_news_id"), "source", "original_title", "original_url", "source_tickers", at.alias("observed_at"), observation_hash(F.col("source"), F.col("original_title"), F.col("original_url"), F.col("source_tickers")).alias("observation_hash"), "pos")
+        seen = tmp.written(new_only(seen, store.read("news_source_observations"), ["canonical_news_id", "observation_hash"]), "seen")
+        gathered = rows.groupBy("news_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_tickers"))), lambda x: x["source_tickers"])).alias("more"), F.max("is_new").alias("is_new"))
+        changed = entities.join(gathered, "news_id").join(seen.select(F.col("canonical_news_id").alias("news_id")).distinct().withColumn("seen", F.lit(True)), "news_id", "left")
+        merged = merge_tickers(F.col("source_tickers"), F.col("more"))
+        changed = changed.where((merged != F.col("source_tickers")) | F.col("seen")).withColumns({"source_tickers": merged, "updated_at": at}).select(*entities.columns)
+        new = rows.where("is_new").join(gathered.select("news_id", "more"), "news_id").withColumn("source_tickers", merge_tickers(F.col("source_tickers"), F.col("more")))
+        out = new.unionByName(changed, allowMissingColumns=True).withColumns({"operation": F.lit("upsert"), "available_at": at})
+        out = out.withColumn("payload_hash", change_hash(F.col("operation"), F.col("news_id"), F.col("content_hash"), utc_text(F.col("updated_at"))))
+        out = numbered(out.drop("change_sequence", "pos"), "change_sequence", store.next_of("news_changes", "change_sequence"), "news_id")
+        notes = numbered(seen.drop("pos"), "observation_id", store.next_of("news_source_observations", "observation_id"), "canonical_news_id", "observation_hash")
+        inserted, total = rows.where("is_new").count(), rows.count()
+        store.commit({"news_changes": out, "news_source_observations": notes}, batch)
     return {"inserted": inserted, "duplicates": total - inserted}
 
 
