@@ -132,7 +132,10 @@ def lists_scanned(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _dealt(rows: DataFrame, graph, lists) -> DataFrame:
-    """(list, vec_id, v): each vector once for each of its ``lists``, lists_holding or lists_scanned."""
+    """(region, vec_id, v, lists): each vector once for each region of neighbouring lists that it is in.
+
+    ``lists`` is lists_holding or lists_scanned.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -142,14 +145,15 @@ def _dealt(rows: DataFrame, graph, lists) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids, kept = lists(graph.value, _unit(_matrix(part.column("v"))))
                 row, column = np.nonzero(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, column], pa.int32()), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "vec_id", "v"])
-
-    return rows.mapInArrow(run, "list int, vec_id long, v array<double>")
-
+                own = ids[row, column]
+                order = np.lexsort((own, row))
+                row, own = row[order], own[order]
+                begins = np.flatnonzero(_begins(row, own // REGION))
+                vectors = pa.array(row[begins])
+                held = pa.ListArray.from_arrays(pa.array(np.append(begins, len(own)), pa.int32()), pa.array(own, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(own[begins] // REGION, pa.int32()), part.column("vec_id").take(vectors), part.column("v").take(vectors), held], ["region", "vec_id", "v", "lists"])
 
-def _regions(rows: DataFrame) -> DataFrame:
-    """(region, vec_id, v, lists): each vector once for each region of neighbouring lists that it is in."""
-    return rows.groupBy(F.floor(F.col("list") / REGION).cast("int").alias("region"), "vec_id", "v").agg(F.collect_set("list").alias("lists"))
+    return rows.mapInArrow(run, "region int, vec_id long, v array<double>, lists array<int>")
 
 
 def _blocks(rows: DataFrame, own: str, others: str, sizes: DataFrame) -> DataFrame:
@@ -196,12 +200,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
         few = tmp.written(rows.withColumn("place", place).where(F.col("place") <= k + 1).drop("place"), "few")
         total = few.select("vec_id").distinct().count()
         graph = spark.sparkContext.broadcast(fitted(few, total))  # LISTS centroids at most
-        posting = tmp.written(_regions(_dealt(few, graph, lists_holding)), "posting")
+        posting = tmp.written(_dealt(few, graph, lists_holding), "posting")
         # Queries by their vector, which is named by the smallest key that asks for it and the vector's hash.
         asking = rows.where(F.col("vec_id") % every == 0)
         named = tmp.written(asking.groupBy("v").agg(F.min("vec_id").alias("vec_id")), "named")
         members = tmp.written(asking.join(named.withColumnRenamed("vec_id", "first"), "v").select(F.col("vec_id").alias("query_id"), "first", F.xxhash64("v").alias("mark")), "members", keep=True)
-        asked = tmp.written(_regions(_dealt(named, graph, lists_scanned)), "asked")
+        asked = tmp.written(_dealt(named, graph, lists_scanned), "asked")
         found = _ranked(_compared(posting, asked, k + 1, tmp), ["first", "mark"], k + 1).drop("rank")
         found = tmp.written(found, "found", keep=True)
 
