@@ -34,7 +34,7 @@ BROADCAST_IDS = 500_000
 #: Sets of the sample that finds popular tiles, members there from which a tile is salted, and salted tiles at most.
 SAMPLE, OFTEN, SALTED = 10_000, 12, 65_536
 #: Members of a tile that one task compares at once, on either side.
-BLOCK = 2048
+BLOCK = 1024
 BITS_PER_SHINGLE = 8
 #: Parts that similar sets agree on at least; how many of them make tiles; how many popular ones a set leaves.
 SPARE, AGREE, DROP = 16, 8, 4
@@ -174,8 +174,11 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(_met_sets(pairs, sets, "bits"), keep, "a long, b long")
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays."""
+def _exact(pairs: DataFrame, drawn, percent: int, tmp: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays. Few pairs are left by then: only their
+    documents' arrays are made, by ``drawn(ids, column)``."""
+    ids = tmp.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    sets = tmp.written(drawn(ids, "h"), "arrays")
 
     def keep(cols, _):
         out = {"a": [], "b": []}
@@ -292,9 +295,9 @@ def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, tmp: Scratch
     return dealt.groupBy("key", "mb", "ob").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _picked(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """``rows`` whose ``key`` is in ``ids``: the ids are broadcast while they are few, else both sides shuffle."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``id`` is in ``ids``: the ids are broadcast while they are few, else both sides shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def _shared_ids(sizes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -323,23 +326,30 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
         d = [digest(h) for h in found]
         return {"id": cols["id"], "n": [len(h) for h in found], "d1": [x[0] for x in d], "d2": [x[1] for x in d]}
 
-    def drawn(cols, state):
-        out = {"rep": [], "n": [], "d1": [], "d2": [], "bits": [], "h": []}
-        for i, t in zip(cols["id"], cols["text"]):
-            h = shingles(t, width, state["words"])
-            d = digest(h)
-            if len(h) and (i, *d) not in state["seen"]:
-                state["seen"].add((i, *d))
-                for name, value in zip(out, (i, len(h), *d, bitmap(h), h.tobytes())):
-                    out[name].append(value)
-        if len(state["seen"]) > 100_000:
-            state["seen"].clear()
-        return out
+    def drawn(ids: DataFrame, column: str) -> DataFrame:
+        """(rep, n, d1, d2, ``column``) of the documents in ``ids``: their bitmaps (bits) or their sorted arrays (h)."""
+
+        def run(cols, state):
+            out = {"rep": [], "n": [], "d1": [], "d2": [], column: []}
+            for i, t in zip(cols["id"], cols["text"]):
+                h = shingles(t, width, state["words"])
+                d = digest(h)
+                if len(h) and (i, *d) not in state["seen"]:
+                    state["seen"].add((i, *d))
+                    for name, value in zip(out, (i, len(h), *d, bitmap(h) if column == "bits" else h.tobytes())):
+                        out[name].append(value)
+            if len(state["seen"]) > 100_000:
+                state["seen"].clear()
+            return out
+
+        sets = map_batches(_picked(source, ids), run, f"rep long, n long, d1 long, d2 long, {column} binary", lambda: {"words": WordHashes(), "seen": set()})
+        return sets.dropDuplicates(["rep", "d1", "d2"]) if repeated else sets
 
     with Scratch(spark, "jaccard") as tmp:
         sizes = tmp.written(map_batches(source, measured, "id long, n long, d1 long, d2 long", WordHashes), "sizes", keep=True)
         classes = tmp.written(sizes.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes", keep=True)
         source = source.where("id IS NOT NULL")
+        repeated = sizes.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count() > 0
         popular = spark.sparkContext.broadcast(_popular(lambda rows, hot: _tiles(rows, width, percent, hot), source, classes))
         met = tmp.written(_met(_tiles(source, width, percent, popular), classes), "met")
 
@@ -353,21 +363,17 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
         tmp.drop("met", "one", "members", "centres")
 
         wanted = tmp.written(first.select(F.col("a").alias("id")).union(first.select("b")).union(tiles.select("rep")).distinct(), "wanted")
-        sets = map_batches(_picked(source, wanted), drawn, "rep long, n long, d1 long, d2 long, bits binary, h binary", lambda: {"words": WordHashes(), "seen": set()})
-        if sizes.groupBy("id").count().where("count > 1").limit(1).count():
-            sets = sets.dropDuplicates(["rep", "d1", "d2"])
-        sets = tmp.written(sets, "sets")
-
-        links = tmp.written(_exact(tmp.written(_bounded(first, sets, percent), "bounded"), sets, percent).union(_shared_ids(sizes, classes)).distinct(), "links")
+        sets = tmp.written(drawn(wanted, "bits"), "sets")
+        near = tmp.written(_bounded(first, sets, percent), "bounded")
+        links = tmp.written(_exact(near, drawn, percent, tmp).union(_shared_ids(sizes, classes)).distinct(), "links")
         labels = tmp.written(components(links, tmp), "near")
-        tmp.drop("pairs", "bounded", "links")
+        tmp.drop("pairs", "bounded", "links", "arrays", "asked")
         # The centre has met every member of its tiles; what is left are the others, where they differ in component.
         # A centre's tiles overlap, so their members are compared together, each once.
         rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
         rest = tmp.written(rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
         left = tmp.written(_block_pairs(rest, sets, percent, tmp), "left")
-        asked = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
-        more = tmp.written(_exact(left, _picked(sets, asked, "rep"), percent), "links")
+        more = tmp.written(_exact(left, drawn, percent, tmp), "links")
         labels = tmp.written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tmp), "labels", keep=True)
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
