@@ -1,0 +1,98 @@
+"""Alignment of two tokenizers against plain loops over their libraries, and the sparse product against dense matrices."""
+
+import hashlib
+import random
+import time
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import sentencepiece
+from tokenizers import Tokenizer
+
+from tidemark.llm import alignment as al
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+PARTS = ["the ", "ing", " word", "é", "中文", "😀", "  ", "\n", "\x00", "<|endoftext|>", "<s>", "<0x41>", "'ll", "١", "-----", "a", "Ω", "́", " 　", "\x85"]
+ODD = [None, "", " ", "▁", "a▁b", "x" * 3000, " " * 20_000, "-" * 20_000, "word " * 20_000, "﻿", "�"]
+
+
+def texts(n, seed=5):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(n)] + ODD
+
+
+def test_products():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n, m, k = rng.integers(1, 9, 3)
+        dense = [rng.integers(0, 3, s) * (rng.random(s) < 0.5) for s in ((n, m), (m, k))]
+        sparse = [al.Csr(np.concatenate(([0], np.cumsum((d > 0).sum(1)))), np.nonzero(d)[1], d[d > 0], d.shape[1]) for d in dense]
+        for flops in (1, 5, 10**6):
+            got = np.zeros((n, k), int)
+            for r, c, v in al.product(*sparse, flops):
+                assert (got[r, c] == 0).all()
+                got[r, c] = v
+            assert (got == dense[0] @ dense[1]).all()
+        back = sparse[0].transposed()
+        assert all((back.columns[back.starts[j] : back.starts[j + 1]] == np.nonzero(dense[0][:, j])[0]).all() for j in range(m))
+
+
+def plain(rows):
+    """The contract in loops: per row the figures, and per row its links."""
+    slow, model = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    slow.encode_special_tokens = True
+    letters = al.byte_alphabet()
+    shown_a = {i: (bytes(letters[c] for c in t) if i != 50256 else t.encode()) for t, i in slow.get_vocab().items()}
+    out, held = [], Counter()
+    for text in rows:
+        a, b = (slow.encode(" " + text, add_special_tokens=False).ids, model.encode(text)) if text else ([], [])
+        shown_b = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        parts = [[shown_a[i] for i in a], shown_b]
+        if not text or any(b"".join(p) != (" " + text).encode() for p in parts):
+            out.append(([], [], [], []))
+            continue
+        ends = [np.cumsum([len(x) for x in p]).tolist() for p in parts]
+        owner = [[i for i, x in enumerate(p) for _ in x] for p in parts]
+        links = sorted({(i, j) for i, j in zip(*owner)})
+        groups, i, j = [], 0, 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            p, q = ends[0].index(cut, i) + 1, ends[1].index(cut, j) + 1
+            groups.append((a[i:p], b[j:q]))
+            i, j = p, q
+        out.append((a, b, groups, links))
+        held.update({(a[i], b[j]) for i, j in links})
+    most = defaultdict(int)
+    for (x, _), n in held.items():
+        most[x] = max(most[x], n)
+    for a, b, groups, links in out:
+        counts = [(held[a[i], b[j]], most[a[i]]) for i, j in links]
+        body = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        yield len(a), len(b), len(groups), len(links), sum(len(x) * len(y) for x, y in groups), sum(n == m for n, m in counts), sum(n for n, _ in counts), hashlib.sha256(body.encode()).hexdigest() if a else ""
+
+
+def test_against_loops(spark):
+    rows = texts(400)
+    rows += rows[:30] + ["the the word"] * 50
+    docs = spark.createDataFrame([(i if i % 50 else None, t, 1, "x", 2) for i, t in enumerate(rows)], "doc_id long, text string, pairs int, `a.b` string, N_A int").repartition(5)
+    want = Counter((i if i % 50 else None, *r) for i, r in enumerate(plain(rows)))
+    for hot in (7, 10**6):
+        assert Counter(tuple(r) for r in al.alignment(docs, A, B, hot=hot).collect()) == want
+    assert al.alignment(docs.where("false"), A, B).collect() == []
+
+
+def test_links(spark):
+    docs = spark.createDataFrame([(1, "Unbelievable naïve 中文 text"), (2, None)], "doc_id long, text string")
+    got = al.links(docs, A, B).orderBy("at_a", "at_b").collect()
+    one = al.Aligner(A, B)
+    a, b = one.tokens(["Unbelievable naïve 中文 text"])[0]
+    assert [(r.a, r.b) for r in got] == [(a[r.at_a], b[r.at_b]) for r in got] and {r.doc_id for r in got} == {1}
+    assert sum(r.n_bytes for r in got) == len(" Unbelievable naïve 中文 text".encode())
+
+
+def test_long_texts_are_linear():
+    one = al.Aligner(A, B)
+    for text in ("-" * 1_000_000, " " * 1_000_000, "a" * 1_000_000, "é中" * 200_000, "word " * 200_000):
+        began = time.time()
+        out = one.aligned([text])
+        assert out["n_links"][0] == out["n_a"][0] + out["n_b"][0] - out["n_groups"][0] and time.time() - began < 12
