@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import alignment, ann, chat, extraction, jaccard, langid, mixing, pieces, quality, secrets, tokencount
+from tidemark.llm import alignment, ann, chat, clustering, extraction, jaccard, langid, mixing, pieces, quality, secrets, tokencount
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_html_text": extraction.op10_html_text,
     "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_centroid_clustering": clustering.op12_centroid_clustering,
 }
-ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op7_jaccard_join": jaccard.OP7_SQL}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op12_centroid_clustering": clustering.OP12_SQL}
