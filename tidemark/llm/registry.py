@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import alignment, ann, chat, clustering, extraction, jaccard, langid, mixing, pieces, quality, secrets, tokencount
+from tidemark.llm import alignment, ann, chat, clustering, extraction, jaccard, langid, licenses, mixing, pieces, quality, secrets, tokencount
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_html_text": extraction.op10_html_text,
     "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_centroid_clustering": clustering.op12_centroid_clustering,
+    "op13_license_scan": licenses.op13_license_scan,
 }
-ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op12_centroid_clustering": clustering.OP12_SQL}
+ORACLES = {"op3_quality_rules": quality.OP3_SQL, "op7_jaccard_join": jaccard.OP7_SQL, "op12_centroid_clustering": clustering.OP12_SQL, "op13_license_scan": licenses.OP13_SQL}
