@@ -174,12 +174,11 @@ def test_retention(spark):
     log = spark.createDataFrame([(1, 1, at("2020-01-01")), (2, 1, at("2020-02-01")), (3, 3, at("2026-07-14"))], "change_sequence long, news_id long, available_at timestamp")
     snaps = spark.createDataFrame([(1, at("2020-01-01")), (2, at("2020-01-02"))], "snapshot_sequence long, available_at timestamp")
     legacy = spark.createDataFrame([(2,), (None,)], "ref long")
-    out = retention.cleanup(entities, log, snaps, F.lit(NOW), [(legacy, "ref")])
-    assert [r.news_id for r in out["expired"].collect()] == [1]
-    assert sorted(r.change_sequence for r in out["changes"].collect()) == [2, 3]
-    assert [r.snapshot_sequence for r in out["snapshots"].collect()] == [2]
-    assert retention.cleanup(entities, log, snaps, F.lit(NOW), [], news_days=0)["expired"].count() == 0
-    assert retention.cascaded(log, "news_id", out["expired"], "news_id").count() == 1
+    gone = retention.candidates(entities, F.lit(NOW - timedelta(days=365)), [(legacy, "ref")])
+    assert [r.news_id for r in gone.collect()] == [1]
+    assert sorted(r.change_sequence for r in changes.compacted(log, F.lit(NOW - timedelta(days=365))).collect()) == [2, 3]
+    assert [r.snapshot_sequence for r in retention.kept_snapshots(snaps, F.lit(NOW - timedelta(days=90))).collect()] == [2]
+    assert retention.cascaded(log, "news_id", gone, "news_id").count() == 1
 
 
 def test_health(spark):

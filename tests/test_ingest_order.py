@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_dedup import similar
 from tidemark.functions.text import normalize_title
+from tidemark.operators import state
 from tidemark.operators.store import Store
 from tidemark.sources import feeds
 from tidemark.streaming import ingest as stream
@@ -43,7 +44,8 @@ class Model:
 
 
 def test_random_batches(spark, tmp_path, monkeypatch, seed=1):
-    monkeypatch.setattr(stream.resolved, "__defaults__", (POOL,))
+    monkeypatch.setattr(state, "POOL", POOL)
+    monkeypatch.setattr(state.with_batch, "__defaults__", (POOL,))
     rng, store, model = random.Random(seed), Store(spark, str(tmp_path / "store")), Model()
     bases = [[f"w{rng.randrange(50)}" for _ in range(rng.randint(5, 12))] + [str(rng.randrange(3))] for _ in range(7)]
     wanted = []

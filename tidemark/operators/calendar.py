@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +13,14 @@ from tidemark.functions.times import parse_utc, utc_text
 from tidemark.operators import health
 from tidemark.operators.schema import HEALTH
 from tidemark.operators.store import Store, numbered
+from tidemark.scratch import Scratch
+from tidemark.sources import calendar_cache
 
 #: Labels of currencies and impacts, and the currencies that are kept.
 COUNTRIES = {"USD": "🇺🇸 美国", "EUR": "🇪🇺 欧元区", "GBP": "🇬🇧 英国", "JPY": "🇯🇵 日本", "CNY": "🇨🇳 中国", "AUD": "🇦🇺 澳大利亚", "CAD": "🇨🇦 加拿大", "CHF": "🇨🇭 瑞士", "NZD": "🇳🇿 新西兰"}
 IMPACTS = {"high": "高", "medium": "中", "low": "低", "holiday": "假日"}
+#: Seconds that a fresh snapshot need not be polled again.
+TTL = 600
 MAJORS = ("USD", "EUR", "GBP", "JPY", "CNY", "AUD", "CAD", "CHF")
 
 
@@ -69,13 +74,13 @@ def snapshot_header(detail: DataFrame, fetched: Column, stale: Column, observed:
     )
 
 
-def recorded(fetches: DataFrame, order: str, first: int = 1, known: DataFrame | None = None) -> DataFrame:
+def recorded(fetches: DataFrame, order: str, first: int = 1, known: DataFrame | None = None, tmp: Scratch | None = None) -> DataFrame:
     """``fetches(snapshot_token, ...)`` with snapshot_sequence and ``reused``: a token's first fetch makes a snapshot,
     numbered from ``first`` by ``order``; later ones, and those of a ``known(snapshot_token, snapshot_sequence)``, reuse it."""
     opened = fetches.groupBy("snapshot_token").agg(F.min(order).alias("_opened"))
     if known is not None:
         opened = opened.join(known.select("snapshot_token"), "snapshot_token", "left_anti")
-    named = numbered(opened, "snapshot_sequence", first, "_opened")
+    named = numbered(opened, "snapshot_sequence", first, "_opened", tmp=tmp)
     if known is not None:
         named = named.unionByName(known.select("snapshot_token", "snapshot_sequence"), allowMissingColumns=True)
     out = fetches.join(named, "snapshot_token")
@@ -87,42 +92,72 @@ def record_snapshot(store: Store, events: DataFrame, fetched: datetime, stale: b
 
     Header, events and the health rows ``state`` become visible in one commit; a reused snapshot commits ``state`` alone.
     """
-    detail = snapshot_events(events)
-    head = snapshot_header(detail, F.lit(fetched), F.lit(stale), F.lit(observed), source)
-    token = head.first()["snapshot_token"]
-    more = {} if state is None else {"source_health": state}
-    old = store.read("calendar_snapshots").where(F.col("snapshot_token") == token).agg(F.min("snapshot_sequence").alias("n")).first()["n"]
-    if old is None:
-        sequence = store.next_of("calendar_snapshots", "snapshot_sequence")
-        number = F.lit(sequence).cast("long")
-        more |= {"calendar_snapshots": head.withColumn("snapshot_sequence", number), "calendar_events": detail.withColumn("snapshot_sequence", number)}
-    if more:
-        store.commit(more)
-    return token, sequence if old is None else old
-
-
-def refresh(store: Store, attempted: datetime, observed: datetime, fresh: DataFrame | None = None, fetched: datetime | None = None, cached: DataFrame | None = None, error: str = "calendar_fetch_failed", source: str = "calendar") -> tuple[str, int] | None:
-    """A poll's outcome as snapshot and health in one commit: the ``fresh`` raw events, or where they are None the
-    ``cached`` ones (calendar_cache.read) as a stale snapshot, if they are no older than health.STALE_DAYS.
+    with Scratch(store.spark, "snapshot") as tmp:
+        detail = tmp.written(snapshot_events(events), "events")
+        head = tmp.written(snapshot_header(detail, F.lit(fetched), F.lit(stale), F.lit(observed), source), "head")
+        known = store.read("calendar_snapshots").join(head.select("snapshot_token"), "snapshot_token", "left_semi")
+        named = recorded(head, "available_at", store.next_of("calendar_snapshots", "snapshot_sequence"), known, tmp)
+        row = named.select("snapshot_token", "snapshot_sequence", "reused").first()
+        more = {} if state is None else {"source_health": state}
+        if not row["reused"]:
+            more |= {"calendar_snapshots": named, "calendar_events": detail.withColumn("snapshot_sequence", F.lit(row["snapshot_sequence"]).cast("long"))}
+        if more:
+            store.commit(more)
+        return row["snapshot_token"], row["snapshot_sequence"]
+
+
+def cached_enough(store: Store, now: datetime, ttl: int = TTL, retry: int = health.STALE_RETRY, source: str = "calendar") -> tuple[str, int] | None:
+    """(token, sequence) of the newest snapshot while it need not be polled again: ``ttl`` seconds after a fresh one,
+    ``retry`` after a stale one; None where a poll is due."""
+    last = latest_snapshot(store.read("calendar_snapshots").where(F.col("source") == source), F.lit(now), F.lit(now)).first()
+    if last is None:
+        return None
+    polled = health.latest(store.read("source_health").where(F.col("source") == source)).select(F.unix_micros("updated_at").alias("at"), "status").first()
+    age = int(now.timestamp() * 1_000_000) - polled["at"] if polled is not None else None
+    return (last["snapshot_token"], last["snapshot_sequence"]) if age is not None and age < (ttl if polled["status"] == "ok" else retry) * 1_000_000 else None
+
+
+def refresh(store: Store, attempted: datetime, observed: datetime, fresh: DataFrame | None = None, fetched: datetime | None = None, cached: DataFrame | None = None, error: str = "calendar_fetch_failed", source: str = "calendar", cache_path: str | None = None) -> tuple[str, int] | None:
+    """A poll's outcome as snapshot and health in one commit: the ``fresh`` raw events, or where they are None, hold none or
+    do not normalise, the ``cached`` ones (calendar_cache.read) as a stale snapshot, if they are no older than health.STALE_DAYS.
 
     A stale refresh keeps the last success and what the data reaches, counts a failure and asks for another try soon. With
-    no usable copy either, the failure alone is recorded, and None is returned.
+    no usable copy either, or one that does not normalise, the failure alone is recorded, and None is returned. Once a fresh
+    snapshot is committed, its raw events replace the copy at ``cache_path``.
     """
-    spark, stale, raw = store.spark, fresh is None, fresh
+    spark, events, raw = store.spark, None, fresh
+    if fresh is not None:
+        events, error = _readable(fresh, error)
+    stale = events is None
     if stale:
         at = cached.agg(F.max(F.when(health.usable_cache(F.col("fetched_at"), F.lit(observed)), F.unix_micros("fetched_at"))).alias("at")).first()["at"] if cached is not None else None
-        if at is None:
+        if at is not None:
+            fetched = datetime.fromtimestamp(0, attempted.tzinfo) + timedelta(microseconds=at)
+            events, error = _readable(cached, error, kept=error)
+        if events is None:
             failed = spark.createDataFrame([(source, attempted, error)], "source string, attempted_at timestamp, error_code string")
             store.commit({"source_health": health.after_failure(store.read("source_health"), failed)})
             return None
-        fetched, raw = datetime.fromtimestamp(0, attempted.tzinfo) + timedelta(microseconds=at), cached
-    events = normalized(raw)
     prior = health.latest(store.read("source_health").where(F.col("source") == source)).first()
     kept = lambda name: prior[name] if prior is not None and prior[name] is not None else fetched
     failures = (prior["consecutive_failures"] or 0) + 1 if prior is not None else 1
     row = (source, "degraded" if stale else "ok", attempted, kept("last_success_at") if stale else fetched, kept("data_through") if stale else fetched, failures if stale else 0, observed + timedelta(seconds=health.STALE_RETRY) if stale else None, 0 if stale else events.count(), None, None, error if stale else None, observed, None)
     state = health.versioned(store.read("source_health"), spark.createDataFrame([row], HEALTH))
-    return record_snapshot(store, events, fetched, stale, observed, source, state)
+    found = record_snapshot(store, events, fetched, stale, observed, source, state)
+    if cache_path and not stale:
+        calendar_cache.write(cache_path, [r.asDict() for r in raw.select("date", "title", "country", "impact", "forecast", "previous", "actual").collect()], fetched.isoformat())  # one week's events
+    return found
+
+
+def _readable(raw: DataFrame, error: str, kept: str | None = None) -> tuple[DataFrame | None, str]:
+    """The normalised events of ``raw``, or None and ``calendar_parse_failed`` where there is no event at all, columns are missing,
+    or a kept event has no time that can be read."""
+    try:
+        events = normalized(raw)
+        bad = raw.isEmpty() or not events.where(parse_utc(F.col("date")).isNull()).isEmpty()
+    except AnalysisException:
+        bad = True
+    return (None, "calendar_parse_failed") if bad else (events, kept or error)
 
 
 def latest_snapshot(snapshots: DataFrame, as_of: Column, after: Column) -> DataFrame:

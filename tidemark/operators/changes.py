@@ -37,19 +37,43 @@ def state_as_of(changes: DataFrame, as_of: Column | None = None, live: bool = Fa
     return last.where("operation <> 'delete'") if live else last
 
 
-def with_evidence(changes: DataFrame, observations: DataFrame) -> DataFrame:
+def first_sightings(observations: DataFrame) -> DataFrame:
+    """(canonical_news_id, source_key, observed_at, observation_id, source): of each source of a key, told apart in lower
+    case, the first observation by time, then number."""
+    first = observations.groupBy("canonical_news_id", F.lower("source").alias("source_key")).agg(F.min(F.struct("observed_at", "observation_id", "source")).alias("o"))
+    return first.select("canonical_news_id", "source_key", "o.*")
+
+
+def merged_sightings(known: DataFrame, more: DataFrame) -> DataFrame:
+    """First sightings of old and new observations, from the first sightings of the old and the new ones alone."""
+    both = known.unionByName(first_sightings(more)).groupBy("canonical_news_id", "source_key").agg(F.min(F.struct("observed_at", "observation_id", "source")).alias("o"))
+    return both.select("canonical_news_id", "source_key", "o.*")
+
+
+def with_evidence(changes: DataFrame, seen: DataFrame) -> DataFrame:
     """``changes`` with the sources observed for a change's key up to its availability, an empty list if there are none.
 
-    Sources are told apart in lower case and listed as first seen, by time, then observation. A key's first
-    sightings are one ordered list, a row a source, that meets each of its changes once and is cut at its time.
+    ``seen`` are observations, or first sightings that are kept up (with a source_key). Sources are listed as first seen, by
+    time, then observation. A key's first sightings are one ordered list, a row a source, that meets each of its changes
+    once and is cut at its time.
     """
-    first = observations.groupBy("canonical_news_id", F.lower("source").alias("k")).agg(F.min(F.struct("observed_at", "observation_id", "source")).alias("o"))
-    lists = first.groupBy("canonical_news_id").agg(F.array_sort(F.collect_list("o")).alias("_seen"))  # as many as there are sources
+    first = seen if "source_key" in seen.columns else first_sightings(seen)
+    lists = first.groupBy("canonical_news_id").agg(F.array_sort(F.collect_list(F.struct("observed_at", "observation_id", "source"))).alias("_seen"))  # as many as there are sources
     rows = changes.join(lists, F.col("news_id") == F.col("canonical_news_id"), "left").drop("canonical_news_id")
     known = F.filter("_seen", lambda x: x["observed_at"] <= F.col("available_at"))
     return rows.withColumn("sources", F.coalesce(F.transform(known, lambda x: x["source"]), F.array().cast("array<string>"))).drop("_seen")
 
 
+def evidence_by_key(observations: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """(news_id, sources): of each key the sources observed up to ``as_of``, by the number of their first observation alone.
+
+    This is the order of one entity's evidence; that of a change (with_evidence) goes by time first.
+    """
+    known = observations if as_of is None else observations.where(F.col("observed_at") <= as_of)
+    first = known.groupBy(F.col("canonical_news_id").alias("news_id"), F.lower("source").alias("k")).agg(F.min(F.struct("observation_id", "source")).alias("o"))
+    return first.groupBy("news_id").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["source"]).alias("sources"))
+
+
 def source_evidence(changes: DataFrame, observations: DataFrame) -> DataFrame:
     """(change_sequence, sources, source_count) of the changes whose key was observed by their time."""
     rows = with_evidence(changes.select("change_sequence", "news_id", "available_at"), observations).where(F.size("sources") > 0)

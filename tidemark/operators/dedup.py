@@ -41,16 +41,18 @@ def first_of_each(items: DataFrame, key: str, pos: str, name: str) -> DataFrame:
 def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool = True, both: bool = False) -> DataFrame:
     """(pos, prior): items with an earlier item of the same bucket and numbers whose title is similar.
 
-    Both ways of being similar need a token overlap of OVERLAP. Two such sets share one of their first
-    n - ceil(OVERLAP * n) + 1 tokens, rarest first, so only these are joined; the order-sensitive ratio is
-    computed for pairs between OVERLAP and the threshold alone. With ``both``, a later item is a prior too.
+    Both ways of being similar need a token overlap of OVERLAP, so sets of two tokens or more share two at least, and
+    two of their first n - ceil(OVERLAP * n) + 2, rarest first. Items are joined by pairs of these, and by their only
+    token where they have one: a token that many titles share pairs those alone that share a second rare one. The
+    order-sensitive ratio is computed for pairs between OVERLAP and the threshold alone. With ``both``, a later item is a prior too.
     """
     titled = items.where("title <> ''").select("pos", "bucket", "title", fx.title_tokens(F.col("title")).alias("tokens"), fx.title_numbers(F.col("title")).alias("numbers"))
     tokens = titled.select("pos", "bucket", "numbers", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = tokens.groupBy("bucket", "numbers", "token").agg(F.count("*").alias("often"))
-    ranked = tokens.join(often, ["bucket", "numbers", "token"]).groupBy("pos").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
-    prefix = ranked.select("pos", F.explode(F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * fx.OVERLAP) + 1).cast("int"))).alias("t")).select("pos", F.col("t.token").alias("token"))
-    prefix = prefix.join(titled.select("pos", "bucket", "numbers", F.size("tokens").alias("n")), "pos")
+    ranked = tokens.join(often, ["bucket", "numbers", "token"]).groupBy("pos", "bucket", "numbers").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    first = F.transform(F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * fx.OVERLAP) + 2).cast("int")), lambda x: x["token"])
+    pairs = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.concat_ws(" ", F.least(x, y), F.greatest(x, y)))))
+    prefix = ranked.withColumn("f", first).select("pos", "bucket", "numbers", "n", F.explode(F.when(F.col("n") > 1, pairs).otherwise(F.col("f"))).alias("token"))
     a, b = prefix.alias("a"), prefix.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bucket", "numbers", "token")]
     sized = (F.col("a.n") >= F.col("b.n") * fx.OVERLAP) & (F.col("b.n") >= F.col("a.n") * fx.OVERLAP)
@@ -73,64 +75,75 @@ def similar_classes(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bo
     return similar_pairs(first.select(F.col("prior").alias("pos"), "bucket", "title"), threshold, ratio).union(copies)
 
 
-def greedy(items: DataFrame, pool: int | None = None) -> DataFrame:
+def greedy(items: DataFrame, tmp: Scratch | None = None) -> DataFrame:
     """(pos, canonical, matched): the canonical item of each, itself if it is one, and by what it matched.
 
-    Match priority: content hash, legacy hash, URL, then the earliest similar title. ``pool`` keeps similar
-    titles to the ``pool`` latest items before an item's batch; None compares all, each distinct title of a
-    bucket once: its items are grouped by it as by an exact key, and no pairs of them are made.
+    Match priority: content hash, legacy hash, URL, then the earliest similar title. Each distinct title of a bucket is
+    compared once: its items are grouped by it as by an exact key, and no pairs of them are made. Positions are distinct
+    and not null. The result is a table in ``tmp`` and goes with it, or one that stays.
     """
-    with Scratch(items.sparkSession, "resolution") as tmp:
-        return tmp.written(_resolved(items, pool, tmp), "resolved", keep=True)
+    with Scratch(items.sparkSession, "resolution") as own:
+        return (tmp or own).written(_resolved(items, own), "resolved", keep=tmp is None)
 
 
-def _resolved(items: DataFrame, pool: int | None, tmp: Scratch) -> DataFrame:
-    exact = tmp.written(exact_keys(items), "keys")
-    if pool is None:
-        titles = tmp.written(items.where("title <> ''").groupBy("bucket", "title").agg(F.min("pos").alias("group")), "titles")
-        members = tmp.written(items.select("pos", "bucket", "title").join(titles, ["bucket", "title"]).select("pos", "group"), "members")
-        similar = similar_pairs(titles.select(F.col("group").alias("pos"), "bucket", "title"), both=True)
-        links = tmp.written(similar.select(F.col("pos").alias("group"), F.col("prior").alias("other")).union(titles.select("group", F.col("group").alias("other"))), "pairs")
-    else:
-        fuzzy = tmp.written(similar_pairs(items).where(F.col("prior") >= F.col("pos") - pool), "pairs")
+#: Tables of decided items that are read as they are before they become one.
+MERGED = 8
 
-    def nearest(rows: DataFrame, asked: DataFrame, **columns: Column) -> DataFrame:
+
+def _resolved(items: DataFrame, tmp: Scratch) -> DataFrame:
+    exact = every_key = tmp.written(exact_keys(items), "keys")
+    titles = tmp.written(items.where("title <> ''").groupBy("bucket", "title").agg(F.min("pos").alias("group")), "titles")
+    members = every_member = tmp.written(items.select("pos", "bucket", "title").join(titles, ["bucket", "title"]).select("pos", "group"), "members")
+    similar = similar_pairs(titles.select(F.col("group").alias("pos"), "bucket", "title"), both=True)
+    links = every_link = tmp.written(similar.select(F.col("pos").alias("group"), F.col("prior").alias("other")).union(titles.select("group", F.col("group").alias("other"))), "pairs")
+
+    def nearest(rows: DataFrame, asked: DataFrame, members: DataFrame, links: DataFrame, **columns: Column) -> DataFrame:
         """``asked`` items with the least of each of ``columns`` over the ``rows`` of their own and of similar titles."""
-        of = rows.join(members, "pos").groupBy(F.col("group").alias("other")).agg(*[F.min(c).alias(n) for n, c in columns.items()])
+        of = rows.join(every_member, "pos").groupBy(F.col("group").alias("other")).agg(*[F.min(c).alias(n) for n, c in columns.items()])
         found = links.join(of, "other").groupBy("group").agg(*[F.min(n).alias(n) for n in columns])
         return members.join(asked, "pos", "left_semi").join(found, "group")
 
     first = lambda c: F.min(F.when(c, F.col("pos")))
-    known = tmp.written(items.select("pos", F.lit(None).cast("boolean").alias("canonical")), "state 0")
-    left, n = None, 0
+    open_, decided, left, n = items.select("pos"), [], None, 0
     while True:
         n += 1
         # Duplicates register nothing, so a round reads canonical and open items alone, and asks for open ones alone.
-        live, open_ = known.where("canonical IS NULL OR canonical"), known.where("canonical IS NULL").select("pos")
+        live = open_.withColumn("canonical", F.lit(None).cast("boolean"))
+        for rows in decided:
+            live = live.union(rows.where("canonical"))
         # By key: the first canonical item, and the first that is not decided; an item looks before itself.
         keys = exact.join(live, "pos").groupBy("key").agg(first(F.col("canonical")).alias("kept"), first(F.col("canonical").isNull()).alias("open"))
         by_key = exact.join(open_, "pos").join(keys, "key").groupBy("pos").agg(F.max(F.coalesce(F.col("kept") < F.col("pos"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("pos"), F.lit(False))).alias("wait"))
-        if pool is None:
-            by_title = nearest(live, open_, kept=F.when(F.col("canonical"), F.col("pos")), open=F.when(F.col("canonical").isNull(), F.col("pos")))
-            by_title = by_title.select("pos", (F.col("kept") < F.col("pos")).alias("hit2"), (F.col("open") < F.col("pos")).alias("wait2"))
-        else:
-            state = live.withColumnRenamed("pos", "p")
-            by_title = fuzzy.join(open_, "pos").join(state, F.col("prior") == F.col("p")).groupBy("pos").agg(F.max(F.coalesce("canonical", F.lit(False))).alias("hit2"), F.max(F.col("canonical").isNull()).alias("wait2"))
+        by_title = nearest(live, open_, members, links, kept=F.when(F.col("canonical"), F.col("pos")), open=F.when(F.col("canonical").isNull(), F.col("pos")))
+        by_title = by_title.select("pos", (F.col("kept") < F.col("pos")).alias("hit2"), (F.col("open") < F.col("pos")).alias("wait2"))
         step = open_.join(by_key, "pos", "left").join(by_title, "pos", "left")
         hit, wait = F.coalesce("hit", F.lit(False)) | F.coalesce("hit2", F.lit(False)), F.coalesce("wait", F.lit(False)) | F.coalesce("wait2", F.lit(False))
-        known = tmp.written(known.where("canonical IS NOT NULL").union(step.select("pos", F.when(hit, False).when(~wait, True).alias("canonical"))), f"state {n}")
-        tmp.drop(f"state {n - 1}")
-        remain = known.where("canonical IS NULL").count()
-        if not remain or remain == left:
+        step = tmp.written(step.select("pos", F.when(hit, False).when(~wait, True).alias("canonical")), "decided")
+        decided.append(step.where("canonical IS NOT NULL"))
+        open_ = step.where("canonical IS NULL").select("pos")
+        remain = open_.count()
+        if not remain:
             break
+        if remain == left:
+            raise ValueError("positions must be distinct and not null")
         left = remain
+        # What has no open item any more is done: keys, titles and links of the rest alone are read again.
+        exact = tmp.written(exact.join(exact.join(open_, "pos", "left_semi").select("key"), "key", "left_semi"), f"keys {n}")
+        members = tmp.written(members.join(open_, "pos", "left_semi"), f"members {n}")
+        links = tmp.written(links.join(members.select("group"), "group", "left_semi"), f"links {n}")
+        tmp.drop(f"keys {n - 1}", f"members {n - 1}", f"links {n - 1}")
+        if len(decided) == MERGED:
+            whole = decided[0]
+            for rows in decided[1:]:
+                whole = whole.union(rows)
+            decided = [tmp.written(whole, "merged")]
+    known = decided[0]
+    for rows in decided[1:]:
+        known = known.union(rows)
     kept, gone = known.where("canonical").select("pos"), known.where("NOT canonical").select("pos")
-    owner = exact.join(kept, "pos").groupBy("key").agg(F.min("pos").alias("owner"))
-    by_key = exact.join(gone, "pos").join(owner, "key").where("owner < pos").select("pos", "rank", "owner")
-    if pool is None:
-        by_title = nearest(kept, gone, owner=F.col("pos")).where("owner < pos").select("pos", F.lit(3).alias("rank"), "owner")
-    else:
-        by_title = fuzzy.join(gone, "pos").join(kept.withColumnRenamed("pos", "prior"), "prior").select("pos", F.lit(3).alias("rank"), F.col("prior").alias("owner"))
+    owner = every_key.join(kept, "pos").groupBy("key").agg(F.min("pos").alias("owner"))
+    by_key = every_key.join(gone, "pos").join(owner, "key").where("owner < pos").select("pos", "rank", "owner")
+    by_title = nearest(kept, gone, every_member, every_link, owner=F.col("pos")).where("owner < pos").select("pos", F.lit(3).alias("rank"), "owner")
     best = by_key.union(by_title).groupBy("pos").agg(F.min(F.struct("rank", "owner")).alias("m"))
     names = F.element_at(F.array(*map(F.lit, ("content", "legacy", "url", "title"))), F.col("m.rank") + 1)
     out = known.join(best, "pos", "left")
@@ -143,13 +156,17 @@ def exact_keys(items: DataFrame) -> DataFrame:
     return keys.where("key <> 'url:'")
 
 
-def exact_hits(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """(pos, rank, news_id): the existing entity with the smallest id behind each key of an incoming item."""
-    keys = existing.select("news_id", F.explode(F.array("content_hash", F.concat(F.lit("url:"), "url_key"))).alias("key"))
-    owner = keys.groupBy("key").agg(F.min("news_id").alias("news_id"))
+def key_hits(incoming: DataFrame, known: DataFrame) -> DataFrame:
+    """(pos, rank, news_id): the entity with the smallest id behind each key of an incoming item; ``known(key, news_id)``."""
+    owner = known.groupBy("key").agg(F.min("news_id").alias("news_id"))
     return exact_keys(incoming).join(owner, "key").select("pos", "rank", "news_id")
 
 
+def exact_hits(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """key_hits among the entities ``existing(news_id, content_hash, url_key)``."""
+    return key_hits(incoming, existing.select("news_id", F.explode(F.array("content_hash", F.concat(F.lit("url:"), "url_key"))).alias("key")))
+
+
 def match_exact(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(pos, news_id) of incoming items that an existing entity's hash or canonical URL matches, by priority of the keys."""
     return exact_hits(incoming, existing).groupBy("pos").agg(F.min_by("news_id", "rank").alias("news_id"))

@@ -13,6 +13,17 @@ HEALTH = "source string, status string, last_attempt_at timestamp, last_success_
 SNAPSHOTS = "snapshot_sequence long, snapshot_token string, source string, source_fetched_at timestamp, data_through timestamp, is_stale boolean, available_at timestamp, payload_hash string"
 CALENDAR = "snapshot_sequence long, ordinal long, event_id string, country_code string, country string, title string, impact string, impact_zh string, scheduled_at string, scheduled_at_utc timestamp, forecast string, previous string, actual string, content_hash string"
 TABLES = {"news_changes": CHANGES, "news_source_observations": OBSERVATIONS, "source_health": HEALTH, "calendar_snapshots": SNAPSHOTS, "calendar_events": CALENDAR}
+#: The current state, in parts by a hash of the key: the latest change of every entity (tombstones too), which entity has a
+#: key, which observations there are, the first sighting of each source; and the latest live entities, one part.
+KEYED = {
+    "entities": CHANGES,
+    "entity_keys": "key string, news_id long",
+    "observation_keys": "canonical_news_id long, observation_hash string",
+    "evidence": "canonical_news_id long, source_key string, observed_at timestamp, observation_id long, source string",
+    "entity_pool": "news_id long, bucket string, title string, recency timestamp",
+}
+#: Columns whose largest number a commit's marker keeps.
+COUNTED = {"news_changes": ("change_sequence", "news_id"), "news_source_observations": ("observation_id",), "calendar_snapshots": ("snapshot_sequence",)}
 #: What enumerated columns may hold, and how many characters texts keep.
 ALLOWED = {"operation": ("upsert", "delete"), "status": ("ok", "degraded", "unavailable", "disabled", "not_configured"), "impact": ("low", "medium", "high", "holiday")}
 LENGTHS = {"source": 500, "title": 4_000, "summary": 50_000, "url": 8_000, "image_url": 8_000, "original_title": 4_000, "original_url": 8_000}

@@ -134,10 +134,12 @@ def news_changes(log: DataFrame, observations: DataFrame, now: datetime, limit:
 
 
 def news_item(log: DataFrame, observations: DataFrame, news_id: int, as_of: datetime) -> dict | None:
-    """One entity as known at ``as_of``, with the sources known at its own change; None once it is deleted."""
+    """One entity as known at ``as_of``, with the sources known at its own change by the number of their observation; None
+    once it is deleted."""
     row = changes.state_as_of(log.where(F.col("news_id") == news_id), F.lit(as_of), live=True)
-    found = changes.envelopes(row, observations.where(F.col("canonical_news_id") == news_id)).collect()
-    return found[0].asDict(recursive=True)["news"] if found else None
+    known = observations.where(F.col("canonical_news_id") == news_id).join(row.select(F.col("news_id").alias("canonical_news_id"), "available_at"), "canonical_news_id").where(F.col("observed_at") <= F.col("available_at"))
+    found = row.join(changes.evidence_by_key(known), "news_id", "left").select(changes.news_payload(F.coalesce("sources", F.array().cast("array<string>"))).alias("news")).first()
+    return found["news"].asDict(recursive=True) if found else None
 
 
 def micros(local: datetime) -> int:

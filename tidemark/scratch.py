@@ -27,7 +27,8 @@ def root(spark: SparkSession) -> str:
 class Scratch:
     """The tables of one run, by label. ``close`` deletes those that were not written with ``keep``.
 
-    A table may be dropped once nothing that is still to run reads it; those that a lazy result reads are kept.
+    A table may be dropped once nothing that is still to run reads it; those that a lazy result reads are kept until the
+    application ends, when the file system deletes them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -45,20 +46,30 @@ class Scratch:
         self._count += 1
         path = f"{self.folder}/{self._count}-{label}"
         df.write.parquet(path)
-        if not keep:
+        if keep:
+            at, files = self._at(path)
+            files.deleteOnExit(at)
+        else:
             self._paths.setdefault(label, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self, *labels: str) -> None:
         """Delete every table written under these labels so far."""
-        jvm = self.spark.sparkContext._jvm
         for label in labels:
             for path in self._paths.pop(label, []):
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                at, files = self._at(path)
+                files.delete(at, True)
 
     def close(self) -> None:
+        """Delete the tables, and their folder where nothing was kept in it."""
         self.drop(*list(self._paths))
+        at, files = self._at(self.folder)
+        if files.exists(at) and not len(files.listStatus(at)):
+            files.delete(at, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
