@@ -1,0 +1,120 @@
+"""What names mark inside an article, what paths leave out inside a container, and the choice of blocks against plain loops."""
+
+import random
+import time
+
+import pytest
+
+from tests.llm.test_extraction import NAV, P1, P2, T1, T2
+from tidemark.llm import extraction
+
+P80 = "This paragraph of an article holds about eighty characters, and it ends here."
+LONG = "Other words, which go on and on, stand here. " * 16
+LINKS = "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(6))
+BODY, TEXT = f"<p>{P1}</p><p>{P2}</p>" * 4, "\n".join([T1, T2] * 4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+@pytest.mark.parametrize("mark", ["aside", "footer", "div class=advert", "section class='related-posts'", "form"])
+def test_long_marked_blocks(n, mark):
+    name = mark.split()[0]
+    page = f"<body>{NAV}<article><h1>T</h1>{f'<p>{P80}</p>' * n}<{mark}><p>{LONG}</p></{name}></article></body>"
+    assert extraction.main_text(page) == "\n".join(["T"] + [P80] * n)
+
+
+def test_marks_beside_wrapped_text():
+    page = f"<body><form id=aspnetForm><div class=cookie-notice><p>{LONG}</p></div><article><p>{P80}</p></article></form><div class=footer>{LONG}</div></body>"
+    assert extraction.main_text(page) == P80
+
+
+def test_boxes_without_marks():
+    more = f"<div><h3>More stories</h3><ul>{LINKS}</ul></div>"
+    for page, want in {
+        f"<body><div><h1>Head</h1>{BODY}{more}</div></body>": f"Head\n{TEXT}",
+        f"<body><article><h1>Head</h1>{BODY}{more}</article></body>": f"Head\n{TEXT}",
+        f"<body><div><span>We use cookies.</span><h1>Head</h1>{BODY}</div></body>": f"Head\n{TEXT}",
+        f"<body><div><h1>Head</h1>{BODY}<section><div>Nice one!</div><div>Thanks.</div></section></div></body>": f"Head\n{TEXT}",
+        f"<body><div><h1>Head</h1><p>{P1}</p><blockquote>Short one.</blockquote>{BODY}</div></body>": f"Head\n{T1}\nShort one.\n{TEXT}",
+        f"<body><article><ul><li>First, a list.</ul>{BODY}<p>The end.</article></body>": f"First, a list.\n{TEXT}\nThe end.",
+    }.items():
+        assert extraction.main_text(page) == want, page
+
+
+def plain_content(blocks, around):
+    """content_blocks in loops over the definition."""
+    score = []
+    for b in blocks:
+        own = [x for x in blocks if x[0] == b[0]]
+        score.append(sum(x[5] for x in own) / len(own) * (1 + sum(x[6] for x in own) / len(own)) / extraction.MARK ** min(8, min(around[x[2]] for x in own)))
+    near = []
+    for i, b in enumerate(blocks):
+        parts = [(w, score[i + d]) for d, w in ((-2, 1), (-1, 2), (0, 4), (1, 2), (2, 1)) if 0 <= i + d < len(blocks) and blocks[i + d][1:3] == b[1:3]]
+        near.append(sum(w * x for w, x in parts) / sum(w for w, _ in parts))
+    mean = sum(near) / len(near)
+    spread = (sum((x - mean) ** 2 for x in near) / len(near)) ** 0.5
+    fused = [sum(y for y, x in zip(near, blocks) if x[0] == b[0]) / sum(x[0] == b[0] for x in blocks) for b in blocks]
+    free = [i for i, b in enumerate(blocks) if around[b[2]] == 0]
+    if not sum(blocks[i][5] for i in free):
+        free = list(range(len(blocks)))
+    bar = min(max(spread, sum(blocks[i][5] * near[i] for i in free) / sum(blocks[i][5] for i in free) / 2), max(fused[i] for i in free))
+    return [b[5] > 0 and f >= bar * (1 - 1e-12) for b, f in zip(blocks, fused)]
+
+
+def plain_container(blocks, content, parents):
+    """The innermost container with three quarters of the content's characters: by a walk from each block up."""
+    held = {}
+    for b, c in zip(blocks, content):
+        at = b[1] if c else -1
+        while at >= 0:
+            held[at] = held.get(at, 0) + b[5]
+            at = parents[at]
+    return max(i for i, n in held.items() if n >= 0.75 * held[0])
+
+
+def soup(rng):
+    names = ["p", "div", "li", "ul", "h2", "section", "article", "b", "a", "aside", "td", "div class=ad", "footer", "i"]
+    out, opened = [], []
+    for _ in range(rng.randint(1, 60)):
+        kind = rng.random()
+        if kind < 0.4:
+            name = rng.choice(names)
+            opened.append(name.split()[0])
+            out.append(f"<{name}>")
+        elif kind < 0.65 and opened:
+            out.append(f"</{opened.pop(rng.randrange(len(opened)))}>")
+        else:
+            out.append(rng.choice(["word, and more.", "x", "a longer text, with commas, and a stop. " * rng.randint(1, 4), " "]))
+    return "".join(out)
+
+
+def test_choice_by_plain_loops():
+    rng, seen = random.Random(3), 0
+    for _ in range(3000):
+        page = extraction.Page(soup(rng))
+        blocks = [b for b in page.blocks if any(p != " " for p in b[4])]
+        if not any(b[5] for b in blocks):
+            continue
+        around = extraction.marks_around(page.marks, extraction.main_mark(blocks, page.marks))
+        content = extraction.content_blocks(blocks, around)
+        assert content == plain_content(blocks, around)
+        kept = extraction.chosen_blocks(blocks, content, [False] * len(page.marks), page.containers, page.whole)
+        assert all(k for k, c in zip(kept, content) if c)
+        home = plain_container(blocks, content, page.containers)
+        at = [i for i, (b, c) in enumerate(zip(blocks, content)) if c and home in up(b[1], page.containers)]
+        assert all(kept[i] for i in range(at[0], at[-1]) if blocks[i][1] == home)  # what lies between
+        seen += 1
+    assert seen > 1500
+
+
+def up(i, parents):
+    while i >= 0:
+        yield i
+        i = parents[i]
+
+
+def test_a_megabyte_of_anything():
+    for unit in ("<i><div><b></i>", "<ul><li>x", "<div><p>text, here. ", "<b>x</i>", "<section><a>l</a>", "<article><h2>x</h2>"):
+        page = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        extraction.main_text(page)
+        assert time.process_time() - began < 8, unit

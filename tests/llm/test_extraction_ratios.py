@@ -77,7 +77,7 @@ class Plain(HTMLParser):
 def test_scores_by_plain_computation():
     page = f"<body><div><ul><li><a>One</a></li><li><a>Two</a>,x</li></ul></div><div><h1>Head, and more</h1><p>{P1}</p><p>Short<b>bold</b>.</p><p>z</p></div></body>"
     own = extraction.Page(page)
-    scores = extraction.path_scores(own.blocks, own.marks)
+    scores = extraction.path_scores(own.blocks, extraction.marks_around(own.marks, 0))
     plain, sums = Plain(page).blocks, {}
     for path, text in plain:
         sums.setdefault(path, []).append(text)
@@ -94,7 +94,7 @@ def test_linear_time():
     n = 40_000
     odd = {
         "paragraphs": "<article>" + "<p>A paragraph, with words. " * n, "unclosed quotes": "<p>x</p>" + '<a "' * n + ">", "unclosed tags": "<a " * n, "open inline": "<b>" * n + "text",
-        "open divs": "<div class=ad>" * n + "text, it is.", "lone ends": "<p>a</b>" * n, "mixed": "<b>" * n + "<div>x</b>" * n, "rows": "<table>" + "<tr><td>x" * n, "lists": "<ul>" * n + "<li>x" * n, "comments": "<!-- " * n, "raw": "<script>" * n,
+        "open divs": "<div class=ad>" * n + "text, it is.", "lone ends": "<p>a</b>" * n, "mixed": "<b>" * n + "<div>x</b>" * n, "rows": "<table>" + "<tr><td>x" * n, "lists": "<ul>" * n + "<li>x" * n, "nested lists": "<ul><li>" * n + "x", "crossed": "<i><div>" + "<b>" * n + "</i>" * n, "crossed texts": "<i><div>" + "<b>x" * n + "</i>y" * n, "comments": "<!-- " * n, "raw": "<script>" * n,
     }
     for name, page in odd.items():
         began = time.process_time()

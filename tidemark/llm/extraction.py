@@ -4,17 +4,21 @@ A page becomes its text blocks, each with the root-to-leaf path of its block ele
 punctuation outside links are summed per path and divided by the path's blocks; the two ratios are fused to a
 score. Scores are smoothed over neighbouring blocks, averaged per path again and held against their standard
 deviation and mean: the paths above are content. Names of elements and attributes that mark menus, adverts and the
-like are a help alone: each mark around a block divides its path's score, and a mark around content is none.
+like are a help alone: each mark around a block divides its path's score. Marks around the whole main text count for
+nothing: those around an article or main element with text of its own, or else around what holds nearly all text.
+The bar is that of blocks without marks, so a long marked block does not lower it.
 
 The content blocks choose the innermost container that holds nearly all their text. It grows to containers that
-add headings only, and to the article or main element around it. The page's text is every block of it that no
-mark excludes; content blocks elsewhere come with their own containers, or alone where that is one around it.
-All steps are linear in the page.
+add headings only, and to the article or main element around it. In such an element the page's text is every block that
+no mark excludes, without boxes of links alone; in any other container it is the content blocks, what lies between two of
+them, and the headings before one. Content blocks elsewhere come with their own containers, or alone where that is one
+around it. All steps are linear in the page, up to a logarithm.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 from math import sqrt
 
@@ -47,7 +51,7 @@ PUNCTUATION = ",.;:!?…、。，；：！？"
 _PUNCTUATION = re.compile(f"[{PUNCTUATION}]")
 #: What a mark divides a path's score by, marks that count at most; the share of the content that the chosen container
 #: holds at least.
-MARK, MARKS, SHARE = 256, 8, 0.75
+MARK, MARKS, SHARE = 2**20, 8, 0.75
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _LIMITS = {"ul", "ol", "dl", "table", "div", "article", "section", "body"}
 
@@ -112,8 +116,8 @@ def tags(html: str):
 class Page:
     """Text blocks of a page and the trees of their paths, containers and marks; a tree is a list of parents.
 
-    ``blocks``: [path, container, mark, heading, parts, characters, punctuation, all characters], the two before the last
-    outside links. An open
+    ``blocks``: [path, container, mark, heading, parts, characters, punctuation, all characters, inside an article], characters
+    and punctuation outside links. An open
     paragraph ends where a block begins, a list item, cell or row where the next one does; other end tags close the
     nearest element of their name.
     """
@@ -126,22 +130,24 @@ class Page:
         stack: list[tuple] = [("", 0, 0, 0, False, False, False)]
         places: dict[str, list[int]] = {}
         bounds = [0]  # places of the elements that no implied end crosses
+        outer = [0]  # places of the elements that no inline element's end crosses
         at, fresh = 0, True
 
         def cut(depth: int) -> None:
             while len(stack) > depth:
                 places[stack.pop()[0]].pop()
-            while bounds[-1] >= depth and len(bounds) > 1:
-                bounds.pop()
+            for own in (bounds, outer):
+                while own[-1] >= depth and len(own) > 1:
+                    own.pop()
 
         def text(part: str) -> None:
             nonlocal fresh
-            _, path, container, mark, _, linked, heading = stack[-1]
+            _, path, container, mark, inside, linked, heading = stack[-1]
             part = re.sub(r"\s+", " ", unescape(part)) if part != " " else part
             if mark is None or not part:
                 return
             if fresh:
-                self.blocks.append([path, container, mark, heading, [], 0, 0, 0])
+                self.blocks.append([path, container, mark, heading, [], 0, 0, 0, inside])
                 fresh = False
             own = self.blocks[-1]
             own[4].append(part)
@@ -163,13 +169,13 @@ class Page:
                 fresh = True
             if closing:
                 own = places.get(name)
-                if own and not (name in INLINE and any(stack[i][0] not in INLINE for i in range(len(stack) - 1, own[-1], -1))):
+                if own and not (name in INLINE and outer[-1] > own[-1]):
                     cut(own[-1])
                 continue
             closes = _CLOSES.get(name, set() if name in INLINE else {"p"})
             limit = 0 if name == "body" else bounds[-1] + 1
-            ended = [next((i for i in places.get(x, ()) if i >= limit), None) for x in closes] if closes else []
-            if ended := [i for i in ended if i]:
+            ended = [own[i] for x in closes if (own := places.get(x)) and (i := bisect_left(own, limit)) < len(own) and own[i]]
+            if ended:
                 cut(min(ended))
             if name in VOID or attrs.rstrip().endswith("/"):
                 continue
@@ -192,6 +198,8 @@ class Page:
             places.setdefault(name, []).append(len(stack))
             if name in _LIMITS:
                 bounds.append(len(stack))
+            if name not in INLINE:
+                outer.append(len(stack))
             stack.append((name, path, container, mark, inside, linked or name == "a", heading or name in HEADINGS))
         text(html[at:])
 
@@ -203,17 +211,45 @@ def depths(parents: list[int]) -> list[int]:
     return out
 
 
-def path_scores(blocks: list[list], marks: list[int]) -> dict[int, float]:
+def main_mark(blocks: list[list], marks: list[int]) -> int:
+    """The innermost mark around the main text, 0 for none: the one with the fewest marks around it that has text of an
+    article itself, other than headings. Without such text it is none, if a tenth of what the fullest mark holds stands
+    without one, else the fullest."""
+    deep = depths(marks)
+    told, own = {}, [0.0] * len(marks)
+    for b in blocks:
+        if b[5] and not b[3]:
+            own[b[2]] += b[5] * (1 + b[6])
+            if b[8]:
+                told[b[2]] = told.get(b[2], 0) + b[5]
+    if told:
+        return min(told, key=lambda m: (deep[m], -told[m], m))
+    fullest = max(range(len(marks)), key=lambda m: (own[m], -m))
+    return 0 if own[0] >= own[fullest] / 10 else fullest
+
+
+def marks_around(marks: list[int], main: int) -> list[int]:
+    """How many marks count around what is within each mark: those around ``main``, and itself, do not."""
+    void = {0}
+    while main > 0:
+        void.add(main)
+        main = marks[main]
+    out = [0] * len(marks)
+    for i in range(1, len(marks)):
+        out[i] = out[marks[i]] + (i not in void)
+    return out
+
+
+def path_scores(blocks: list[list], around: list[int]) -> dict[int, float]:
     """Fused ratio of each path: characters a block times one plus punctuation a block, less for marks around it."""
     sums: dict[int, list[float]] = {}
-    for path, *_, chars, punctuation, _ in blocks:
-        own = sums.setdefault(path, [0, 0, 0])
+    for path, _, mark, _, _, chars, punctuation, *_ in blocks:
+        own = sums.setdefault(path, [0, 0, 0, around[mark]])
+        own[3] = min(own[3], around[mark])
         own[0] += 1
         own[1] += chars
         own[2] += punctuation
-    deep = depths(marks)
-    around = {b[0]: deep[b[2]] for b in blocks}
-    return {path: chars / n * (1 + punctuation / n) / MARK ** min(MARKS, around[path]) for path, (n, chars, punctuation) in sums.items()}
+    return {path: chars / n * (1 + punctuation / n) / MARK ** min(MARKS, deep) for path, (n, chars, punctuation, deep) in sums.items()}
 
 
 def smoothed(scores: list[float], runs: list) -> list[float]:
@@ -229,10 +265,10 @@ def smoothed(scores: list[float], runs: list) -> list[float]:
     return out
 
 
-def content_blocks(blocks: list[list], marks: list[int]) -> list[bool]:
+def content_blocks(blocks: list[list], around: list[int]) -> list[bool]:
     """Which blocks are content: those of the paths whose smoothed score reaches the standard deviation of the scores,
-    and half of the score that a character has on average."""
-    score = path_scores(blocks, marks)
+    and half of the score that a character without marks has on average (any character, if none is without)."""
+    score = path_scores(blocks, around)
     near = smoothed([score[b[0]] for b in blocks], [(b[1], b[2]) for b in blocks])
     mean = sum(near) / len(near)
     spread = sqrt(sum((x - mean) ** 2 for x in near) / len(near))
@@ -240,8 +276,11 @@ def content_blocks(blocks: list[list], marks: list[int]) -> list[bool]:
     for b, x in zip(blocks, near):
         of_path.setdefault(b[0], []).append(x)
     fused = {path: sum(x) / len(x) for path, x in of_path.items()}
-    usual = sum(b[5] * x for b, x in zip(blocks, near)) / sum(b[5] for b in blocks)
-    least = min(max(spread, usual / 2), max(fused.values()))
+    bare = [not around[b[2]] for b in blocks]
+    if not any(b[5] for b, x in zip(blocks, bare) if x):
+        bare = [True] * len(blocks)
+    usual = sum(b[5] * x for b, x, own in zip(blocks, near, bare) if own) / sum(b[5] for b, own in zip(blocks, bare) if own)
+    least = min(max(spread, usual / 2), max(fused[b[0]] for b, own in zip(blocks, bare) if own))
     return [fused[b[0]] >= least and b[5] > 0 for b in blocks]
 
 
@@ -253,41 +292,74 @@ def summed(values: list[float], parents: list[int]) -> list[float]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The page's text, its blocks joined by \\n; empty if no block has text outside links."""
-    page = Page(html or "")
-    blocks, parents = [b for b in page.blocks if any(p != " " for p in b[4])], page.containers
-    if not any(b[5] for b in blocks):
-        return ""
-    content = content_blocks(blocks, page.marks)
+def chosen_blocks(blocks: list[list], content: list[bool], dead: list[bool], parents: list[int], whole: list[bool]) -> list[bool]:
+    """Which blocks are the page's text; ``dead`` are marks that exclude, ``whole`` containers that are articles."""
 
-    def over(parents, column, size, keep):
+    def over(size, keep):
         own = [0.0] * len(parents)
         for b, c in zip(blocks, content):
             if keep(b, c):
-                own[b[column]] += b[size]
+                own[b[1]] += b[size]
         return summed(own, parents)
 
-    # A mark that holds content is none; nor is one around it.
-    live = over(page.marks, 2, 5, lambda b, c: c)
-    dead = [False] * len(page.marks)
-    for i in range(1, len(page.marks)):
-        dead[i] = dead[page.marks[i]] or not live[i]
-    held = over(parents, 1, 5, lambda b, c: c)
-    other = over(parents, 1, 7, lambda b, c: not (c or b[3] or dead[b[2]]))
+    held = over(5, lambda b, c: c)
+    other = over(7, lambda b, c: not (c or b[3] or dead[b[2]]))
     chosen = max(i for i in range(len(parents)) if held[i] >= SHARE * held[0])
     up = chosen
     while up:
         up = parents[up]
-        if page.whole[up] or other[up] == other[chosen]:
+        if whole[up] or other[up] == other[chosen]:
             chosen = up
     inside, around = [False] * len(parents), {chosen}
     while (i := parents[min(around)]) >= 0:
         around.add(i)
     homes = {b[1] for b, c in zip(blocks, content) if c} - around | {chosen}
+    named, told = [False] * len(parents), over(5, lambda b, c: not (b[3] or dead[b[2]]))  # text outside links and headings
+    linked = over(7, lambda b, c: not (b[3] or dead[b[2]]))
     for i in range(len(parents)):
-        inside[i] = i in homes or i > 0 and inside[parents[i]]
-    kept = ("".join(b[4]) for b, c in zip(blocks, content) if (inside[b[1]] or c) and not dead[b[2]])
+        up = parents[i]
+        inside[i] = i in homes or i > 0 and inside[up]
+        named[i] = whole[i] or i > 0 and named[up]
+        if inside[i] and i not in homes and linked[i] and not told[i]:
+            inside[i] = False  # a box of links alone
+    alive = [not dead[b[2]] and (inside[b[1]] or c) for b, c in zip(blocks, content)]
+    kept = [a and (c or named[b[1]]) for a, b, c in zip(alive, blocks, content)]
+    # In other containers, what lies between two content blocks of the same home, and headings before one.
+    home, last = list(range(len(parents))), {}
+    for i in range(1, len(parents)):
+        if inside[i] and inside[parents[i]]:
+            home[i] = home[parents[i]]
+    for i, (b, c) in enumerate(zip(blocks, content)):
+        if c and alive[i]:
+            for j in last.get(home[b[1]], ()):
+                kept[j] = alive[j]
+            last[home[b[1]]] = []
+        elif home[b[1]] in last and alive[i]:
+            last[home[b[1]]].append(i)
+    following = False
+    for i in range(len(blocks) - 1, -1, -1):
+        if alive[i] and not kept[i] and blocks[i][3] and following:
+            kept[i] = True
+        following = kept[i] or following and not alive[i]
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    """The page's text, its blocks joined by \n; empty if no block has text outside links."""
+    page = Page(html or "")
+    blocks = [b for b in page.blocks if any(p != " " for p in b[4])]
+    if not any(b[5] for b in blocks):
+        return ""
+    around = marks_around(page.marks, main_mark(blocks, page.marks))
+    content = content_blocks(blocks, around)
+    # A mark that holds content is none; nor is one around it.
+    live = [0.0] * len(page.marks)
+    for b, c in zip(blocks, content):
+        live[b[2]] += c * b[5]
+    live, dead = summed(live, page.marks), [False] * len(page.marks)
+    for i in range(1, len(page.marks)):
+        dead[i] = dead[page.marks[i]] or not live[i]
+    kept = ("".join(b[4]) for b, k in zip(blocks, chosen_blocks(blocks, content, dead, page.containers, page.whole)) if k)
     lines = (re.sub(" +", " ", x).strip(" ") for x in kept)
     return "\n".join(x for x in lines if x)
 
@@ -299,7 +371,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     repeated, an empty table stays empty; other columns stay, but for ones named text or n_chars. Of containers that
     hold as much of the content, the innermost and last one is taken.
     """
-    kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
+    kept = [c for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]  # as Spark compares names
     small_batches(pages.sparkSession)
     texts = F.udf(main_text, "string", useArrow=True)
     step = pages.select(*[F.col(f"`{c}`") for c in kept], texts(F.col(f"`{html}`")).alias("text"))
