@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.schema import COUNTED, KEYED, TABLES, evolved, struct
 from tidemark.scratch import Scratch
 
-#: Commits between two summaries of the markers, and buckets of keyed tables in a new store.
-FULL, BUCKETS = 50, 16
+#: Commits between two summaries of the markers, buckets of keyed tables in a new store, and tables written side by side.
+FULL, BUCKETS, WRITERS = 50, 16, 4
 
 
 def bucket(key: str | Column, buckets: int) -> Column:
@@ -150,18 +151,14 @@ class Store:
         if self.is_done(batch, stream):
             return False
         n, marker = self.version + 1, {"batch": batch, "tables": sorted(tables), "rewrites": list(rewrites), "parts": {}, "last": {}, "stream": stream, "schema": schema, "note": note or {}, "buckets": self.buckets}
-        for table, rows in tables.items():
-            folder = f"{self.path}/{table}/commit={n}"
-            evolved(rows, TABLES[table]).write.mode("overwrite").parquet(folder)
-            if columns := COUNTED.get(table):
-                last = self.spark.read.schema(struct(TABLES[table])).parquet(folder).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns]).first()
-                marker["last"][table] = last.asDict()
-        for table, (rows, names) in (parts or {}).items():
-            self._write_parts(rows, table, n)
-            made = [x[5:] for x in self._names(f"{table}/commit={n}-parts") if x.startswith("part=")]
-            if extra := set(made) - set(names):
+        with ThreadPoolExecutor(WRITERS) as writers:  # jobs of their own, which Spark runs side by side
+            added = {table: writers.submit(self._add, rows, table, n) for table, rows in tables.items()}
+            made = {table: writers.submit(self._write_parts, rows, table, n) for table, (rows, _) in (parts or {}).items()}
+        marker["last"] = {table: last for table, done in added.items() if (last := done.result())}
+        for table, (_, names) in (parts or {}).items():
+            if extra := set(made[table].result()) - set(names):
                 raise ValueError(f"{table}: rows of parts that are not replaced: {sorted(extra)}")
-            marker["parts"][table] = {"gone": sorted(names), "made": sorted(made)}
+            marker["parts"][table] = {"gone": sorted(names), "made": sorted(made[table].result())}
         self._write(f"{n}.json", {"commit": n} | marker)
         self.version = n
         self._fold({"commit": n} | marker)
@@ -169,10 +166,17 @@ class Store:
             self._write(f"_full.{n}", self._state)
         return True
 
-    def _write_parts(self, rows: DataFrame, table: str, n: int) -> None:
-        """Each part is dealt to its own task; a large one is split by AQE, since nothing needs its rows together."""
-        own = evolved(rows, (TABLES | KEYED)[table] + ", part string").repartition("part")
-        own.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{table}/commit={n}-parts")
+    def _add(self, rows: DataFrame, table: str, n: int) -> dict[str, int]:
+        """Write the rows of a commit; the largest of the numbers that are counted."""
+        folder = f"{self.path}/{table}/commit={n}"
+        evolved(rows, TABLES[table]).write.mode("overwrite").parquet(folder)
+        columns = COUNTED.get(table, ())
+        return self.spark.read.schema(struct(TABLES[table])).parquet(folder).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns]).first().asDict() if columns else {}
+
+    def _write_parts(self, rows: DataFrame, table: str, n: int) -> list[str]:
+        """Write rows by ``part``, each dealt to its own task; names of the parts that have rows."""
+        evolved(rows, (TABLES | KEYED)[table] + ", part string").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{table}/commit={n}-parts")
+        return [x[5:] for x in self._names(f"{table}/commit={n}-parts") if x.startswith("part=")]
 
     def touched(self, keys: DataFrame, key: str) -> list[str]:
         """Names of the parts of a keyed table that ``keys`` fall in: as many as there are buckets at most."""

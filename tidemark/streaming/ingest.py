@@ -41,7 +41,7 @@ def resolved(items: DataFrame, hits: DataFrame, pool: DataFrame, first: int, tmp
     old = tmp.written(hits.unionByName(titles), "old")
     held = old.select("pos").distinct()
     fresh = tmp.written(greedy(items.join(held, "pos", "left_anti"), tmp), "fresh")
-    named = tmp.written(numbered(fresh.where("pos = canonical").select("pos"), "news_id", first, "pos", tmp=tmp), "named")
+    named = numbered(fresh.where("pos = canonical").select("pos"), "news_id", first, "pos", tmp=tmp)
     # What an entity or the pool matches may still share a better key with a new item before it.
     asked = exact_keys(items)
     keys = asked.join(named, "pos").groupBy("key").agg(F.min(F.struct(F.col("pos").alias("order"), "news_id")).alias("new"))
@@ -62,7 +62,7 @@ def ingest(store: Store, prepared: DataFrame, now: datetime | None = None, batch
     if store.is_done(batch, stream):
         return {"inserted": 0, "duplicates": 0}
     with Scratch(store.spark, "ingest") as tmp:
-        items = tmp.written(numbered(prepared, "pos", 1, *(["_at"] if "_at" in prepared.columns else ["fetched_at", "url", "title"]), tmp=tmp), "batch")
+        items = numbered(prepared, "pos", 1, *(["_at"] if "_at" in prepared.columns else ["fetched_at", "url", "title"]), tmp=tmp)
         shape = [F.col("url").alias("url_key"), F.date_format(state.effective(), "yyyy-MM-dd").alias("bucket"), normalize_title(F.col("title")).alias("title")]
         asked = items.select("pos", "content_hash", "legacy_hash", *shape)
         pool = state.ranked(state.latest(store.read("entity_pool"), state.POOL), state.POOL)
@@ -107,12 +107,11 @@ def committed(store: Store, rows: DataFrame, now: datetime, tmp: Scratch, batch:
     new = rows.where("is_new").join(gathered.select("news_id", "more"), "news_id").withColumn("source_tickers", merge_tickers(F.col("source_tickers"), F.col("more")))
     out = new.unionByName(changed, allowMissingColumns=True).withColumns({"operation": F.lit("upsert"), "available_at": at})
     out = out.withColumn("payload_hash", change_hash(F.col("operation"), F.col("news_id"), F.col("content_hash"), utc_text(F.col("updated_at"))))
-    out = numbered(out.drop("change_sequence", "pos"), "change_sequence", store.next_of("news_changes", "change_sequence"), "news_id", tmp=tmp)
-    out = tmp.written(evolved(out.withColumn("_new", F.col("is_new")), f"{TABLES['news_changes']}, _new boolean"), "changes")
-    notes = tmp.written(numbered(seen, "observation_id", store.next_of("news_source_observations", "observation_id"), "pos", tmp=tmp), "notes")
+    out = numbered(evolved(out, f"{TABLES['news_changes']}, is_new boolean").drop("change_sequence"), "change_sequence", store.next_of("news_changes", "change_sequence"), "news_id", tmp=tmp)
+    notes = numbered(seen, "observation_id", store.next_of("news_source_observations", "observation_id"), "pos", tmp=tmp)
     counts = rows.agg(F.count_if("is_new").alias("inserted"), F.count_if(~F.col("is_new")).alias("duplicates")).first().asDict()
     tables = {"news_changes": out, "news_source_observations": notes} | (more(counts) if more else {})
-    store.commit(tables, batch, parts=state.with_batch(store, out.drop("_new"), out.where("_new").drop("_new"), notes), stream=stream)
+    store.commit(tables, batch, parts=state.with_batch(store, out.drop("is_new"), out.where("is_new").drop("is_new"), notes), stream=stream)
     return counts
 
 
