@@ -57,7 +57,7 @@ def test_vectors_without_part_and_small_tables(spark):
 
 def _index(x, queries):
     """(recall of the five nearest, pairs compared as a share of brute force) of the index over unit vectors."""
-    graph = ann.CentroidGraph(ann.halved(x, 1 << round(np.log2(len(x) / ann.LIST_SIZE))))
+    graph = ann.CentroidGraph(ann.halved(x, 1 << round(np.log2(len(x) / ann.LIST_SIZE)))).measure(x[:: len(x) // ann.PROBES])
     lists = len(graph.centroids)
     held = np.zeros((len(x), lists), bool)
     for at in range(0, len(x), 1024):
@@ -109,3 +109,16 @@ def test_graph_finds_centroids():
     true = np.argsort(-(x[:200] @ graph.centroids.T), axis=1)[:, :8]
     assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(ids, true)]) > 0.9
     assert (np.diff(far, axis=1) >= 0).all() and all(len(set(r)) == 8 for r in ids.tolist())
+
+
+def test_ratios_decide():
+    """The ratios are those of the data: lists are dropped by them, and not every vector is at a boundary."""
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(6_000, 64)), rng.normal(size=(60, 64))[rng.integers(0, 60, 6_000)] + 0.2 * rng.normal(size=(6_000, 64))):
+        x = ann._unit(x)
+        graph = ann.CentroidGraph(ann.halved(x[:4_000], 512)).measure(x[:1_000])
+        _, held = ann.lists_holding(graph, x[4_000:])
+        assert 0.1 < (held.sum(axis=1) < ann.REPLICAS).mean() < 0.6 and (held.sum(axis=1) == 1).any()
+        _, scanned = ann.lists_scanned(graph, x[4_000:])
+        n = scanned.sum(axis=1)
+        assert n.min() < 0.7 * n.max() and (n < scanned.shape[1]).mean() > 0.3 and n.min() >= ann.LEAST

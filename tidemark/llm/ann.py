@@ -20,10 +20,14 @@ from tidemark.scratch import Scratch
 
 #: Bounds of the fit: rows of the sample, lists, and vectors aimed at in a list.
 SAMPLE, LISTS, LIST_SIZE = 131_072, 32_768, 6
-#: A vector is in up to REPLICAS lists within (1 + NEAR) of its nearest centroid's distance.
-REPLICAS, NEAR = 3, 0.3
-#: A query scans SCAN * lists ** POWER of its nearest lists, within (1 + FAR) of the fourth nearest's distance; LEAST at least.
-SCAN, POWER, LEAST, FAR = 1.3, 0.64, 20, 1.0
+#: A vector is in its nearest list and in up to REPLICAS in all that are within a ratio of its distance. The ratio is that
+#: which a share of BOUNDARY of the sample's vectors has for the last of them: the others are no boundary vectors there.
+REPLICAS, BOUNDARY = 3, 0.75
+#: A query scans its nearest lists within a ratio of the fourth one's distance, LEAST at least. The ratio is the one at which a
+#: middling vector of the sample scans SCAN * lists ** POWER of them; MOST times as many are a bound alone.
+SCAN, POWER, LEAST, MOST = 1.45, 0.64, 20, 1.5
+#: Vectors of the sample that the two ratios are read off.
+PROBES = 1_024
 #: Neighbouring lists that are searched together; rows and queries of them in a task.
 REGION, VECTOR_BLOCK, QUERY_BLOCK = 32, 4_096, 1_024
 DEGREE = 32
@@ -64,6 +68,19 @@ class CentroidGraph:
         far = np.random.default_rng(seed).integers(0, n, (n, min(4, n)))
         ring = (np.arange(n)[:, None] + 1) % n  # keeps the graph connected
         self.links = np.concatenate([near, far, ring], axis=1).astype(np.int32)
+        self.near = self.far = np.inf  # the two ratios less one; all lists up to their bounds until they are measured
+
+    def measure(self, x: np.ndarray) -> CentroidGraph:
+        """Read the ratios off unit vectors of the sample."""
+        _, far = self.nearest(x, min(len(self.centroids), self.scanned()))
+        ratio = lambda base, at: far[:, min(at, far.shape[1] - 1)] / np.maximum(far[:, min(base, far.shape[1] - 1)], 1e-12) - 1
+        self.near = float(np.quantile(ratio(0, REPLICAS - 1), BOUNDARY))
+        self.far = float(np.median(ratio(3, self.scanned() - 1)))
+        return self
+
+    def scanned(self) -> int:
+        """How many lists a middling query scans."""
+        return max(LEAST, int(np.ceil(SCAN * len(self.centroids) ** POWER)))
 
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of about the ``k`` nearest centroids of unit vectors, nearest first.
@@ -124,11 +141,11 @@ def lists_of(graph: CentroidGraph, x: np.ndarray, k: int, ratio: float, least: i
 
 
 def lists_holding(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return lists_of(graph, x, REPLICAS, NEAR, 1)
+    return lists_of(graph, x, REPLICAS, graph.near, 1)
 
 
 def lists_scanned(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return lists_of(graph, x, max(LEAST, int(np.ceil(SCAN * len(graph.centroids) ** POWER))), FAR, LEAST, 4)
+    return lists_of(graph, x, int(np.ceil(MOST * graph.scanned())), graph.far, LEAST, 4)
 
 
 def _dealt(rows: DataFrame, graph, lists) -> DataFrame:
@@ -174,7 +191,8 @@ def fitted(rows: DataFrame, total: int) -> CentroidGraph:
     sample = picked.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").toArrow()
     x = _unit(_matrix(sample.column("v")))
     lists = 1 << max(0, round(np.log2(max(1.0, min(LISTS, total / LIST_SIZE, len(x) / 2)))))
-    return CentroidGraph(halved(x, lists))
+    probes = x[:: max(1, len(x) // PROBES)]
+    return CentroidGraph(halved(x, lists)).measure(probes)
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -386,11 +386,11 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: st
     """``docs`` with one document of each component of similar ones, the one with the smallest key.
 
     Every row of a document that stays comes back as it was, documents without words and rows without a key
-    among them; an empty table stays empty.
+    among them; an empty table stays empty. Columns keep their names, whatever these are.
     """
     groups = similarity_classes(docs, width, percent, key, text)
     gone = written(groups.where(f"component_id <> `{key}`").select(key).distinct(), "copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -131,7 +131,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, key: str = "doc_id", source: str = "so
     """One row per input row: key, size, source_size, target, taken (words the mix takes, repeats counted).
 
     Null and empty texts have size 0 and none is taken of them; a null source is a source of its own, the
-    last. Repeated rows count as often as they come. An empty table gives an empty result.
+    last. Repeated rows count as often as they come; rows that tie in key and size are ordered by their texts, and equal
+    rows are alike whichever comes first. Texts of any length count whole. An empty table gives an empty result; other columns
+    are not read, whatever their names.
     """
     sized = written(docs.select(F.col(key), F.col(source).cast("string").alias("source"), token_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_mark")), "sizes")
     rows, quotas = plan(sized, "size", "source", key, weights, repeats, seed=seed)

@@ -370,7 +370,9 @@ def spelling(path: str | None) -> Spelling:
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, pieces (array of ids). Null and empty texts have none; texts are taken whole.
+    """One row per input row: key, pieces (array of ids). Null and empty texts have none; texts are taken whole. Rows do not
+    depend on each other: repeated rows come back repeated, nothing can tie, an empty table gives an empty result, and other
+    columns are not read.
 
     ``path``: a SentencePiece BPE model with byte fallback, identity normalization and a leading mark, by
     default the public 32k one, found on each executor.
@@ -388,7 +390,8 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
 
 def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """``encoded(key, pieces)`` with ``text``, the decoded pieces. A null array decodes to an empty text."""
+    """``encoded(key, pieces)`` with ``text``, the decoded pieces. A null or empty array decodes to an empty text; repeated rows
+    come back repeated, an empty table gives an empty result, and other columns are not read."""
 
     def run(batches):
         import pyarrow as pa

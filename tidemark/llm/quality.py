@@ -98,7 +98,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     \\n and count only if they hold a word. Windows of three words are told apart by a 64-bit hash of their words.
     Rows do not depend on each other: repeated rows stay repeated, an empty table stays empty, nothing can tie.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in METRICS]
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in METRICS]  # as Spark compares names
     # The user's columns travel as one, so that no name of theirs meets a name used here.
     docs = docs.select(F.struct(*own).alias("_row") if own else F.lit(None).alias("_row"), F.col(f"`{text}`").alias("_text"))
     body = F.coalesce("_text", F.lit(""))

@@ -226,7 +226,9 @@ def token_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     """One row per input row: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     ``path``: a tokenizers JSON of a byte-level BPE, by default the public 50k one, found on each executor.
-    Null and empty texts have no bytes and no tokens. Texts are counted whole, whatever their length.
+    Null and empty texts have no bytes and no tokens. Texts are counted whole, whatever their length. Rows do not depend on
+    each other: repeated rows come back repeated, nothing can tie, and an empty table gives an empty result. Other columns
+    are not read, whatever their names.
     """
 
     def start():
