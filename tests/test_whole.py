@@ -28,20 +28,20 @@ def test_change_pages_of_a_long_log(spark, tmp_path):
     con = duckdb.connect()
     first = 6482  # the first change after AFTER, beyond the pinned 5000
     assert con.sql(f"SELECT min(event_id) + 1 FROM read_parquet('{tmp_path}/events.parquet/*.parquet') WHERE ts > TIMESTAMP '2024-01-10'").fetchall()[0][0] == first
-    pages = {name: [r.change_sequence for r in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("changes_page_window_asof", "changes_page_checkpoint_asof", "changes_next_page_asof")}
-    assert pages["changes_page_window_asof"] == list(range(first, first + 51))
-    assert pages["changes_page_checkpoint_asof"] == list(range(first, first + 501))
-    assert pages["changes_next_page_asof"] == list(range(first + 50, first + 101))
+    pages = {name: [r.change_sequence for r in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("changes_page_window", "changes_page_checkpoint", "changes_next_page")}
+    assert pages["changes_page_window"] == list(range(first, first + 51))
+    assert pages["changes_page_checkpoint"] == list(range(first, first + 501))
+    assert pages["changes_next_page"] == list(range(first + 50, first + 101))
 
 
 def test_change_pages_of_the_tables(spark):
     d = "/root/testdata/sf0.1"
-    for name, n in (("changes_page_window_asof", 51), ("changes_page_checkpoint_asof", 501), ("changes_next_page_asof", 51)):
+    for name, n in (("changes_page_window", 51), ("changes_page_checkpoint", 501), ("changes_next_page", 51)):
         rows = _rows(QUERIES[name](spark, d))
         assert len(rows) == n and rows == _oracle(name, d, ["events"])
 
 
-TEXT_QUERIES = ("exact_dedup_text", "feed_cap_first_seen_text", "ingest_counters_text")
+TEXT_QUERIES = ("exact_dedup", "feed_cap_first_seen", "ingest_counters")
 
 
 def test_texts_that_differ_after_a_long_opening(spark, tmp_path):
@@ -49,13 +49,13 @@ def test_texts_that_differ_after_a_long_opening(spark, tmp_path):
     rows = [(1, opening + "One.", "a"), (2, opening + "Two.", "a"), (3, opening + "one", "b"), (4, opening + "Two.", "b"), (5, None, "b"), (6, None, "b")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(os.path.join(tmp_path, "documents.parquet"))
     got = {name: _rows(QUERIES[name](spark, str(tmp_path))) for name in TEXT_QUERIES}
-    assert got["exact_dedup_text"] == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 5)]
-    assert got["feed_cap_first_seen_text"] == [(1, "a"), (2, "a"), (3, "b"), (5, "b")]
-    assert {r.source: (r.raw, r.inserted, r.duplicates) for r in QUERIES["ingest_counters_text"](spark, str(tmp_path)).collect()} == {"a": (2, 2, 0), "b": (4, 2, 2), None: (6, 4, 2)}
+    assert got["exact_dedup"] == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 5), (6, 5)]
+    assert got["feed_cap_first_seen"] == [(1, "a"), (2, "a"), (3, "b"), (5, "b")]
+    assert {r.source: (r.raw, r.inserted, r.duplicates) for r in QUERIES["ingest_counters"](spark, str(tmp_path)).collect()} == {"a": (2, 2, 0), "b": (4, 2, 2), None: (6, 4, 2)}
 
 
 def test_texts_of_the_tables(spark):
     d = "/root/testdata/sf0.1"
     for name in TEXT_QUERIES:
         assert list(map(str, _rows(QUERIES[name](spark, d)))) == list(map(str, _oracle(name, d, ["documents"]))), name
-    assert len({first for _, first in _rows(QUERIES["exact_dedup_text"](spark, d))}) > 8937  # the prefixes of 80 characters
+    assert len({first for _, first in _rows(QUERIES["exact_dedup"](spark, d))}) > 8937  # the prefixes of 80 characters

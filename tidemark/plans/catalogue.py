@@ -8,13 +8,16 @@ Times without a zone stay without one, so results do not depend on the session's
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.functions import hashes, text, times, urls
-from tidemark.operators import calendar, changes, dedup, health, retention, schema, store
+from tidemark.operators import calendar, changes, dedup, health, migrate, retention, schema, store
 from tidemark.plans import paging
 from tidemark.sources import feeds
 
@@ -33,11 +36,6 @@ def query(sql: str | None = None):
     return register
 
 
-def also(name: str, of: str) -> None:
-    """A second name of a query."""
-    QUERIES[name], ORACLES[name] = QUERIES[of], ORACLES[of]
-
-
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -103,9 +101,6 @@ def changes_next_page(spark, d):
     return changes.page(_fresh(log, floor), 50).select(*_ROW)
 
 
-for _name in ("changes_page_window", "changes_page_checkpoint", "changes_next_page"):
-    also(f"{_name}_asof", _name)
-
 _STATE = f"WITH {LOG} SELECT news_id, change_sequence, operation, source FROM log WHERE {_IN} QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY change_sequence DESC) = 1"
 
 
@@ -130,10 +125,22 @@ def source_evidence_asof(spark, d):
     return found.select("change_sequence", F.array_join("sources", ",").alias("sources"), "source_count")
 
 
-@query("SELECT user_id AS news_id, string_agg(event_type, ',' ORDER BY seen, o) AS sources FROM (SELECT user_id, event_type, min(ts) AS seen, min_by(event_id, (ts, event_id)) AS o FROM events GROUP BY 1, 2) GROUP BY 1")
+# One entity's evidence goes by the number of an observation alone; here it is numbered backwards in time.
+
+
+@query(f"SELECT user_id AS news_id, string_agg(event_type, ',' ORDER BY o) AS sources FROM (SELECT user_id, event_type, min(100000000 - event_id) AS o FROM events WHERE ts <= TIMESTAMP '{AS_OF}' GROUP BY 1, 2) GROUP BY 1")
 def source_evidence_by_key(spark, d):
-    state = changes.state_as_of(_log(spark, d))
-    return changes.with_evidence(state, _observations(spark, d)).select("news_id", F.array_join("sources", ",").alias("sources"))
+    seen = _observations(spark, d).withColumn("observation_id", 100_000_001 - F.col("observation_id"))
+    return changes.evidence_by_key(seen, _at(AS_OF)).select("news_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {LOG}, {_EVIDENCE} SELECT change_sequence, string_agg(event_type, ',' ORDER BY seen, o) AS sources, count(*)::BIGINT AS source_count FROM met GROUP BY 1")
+def source_evidence_kept_up(spark, d):
+    """As source_evidence_asof, from the first sightings up to AFTER and the observations since then alone."""
+    seen = _observations(spark, d)
+    known = changes.first_sightings(seen.where(F.col("observed_at") <= _at(AFTER)))
+    found = changes.source_evidence(_log(spark, d), changes.merged_sightings(known, seen.where(F.col("observed_at") > _at(AFTER))))
+    return found.select("change_sequence", F.array_join("sources", ",").alias("sources"), "source_count")
 
 
 @query(f"""WITH {LOG}, {_EVIDENCE}, n AS (SELECT change_sequence, count(*) AS n FROM met GROUP BY 1)
@@ -376,9 +383,13 @@ def ticker_merge(spark, d):
     return lists.select("user_id", F.array_join(text.merge_tickers(F.array().cast("array<string>"), own), ",").alias("tickers"))
 
 
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+@query(f"""SELECT user_id, event_type, min(event_id) AS event_id FROM events n WHERE ts > TIMESTAMP '{AFTER}'
+AND NOT EXISTS (SELECT 1 FROM events o WHERE o.ts <= TIMESTAMP '{AFTER}' AND o.user_id = n.user_id AND o.event_type = n.event_type) GROUP BY 1, 2""")
 def observation_insert_or_ignore(spark, d):
-    return dedup.first_seen(_read(spark, d, "events").withColumn("k", F.concat_ws("|", "user_id", "event_type")), "k", "event_id").select("user_id", "event_type", "event_id")
+    """Observations since AFTER that are added to those before."""
+    rows = _read(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
+    old, new = rows.where(F.col("ts") <= _at(AFTER)), rows.where(F.col("ts") > _at(AFTER))
+    return store.new_only(new, old, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
 # Calendar.
@@ -585,10 +596,52 @@ def ingest_counters(spark, d):
     return health.counters(rows.select("source", F.when(F.col("doc_id") != F.col("first_id"), F.lit("title")).alias("matched")))
 
 
-for _name in ("exact_dedup", "feed_cap_first_seen", "ingest_counters"):
-    also(f"{_name}_text", _name)
-
-
 @query("SELECT event_type AS source, count(DISTINCT user_id)::BIGINT AS keys, count(*)::BIGINT AS observations FROM events GROUP BY 1")
 def source_distinct_counts(spark, d):
     return _observations(spark, d).groupBy("source").agg(F.countDistinct("canonical_news_id").alias("keys"), F.count("*").alias("observations"))
+
+
+# Stores: what commits leave, over stores that are made of the tables.
+
+
+def _store(spark: SparkSession, d: str, name: str) -> store.Store:
+    """An empty store in the shared folder; it goes when the application ends."""
+    path = f"{scratch.root(spark)}/{name}-{uuid.uuid4().hex}"
+    made = store.Store(spark, path)
+    made._fs.deleteOnExit(made._fs_path(path))
+    return made
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as entities, published on their day."""
+    day = F.col("o_orderdate").cast("timestamp")
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("news_id"), F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("string").alias("title"), F.concat(F.lit("https://o.example/"), "o_orderkey").alias("url"), day.alias("published_at"), day.alias("fetched_at"), F.md5(F.col("o_orderkey").cast("string")).alias("content_hash"))
+
+
+_NOW = "1999-01-01"
+_STORE = """o AS (SELECT o_orderkey AS news_id, o_orderdate, row_number() OVER (ORDER BY o_orderkey)::BIGINT AS n FROM orders), b AS (SELECT max(n) AS n FROM o),
+gone AS (SELECT news_id, row_number() OVER (ORDER BY o_orderdate, news_id) AS r FROM (SELECT * FROM o WHERE o_orderdate < TIMESTAMP '1998-01-01' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = news_id AND l_returnflag = 'R') ORDER BY o_orderdate, news_id LIMIT 500))"""
+
+
+@query(f"""WITH {_STORE} SELECT 'change' AS kind, n AS number, news_id, 'upsert' AS operation FROM o WHERE news_id NOT IN (SELECT news_id FROM gone) UNION ALL SELECT 'change', b.n + r, news_id, 'delete' FROM gone, b
+UNION ALL SELECT 'observation', n, news_id, NULL FROM o WHERE news_id NOT IN (SELECT news_id FROM gone) UNION ALL SELECT 'state', CASE WHEN g.news_id IS NULL THEN o.n ELSE b.n + r END, o.news_id, CASE WHEN g.news_id IS NULL THEN 'upsert' ELSE 'delete' END FROM b, o LEFT JOIN gone g ON g.news_id = o.news_id""")
+def retention_commit(spark, d):
+    """Log, observations and state of a store of all orders, once retention has been committed."""
+    made, now = _store(spark, d, "retention"), datetime.fromisoformat(f"{_NOW}T00:00:00+00:00")
+    with scratch.Scratch(spark, "entities") as tmp:
+        migrate.upgrade(made, tmp.written(_entities(spark, d), "legacy"), datetime.fromisoformat("1992-01-01T00:00:00+00:00"))
+    retention.cleanup(made, now, [(_read(spark, d, "lineitem").where("l_returnflag = 'R'"), "l_orderkey")])
+    log, state = (made.read(t).select(F.lit(kind).alias("kind"), F.col("change_sequence").alias("number"), "news_id", "operation") for t, kind in (("news_changes", "change"), ("entities", "state")))
+    seen = made.read("news_source_observations").select(F.lit("observation").alias("kind"), F.col("observation_id").alias("number"), F.col("canonical_news_id").alias("news_id"), F.lit(None).cast("string").alias("operation"))
+    return log.unionByName(state).unionByName(seen)
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey)::BIGINT AS n, md5(c_name) AS h FROM customer)
+SELECT 'change' AS kind, n AS number, c_custkey AS news_id, h AS hash FROM c UNION ALL SELECT 'observation', n, c_custkey, sha256('{"source":"legacy","source_tickers":[],"title":' || to_json(c_name)::VARCHAR || ',"url":' || to_json('https://c.example/' || c_custkey)::VARCHAR || '}') FROM c""")
+def upgraded_store(spark, d):
+    """Baseline changes and first observations of customers as rows of an older table that had no tickers."""
+    old = _read(spark, d, "customer").select(F.col("c_custkey").alias("news_id"), F.lit("Legacy").alias("source"), F.col("c_name").alias("title"), F.concat(F.lit("https://c.example/"), "c_custkey").alias("url"), F.lit(datetime(1992, 1, 1, tzinfo=UTC)).alias("fetched_at"), F.md5("c_name").alias("content_hash"))
+    made = _store(spark, d, "upgrade")
+    migrate.upgrade(made, old, datetime(1993, 1, 1, tzinfo=UTC))
+    log = made.read("news_changes").select(F.lit("change").alias("kind"), F.col("change_sequence").alias("number"), "news_id", F.col("payload_hash").alias("hash"))
+    return log.unionByName(made.read("news_source_observations").select(F.lit("observation").alias("kind"), F.col("observation_id").alias("number"), F.col("canonical_news_id").alias("news_id"), F.col("observation_hash").alias("hash")))
