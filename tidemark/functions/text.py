@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import html
-from difflib import SequenceMatcher
+from functools import lru_cache
+from html.entities import html5
+from urllib.parse import uses_netloc
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +26,58 @@ SECRET_FIELD = r"(?i)(api[_-]?key|apikey|token|authorization|x-api-key|x-finnhub
 _URL = r"(?i)(https?://)(?:[^\s\"'<>/?#@]*@)?([^\s\"'<>?#]*)[^\s\"'<>]*"
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(values: pd.Series) -> pd.Series:
-    """Character references decoded; Spark has no expression for the named ones."""
-    return values.map(lambda v: html.unescape(v) if v is not None and "&" in v else v)
+#: A numeric or named reference behind its ampersand.
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: What references to control characters stand for: the characters of the Windows code page.
+_CONTROLS = {0: "\ufffd", 13: "\r"} | {c: bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)}
+
+
+#: Maps that the names of references are dealt to.
+NAMES = 256
+
+
+def _map(pairs: dict) -> Column:
+    """A map literal: one constant, however many pairs it has."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _numbered(body: Column) -> Column:
+    """The character of a numeric reference."""
+    hexed = F.lower(F.substring(body, 2, 1)) == "x"
+    digits = F.regexp_replace(F.regexp_extract(body, "^#[xX]?([0-9a-fA-F]+)", 1), "^0+", "")
+    n = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(F.when(hexed, F.conv(F.concat(F.lit("0"), digits), 16, 10)).otherwise(F.concat(F.lit("0"), digits)).cast("int"))
+    letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    missing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    told = F.try_element_at(_map(_CONTROLS), n.cast("string"))
+    return F.coalesce(told, F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd")).when(missing, F.lit("")).otherwise(letter))
+
+
+@lru_cache(maxsize=1)
+def _names(_: int) -> Column:
+    """The names of references, dealt to small maps by their checksum, since maps are searched one by one."""
+    return F.array(*[_map({n: v for n, v in html5.items() if crc32(n.encode()) % NAMES == i}) for i in range(NAMES)])
+
+
+def _name(name: Column) -> Column:
+    """What a named reference stands for."""
+    maps = _names(id(SparkContext._active_spark_context))  # made once a context, as it has 2,000 names
+    return F.try_element_at(F.element_at(maps, (F.crc32(F.encode(name, "UTF-8")) % NAMES + 1).cast("int")), name)
+
+
+def _referred(part: Column, body: Column) -> Column:
+    """A text behind an ampersand, with the reference at its start (``body``) decoded; as it was, ampersand included, without one."""
+    short = F.regexp_extract(body, f"^({'|'.join(sorted((n for n in html5 if n[-1] != ';'), key=len, reverse=True))})", 1)  # the longest name that needs no semicolon
+    cut = F.when(short != "", F.concat(_name(short), F.substring(body, F.length(short) + 1, F.length(body))))
+    read = F.when(body == "", "&").when(F.startswith(body, F.lit("#")), _numbered(body)).otherwise(F.coalesce(_name(body), cut, F.concat(F.lit("&"), body)))
+    return F.concat(read, F.substring(part, F.length(body) + 1, F.length(part)))
+
+
+def unescaped(value: Column) -> Column:
+    """Character references decoded as HTML has them: named ones, with the longest known name where the semicolon is missing,
+    and numeric ones, those of control characters by the Windows code page. One pass: what is decoded is not read again."""
+    rest = F.transform(F.slice(F.split(value, "&"), 2, F.length(value)), lambda p: F.struct(p.alias("part"), F.regexp_extract(p, _REFERENCE, 1).alias("body")))
+    decoded = F.array_join(F.transform(rest, lambda x: _referred(x["part"], x["body"])), "")
+    return F.when(F.contains(value, F.lit("&")), F.concat(F.substring_index(value, "&", 1), decoded)).otherwise(value)
 
 
 def clean_text(value: Column, empty: str | None = None) -> Column:
@@ -55,10 +107,66 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
+def ratio_bound(left: Column, right: Column) -> Column:
+    """No less than sequence_ratio: as if all common characters, counted with repeats, matched in order."""
+    count = lambda text, letter: F.length(text) - F.length(F.replace(text, letter, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(left, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(left, c), count(right, c))))
+    return F.when(F.length(left) + F.length(right) > 0, 2 * common / (F.length(left) + F.length(right))).otherwise(F.lit(1.0))
+
+
+#: Cells of the table of common runs that a step of ratios fills at a time.
+CELLS = 1 << 15
+
+
+def ratios(left: list[str], right: list[str]) -> np.ndarray:
+    """Ratcliff-Obershelp ratios of pairs: twice the matched characters by all of both.
+
+    The longest common run of a pair, the one that starts first in the left text and then in the right one, matches, and
+    then in the same way what is before it and what is behind it. All pairs take each step together: the table of runs
+    that end at a character of the left text is filled row by row for many pairs at once.
+    """
+    codes = [[np.frombuffer(t.encode("utf-32-le"), np.int32) for t in side] for side in (left, right)]
+    matched = np.zeros(len(left), np.int64)
+    todo = [(i, 0, len(a), 0, len(b)) for i, (a, b) in enumerate(zip(*codes)) if len(a) and len(b)]
+    while todo:
+        todo.sort(key=lambda t: (t[4] - t[3], t[2] - t[1]))
+        at, rest = 0, []
+        while at < len(todo):
+            end, width = at + 1, todo[at][4] - todo[at][3]
+            while end < len(todo) and (end - at + 1) * max(width, todo[end][4] - todo[end][3]) <= CELLS:
+                width = max(width, todo[end][4] - todo[end][3])
+                end += 1
+            own, at = todo[at:end], end
+            width, height = max(t[4] - t[3] for t in own), max(t[2] - t[1] for t in own)
+            a, b = np.full((height, len(own)), -1, np.int32), np.full((len(own), width), -2, np.int32)
+            for k, (i, low, high, start, stop) in enumerate(own):
+                a[: high - low, k], b[k, : stop - start] = codes[0][i][low:high], codes[1][i][start:stop]
+            runs, best = np.zeros((len(own), width + 1), np.int32), np.zeros((3, len(own)), np.int64)  # size, ends in a and b
+            for row in range(height):
+                runs[:, 1:] = np.where(b == a[row][:, None], runs[:, :-1] + 1, 0)
+                where = runs.argmax(axis=1)
+                size = runs[np.arange(len(own)), where]
+                more = size > best[0]
+                best[0, more], best[1, more], best[2, more] = size[more], row + 1, where[more]
+            for (i, low, high, start, stop), (size, x, y) in zip(own, best.T.tolist()):
+                if size:
+                    matched[i] += size
+                    if x > size and y > size:
+                        rest.append((i, low, low + x - size, start, start + y - size))
+                    if low + x < high and start + y < stop:
+                        rest.append((i, low + x, high, start + y, stop))
+        todo = rest
+    sizes = np.array([len(a) + len(b) for a, b in zip(*codes)])
+    return np.where(sizes > 0, 2 * matched / np.maximum(sizes, 1), 1.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; not symmetric, the newer title comes first."""
-    return pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() if a is not None and b is not None else None for a, b in zip(left, right)], dtype="float64")
+    """Ratcliff-Obershelp ratio; not symmetric, the newer title comes first. Null where a title is."""
+    known = left.notna() & right.notna()
+    out = pd.Series(np.nan, index=left.index)
+    out[known] = ratios(left[known].tolist(), right[known].tolist())
+    return out
 
 
 def normalize_ticker(value: Column) -> Column:
@@ -85,9 +193,30 @@ def merge_tickers(first: Column, second: Column) -> Column:
 
 
 def safe_url(value: Column) -> Column:
-    """A URL without credentials, query and fragment; a path if there is no host."""
-    bare = F.regexp_replace(F.regexp_replace(value, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://)[^/]*@", "$1")
-    return F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+"), bare).otherwise(F.coalesce(F.nullif(bare, F.lit("")), F.lit("<unknown-endpoint>")))
+    """A URL without credentials, query and fragment, scheme and host in lower case; its path if it has no host.
+
+    ``<invalid-url>`` where brackets do not hold an address, ``<invalid-host>`` in place of the host where the port is no
+    number up to 65535, ``<unknown-endpoint>`` where nothing is left.
+    """
+    part = lambda text, pattern, n=1: F.regexp_extract(text, pattern, n)
+    text = F.regexp_replace(F.regexp_replace(value, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    scheme = F.lower(part(text, r"^([A-Za-z][A-Za-z0-9+.-]*):"))
+    rest = F.when(scheme == "", text).otherwise(F.substring(text, F.length(scheme) + 2, F.length(text)))
+    netloc = part(rest, r"^//([^/?#]*)")
+    path = part(rest, r"^(?://[^/?#]*)?([^?#]*)")
+    place = part(netloc, r"([^@]*)$")
+    boxed, open_, shut = part(place, r"^\[([^\[\]]*)\](?::.*)?$"), F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
+    address = boxed.rlike(r"^(?=.*:.*:)[0-9A-Fa-f:.]+(%.*)?$") | boxed.rlike(r"^v[0-9A-Fa-f]+\..+$")
+    port = F.when(open_, part(place, r"\]:(.*)$")).otherwise(part(place, r"^[^:]*:(.*)$"))
+    name = F.when(open_, boxed).otherwise(part(place, r"^([^:]*)"))
+    name = F.concat(F.lower(part(name, r"^([^%]*)")), part(name, r"(%.*)$"))
+    host = F.when(F.contains(name, F.lit(":")), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name)
+    number = F.when(port.rlike(r"^0*[0-9]{1,5}$"), port.cast("bigint"))
+    shown = F.when(F.coalesce(number, F.lit(0)) > 0, F.concat(F.lit(":"), number.cast("string"))).otherwise("")
+    whole = F.when((port != "") & (number.isNull() | (number > 65_535)), F.lit("<invalid-host>")).otherwise(F.concat(host, shown))
+    slashes = F.when((whole != "") | scheme.isin(*uses_netloc) | F.startswith(path, F.lit("//")), "://").otherwise(":")
+    bare = F.when((scheme != "") & (netloc != ""), F.concat(scheme, slashes, whole, path)).otherwise(F.coalesce(F.nullif(path, F.lit("")), F.lit("<unknown-endpoint>")))
+    return F.when((open_ != shut) | (open_ & ~address), F.lit("<invalid-url>")).otherwise(bare)
 
 
 def redact(value: Column, secrets: tuple[str, ...] = ()) -> Column:

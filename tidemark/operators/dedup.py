@@ -44,7 +44,7 @@ def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool
     Both ways of being similar need a token overlap of OVERLAP, so sets of two tokens or more share two at least, and
     two of their first n - ceil(OVERLAP * n) + 2, rarest first. Items are joined by pairs of these, and by their only
     token where they have one: a token that many titles share pairs those alone that share a second rare one. The
-    order-sensitive ratio is computed for pairs between OVERLAP and the threshold alone. With ``both``, a later item is a prior too.
+    order-sensitive ratio is computed for pairs between OVERLAP and the threshold alone, and of these where their common characters allow it. With ``both``, a later item is a prior too.
     """
     titled = items.where("title <> ''").select("pos", "bucket", "title", fx.title_tokens(F.col("title")).alias("tokens"), fx.title_numbers(F.col("title")).alias("numbers"))
     tokens = titled.select("pos", "bucket", "numbers", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -62,7 +62,7 @@ def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool
     sure = scored.where((F.col("overlap") >= threshold) | (F.col("title") == F.col("prior_title"))).select("pos", "prior")
     if not ratio:
         return sure
-    near = scored.where((F.col("overlap") < threshold) & (F.col("title") != F.col("prior_title"))).where(fx.sequence_ratio(F.col("title"), F.col("prior_title")) >= threshold)
+    near = scored.where((F.col("overlap") < threshold) & (F.col("title") != F.col("prior_title")) & (fx.ratio_bound(F.col("title"), F.col("prior_title")) >= threshold)).where(fx.sequence_ratio(F.col("title"), F.col("prior_title")) >= threshold)
     return sure.union(near.select("pos", "prior"))
 
 
