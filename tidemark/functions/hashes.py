@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import WHITE, normalize_title, ticker_list
@@ -44,3 +44,19 @@ def calendar_event_id(scheduled: Column, country: Column, title: Column) -> Colu
 
 def snapshot_token(fetched: Column, stale: Column, payload: Column) -> Column:
     return F.concat(F.lit("cal_"), F.substring(F.sha2(F.concat_ws(":", fetched, stale.cast("int").cast("string"), payload), 256), 1, 40))
+
+
+#: Ordinals of a leaf of an ordered digest.
+LEAF = 1_024
+
+
+def ordered_digest(rows: DataFrame, ordinal: str, value: str, *by: str) -> DataFrame:
+    """(by, digest): one SHA-256 of the ``value`` texts of each group in the order of their ``ordinal`` (from 1; all rows, where
+    there is no ``by``): the digest of the digests of LEAF ordinals each.
+
+    Leaves are grouped by their range of ordinals, so no task sees a group whole, and the digest is the same however rows are
+    dealt to partitions. Without rows and ``by`` it is the digest of an empty text.
+    """
+    joined = lambda order, text: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), ","), 256)
+    leaves = rows.groupBy(*by, F.floor((F.col(ordinal) - 1) / LEAF).alias("_leaf")).agg(joined(ordinal, value).alias("_digest"))
+    return leaves.groupBy(*by).agg(joined("_leaf", "_digest").alias("digest"))

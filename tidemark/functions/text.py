@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from html.entities import html5
 from urllib.parse import uses_netloc
@@ -198,25 +199,37 @@ def safe_url(value: Column) -> Column:
     ``<invalid-url>`` where brackets do not hold an address, ``<invalid-host>`` in place of the host where the port is no
     number up to 65535, ``<unknown-endpoint>`` where nothing is left.
     """
-    part = lambda text, pattern, n=1: F.regexp_extract(text, pattern, n)
+    part = lambda text, pattern: F.regexp_extract(text, pattern, 1)
     text = F.regexp_replace(F.regexp_replace(value, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    scheme = F.lower(part(text, r"^([A-Za-z][A-Za-z0-9+.-]*):"))
-    rest = F.when(scheme == "", text).otherwise(F.substring(text, F.length(scheme) + 2, F.length(text)))
-    netloc = part(rest, r"^//([^/?#]*)")
-    path = part(rest, r"^(?://[^/?#]*)?([^?#]*)")
-    place = part(netloc, r"([^@]*)$")
-    boxed, open_, shut = part(place, r"^\[([^\[\]]*)\](?::.*)?$"), F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    address = boxed.rlike(r"^(?=.*:.*:)[0-9A-Fa-f:.]+(%.*)?$") | boxed.rlike(r"^v[0-9A-Fa-f]+\..+$")
-    port = F.when(open_, part(place, r"\]:(.*)$")).otherwise(part(place, r"^[^:]*:(.*)$"))
-    name = F.when(open_, boxed).otherwise(part(place, r"^([^:]*)"))
-    name = F.concat(F.lower(part(name, r"^([^%]*)")), part(name, r"(%.*)$"))
-    host = F.when(F.contains(name, F.lit(":")), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name)
-    number = F.when(port.rlike(r"^0*[0-9]{1,5}$"), port.cast("bigint"))
-    shown = F.when(F.coalesce(number, F.lit(0)) > 0, F.concat(F.lit(":"), number.cast("string"))).otherwise("")
-    whole = F.when((port != "") & (number.isNull() | (number > 65_535)), F.lit("<invalid-host>")).otherwise(F.concat(host, shown))
-    slashes = F.when((whole != "") | scheme.isin(*uses_netloc) | F.startswith(path, F.lit("//")), "://").otherwise(":")
-    bare = F.when((scheme != "") & (netloc != ""), F.concat(scheme, slashes, whole, path)).otherwise(F.coalesce(F.nullif(path, F.lit("")), F.lit("<unknown-endpoint>")))
-    return F.when((open_ != shut) | (open_ & ~address), F.lit("<invalid-url>")).otherwise(bare)
+
+    def split(x: Column) -> Column:
+        rest = F.substring(x["text"], F.when(x["scheme"] == "", 1).otherwise(F.length(x["scheme"]) + 2), F.length(x["text"]))
+        return F.struct(F.lower(x["scheme"]).alias("scheme"), part(rest, r"^//([^/?#]*)").alias("netloc"), part(rest, r"^(?://[^/?#]*)?([^?#]*)").alias("path"))
+
+    def placed(x: Column) -> Column:
+        place, open_ = part(x["netloc"], r"([^@]*)$"), F.contains(x["netloc"], F.lit("["))
+        boxed = part(place, r"^\[([^\[\]]*)\](?::.*)?$")
+        port = F.when(open_, part(place, r"\]:(.*)$")).otherwise(part(place, r"^[^:]*:(.*)$"))
+        address = boxed.rlike(r"^(?=.*:.*:)[0-9A-Fa-f:.]+(%.*)?$") | boxed.rlike(r"^v[0-9A-Fa-f]+\..+$")
+        wrong = (open_ != F.contains(x["netloc"], F.lit("]"))) | (open_ & ~address)
+        return F.struct(x["scheme"].alias("scheme"), x["netloc"].alias("netloc"), x["path"].alias("path"), F.when(open_, boxed).otherwise(part(place, r"^([^:]*)")).alias("name"), port.alias("port"), wrong.alias("wrong"))
+
+    def written(x: Column) -> Column:
+        name = F.concat(F.lower(part(x["name"], r"^([^%]*)")), part(x["name"], r"(%.*)$"))
+        number = F.when(x["port"].rlike(r"^0*[0-9]{1,5}$"), x["port"].cast("bigint"))
+        host = F.concat(F.when(F.contains(x["name"], F.lit(":")), F.concat(F.lit("["), name, F.lit("]"))).otherwise(name), F.when(F.coalesce(number, F.lit(0)) > 0, F.concat(F.lit(":"), number.cast("string"))).otherwise(""))
+        host = F.when((x["port"] != "") & (number.isNull() | (number > 65_535)), "<invalid-host>").otherwise(host)
+        slashes = F.when((x["name"] != "") | (x["port"] != "") | x["scheme"].isin(*uses_netloc) | F.startswith(x["path"], F.lit("//")), "://").otherwise(":")
+        whole = F.when((x["scheme"] != "") & (x["netloc"] != ""), F.concat(x["scheme"], slashes, host, x["path"])).otherwise(F.coalesce(F.nullif(x["path"], F.lit("")), F.lit("<unknown-endpoint>")))
+        return F.when(x["wrong"], "<invalid-url>").otherwise(whole)
+
+    first = F.struct(text.alias("text"), part(text, r"^([A-Za-z][A-Za-z0-9+.-]*):").alias("scheme"))
+    return F.when(value.isNotNull(), let(let(let(first, split), placed), written))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def redact(value: Column, secrets: tuple[str, ...] = ()) -> Column:

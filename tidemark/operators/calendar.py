@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashes import calendar_event_id, snapshot_token
+from tidemark.functions.hashes import calendar_event_id, ordered_digest, snapshot_token
 from tidemark.functions.times import parse_utc, utc_text
 from tidemark.operators import health
 from tidemark.operators.schema import HEALTH
@@ -42,11 +42,11 @@ def normalized(raw: DataFrame) -> DataFrame:
     return rows.where((F.col("date") != "") & (F.col("title") != "") & F.col("country_code").isin(*MAJORS) & (F.col("impact").isin("high", "medium") | (F.col("actual") != "")))
 
 
-def snapshot_events(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def snapshot_events(events: DataFrame, by: tuple[str, ...] = (), tmp: Scratch | None = None) -> DataFrame:
     """Detail rows: valid events with ids, UTC times, content hashes and ordinals by time, then id.
 
     ``by`` are columns that tell several snapshots apart; a snapshot is one week of events from one payload, so one
-    window holds no more than that.
+    window holds no more than that. One snapshot of any size is numbered by ranges, with a table in ``tmp``.
     """
     impact = F.lower(F.coalesce(F.nullif("impact", F.lit("")), F.lit("low")))
     rows = events.select(
@@ -57,6 +57,8 @@ def snapshot_events(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.where((F.length("country_code") == 3) & (F.col("title") != "") & (F.col("scheduled_at") != "") & F.col("impact").isin(*IMPACTS))
     wire = F.struct("actual", "country", "country_code", "event_id", "forecast", "impact", "impact_zh", "previous", "scheduled_at", utc_text(F.col("scheduled_at_utc")).alias("scheduled_at_utc"), "title")
     rows = rows.withColumn("content_hash", F.sha2(F.to_json(wire, {"ignoreNullFields": "false"}), 256))
+    if tmp is not None and not by:
+        return numbered(rows, "ordinal", 1, "scheduled_at_utc", "event_id", tmp=tmp)
     return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("scheduled_at_utc", "event_id")).cast("long"))
 
 
@@ -65,9 +67,7 @@ def snapshot_header(detail: DataFrame, fetched: Column, stale: Column, observed:
 
     The same stale payload has the same token; a fresh fetch has a new one even where nothing changed.
     """
-    lines = F.array_sort(F.collect_list(F.struct("ordinal", "content_hash")))
-    payload = F.sha2(F.array_join(F.transform(lines, lambda x: x["content_hash"]), ","), 256)
-    head = detail.agg(payload.alias("payload_hash"))
+    head = ordered_digest(detail, "ordinal", "content_hash").withColumnRenamed("digest", "payload_hash")
     return head.select(
         snapshot_token(utc_text(fetched), stale, F.col("payload_hash")).alias("snapshot_token"), F.lit(source).alias("source"), fetched.alias("source_fetched_at"),
         fetched.alias("data_through"), stale.alias("is_stale"), F.greatest(observed, fetched).alias("available_at"), "payload_hash",
@@ -93,7 +93,7 @@ def record_snapshot(store: Store, events: DataFrame, fetched: datetime, stale: b
     Header, events and the health rows ``state`` become visible in one commit; a reused snapshot commits ``state`` alone.
     """
     with Scratch(store.spark, "snapshot") as tmp:
-        detail = tmp.written(snapshot_events(events), "events")
+        detail = snapshot_events(events, tmp=tmp)
         head = tmp.written(snapshot_header(detail, F.lit(fetched), F.lit(stale), F.lit(observed), source), "head")
         known = store.read("calendar_snapshots").join(head.select("snapshot_token"), "snapshot_token", "left_semi")
         named = recorded(head, "available_at", store.next_of("calendar_snapshots", "snapshot_sequence"), known, tmp)

@@ -19,6 +19,11 @@ def backoff_seconds(interval: Column, failures: Column, spread: Column) -> Colum
     return F.least(F.lit(BACKOFF_CAP), F.greatest(F.lit(BACKOFF_FLOOR), F.floor(interval * F.pow(F.lit(2), F.least(failures, F.lit(6))) * spread))).cast("long")
 
 
+def delay(interval: int, failures: int, spread: float) -> int:
+    """backoff_seconds of one run, for state that is kept outside of tables."""
+    return min(BACKOFF_CAP, max(BACKOFF_FLOOR, int(interval * 2 ** min(failures, 6) * spread)))
+
+
 def trigger_seconds(interval: int) -> dict[str, int]:
     """How far a poll may be moved, and how late it may start."""
     return {"jitter": min(60, max(5, interval // 10)), "misfire": max(30, min(interval, 300))}

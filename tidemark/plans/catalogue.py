@@ -601,6 +601,89 @@ def source_distinct_counts(spark, d):
     return _observations(spark, d).groupBy("source").agg(F.countDistinct("canonical_news_id").alias("keys"), F.count("*").alias("observations"))
 
 
+# Feeds: pages as the raw items of each source.
+
+_CLEAN = "trim(regexp_replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_ITEMS = f"i AS (SELECT *, {_CLEAN.format('title')} AS clean FROM p WHERE {_CLEAN.format('title')} <> '' AND url <> '')"
+
+
+def _items(spark: SparkSession, d: str, **columns: Column) -> DataFrame:
+    return _pages(spark, d).withColumn("_at", F.col("page_id")).withColumns(columns)
+
+
+def _shown(records: DataFrame) -> DataFrame:
+    return records.select(F.col("_at").alias("page_id"), "source", "title", "summary", "image_url", "published_at", F.array_join("source_tickers", ",").alias("tickers"))
+
+
+@query(f"""WITH {_PAGES}, {_ITEMS} SELECT page_id, 'finnhub/' || CASE WHEN page_id % 3 = 0 THEN 'CNBC' ELSE 'unknown' END AS source, clean AS title, clean AS summary, CASE WHEN page_id % 2 = 0 THEN NULL ELSE 'i' END AS image_url,
+CASE WHEN page_id % 4 <> 0 THEN strftime(make_timestamp((1700000000 + page_id * 61) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS published_at, 'AAPL,' || page_id || ',MSFT' AS tickers FROM i""")
+def feed_finnhub(spark, d):
+    n = F.col("page_id")
+    raw = _items(spark, d, headline=F.col("title"), summary=F.col("title"), datetime=F.when(n % 4 != 0, 1_700_000_000 + n * 61).otherwise(0), related=F.concat(F.lit(" aapl,,"), n, F.lit(", msft ")), source=F.when(n % 3 == 0, "CNBC"), image=F.when(n % 2 == 0, "").otherwise("i"))
+    return _shown(feeds.finnhub(raw))
+
+
+@query(f"""WITH {_PAGES}, {_ITEMS} SELECT page_id, 'massive/' || CASE WHEN page_id % 5 = 0 THEN 'Massive' ELSE 'P' END AS source, clean AS title, left({_CLEAN.format("repeat(title || ' ', 20)")}, 500) AS summary, 'i' AS image_url,
+CASE page_id % 3 WHEN 2 THEN '2024-01-02T03:04:05+02:00' ELSE '2024-01-02T03:04:05Z' END AS published_at, 'A,B' || page_id AS tickers FROM i""")
+def feed_massive(spark, d):
+    n, stamp = F.col("page_id"), F.lit("2024-01-02T03:04:05")
+    raw = _items(spark, d, article_url=F.col("url"), description=F.repeat(F.concat("title", F.lit(" ")), F.lit(20)), image_url=F.lit("i"), published_utc=F.concat(stamp, F.when(n % 3 == 0, "Z").when(n % 3 == 1, "").otherwise("+02:00")), publisher=F.when(n % 5 != 0, F.struct(F.lit("P").alias("name"))), tickers=F.array(F.lit("a"), F.lit(""), F.concat(F.lit("b"), n)))
+    return _shown(feeds.massive(raw))
+
+
+_NAMED = "'{0}/' || CASE WHEN page_id % 2 = 0 THEN 'Label' ELSE 'N' END AS source, clean AS title, clean AS summary, CASE WHEN page_id % 3 <> 0 THEN 'i' END AS image_url, CASE WHEN page_id % 5 <> 0 THEN '2024-01-02T03:04:05Z' END AS published_at, '' AS tickers"
+
+
+def _named(spark: SparkSession, d: str, image: str) -> DataFrame:
+    n = F.col("page_id")
+    stamp = F.when(n % 5 == 0, "").otherwise("2024-01-02T03:04:05Z")
+    return _items(spark, d, title=F.when(n % 7 == 0, "[Removed]").otherwise(F.col("title")), description=F.col("title"), publishedAt=stamp, source=F.struct(F.when(n % 2 == 0, "").otherwise("N").alias("name")), **{image: F.when(n % 3 == 0, "").otherwise("i")})
+
+
+@query(f"WITH {_PAGES}, {_ITEMS} SELECT page_id, {_NAMED.format('newsapi')} FROM i WHERE page_id % 7 <> 0")
+def feed_newsapi(spark, d):
+    return _shown(feeds.newsapi(_named(spark, d, "urlToImage"), "Label"))
+
+
+@query(f"WITH {_PAGES}, {_ITEMS} SELECT * REPLACE (CASE WHEN page_id % 7 = 0 THEN '[Removed]' ELSE title END AS title) FROM (SELECT page_id, {_NAMED.format('gnews')} FROM i)")
+def feed_gnews(spark, d):
+    return _shown(feeds.gnews(_named(spark, d, "image"), "Label"))
+
+
+@query(f"""WITH {_PAGES}, {_ITEMS} SELECT page_id, 'google/' || CASE WHEN page_id % 2 = 0 THEN 'Google News' ELSE 'The Paper' END AS source, CASE WHEN page_id % 2 = 0 THEN clean || ' - The Paper' ELSE clean END AS title, NULL AS summary, NULL AS image_url,
+CASE page_id % 3 WHEN 0 THEN '2024-01-02T10:00:00Z' WHEN 1 THEN 'yesterday' ELSE '' END AS published_at, '' AS tickers FROM i""")
+def feed_google(spark, d):
+    n = F.col("page_id")
+    return _shown(feeds.google(_items(spark, d, title=F.concat("title", F.lit(" - The Paper")), link=F.col("url"), source=F.when(n % 2 != 0, " The  Paper"), pubDate=F.when(n % 3 == 0, "Tue, 02 Jan 2024 10:00:00 +0200").when(n % 3 == 1, "yesterday"))))
+
+
+@query(f"""WITH {_PAGES}, {_ITEMS} SELECT page_id, 'seekingalpha/daily' AS source, clean AS title, CASE WHEN page_id % 4 <> 0 THEN '[AAPL, B' || page_id || ']' END AS summary, NULL AS image_url,
+CASE page_id % 3 WHEN 0 THEN '2024-01-02T08:00:00Z' WHEN 1 THEN 'two days ago' ELSE '' END AS published_at, CASE WHEN page_id % 4 <> 0 THEN 'AAPL,B' || page_id ELSE '' END AS tickers FROM i""")
+def feed_seekingalpha(spark, d):
+    n, of = F.col("page_id"), lambda domain, value: F.struct(F.lit(domain).alias("_domain"), value.alias("_VALUE"))
+    named = F.when(n % 4 != 0, F.array(of("x/symbol", F.lit("aapl")), of("y", F.lit("no")), of("symbol", F.concat(F.lit("b"), n)), of("symbol", F.lit(""))))
+    return _shown(feeds.seekingalpha(_items(spark, d, link=F.col("url"), category=named, pubDate=F.when(n % 3 == 0, "Tue, 02 Jan 2024 10:00:00 +0200").when(n % 3 == 1, " two  days ago")), "daily"))
+
+
+@query(f"""WITH {_PAGES}, {_URL_SQL}, r AS (SELECT page_id, trim(title) AS t, {_NORMAL.format('title')} AS n, canonical FROM urls WHERE trim(title) <> '') SELECT page_id, 's' AS source, t AS title, canonical AS url,
+CASE WHEN page_id % 2 = 0 THEN '2024-01-02T21:30:00Z' END AS published_at, 'AMD' AS tickers, sha256(CASE WHEN n = '' THEN 'url:' || canonical ELSE 'title:' || n || '|day:2024-01-0' || CASE WHEN page_id % 2 = 0 THEN '2' ELSE '3' END END) AS hash FROM r""")
+def prepared_news(spark, d):
+    """Pages as records ready to insert; a publication text without an offset counts for the hash alone."""
+    stamp = F.when(F.col("page_id") % 2 == 0, "2024-01-02T23:30:00+02:00").otherwise("2024-01-03T10:00:00")
+    tickers = F.array(F.lit("$amd"), F.lit("not a ticker"), F.lit("AMD"))
+    records = _items(spark, d, source=F.lit(" s "), summary=F.lit(None).cast("string"), image_url=F.lit(""), published_at=stamp, source_tickers=tickers).where(F.trim("title") != "")
+    out = feeds.prepared(records, F.to_timestamp(F.lit("2024-01-04T00:00:00Z")))
+    return out.select(F.col("_at").alias("page_id"), "source", "title", "url", times.utc_text(F.col("published_at")).alias("published_at"), F.array_join("source_tickers", ",").alias("tickers"), F.col("content_hash").alias("hash"))
+
+
+@query("""WITH l AS (SELECT event_type, event_id // 1024 AS leaf, sha256(string_agg(sha256(props), ',' ORDER BY event_id)) AS h FROM events GROUP BY 1, 2)
+SELECT event_type, sha256(string_agg(h, ',' ORDER BY leaf)) AS digest FROM l GROUP BY 1""")
+def ordered_digests(spark, d):
+    """One digest of the events of each type in their order."""
+    rows = _read(spark, d, "events").select("event_type", (F.col("event_id") + 1).alias("ordinal"), F.sha2("props", 256).alias("content_hash"))
+    return hashes.ordered_digest(rows, "ordinal", "content_hash", "event_type")
+
+
 # Stores: what commits leave, over stores that are made of the tables.
 
 
