@@ -72,7 +72,7 @@ class CentroidGraph:
 
     def measure(self, x: np.ndarray) -> CentroidGraph:
         """Read the ratios off unit vectors of the sample."""
-        _, far = self.nearest(x, min(len(self.centroids), self.scanned()))
+        far = np.concatenate([self.nearest(x[at : at + 64], self.scanned())[1] for at in range(0, len(x), 64)])  # a search holds much for each vector
         ratio = lambda base, at: far[:, min(at, far.shape[1] - 1)] / np.maximum(far[:, min(base, far.shape[1] - 1)], 1e-12) - 1
         self.near = float(np.quantile(ratio(0, REPLICAS - 1), BOUNDARY))
         self.far = float(np.median(ratio(3, self.scanned() - 1)))
