@@ -38,14 +38,14 @@ def _table(parent: Mapping, key: str, where: str, allowed: set[str]) -> Mapping:
     if not isinstance(value, Mapping):
         raise ConfigurationError(f"{where} must be a TOML table")
     if unknown := sorted(set(value) - allowed):
-        raise ConfigurationError(f"unknown {where} setting: {unknown[0]}")
+        raise ConfigurationError(f"{where} has no setting named {unknown[0]}")
     return value
 
 
 def _whole(table: Mapping, key: str, where: str, low: int, high: int) -> int:
     value = table.get(key)
     if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
-        raise ConfigurationError(f"{where}.{key} must be an integer from {low} to {high}")
+        raise ConfigurationError(f"{where}.{key} takes a whole number, {low} at least and {high} at most")
     return value
 
 
@@ -58,7 +58,7 @@ def load_settings(path: str, environ: Mapping[str, str] | None = None) -> Settin
     except tomllib.TOMLDecodeError as e:
         raise ConfigurationError(f"not TOML: {e}") from e
     if unknown := sorted(set(root) - {"storage", "calendar", "sources"}):
-        raise ConfigurationError(f"unknown setting: {unknown[0]}")
+        raise ConfigurationError(f"there is no section named {unknown[0]}")
     storage = _table(root, "storage", "storage", {"database_path", "news_retention_days", "change_retention_days", "calendar_snapshot_retention_days", "retention_interval_seconds"})
     calendar = _table(root, "calendar", "calendar", {"interval_seconds"})
     sources = _table(root, "sources", "sources", set(REGISTRY))
