@@ -105,3 +105,77 @@ def test_rows_that_tie_in_key_and_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `_size` long")
     out = [sorted(map(str, mixing.mix_documents(docs.repartition(n)).collect())) for n in (1, 5)]
     assert out[0] == out[1]
+
+
+def test_documents_by_a_list_model(spark):
+    """One shard a source: how often each document comes, from the words that the list model takes of it."""
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 2, 60, 300, 900]))), rng.choice(["a", "b", None]), {"k": i}) for i in range(90)]
+    rows += [(500, "v " * 33, "b", {"k": 1})] * 25 + [(501, None, "a", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    got = defaultdict(int)
+    for r in mixing.mix_documents(docs).collect():
+        got[r.doc_id, r.text, r.source, str(r.more)] += 1
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(18), "doc_id").alias("h")).collect()}
+    by = {s: sorted([(order[i], i, len((t or "").split()), t, str(m)) for i, t, of, m in rows if of == s], key=lambda r: r[:3]) for s in ("a", "b", None)}
+    sizes = {s: sum(r[2] for r in own) for s, own in by.items()}
+    goal = mixing.targets(sizes, dict(zip(by, (5, 2, 1))))
+    quotas = mixing.highest_quotients(round(Fraction(sum(sizes.values()), mixing.BLOCK)), goal, {s: 3 * -(-n // mixing.BLOCK) for s, n in sizes.items()})
+    expected = defaultdict(int)
+    for s, own in by.items():
+        whole = quotas[s] // -(-sizes[s] // mixing.BLOCK)
+        for (_, i, n, t, m), words in zip(own, model_taken([r[2] for r in own], s, quotas[s])):
+            times = whole + (2 * (words - whole * n) >= n) if n else 1
+            if times:
+                expected[i, t, s, m] += times
+    assert dict(got) == dict(expected)
+
+
+def test_shards_are_apportioned_down_a_tree(spark, monkeypatch):
+    """Three levels of three children: every quota is what the method gives a node's children, from the source down."""
+    monkeypatch.setattr(mixing, "FAN", 3)
+    rng = random.Random(8)
+    lengths = {(s, k): rng.choice([0, 10, 700, 5000]) for s in range(3) for k in range((27, 5, 1)[s])}
+    blocks = {k: -(-n // mixing.BLOCK) for k, n in lengths.items()}
+    own = {s: min(n, 3 * sum(b for (of, _), b in blocks.items() if of == s)) for s, n in enumerate((1500, 77, 9))}
+    counts = spark.createDataFrame(list(own.items()), "_s long, _own long")
+    table = spark.createDataFrame([(s, k, n) for (s, k), n in lengths.items()], "_s long, _shard long, _length long")
+    got = {(r._s, r._shard): r._quota for r in mixing.shares(table, counts, 27).collect()}
+
+    def down(s, node, width, seats):
+        if not width:
+            return {(s, node): seats}
+        inside = {c: [k for k in lengths if k[0] == s and k[1] // width == c] for c in range(3 * node, 3 * node + 3)}
+        inside = {c: ks for c, ks in inside.items() if ks}
+        given = mixing.highest_quotients(seats, {c: sum(lengths[k] for k in ks) for c, ks in inside.items()}, {c: sum(3 * blocks[k] for k in ks) for c, ks in inside.items()})
+        return {k: n for c in inside for k, n in down(s, c, width // 3, given[c]).items()}
+
+    assert got == {k: n for s in own for k, n in down(s, 0, 9, own[s]).items()}
+    for s in own:
+        assert sum(n for (of, _), n in got.items() if of == s) == own[s]
+    assert all(n <= 3 * blocks[k] for k, n in got.items())
+
+
+def test_a_row_that_makes_up_much_of_the_table(spark, monkeypatch):
+    """Equal rows, and one key of many texts, are spread over shards and tasks; nothing is lost and reruns agree."""
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 600)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    rows = [(1, "hot " * 20, "a")] * 300 + [(None, f"{'t ' * (i % 50)}", "b") for i in range(300)] + [(i, "c " * 90, "c") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    narrow = docs.select(F.col("source").alias("_of"), F.col("doc_id").alias("_key"), mixing.token_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_mark"), F.lit(0).alias("_also"))
+    pieces = mixing.laid(narrow.groupBy(*narrow.columns).agg(F.count("*").alias("_n"))).collect()
+    assert max(p._copies for p in pieces) == 16 and len({p._shard for p in pieces if p._key == 1}) > 3 and len({p._shard for p in pieces if p._key is None}) > 3
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows) and sorted(map(str, out)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    taken, copies = defaultdict(int), mixing.mix_documents(docs)
+    for r in out:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    for r in {r.source: r for r in out}.values():
+        assert abs(taken[r.source] - r.target) <= 0.1 * r.target
+    kept = defaultdict(int)
+    for r in copies.collect():
+        kept[r.source] += len(r.text.split())
+    assert all(abs(kept[s] - taken[s]) <= 0.1 * taken[s] for s in taken)
+    assert sorted(map(str, copies.collect())) == sorted(map(str, mixing.mix_documents(docs.repartition(5)).collect()))
