@@ -38,6 +38,20 @@ def first_of_each(items: DataFrame, key: str, pos: str, name: str) -> DataFrame:
     return items.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
+#: Places that the rows of one key are dealt to where they meet what is known of it.
+SPREAD = 64
+
+
+def beside(rows: DataFrame, found: DataFrame, keys: list[str], by: str = "pos") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row for each of ``keys``, without all rows of a key in one task.
+
+    What is known of a key goes first to those of its SPREAD places, by a hash of ``by``, that have rows: at most SPREAD of them.
+    """
+    dealt = rows.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    places = dealt.select(*keys, "_place").distinct().join(found, keys)
+    return dealt.join(places, [*keys, "_place"]).drop("_place")
+
+
 def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool = True, both: bool = False) -> DataFrame:
     """(pos, prior): items with an earlier item of the same bucket and numbers whose title is similar.
 
@@ -49,7 +63,7 @@ def similar_pairs(items: DataFrame, threshold: float = fx.THRESHOLD, ratio: bool
     titled = items.where("title <> ''").select("pos", "bucket", "title", fx.title_tokens(F.col("title")).alias("tokens"), fx.title_numbers(F.col("title")).alias("numbers"))
     tokens = titled.select("pos", "bucket", "numbers", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = tokens.groupBy("bucket", "numbers", "token").agg(F.count("*").alias("often"))
-    ranked = tokens.join(often, ["bucket", "numbers", "token"]).groupBy("pos", "bucket", "numbers").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
+    ranked = beside(tokens, often, ["bucket", "numbers", "token"]).groupBy("pos", "bucket", "numbers").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))
     first = F.transform(F.slice("t", 1, (F.col("n") - F.ceil(F.col("n") * fx.OVERLAP) + 2).cast("int")), lambda x: x["token"])
     pairs = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.concat_ws(" ", F.least(x, y), F.greatest(x, y)))))
     prefix = ranked.withColumn("f", first).select("pos", "bucket", "numbers", "n", F.explode(F.when(F.col("n") > 1, pairs).otherwise(F.col("f"))).alias("token"))
@@ -113,7 +127,7 @@ def _resolved(items: DataFrame, tmp: Scratch) -> DataFrame:
             live = live.union(rows.where("canonical"))
         # By key: the first canonical item, and the first that is not decided; an item looks before itself.
         keys = exact.join(live, "pos").groupBy("key").agg(first(F.col("canonical")).alias("kept"), first(F.col("canonical").isNull()).alias("open"))
-        by_key = exact.join(open_, "pos").join(keys, "key").groupBy("pos").agg(F.max(F.coalesce(F.col("kept") < F.col("pos"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("pos"), F.lit(False))).alias("wait"))
+        by_key = beside(exact.join(open_, "pos"), keys, ["key"]).groupBy("pos").agg(F.max(F.coalesce(F.col("kept") < F.col("pos"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("pos"), F.lit(False))).alias("wait"))
         by_title = nearest(live, open_, members, links, kept=F.when(F.col("canonical"), F.col("pos")), open=F.when(F.col("canonical").isNull(), F.col("pos")))
         by_title = by_title.select("pos", (F.col("kept") < F.col("pos")).alias("hit2"), (F.col("open") < F.col("pos")).alias("wait2"))
         step = open_.join(by_key, "pos", "left").join(by_title, "pos", "left")
@@ -142,7 +156,7 @@ def _resolved(items: DataFrame, tmp: Scratch) -> DataFrame:
         known = known.union(rows)
     kept, gone = known.where("canonical").select("pos"), known.where("NOT canonical").select("pos")
     owner = every_key.join(kept, "pos").groupBy("key").agg(F.min("pos").alias("owner"))
-    by_key = every_key.join(gone, "pos").join(owner, "key").where("owner < pos").select("pos", "rank", "owner")
+    by_key = beside(every_key.join(gone, "pos"), owner, ["key"]).where("owner < pos").select("pos", "rank", "owner")
     by_title = nearest(kept, gone, every_member, every_link, owner=F.col("pos")).where("owner < pos").select("pos", F.lit(3).alias("rank"), "owner")
     best = by_key.union(by_title).groupBy("pos").agg(F.min(F.struct("rank", "owner")).alias("m"))
     names = F.element_at(F.array(*map(F.lit, ("content", "legacy", "url", "title"))), F.col("m.rank") + 1)
@@ -159,7 +173,7 @@ def exact_keys(items: DataFrame) -> DataFrame:
 def key_hits(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """(pos, rank, news_id): the entity with the smallest id behind each key of an incoming item; ``known(key, news_id)``."""
     owner = known.groupBy("key").agg(F.min("news_id").alias("news_id"))
-    return exact_keys(incoming).join(owner, "key").select("pos", "rank", "news_id")
+    return beside(exact_keys(incoming), owner, ["key"]).select("pos", "rank", "news_id")
 
 
 def exact_hits(incoming: DataFrame, existing: DataFrame) -> DataFrame:
