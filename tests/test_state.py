@@ -238,3 +238,25 @@ def test_evidence_of_one_entity_goes_by_number(spark):
     merged = changes.merged_sightings(first, seen.where("observation_id >= 3"))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, changes.first_sightings(seen).collect()))
     assert changes.with_evidence(log, merged).first().sources == ["Late", "early"]  # that of a change by time
+
+
+def test_a_large_part_is_dealt_to_many_tasks(spark, tmp_path):
+    """A commit's 20,000 rows are one part: retention writes what is left of them by several tasks, and a small part by one."""
+    store, rows = Store(spark, str(tmp_path / "store")), spark.range(0, 20_000, 1, 8)
+    seen = rows.select((F.col("id") + 1).alias("observation_id"), F.col("id").alias("canonical_news_id"), F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 256).alias("observation_hash"))
+    store.commit({"news_source_observations": seen})
+    store.commit({"news_source_observations": seen.limit(10).withColumn("observation_id", F.col("observation_id") + 20_000)})
+    most, gone = "spark.sql.adaptive.advisoryPartitionSizeInBytes", rows.where("id % 1000 = 3").withColumnRenamed("id", "canonical_news_id")
+    before = spark.conf.get(most)
+    spark.conf.set(most, "128k")
+    try:
+        store.commit({}, parts=retention._cut(store, "news_source_observations", gone, "canonical_news_id"))
+    finally:
+        spark.conf.set(most, before)
+    left = store.read("news_source_observations", named=True)
+    files = left.groupBy("part", F.input_file_name().alias("file")).count().collect()
+    sizes = sorted(r["count"] for r in files if r["part"] == "c1")
+    assert sum(sizes) == 19_980 and len(sizes) > 2 and sizes[-1] < 10_000
+    assert [r["count"] for r in files if r["part"] == "c2"] == [9]
+    want = {(i + 1, i) for i in range(20_000) if i % 1000 != 3} | {(i + 20_001, i) for i in range(10) if i != 3}
+    assert {(r[0], r[1]) for r in left.select("observation_id", "canonical_news_id").collect()} == want
