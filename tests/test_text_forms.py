@@ -83,3 +83,16 @@ def test_urls(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     wrong = [(r.v, r.got, plain_url(r.v)) for r in df.select("v", text.safe_url(F.col("v")).alias("got")).collect() if r.got != plain_url(r.v)]
     assert not wrong, wrong
+
+
+def test_titles_cut_inside_a_reference(spark, tmp_path):
+    """A title that ends inside `&amp;` is decoded as html.unescape has it, in title_clean and in each feed."""
+    from tidemark.plans.catalogue import QUERIES
+
+    titles = [f"Ham &amp; eggs&amp;{'&amp;'[:n]}" for n in range(5)] + ["a&lt", "b&quot", "c&am"]
+    rows = [(7 * i + 2 * (i % 2 == 0) + 1, "https://a.example/", f"<html><title>{t}</title></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = {r[0]: " ".join(html.unescape(t).split()) for r, t in zip(rows, titles, strict=True)}
+    for name, column in {"title_clean": "clean", "feed_finnhub": "title", "feed_gnews": "title", "feed_massive": "title", "feed_newsapi": "title", "feed_seekingalpha": "title", "feed_google": "title"}.items():
+        got = {r["page_id"]: r[column].removesuffix(" - The Paper") for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == want, name
