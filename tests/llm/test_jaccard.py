@@ -136,3 +136,16 @@ def test_graph(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 10: 10, 11: 10} | {100 + i: 100 for i in range(50)} | {200 + i: 200 for i in range(61)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_deal_every_tile_once(spark):
+    """Rounds share the tiles evenly, salted ones among them, and all of a key's rows are in one; two at 80 %."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(5))], "id long, text string").coalesce(1)
+    plain = np.sort(np.array([r.key for r in jaccard._tiles(docs, 5, 80, None).distinct().collect()], np.int64))
+    hot = spark.sparkContext.broadcast(plain[::7])
+    whole = sorted(map(tuple, jaccard._tiles(docs, 5, 80, hot).collect()))
+    rounds = [sorted(map(tuple, jaccard._tiles(docs, 5, 80, hot, 3, at).collect())) for at in range(3)]
+    assert sorted(sum(rounds, [])) == whole and max(map(len, rounds)) < 0.4 * len(whole)
+    keys = [{key & ~jaccard.SALT_BITS for key, _ in r} for r in rounds]
+    assert sum(map(len, keys)) == len(set.union(*keys)) and any(key & jaccard.SALT_BITS for key, _ in whole)
+    assert (jaccard.rounds_of(90), jaccard.rounds_of(80), jaccard.rounds_of(100)) == (1, 2, 1)

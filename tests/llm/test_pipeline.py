@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import sentencepiece
 import public_tokenizers
+from tidemark import scratch
 from tidemark.llm import registry
 
 
@@ -40,6 +41,14 @@ def test_run_writes_every_stage(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
 
 
+def test_run_keeps_one_stage(spark, tmp_path, monkeypatch):
+    """Of the stages' tables only the one that the result reads is left, and none of the join's."""
+    monkeypatch.setattr(scratch, "root", lambda _: str(tmp_path))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name.split("-", 1)[1] for p in tmp_path.glob("pipeline-*/*")] == ["stage 4"] and not list(tmp_path.glob("jaccard-*"))
+    assert out.count() > 50
+
+
 ODD = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "", "", 0), (3, " \n ", "en", "s", 3), (None, "words without a key " * 30, "en", "s", 600), (4, "the of and in " + "long text, with many words. " * 40_000, "en", "s", 1_120_000)]
 
 

@@ -21,13 +21,15 @@ compared once. No link between different sets is lost.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, table
 from tidemark.llm.graph import components
-from tidemark.scratch import Scratch, written
+from tidemark.scratch import Scratch, freeing, written
 
 #: Rows up to which the ids of documents with a candidate, or of copies, are broadcast (about 8 MB); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
@@ -44,7 +46,7 @@ SMALL = 8
 SALT_BITS = 60
 
 _M = [np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_S = [np.array([x], np.uint64) for x in (31, 29, 32)]
+_S = [np.array([x], np.uint64) for x in (31, 29, 32, 6)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -203,12 +205,19 @@ def _popular(tiles, source: DataFrame, classes: DataFrame) -> np.ndarray:
     share = int((1 << 30) * min(1.0, SAMPLE / max(1, total)))
     ids = classes.where(F.pmod(F.xxhash64(F.lit(29), "d1", "d2"), F.lit(1 << 30)) < share).select(F.col("rep").alias("id"))
     often = tiles(source.join(F.broadcast(ids), "id"), None).distinct().groupBy("key").count().where(F.col("count") >= OFTEN)
-    return np.sort(np.array([r["key"] for r in often.orderBy(F.desc("count"), "key").limit(SALTED).collect()], np.int64))
+    with freeing(source.sparkSession):
+        return np.sort(np.array([r["key"] for r in often.orderBy(F.desc("count"), "key").limit(SALTED).collect()], np.int64))
+
+
+def rounds_of(percent: int) -> int:
+    """Rounds in which tiles are dealt: the less alike similar sets may be, the more tiles a set has, and the more rounds
+    share them, so that a round's shuffle is about as large as the texts. Each round makes the shingles anew."""
+    return max(1, -(-(100 - percent) // 10))
 
 
-def _tiles(docs: DataFrame, width: int, percent: int, popular) -> DataFrame:
+def _tiles(docs: DataFrame, width: int, percent: int, popular, rounds: int = 1, at: int = 0) -> DataFrame:
     """(key, d1): the tiles of every set of ``docs(id, text)``; a task deals a set once. ``popular``: a broadcast of
-    the keys to salt."""
+    the keys to salt. With ``rounds``, only every so many of all keys, the ``at``-th ones."""
     bands = Bands(percent)
 
     def dealt(cols, state):
@@ -217,7 +226,8 @@ def _tiles(docs: DataFrame, width: int, percent: int, popular) -> DataFrame:
             h = shingles(t, width, state["words"])
             d = digest(h)
             if len(h) and d not in state["seen"]:
-                keys = tile_keys(h, bands).view(np.int64)
+                keys = tile_keys(h, bands)
+                keys = (keys[(keys >> _S[3]) % np.uint64(rounds) == at] if rounds > 1 else keys).view(np.int64)
                 if popular is not None and len(hot := popular.value):
                     known = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
                     keys = np.where(known, keys | (1 + d[0] % 15) << 2, keys)
@@ -231,12 +241,16 @@ def _tiles(docs: DataFrame, width: int, percent: int, popular) -> DataFrame:
     return map_batches(docs.select("text"), dealt, "key long, d1 long", lambda: {"words": WordHashes(), "seen": set()})
 
 
-def _met(tiles: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, rep, few): the tiles that a set keeps of those it shares; few: at most SMALL rows of the tile came."""
+def _shared(tiles: DataFrame) -> DataFrame:
+    """(key, d1, often): the tiles of ``tiles`` that several sets have, all rows of a key among them."""
     w = Window.partitionBy("key")
     shared = tiles.withColumns({"lo": F.min("d1").over(w), "hi": F.max("d1").over(w), "often": F.count("*").over(w), "salted": F.col("key").bitwiseAND(F.lit(SALT_BITS)) != 0})
     # A salted tile counts as the most popular for all its members: the order of tiles is the same for every set.
-    shared = shared.where("lo < hi OR salted").select(F.col("key").bitwiseAND(F.lit(~SALT_BITS)).alias("key"), "d1", F.when(F.col("salted"), F.lit(1 << 60)).otherwise(F.col("often")).alias("often"))
+    return shared.where("lo < hi OR salted").select(F.col("key").bitwiseAND(F.lit(~SALT_BITS)).alias("key"), "d1", F.when(F.col("salted"), F.lit(1 << 60)).otherwise(F.col("often")).alias("often"))
+
+
+def _met(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, rep, few): the tiles that a set keeps of those it shares; few: at most SMALL rows of the tile came."""
     place = F.dense_rank().over(Window.partitionBy("d1", F.pmod("key", F.lit(4))).orderBy(F.desc("often"), "key"))
     left = shared.repartition("d1").withColumn("place", place).where((F.col("key") % 2 != 0) | (F.col("place") > DROP))
     # Sets of one digest but different keys would all come along; the exact step tells them apart.
@@ -318,6 +332,12 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    with Scratch(docs.sparkSession, "jaccard") as tmp:
+        return _similarity_classes(docs, width, percent, key, text, tmp, keep=True)
+
+
+def _similarity_classes(docs: DataFrame, width: int, percent: int, key: str, text: str, tmp: Scratch, keep: bool) -> DataFrame:
+    """``similarity_classes`` over tables in ``tmp``; with ``keep``, those that the result reads stay when it is closed."""
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     spark = docs.sparkSession
 
@@ -345,36 +365,39 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, key:
         sets = map_batches(_picked(source, ids), run, f"rep long, n long, d1 long, d2 long, {column} binary", lambda: {"words": WordHashes(), "seen": set()})
         return sets.dropDuplicates(["rep", "d1", "d2"]) if repeated else sets
 
-    with Scratch(spark, "jaccard") as tmp:
-        sizes = tmp.written(map_batches(source, measured, "id long, n long, d1 long, d2 long", WordHashes), "sizes", keep=True)
-        classes = tmp.written(sizes.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes", keep=True)
-        source = source.where("id IS NOT NULL")
-        repeated = sizes.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count() > 0
-        popular = spark.sparkContext.broadcast(_popular(lambda rows, hot: _tiles(rows, width, percent, hot), source, classes))
-        met = tmp.written(_met(_tiles(source, width, percent, popular), classes), "met")
-
-        # Large tiles with the same members are one tile.
-        large = met.where("NOT few")
-        mark = large.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
-        one = tmp.written(mark.groupBy((F.col("key") % 2 != 0).alias("prefix"), "m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "m", "times"), "one")
-        tiles = _centred(large.join(one, "key"), tmp)
-        centre = tiles.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-        first = tmp.written(_small_pairs(met).union(centre).distinct(), "pairs")
-        tmp.drop("met", "one", "members", "centres")
-
-        wanted = tmp.written(first.select(F.col("a").alias("id")).union(first.select("b")).union(tiles.select("rep")).distinct(), "wanted")
-        sets = tmp.written(drawn(wanted, "bits"), "sets")
-        near = tmp.written(_bounded(first, sets, percent), "bounded")
-        links = tmp.written(_exact(near, drawn, percent, tmp).union(_shared_ids(sizes, classes)).distinct(), "links")
-        labels = tmp.written(components(links, tmp), "near")
-        tmp.drop("pairs", "bounded", "links", "arrays", "asked")
-        # The centre has met every member of its tiles; what is left are the others, where they differ in component.
-        # A centre's tiles overlap, so their members are compared together, each once.
-        rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
-        rest = tmp.written(rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
-        left = tmp.written(_block_pairs(rest, sets, percent, tmp), "left")
-        more = tmp.written(_exact(left, drawn, percent, tmp), "links")
-        labels = tmp.written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tmp), "labels", keep=True)
+    sizes = tmp.written(map_batches(source, measured, "id long, n long, d1 long, d2 long", WordHashes), "sizes", keep=keep)
+    classes = tmp.written(sizes.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes", keep=keep)
+    source = source.where("id IS NOT NULL")
+    repeated = sizes.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count() > 0
+    popular = spark.sparkContext.broadcast(_popular(lambda rows, hot: _tiles(rows, width, percent, hot), source, classes))
+    rounds = rounds_of(percent)  # a round's shuffle goes before the next one's is made
+    shared = [_shared(_tiles(source, width, percent, popular, rounds, at)) for at in range(rounds)]
+    shared = reduce(DataFrame.union, [tmp.written(s, "shared") for s in shared]) if rounds > 1 else shared[0]
+    met = tmp.written(_met(shared, classes), "met")
+    tmp.drop("shared")
+
+    # Large tiles with the same members are one tile.
+    large = met.where("NOT few")
+    mark = large.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("m > 1")
+    one = tmp.written(mark.groupBy((F.col("key") % 2 != 0).alias("prefix"), "m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("times")).select("key", "m", "times"), "one")
+    tiles = _centred(large.join(one, "key"), tmp)
+    centre = tiles.where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    first = tmp.written(_small_pairs(met).union(centre).distinct(), "pairs")
+    tmp.drop("met", "one", "members", "centres")
+
+    wanted = tmp.written(first.select(F.col("a").alias("id")).union(first.select("b")).union(tiles.select("rep")).distinct(), "wanted")
+    sets = tmp.written(drawn(wanted, "bits"), "sets")
+    near = tmp.written(_bounded(first, sets, percent), "bounded")
+    links = tmp.written(_exact(near, drawn, percent, tmp).union(_shared_ids(sizes, classes)).distinct(), "links")
+    labels = tmp.written(components(links, tmp), "near")
+    tmp.drop("pairs", "bounded", "links", "arrays", "asked")
+    # The centre has met every member of its tiles; what is left are the others, where they differ in component.
+    # A centre's tiles overlap, so their members are compared together, each once.
+    rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
+    rest = tmp.written(rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
+    left = tmp.written(_block_pairs(rest, sets, percent, tmp), "left")
+    more = tmp.written(_exact(left, drawn, percent, tmp), "links")
+    labels = tmp.written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tmp), "labels", keep=keep)
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(named, ["n", "d1", "d2"], "left")
@@ -388,8 +411,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: st
     Every row of a document that stays comes back as it was, documents without words and rows without a key
     among them; an empty table stays empty. Columns keep their names, whatever these are.
     """
-    groups = similarity_classes(docs, width, percent, key, text)
-    gone = written(groups.where(f"component_id <> `{key}`").select(key).distinct(), "copies")
+    with Scratch(docs.sparkSession, "jaccard") as tmp:
+        groups = _similarity_classes(docs, width, percent, key, text, tmp, keep=False)
+        gone = written(groups.where(f"component_id <> `{key}`").select(key).distinct(), "copies")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
