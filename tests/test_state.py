@@ -1,14 +1,16 @@
 """State in parts, retention, migration, runs and single inserts as commits."""
 
+import time
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.operators import changes, migrate, retention, runs, schema, state
 from tidemark.operators import store as stores
 from tidemark.operators.store import Store
-from tidemark.plans import paging
+from tidemark.plans import catalogue, paging
 from tidemark.sources import feeds
 from tidemark.streaming import ingest as stream
 
@@ -260,3 +262,60 @@ def test_a_large_part_is_dealt_to_many_tasks(spark, tmp_path):
     assert [r["count"] for r in files if r["part"] == "c2"] == [9]
     want = {(i + 1, i) for i in range(20_000) if i % 1000 != 3} | {(i + 20_001, i) for i in range(10) if i != 3}
     assert {(r[0], r[1]) for r in left.select("observation_id", "canonical_news_id").collect()} == want
+
+
+def written_bytes(spark):
+    """Bytes of the shuffle files that lie on disk now."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while found.hasNext():
+        f = found.next()
+        total += f.length() if f.getName().startswith("shuffle_") else 0
+    return total
+
+
+def test_few_rows_go_without_a_shuffle_of_the_rest(spark, tmp_path, monkeypatch):
+    """A part loses a few rows by the tasks that read it; beyond FEW tables are shuffled, with the same rows after."""
+    plans, write = [], Store._write_parts
+
+    def planned(self, rows, table, n, lying=False):
+        plans.append((table, lying))
+        return write(self, rows, table, n, lying)
+
+    monkeypatch.setattr(Store, "_write_parts", planned)
+    left = []
+    for few in (retention.FEW, 0):
+        monkeypatch.setattr(retention, "FEW", few)
+        store = old_store(spark, tmp_path / str(few))
+        plans.clear()
+        assert retention.cleanup(store, NOW, [(spark.createDataFrame([(3,)], "ref long"), "ref")]) == {"news_items": 2, "news_changes": 4, "calendar_snapshots": 1}
+        assert {t for t, lying in plans if lying} == ({t for t, _ in plans} - {"entity_pool"} if few else set()) and len(plans) == 9
+        same_state(store)
+        left.append(tables(store))
+        names = {t: set(store.parts(t)) for t in left[-1]}
+        assert all({r.part for r in store.read(t, named=True).select("part").distinct().collect()} <= names[t] for t in names)
+    assert left[0] == left[1]
+
+
+def test_rows_lying_by_part_have_no_exchange(spark, tmp_path):
+    store = old_store(spark, tmp_path)
+    rows, names = retention._cut(store, "news_source_observations", spark.createDataFrame([(1,)], "canonical_news_id long"), "canonical_news_id", True)["news_source_observations"]
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().toString() and names
+    store.commit({}, parts={"news_source_observations": (rows, names)}, lying=["news_source_observations"])
+    assert 1 not in {r.canonical_news_id for r in store.read("news_source_observations").collect()}
+
+
+def test_a_store_keeps_no_shuffles_and_a_query_no_older_parts(spark, tmp_path, monkeypatch):
+    """Once a store is made and cleaned up, its shuffles are gone, and of each table's parts only those that are read are left."""
+    monkeypatch.setattr(scratch, "root", lambda _: str(tmp_path))
+    before = written_bytes(spark)
+    out = catalogue.QUERIES["retention_commit"](spark, "/root/testdata/sf0.001")
+    until = time.time() + 20
+    while written_bytes(spark) > before and time.time() < until:
+        time.sleep(0.1)
+    assert written_bytes(spark) <= before
+    (store,) = (Store(spark, str(p)) for p in tmp_path.glob("retention-*") if (p / "_commits").exists())
+    for table in ("news_changes", "news_source_observations", "entities"):
+        lies = {str(p.parent.relative_to(tmp_path)).split("/", 2)[2] for p in tmp_path.glob(f"retention-*/{table}/**/*.parquet")}
+        assert lies == set(store.parts(table).values())
+    assert not list(tmp_path.glob("entities-*")) and out.count() > 0
