@@ -149,3 +149,14 @@ def test_rounds_deal_every_tile_once(spark):
     keys = [{key & ~jaccard.SALT_BITS for key, _ in r} for r in rounds]
     assert sum(map(len, keys)) == len(set.union(*keys)) and any(key & jaccard.SALT_BITS for key, _ in whole)
     assert (jaccard.rounds_of(90), jaccard.rounds_of(80), jaccard.rounds_of(100)) == (1, 2, 1)
+
+
+def test_pairs_meet_their_sets_in_shares(spark, tmp_path, monkeypatch):
+    """Every pair is in one share, and no share has most of them, also where one document is in all pairs."""
+    monkeypatch.setattr(scratch, "root", lambda _: str(tmp_path))
+    pairs = spark.createDataFrame([(1, b) for b in range(2, 1002)], "a long, b long")
+    shares = []
+    with scratch.Scratch(spark, "run") as tmp:
+        out = jaccard._by_rounds(pairs, lambda some: shares.append(some.count()) or some, "found", tmp)
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, pairs.collect()))
+    assert len(shares) == jaccard.PAIR_ROUNDS > 1 and sum(shares) == 1000 and max(shares) < 600

@@ -35,6 +35,8 @@ from tidemark.scratch import Scratch, freeing, written
 BROADCAST_IDS = 500_000
 #: Sets of the sample that finds popular tiles, members there from which a tile is salted, and salted tiles at most.
 SAMPLE, OFTEN, SALTED = 10_000, 12, 65_536
+#: Shares of the pairs that meet their sets one after the other: a join has a set's bitmap or hashes once a pair on disk.
+PAIR_ROUNDS = 2
 #: Members of a tile that one task compares at once, on either side.
 BLOCK = 1024
 BITS_PER_SHINGLE = 8
@@ -161,7 +163,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common) and common > 0
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _by_rounds(pairs: DataFrame, step, label: str, tmp: Scratch) -> DataFrame:
+    """``step`` of all the pairs (a, b), PAIR_ROUNDS shares of them in turn."""
+    share = F.pmod(F.xxhash64("a", "b"), F.lit(PAIR_ROUNDS))
+    return reduce(DataFrame.union, [tmp.written(step(pairs.where(share == at)), label) for at in range(PAIR_ROUNDS)])
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
     """The pairs (a, b) that the bitmaps leave."""
 
     def keep(cols, _):
@@ -173,7 +181,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out["b"].append(j)
         return out
 
-    return map_batches(_met_sets(pairs, sets, "bits"), keep, "a long, b long")
+    return _by_rounds(pairs, lambda some: map_batches(_met_sets(some, sets, "bits"), keep, "a long, b long"), "bounded", tmp)
 
 
 def _exact(pairs: DataFrame, drawn, percent: int, tmp: Scratch) -> DataFrame:
@@ -190,7 +198,7 @@ def _exact(pairs: DataFrame, drawn, percent: int, tmp: Scratch) -> DataFrame:
                 out["b"].append(j)
         return out
 
-    return map_batches(_met_sets(pairs, sets, "h"), keep, "a long, b long")
+    return _by_rounds(pairs, lambda some: map_batches(_met_sets(some, sets, "h"), keep, "a long, b long"), "exact", tmp)
 
 
 def _met_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -387,16 +395,16 @@ def _similarity_classes(docs: DataFrame, width: int, percent: int, key: str, tex
 
     wanted = tmp.written(first.select(F.col("a").alias("id")).union(first.select("b")).union(tiles.select("rep")).distinct(), "wanted")
     sets = tmp.written(drawn(wanted, "bits"), "sets")
-    near = tmp.written(_bounded(first, sets, percent), "bounded")
+    near = _bounded(first, sets, percent, tmp)
     links = tmp.written(_exact(near, drawn, percent, tmp).union(_shared_ids(sizes, classes)).distinct(), "links")
     labels = tmp.written(components(links, tmp), "near")
-    tmp.drop("pairs", "bounded", "links", "arrays", "asked")
+    tmp.drop("pairs", "bounded", "exact", "links", "arrays", "asked")
     # The centre has met every member of its tiles; what is left are the others, where they differ in component.
     # A centre's tiles overlap, so their members are compared together, each once.
     rest = tiles.where("rep <> centre").select(F.col("centre").alias("key"), "rep").distinct()
     rest = tmp.written(rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
     left = tmp.written(_block_pairs(rest, sets, percent, tmp), "left")
-    more = tmp.written(_exact(left, drawn, percent, tmp), "links")
+    more = _exact(left, drawn, percent, tmp)
     labels = tmp.written(components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tmp), "labels", keep=keep)
 
     named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
